@@ -68,5 +68,25 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_benchmark_decontamination, op5_simhash_near_dedup, op6_token_binary)}
-ORACLE_SQL = {"op3_benchmark_decontamination": OP3_SQL}
+def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k, valid_vectors
+
+    vectors = valid_vectors(read_table(spark, sf_dir, "embeddings"))
+    return top_k(vectors.where("id % 100 = 0"), vectors)
+
+
+OP9_SQL = """
+WITH valid AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+  FROM valid q JOIN valid c ON q.vec_id % 100 = 0 AND c.vec_id <> q.vec_id)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored) WHERE rank <= 10
+"""
+
+
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_benchmark_decontamination, op5_simhash_near_dedup, op6_token_binary, op9_exact_top_k)}
+ORACLE_SQL = {"op3_benchmark_decontamination": OP3_SQL, "op9_exact_top_k": OP9_SQL}
