@@ -10,6 +10,17 @@ from pyspark.sql import functions as F
 from .common import read_table, shared_dir
 
 
+#: A stand-in: whoever runs this on real data passes a secret of their own.
+DEMO_KEY = b"seriesloom demonstration key"
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .urls import judge_urls
+
+    judged = judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), read_table(spark, sf_dir, "labels"))
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
 
@@ -68,6 +79,22 @@ def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import fold, score, train
+
+    docs = read_table(spark, sf_dir, "documents")
+    scored = score(docs, train(docs, read_table(spark, sf_dir, "labels")))
+    held_out = F.coalesce(fold(F.col("doc_id"), 5) == 0, F.lit(True))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, pseudonymise
+
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
+    return pseudonymise(docs, DEMO_KEY).select("doc_id", *(F.col(f"pii.{k}").alias(f"n_{k}") for k in KINDS), "text")
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import top_k, valid_vectors
 
@@ -88,5 +115,5 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_benchmark_decontamination, op5_simhash_near_dedup, op6_token_binary, op9_exact_top_k)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_benchmark_decontamination, op5_simhash_near_dedup, op6_token_binary, op7_toxicity, op8_pii_pseudonyms, op9_exact_top_k)}
 ORACLE_SQL = {"op3_benchmark_decontamination": OP3_SQL, "op9_exact_top_k": OP9_SQL}
