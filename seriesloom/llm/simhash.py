@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import as_bytes, materialise
 from .graph import connected_components
@@ -180,13 +181,40 @@ def links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """(doc_id, fingerprint, component_id), a row per document."""
-    own = materialise(fingerprints(docs, words), "prints")
+def _components(own: DataFrame, radius: int) -> DataFrame:
+    """(fp, root, component_id) of each distinct fingerprint. ``own``: (doc_id, fp), stored."""
     distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
     roots = connected_components(links(distinct.select("fp"), radius))
     placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     placed = materialise(placed, "placed")
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    by_print = placed.join(ids, "root").select("fp", "component_id")
+    return placed.join(ids, "root").select("fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """(doc_id, fingerprint, component_id), a row per document."""
+    own = materialise(fingerprints(docs, words), "prints")
+    by_print = _components(own, radius).select("fp", "component_id")
     return own.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
+    """One row of each component: that of its smallest doc_id, or any one of a component whose rows all lack a doc_id."""
+    own = materialise(fingerprints(docs, words), "prints")
+    placed = materialise(_components(own, radius), "components")
+    first = placed.where("component_id is not null").select(F.col("component_id").alias("__keep")).distinct()
+    # sorted and dealt by doc_id already, so rows that repeat an id are dropped without another exchange
+    kept = docs.join(first, docs["doc_id"] == first["__keep"], "left_semi").dropDuplicates(["doc_id"])
+    if own.where("doc_id is null").isEmpty():
+        return kept
+    nameless = docs.where("doc_id is null")
+
+    def prints(batches, at=docs.columns.index("text")):
+        for batch in batches:
+            fps = [fingerprint(t, words) for t in as_bytes(batch.column(at))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "__fp"])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
+    alone = placed.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
+    rest = nameless.mapInArrow(prints, schema).join(alone, "__fp").dropDuplicates(["__root"]).select(*docs.columns)
+    return kept.select(*docs.columns).union(rest)
