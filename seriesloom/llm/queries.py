@@ -115,5 +115,11 @@ FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, ve
 """
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_benchmark_decontamination, op5_simhash_near_dedup, op6_token_binary, op7_toxicity, op8_pii_pseudonyms, op9_exact_top_k)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .lm import lm_scores
+
+    return lm_scores(read_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_benchmark_decontamination, op5_simhash_near_dedup, op6_token_binary, op7_toxicity, op8_pii_pseudonyms, op9_exact_top_k, op10_lm_scoring)}
 ORACLE_SQL = {"op3_benchmark_decontamination": OP3_SQL, "op9_exact_top_k": OP9_SQL}

@@ -92,6 +92,19 @@ class Encoder:
         f = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return f(texts, add_special_tokens=False)
 
+    def pieces(self, chunks: list[bytes]) -> list[bytes]:
+        """Ids of each chunk of a text split at ASCII white space."""
+        if not self.by_chunk:
+            return [self._pack(e.ids) for e in self._batch([c.decode() for c in chunks])]
+        chunks = [c if b"<|" in c else c.lower() for c in chunks]
+        try:
+            return list(map(self.cache.__getitem__, chunks))
+        except KeyError:
+            if len(self.cache) > CACHE_ENTRIES:
+                self.cache.clear()
+            self._learn(list(dict.fromkeys(chunks)))
+            return list(map(self.cache.__getitem__, chunks))
+
     def encode(self, text: bytes) -> bytes:
         if not self.by_chunk:
             return self._pack(self._batch([text.decode()])[0].ids)
