@@ -5,11 +5,12 @@ of at most ``SHARD`` vectors.  In a shard each dimension has posting segments:
 the vectors whose component has the same quantised impact, highest first.  For a
 query, segments of all dimensions are processed by descending quantised
 contribution (query component times the segment's largest component in its
-favour).  A vector's bound is what it has gathered (at the segments' upper
-bounds) plus the largest contribution left in each dimension that it has not met.
-Processing stops only when few vectors' bounds reach the k-th best exact score
-known, or all segments are done; all vectors that may be members are rescored
-exactly.  Results are exact.
+favour).  A vector's bound is what it has gathered so far, segments' upper bounds
+all: once every segment with a positive contribution is done, those left can only
+lower it.  The bounds are held against the k-th best exact score known (from the
+best bounds of the first shard, then from shard to shard).  Processing stops when
+few vectors' bounds reach it, or all segments are done; all vectors that may be
+members are rescored exactly.  Results are exact.
 
 Queries go out in blocks of at most ``QUERY_BLOCK`` vectors, a pass over the
 stored index for each block, so what is broadcast is bounded.
@@ -35,10 +36,8 @@ SHARD = 8192
 QUERY_BLOCK = 2048
 #: Quantised impact levels in a dimension.
 LEVELS = 16
-#: Shares of the postings after which the bounds are tested.
-TESTS = (0.3, 0.45, 0.6, 0.8, 1.0)
-#: Processing stops when at most one vector in so many may still be a member.
-RESCORE = 8
+#: Processing stops when at most one vector in so many may still be a member: rescoring those is the cheaper way.
+RESCORE = 2
 INDEX = "ids binary, n int, dims int, values binary, postings binary, bounds binary"
 
 
@@ -101,7 +100,7 @@ class Shard:
         self.ids = np.frombuffer(ids, "<i8")
         kind = "<i4" if len(values) == 4 * n * dims else "<i8"
         self.values = np.frombuffer(values, kind).reshape(n, dims).astype(np.int64)
-        self.postings = np.frombuffer(postings, "<i4").reshape(dims, n)
+        self.postings = np.frombuffer(postings, "<i4").reshape(dims, n).astype(np.int64)
         ends = np.frombuffer(bounds, "<i4").reshape(dims, LEVELS).astype(np.int64)
         starts = np.concatenate([np.zeros((dims, 1), np.int64), ends[:, :-1]], axis=1)
         full = ends > starts
@@ -117,34 +116,20 @@ class Shard:
         w = q[self.dim]
         gain = np.where(w >= 0, w * self.top, w * self.bottom)
         order = np.argsort(-gain, kind="stable")
-        gain, dim, a, b = gain[order], self.dim[order], self.a[order], self.b[order]
-        done = np.cumsum(b - a)
-        gathered, rows = np.zeros(self.n), np.arange(self.n)
-        cuts = np.unique(np.searchsorted(done, [done[-1] * t for t in TESTS[:-1]])) if len(done) else []
-        begin = 0
-        for end in [*(c for c in cuts if c), len(done)]:
-            part = slice(begin, end)
-            size = b[part] - a[part]
-            if len(size):
-                at = np.repeat(a[part] - np.cumsum(size) + size, size) + np.arange(size.sum())
-                members = self.postings[np.repeat(dim[part], size), at]
-                gathered += np.bincount(members, np.repeat(gain[part].astype(float), size), self.n)
-            begin = end
-            if end < len(done):
-                # the next segment's gain in each dimension, for the vectors not met there: those beyond the values processed
-                ahead, first = np.unique(dim[end:], return_index=True)
-                more = np.zeros(self.dims)
-                more[ahead] = gain[end:][first]
-                edge = self.values[self.postings[ahead, np.where(q[ahead] >= 0, a[end:][first], b[end:][first] - 1)], ahead]
-                unmet = np.where(q[ahead] >= 0, self.values[:, ahead] <= edge, self.values[:, ahead] >= edge)
-                bound = gathered + unmet.astype(float) @ more[ahead]
-            else:
-                bound = gathered
+        gain, dim, a, b = gain[order], self.dim[order].tolist(), self.a[order].tolist(), self.b[order].tolist()
+        gathered, rows = np.zeros(self.n, np.int64), np.arange(self.n)
+        steps, begin = gain.tolist(), 0
+        # a segment that is still to come adds nothing once all gains left are at most zero
+        positive = int(np.searchsorted(-gain, 0))
+        for end in (positive, (positive + len(steps)) // 2, len(steps)):
+            for i in range(begin, end):
+                np.add.at(gathered, self.postings[dim[i], a[i] : b[i]], steps[i])
+            begin = max(begin, end)
             if floor is None:
-                best = rows if self.n <= 2 * k else np.argpartition(-bound, 2 * k)[: 2 * k]
+                best = rows if self.n <= 4 * k else np.argpartition(-gathered, 4 * k)[: 4 * k]
                 got = np.sort((self.values[best] @ q)[self.ids[best] != own])[::-1]
                 floor = int(got[k - 1]) if len(got) >= k else None
-            rows = np.flatnonzero(bound >= floor) if floor is not None else np.arange(self.n)
+            rows = np.flatnonzero(gathered >= floor) if floor is not None else np.arange(self.n)
             if len(rows) <= self.n // RESCORE:
                 break
         rows = rows[self.ids[rows] != own]
@@ -177,7 +162,8 @@ def _search_block(index: DataFrame, block: list, k: int) -> DataFrame:
 
 def top_k(queries: DataFrame, vectors: DataFrame, k: int = 10, query_block: int = QUERY_BLOCK, shard: int = SHARD) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` and ``vectors`` (id: long, v: array<long>); rows with a query's own id are no candidates of it."""
-    index = materialise(build_index(vectors, shard), "impacts")
+    full = max(1, math.ceil(vectors.count() / shard))
+    index = materialise(build_index(vectors.coalesce(full), shard), "impacts")
     queries = materialise(queries.select("id", "v"), "queries")
     blocks = max(1, math.ceil(queries.count() / query_block))
     found = None
