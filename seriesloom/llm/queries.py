@@ -73,6 +73,14 @@ FROM docs d LEFT JOIN covered USING (doc_id) LEFT JOIN listed USING (doc_id)
 """
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix import remove_repeats
+
+    found = remove_repeats(read_table(spark, sf_dir, "documents"))
+    removed = F.col("n_bytes") - F.octet_length("kept")
+    return found.select("doc_id", "n_bytes", removed.cast("long").alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -121,5 +129,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scores(read_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_benchmark_decontamination, op5_simhash_near_dedup, op6_token_binary, op7_toxicity, op8_pii_pseudonyms, op9_exact_top_k, op10_lm_scoring)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_best_fit_packing, op3_benchmark_decontamination, op4_suffix_array_dedup, op5_simhash_near_dedup, op6_token_binary, op7_toxicity, op8_pii_pseudonyms, op9_exact_top_k, op10_lm_scoring)}
 ORACLE_SQL = {"op3_benchmark_decontamination": OP3_SQL, "op9_exact_top_k": OP9_SQL}
