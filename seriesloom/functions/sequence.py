@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 NAN = float("nan")
 
 
+def let(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once: inside a lambda nothing else is shared."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def total(s: Column) -> Column:
     return F.aggregate(s, F.lit(0.0), lambda a, x: a + x)
 
@@ -21,8 +26,7 @@ def mean(s: Column) -> Column:
 
 
 def pop_std(s: Column) -> Column:
-    m = mean(s)
-    return F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.nullif(F.size(s), F.lit(0)))
+    return let(s, lambda s: let(mean(s), lambda m: F.sqrt(F.aggregate(s, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / F.nullif(F.size(s), F.lit(0)))))
 
 
 def is_finite(s: Column) -> Column:
@@ -57,14 +61,12 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def centred(s: Column) -> Column:
-    m = mean(s)
-    return F.transform(s, lambda x: x - m)
+    return let(s, lambda s: let(mean(s), lambda m: F.transform(s, lambda x: x - m)))
 
 
 def slope(s: Column) -> Column:
     """Least-squares slope against the position."""
-    i = centred(index(s))
-    return dot(i, s) / F.nullif(dot(i, i), F.lit(0.0))
+    return let(centred(index(s)), lambda i: dot(i, s) / F.nullif(dot(i, i), F.lit(0.0)))
 
 
 def intercept(s: Column) -> Column:
@@ -73,8 +75,7 @@ def intercept(s: Column) -> Column:
 
 def correlation(a: Column, b: Column) -> Column:
     """Pearson; null where either side is constant."""
-    x, y = centred(a), centred(b)
-    return dot(x, y) / F.nullif(F.sqrt(dot(x, x) * dot(y, y)), F.lit(0.0))
+    return let(centred(a), lambda x: let(centred(b), lambda y: dot(x, y) / F.nullif(F.sqrt(dot(x, x) * dot(y, y)), F.lit(0.0))))
 
 
 def lag1_autocorrelation(s: Column) -> Column:
@@ -87,8 +88,7 @@ def mean_abs_diff(s: Column) -> Column:
 
 def turning_points(s: Column) -> Column:
     """Neighbouring steps of opposite sign."""
-    d = diffs(s)
-    return F.size(F.filter(F.zip_with(body(d), tail(d), lambda a, b: a * b), lambda p: p < 0)).cast("long")
+    return let(diffs(s), lambda d: F.size(F.filter(F.zip_with(body(d), tail(d), lambda a, b: a * b), lambda p: p < 0)).cast("long"))
 
 
 def argmax(s: Column) -> Column:
@@ -123,40 +123,53 @@ def part(s: Column, first: Column, last: Column) -> Column:
 
 def region_score(s: Column, metric: Column) -> Column:
     """Score of a region for a metric: higher wins."""
-    d = diffs(s)
-    return (
-        F.when(metric == "max", F.array_max(s))
-        .when(metric == "min", -F.array_min(s))
-        .when(metric == "mean_high", mean(s))
-        .when(metric == "mean_low", -mean(s))
-        .when(metric == "steepest_rise", F.array_max(d))
-        .when(metric == "steepest_fall", -F.array_min(d))
-        .when(metric == "net_rise", F.element_at(s, -1) - F.element_at(s, 1))
-        .when(metric == "net_fall", F.element_at(s, 1) - F.element_at(s, -1))
-        .when(metric == "most_volatile", pop_std(d))
-        .when(metric == "least_volatile", -pop_std(d))
-    )
+
+    def one(s: Column, d: Column) -> Column:
+        return (
+            F.when(metric == "max", F.array_max(s))
+            .when(metric == "min", -F.array_min(s))
+            .when(metric == "mean_high", mean(s))
+            .when(metric == "mean_low", -mean(s))
+            .when(metric == "steepest_rise", F.array_max(d))
+            .when(metric == "steepest_fall", -F.array_min(d))
+            .when(metric == "net_rise", F.element_at(s, -1) - F.element_at(s, 1))
+            .when(metric == "net_fall", F.element_at(s, 1) - F.element_at(s, -1))
+            .when(metric == "most_volatile", pop_std(d))
+            .when(metric == "least_volatile", -pop_std(d))
+        )
+
+    return let(s, lambda s: let(diffs(s), lambda d: one(s, d)))
 
 
 def detrended(s: Column) -> Column:
-    b, a = slope(s), intercept(s)
-    return F.transform(s, lambda x, i: x - (a + b * i))
+    return let(slope(s), lambda b: let(intercept(s), lambda a: F.transform(s, lambda x, i: x - (a + b * i))))
+
+
+def roughness(s: Column) -> Column:
+    """Deviation around the least-squares line, as a share of the range."""
+    return pop_std(detrended(s)) / F.nullif(F.array_max(s) - F.array_min(s), F.lit(0.0))
 
 
 def shape(s: Column) -> Column:
     """One of seven shapes, from range, net change, residual spread and where the extremes lie."""
     spread = F.array_max(s) - F.array_min(s)
-    net = (F.element_at(s, -1) - F.element_at(s, 1)) / F.nullif(spread, F.lit(0.0))
-    rough = pop_std(detrended(s)) / F.nullif(spread, F.lit(0.0))
-    top, low = argmax(s) / F.greatest(F.size(s) - 1, F.lit(1)), argmin(s) / F.greatest(F.size(s) - 1, F.lit(1))
-    return (
-        F.when(spread <= 1e-9 * (F.abs(mean(s)) + 1), "flat")
-        .when((net >= 0.6) & (rough < 0.2), "rising")
-        .when((net <= -0.6) & (rough < 0.2), "falling")
-        .when(top.between(0.25, 0.75) & (F.abs(net) < 0.4) & ~low.between(0.25, 0.75), "peak")
-        .when(low.between(0.25, 0.75) & (F.abs(net) < 0.4) & ~top.between(0.25, 0.75), "valley")
-        .when(rough >= 0.25, "volatile")
-        .otherwise("mixed")
+    last = F.greatest(F.size(s) - 1, F.lit(1))
+    facts = F.struct(
+        (spread <= 1e-9 * (F.abs(mean(s)) + 1)).alias("still"),
+        ((F.element_at(s, -1) - F.element_at(s, 1)) / F.nullif(spread, F.lit(0.0))).alias("net"),
+        roughness(s).alias("rough"),
+        (argmax(s) / last).between(0.25, 0.75).alias("top"),
+        (argmin(s) / last).between(0.25, 0.75).alias("low"),
+    )
+    return let(
+        facts,
+        lambda f: F.when(f["still"], "flat")
+        .when((f["net"] >= 0.6) & (f["rough"] < 0.2), "rising")
+        .when((f["net"] <= -0.6) & (f["rough"] < 0.2), "falling")
+        .when(f["top"] & (F.abs(f["net"]) < 0.4) & ~f["low"], "peak")
+        .when(f["low"] & (F.abs(f["net"]) < 0.4) & ~f["top"], "valley")
+        .when(f["rough"] >= 0.25, "volatile")
+        .otherwise("mixed"),
     )
 
 
@@ -166,23 +179,23 @@ def local_features(s: Column, kind: str, prominence: float = 0.12) -> Column:
     sign = 1.0 if kind == "peak" else -1.0
     inner = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s) - 2, F.lit(1))), lambda i: (i >= 1) & (i <= F.size(s) - 2))
     at = lambda i: F.element_at(s, (i + 1).cast("int")) * sign
-    return F.size(F.filter(inner, lambda i: (at(i) - at(i - 1) >= need) & (at(i) - at(i + 1) >= need))).cast("long")
+    return let(need, lambda need: F.size(F.filter(inner, lambda i: (at(i) - at(i - 1) >= need) & (at(i) - at(i + 1) >= need))).cast("long"))
 
 
 def flat_run(s: Column, tolerance: float = 0.02) -> Column:
     """Longest run of points whose steps stay within a share of the range: struct(start, length), the first on ties."""
-    limit = (F.array_max(s) - F.array_min(s)) * tolerance
     none = F.struct(F.lit(0).alias("start"), F.lit(1).alias("length"), F.lit(0).alias("best_start"), F.lit(1).alias("best"))
     steps = F.transform(diffs(s), lambda d, i: F.struct(F.abs(d).alias("d"), (i + 1).alias("i")))
 
-    def go(a: Column, x: Column) -> Column:
+    def go(a: Column, x: Column, limit: Column) -> Column:
         start = F.when(x["d"] <= limit, a["start"]).otherwise(x["i"])
         length = x["i"] - start + 1
         better = length > a["best"]
         return F.struct(start.alias("start"), length.alias("length"), F.when(better, start).otherwise(a["best_start"]).alias("best_start"), F.when(better, length).otherwise(a["best"]).alias("best"))
 
-    done = F.aggregate(steps, none, go)
-    return F.struct(done["best_start"].cast("long").alias("start"), done["best"].cast("long").alias("length"))
+    limit = (F.array_max(s) - F.array_min(s)) * tolerance
+    done = let(limit, lambda limit: F.aggregate(steps, none, lambda a, x: go(a, x, limit)))
+    return let(done, lambda d: F.struct(d["best_start"].cast("long").alias("start"), d["best"].cast("long").alias("length")))
 
 
 def value_at(s: Column, i: Column) -> Column:
@@ -195,19 +208,17 @@ def trend_word(s: Column, limit: float = 0.5) -> Column:
     return F.when(move > limit, "upward").when(move < -limit, "downward").otherwise("flat")
 
 
-def autocorrelation(s: Column, lag: Column) -> Column:
-    x = centred(s)
-    a = F.slice(x, F.lit(1), F.greatest(F.size(s) - lag, F.lit(0)))
-    b = F.slice(x, lag + 1, F.greatest(F.size(s) - lag, F.lit(0)))
-    return dot(a, b) / F.nullif(dot(x, x), F.lit(0.0))
+def autocorrelation(x: Column, lag: Column) -> Column:
+    """Of a series that is centred already."""
+    n = F.greatest(F.size(x) - lag, F.lit(0))
+    return dot(F.slice(x, F.lit(1), n), F.slice(x, lag + 1, n)) / F.nullif(dot(x, x), F.lit(0.0))
 
 
 def season(s: Column, floor: float = 0.3) -> Column:
     """The lag from 2 to half the length with the highest autocorrelation, if above ``floor``; else null."""
     lags = F.sequence(F.lit(2), F.greatest(F.floor(F.size(s) / 2).cast("int"), F.lit(2)))
-    scored = F.transform(lags, lambda k: F.struct(F.round(autocorrelation(s, k), 9).alias("r"), (-k).alias("lag")))
-    best = F.array_max(scored)
-    return F.when(best["r"] > floor, -best["lag"]).cast("long")
+    best = let(centred(s), lambda x: F.array_max(F.transform(lags, lambda k: F.struct(F.round(autocorrelation(x, k), 9).alias("r"), (-k).alias("lag")))))
+    return let(best, lambda b: F.when(b["r"] > floor, -b["lag"]).cast("long"))
 
 
 def seasonal_naive(s: Column, horizon: int, period: Column) -> Column:
@@ -216,20 +227,19 @@ def seasonal_naive(s: Column, horizon: int, period: Column) -> Column:
 
 
 def z_normalised(s: Column) -> Column:
-    m, d = mean(s), F.coalesce(F.nullif(pop_std(s), F.lit(0.0)), F.lit(1.0))
-    return F.transform(s, lambda x: (x - m) / d)
+    return let(F.coalesce(F.nullif(pop_std(s), F.lit(0.0)), F.lit(1.0)), lambda d: F.transform(centred(s), lambda x: x / d))
 
 
 def resampled(s: Column, points: int) -> Column:
     """Linear interpolation at evenly spaced places."""
 
-    def one(i: Column) -> Column:
+    def one(s: Column, i: Column) -> Column:
         place = i * (F.size(s) - 1) / (points - 1)
         low = F.floor(place)
         weight = place - low
         return F.element_at(s, (low + 1).cast("int")) * (1 - weight) + F.element_at(s, F.least(low + 2, F.size(s)).cast("int")) * weight
 
-    return F.transform(F.sequence(F.lit(0), F.lit(points - 1)), one)
+    return let(s, lambda s: F.transform(F.sequence(F.lit(0), F.lit(points - 1)), lambda i: one(s, i)))
 
 
 def block_means(s: Column, blocks: int = 4) -> Column:
@@ -250,8 +260,7 @@ def sample_points(s: Column, points: int) -> Column:
 
 def shared_values(a: Column, b: Column, digits: int = 6) -> Column:
     """How many of b's values occur anywhere in a."""
-    rounded = F.transform(a, lambda x: F.round(x, digits))
-    return F.size(F.filter(b, lambda x: F.array_contains(rounded, F.round(x, digits)))).cast("long")
+    return let(F.transform(a, lambda x: F.round(x, digits)), lambda own: F.size(F.filter(b, lambda x: F.array_contains(own, F.round(x, digits)))).cast("long"))
 
 
 def nearest_gap(s: Column, value: Column) -> Column:
@@ -261,8 +270,7 @@ def nearest_gap(s: Column, value: Column) -> Column:
 
 def entropy_bits(counts: Column) -> Column:
     n = F.aggregate(counts, F.lit(0.0), lambda a, x: a + x)
-    shares = F.filter(F.transform(counts, lambda c: c / n), lambda p: p > 0)
-    return -F.aggregate(shares, F.lit(0.0), lambda a, p: a + p * F.log2(p))
+    return let(n, lambda n: -F.aggregate(F.filter(F.transform(counts, lambda c: c / n), lambda p: p > 0), F.lit(0.0), lambda a, p: a + p * F.log2(p)))
 
 
 def axis_bins(positions: Column, n: Column, bins: int = 10) -> Column:
@@ -272,8 +280,8 @@ def axis_bins(positions: Column, n: Column, bins: int = 10) -> Column:
 
 def quantised(s: Column, bins: int = 10_000) -> Column:
     """Min-max scaled values as centres of right-closed bins."""
-    low, spread = F.array_min(s), F.nullif(F.array_max(s) - F.array_min(s), F.lit(0.0))
-    return F.transform(s, lambda x: (F.greatest(F.ceil(F.coalesce((x - low) / spread, F.lit(0.5)) * bins), F.lit(1)) - 0.5) / bins)
+    facts = F.struct(F.array_min(s).alias("low"), F.nullif(F.array_max(s) - F.array_min(s), F.lit(0.0)).alias("spread"))
+    return let(facts, lambda f: F.transform(s, lambda x: (F.greatest(F.ceil(F.coalesce((x - f["low"]) / f["spread"], F.lit(0.5)) * bins), F.lit(1)) - 0.5) / bins))
 
 
 def position_word(fraction: Column) -> Column:

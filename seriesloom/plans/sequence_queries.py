@@ -47,10 +47,10 @@ def longest_shared_run(spark, sf):
 
 
 @R.add(f"""WITH {SERIES}, f AS (SELECT id, len(s) AS n, list_avg(s) AS m, list_stddev_pop(s) AS d FROM series),
-z AS (SELECT id, n, (m - (SELECT avg(m) FROM f)) / (SELECT stddev_pop(m) FROM f) AS a, (d - (SELECT avg(d) FROM f)) / (SELECT stddev_pop(d) FROM f) AS b FROM f),
+z AS (SELECT id, n, (m - (SELECT avg(m) FROM f)) / (SELECT stddev_pop(m) FROM f) AS za, (d - (SELECT avg(d) FROM f)) / (SELECT stddev_pop(d) FROM f) AS zb FROM f),
 {POINTS_SQL}, h AS (SELECT a.id AS a, b.id AS b, a.pos AS pa, a.pos - b.pos AS diag FROM points a JOIN points b ON round(a.x, 1) = round(b.x, 1) AND a.n = b.n AND a.id <> b.id),
 i AS (SELECT *, pa - row_number() OVER (PARTITION BY a, b, diag ORDER BY pa) AS g FROM h), runs AS (SELECT a, b, max(run) AS run FROM (SELECT a, b, diag, g, count(*) AS run FROM i GROUP BY ALL) GROUP BY a, b),
-p AS (SELECT x.id AS id, y.id AS cand_id, round(sqrt((x.a-y.a)**2 + (x.b-y.b)**2), 6) AS dist FROM z x JOIN z y ON x.id <> y.id AND x.n = y.n LEFT JOIN runs ON a = x.id AND b = y.id WHERE coalesce(run, 0) < 0.04 * x.n)
+p AS (SELECT x.id AS id, y.id AS cand_id, round(sqrt((x.za-y.za)**2 + (x.zb-y.zb)**2), 6) AS dist FROM z x JOIN z y ON x.id <> y.id AND x.n = y.n LEFT JOIN runs ON a = x.id AND b = y.id WHERE coalesce(run, 0) < 0.04 * x.n)
 SELECT id, cand_id, CAST(rank AS INTEGER) AS rank, dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cand_id) AS rank FROM p) WHERE rank <= 3""")
 def candidate_negatives_overlap(spark, sf):
     """SRT1 WIN6: nearest series whose shared run stays under a share of the length."""
@@ -135,7 +135,7 @@ SELECT w.id, CASE WHEN net >= 0.6 AND rough < 0.2 THEN 'rising' WHEN net <= -0.6
 def shape_class(spark, sf):
     """WIN14 WIN21: shape of a series, and the spread left after its line."""
     s = F.col("s")
-    return user_series(spark, sf).select("id", S.shape(s).alias("shape"), r(S.pop_std(S.detrended(s)) / (F.array_max(s) - F.array_min(s))).alias("rough"))
+    return user_series(spark, sf).select("id", S.shape(s).alias("shape"), r(S.roughness(s)).alias("rough"))
 
 
 @R.add(f"""WITH {SERIES}, {POINTS_SQL}, e AS (SELECT id, pos, x, lag(x) OVER w AS p, lead(x) OVER w AS q, 0.12 * (max(x) OVER (PARTITION BY id) - min(x) OVER (PARTITION BY id)) AS need FROM points WINDOW w AS (PARTITION BY id ORDER BY pos))
@@ -195,20 +195,13 @@ def quantised_bins(spark, sf):
     return user_series(spark, sf).select("id", r(S.mean(q)).alias("mean_bin"), F.size(F.array_distinct(F.transform(q, lambda x: F.round(x, 6)))).cast("long").alias("bins"))
 
 
-@R.add(f"""WITH {SERIES}, a AS (SELECT id, s, lead(s) OVER (ORDER BY id) AS o FROM series)
-SELECT a.id, CAST(len(list_filter(o, lambda x: list_contains(list_transform(s, lambda y: round(y, 1)), round(x, 1)))) AS BIGINT) AS shared FROM a WHERE o IS NOT NULL""")
+@R.add(f"""WITH {SERIES}, a AS (SELECT x.id AS id, x.s AS s, y.s AS o FROM series x JOIN series y ON y.id = x.id + 1)
+SELECT a.id, CAST(len(list_filter(o, lambda x: list_contains(list_transform(s, lambda y: round(y, 1)), round(x, 1)))) AS BIGINT) AS shared FROM a""")
 def shared_values(spark, sf):
     """WIN7: how many values of the next series occur in this one."""
     base = user_series(spark, sf)
-    ids = base.select("id").withColumn("next_id", F.min("id").over(_after()))
-    nxt = base.select(F.col("id").alias("next_id"), F.col("s").alias("o"))
-    return base.join(ids, "id").join(nxt, "next_id").select("id", S.shared_values(F.col("s"), F.col("o"), 1).alias("shared"))
-
-
-def _after():
-    from pyspark.sql import Window
-
-    return Window.orderBy("id").rowsBetween(1, 1)
+    nxt = base.select((F.col("id") - 1).alias("id"), F.col("s").alias("o"))
+    return base.join(nxt, "id").select("id", S.shared_values(F.col("s"), F.col("o"), 1).alias("shared"))
 
 
 @R.add(f"""WITH {SERIES} SELECT id, (list_min(s) IS NOT NULL AND len(list_filter(s, lambda x: NOT isfinite(x))) = 0) AS finite, len(s) BETWEEN 8 AND 60 AND len(list_distinct(s)) > 3 AS legible FROM series""")
