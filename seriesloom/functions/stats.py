@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def erfc(x: pd.Series) -> pd.Series:
     return x.map(math.erfc, na_action="ignore")
 
@@ -45,7 +46,7 @@ def incomplete_beta(a: float, b: float, x: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided p value of Student's t."""
     return pd.Series([None if pd.isna(x) or pd.isna(n) or n < 1 else incomplete_beta(n / 2, 0.5, n / (n + x * x)) for x, n in zip(t, df, strict=True)], dtype="float64")
