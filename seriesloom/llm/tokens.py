@@ -92,11 +92,12 @@ class Encoder:
         f = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         return f(texts, add_special_tokens=False)
 
-    def pieces(self, chunks: list[bytes]) -> list[bytes]:
-        """Ids of each chunk of a text split at ASCII white space."""
+    def pieces(self, chunks: list[bytes], lowered: bool = False) -> list[bytes]:
+        """Ids of each chunk of a text split at ASCII white space; ``lowered``: A-Z is lower-cased already."""
         if not self.by_chunk:
             return [self._pack(e.ids) for e in self._batch([c.decode() for c in chunks])]
-        chunks = [c if b"<|" in c else c.lower() for c in chunks]
+        if not lowered:
+            chunks = [c if b"<|" in c else c.lower() for c in chunks]
         try:
             return list(map(self.cache.__getitem__, chunks))
         except KeyError:
