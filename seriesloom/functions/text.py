@@ -231,13 +231,13 @@ def sentence_share(text: Column, pattern: str) -> Column:
 
 
 def repeated_gram(text: Column, n: int = 10) -> Column:
-    """How often the most frequent run of n words occurs."""
-    words = tokens(F.lower(text))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(words, i, n), " "))
+    """How often the most frequent run of n words occurs; 0 for fewer words."""
+    from .sequence import let
+
     state = F.struct(F.lit("").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("best"))
 
     def go(a: Column, g: Column) -> Column:
-        run = F.when(a["last"] == g, a["run"] + 1).otherwise(1)
-        return F.struct(g.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best"))
+        return let(F.when(a["last"] == g, a["run"] + 1).otherwise(1), lambda run: F.struct(g.alias("last"), run.alias("run"), F.greatest(a["best"], run).alias("best")))
 
-    return F.when(F.size(words) >= n, F.aggregate(F.array_sort(grams), state, go, lambda a: a["best"])).otherwise(0).cast("long")
+    grams = let(tokens(F.lower(text)), lambda words: F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))))
+    return F.coalesce(F.aggregate(F.array_sort(grams), state, go, lambda a: a["best"]), F.lit(0)).cast("long")
