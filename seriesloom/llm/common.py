@@ -23,9 +23,17 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Batches of long texts to and from Python in 8 MB steps where the session has Spark's own 64 MB: a worker holds a few copies of one."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "67108864", "64MB"):
+        spark.conf.set(key, "8m")
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: the lineage ends there, and a lost executor costs no rerun."""
     spark = df.sparkSession
+    small_batches(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -54,4 +62,5 @@ def as_bytes(column: pa.Array) -> list[bytes]:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
