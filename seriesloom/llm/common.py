@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 def small_batches(spark: SparkSession) -> None:
     """Batches of long texts to and from Python in 8 MB steps where the session has Spark's own 64 MB: a worker holds a few copies of one."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "67108864", "64MB"):
+    if spark.conf.get(key, None) in ("67108864b", "67108864", "64MB"):
         spark.conf.set(key, "8m")
 
 
