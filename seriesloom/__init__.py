@@ -1 +1,10 @@
-"""PySpark-native analytics over numeric series, texts and graded answers."""
+"""PySpark-native analytics over numeric series, texts and graded answers.
+
+Functions that run on executors are pickled by value, so executors need no copy of the package.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

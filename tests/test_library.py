@@ -188,3 +188,32 @@ def test_streams(spark, tmp_path):
     q = W.running_totals(spark.readStream.schema("reply string").parquet(str(tmp_path / "r"))).writeStream.outputMode("complete").format("memory").queryName("totals").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["letter"]: r["n"] for r in spark.table("totals").collect()} == {"A": 2, "B": 1, "unparsed": 1}
+
+
+def test_masking(spark):
+    from seriesloom.operators import masking as K
+
+    assert K.apply_mask("from 3 to -4 and 9", [{"num": 3, "flag": "value"}, {"num": 4, "flag": "time"}]) == ("from [NUM] to -4 and [NUM]", 1)
+    got = value(spark, K.mask_flags(F.lit("3 value\nnoise\n1 to 2 time")))
+    assert [(x["num"], x["flag"]) for x in got] == [(3.0, "value"), (1.0, "time"), (2.0, "time")]
+    assert value(spark, K.compact_number(F.lit(2.50))) == "2.5"
+    assert value(spark, K.time_anchors(F.lit("2. at time 5 then 40%"))) == [5.0]
+
+
+def test_charts(spark):
+    import zlib
+
+    import numpy as np
+
+    from seriesloom.operators import masking as K
+
+    data = K.png([0.0, 1.0])
+    body = zlib.decompress(data[data.index(b"IDAT") + 4 : data.index(b"IEND") - 8])
+    pixels = np.frombuffer(body, np.uint8).reshape(300, 601)[:, 1:]
+    low, high = np.flatnonzero(pixels[:, 0] == 0).min(), np.flatnonzero(pixels[:, -1] == 0).max()
+    assert low > high and (pixels == 0).any(axis=0).all()
+    for bad in ([], [math.nan]):
+        with pytest.raises(ValueError, match="finite"):
+            K.png(bad)
+    items = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (2, [3.0])], "key int, s array<double>")
+    assert K.rendered(items, "key", "s").where("image is not null").count() == 3

@@ -87,7 +87,7 @@ def test_peak_prominence(spark):
                     for part in (x[:p][::-1], x[p + 1 :]):
                         low = x[p]
                         for v in part:
-                            if v > x[p] or (v == x[p] and False):
+                            if v > x[p]:
                                 break
                             low = min(low, v)
                         lows.append(low)
@@ -95,3 +95,8 @@ def test_peak_prominence(spark):
                     if prom >= 0.1 * (max(s) - min(s)):
                         want[i, p, kind] = round(prom, 6)
     assert got == pytest.approx(want)
+
+
+def test_charts(spark):
+    rows = QUERIES["charts"](spark, SF).collect()
+    assert rows and all(r["drawn"] and r["head"] == "89504E470D0A1A0A" for r in rows)
