@@ -2,11 +2,11 @@
 
 Corpus statistics cover all training texts: words (between ASCII white space,
 A-Z lower-cased) are counted in Spark, and subword counts follow from the word
-counts.  The attention model (``attention``) is trained in data-parallel rounds:
-every training text gives one window and one more per so many words, at hashed
-places: per ``WINDOW_WORDS``, or fewer where the corpus would give too few
-windows to train on; partitions train side by side and their weights are averaged in
-two stages.  Texts are scored whole in overlapping windows, each id once.
+counts.  The attention model (``attention``) is trained in data-parallel rounds
+over all ids of the training texts, at every size alike: each text belongs to one
+round and gives windows that follow each other, so each id is predicted once in
+training.  Partitions train side by side and their weights are averaged in two
+stages.  Texts are scored whole in overlapping windows, each id once.
 
 A word's probability is the even mixture of the attention model's probability
 of the word's ids in context and the word's smoothed share of the training
@@ -32,15 +32,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attention import CONTEXT, Trainer, Vocabulary, fresh, score_sequences, split
-from .common import as_bytes, discard, materialise
+from .common import as_bytes, materialise
 from .tokens import default_tokenizer, encoder
 
 MIXTURE = 0.5
 FREQUENT = 200_000
-WINDOW_WORDS = 2000
-LEAST_WINDOWS = 60_000
-#: Windows in a training partition, and rounds with their falling rates.
-PART_WINDOWS = 32_768
+#: Rates of the training rounds.
 RATES = (4e-3, 2e-3, 1e-3)
 #: Words that a task counts before it hands them on.
 HELD_WORDS = 1_000_000
@@ -50,6 +47,11 @@ def held_out(doc_id, folds: int, fold: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(True))
 
 
+def training_round(doc_id, rounds: int):
+    """Of each training text: texts are dealt over the rounds by a hash of their id that does not depend on the fold."""
+    return F.pmod(F.xxhash64(doc_id), F.lit(rounds))
+
+
 def word_counts(train: DataFrame) -> DataFrame:
     """(word, c) over all texts, counted in each task first."""
 
@@ -104,49 +106,47 @@ def _frequent_from(words: DataFrame, most: int) -> int:
     return least
 
 
-def training_windows(train: DataFrame, tokenizer: str, begin: int, end: int, every: int) -> DataFrame:
-    """(ids): windows of at most CONTEXT + 1 ids at hashed places of each text."""
-
-    def windows(batches):
-        enc = encoder(tokenizer)
-        edge = [int(x).to_bytes(4, "little") for x in (begin, end)]
-        for batch in batches:
-            out = []
-            for text in as_bytes(batch.column(0)):
-                words = text.split()
-                mark = zlib.crc32(text)
-                for k in range(1 + len(words) // every):
-                    # places before the first word and after the last count too
-                    place = zlib.crc32(b"%d" % k, mark) % (len(words) + 1)
-                    part = words[place : place + CONTEXT + 1]
-                    ids = b"".join([edge[0] if place == 0 else b"", *enc.pieces(part), edge[1] if place + CONTEXT + 1 >= len(words) else b""])
-                    if len(ids) > 4:
-                        out.append(ids[: 4 * (CONTEXT + 1)])
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["ids"])
+def _pieces(enc, text: bytes, words: list[bytes]) -> list[bytes]:
+    """Ids of each word of a text; ``words``: its words, lower-cased."""
+    # a special token's name keeps its case, and its ids, only if it is not lower-cased
+    return enc.pieces(text.split()) if b"<|" in text or not enc.by_chunk else enc.pieces(words, True)
 
-    return train.select("text").mapInArrow(windows, "ids binary")
 
+def training_windows(texts: list[bytes], enc, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of CONTEXT + 1 ids, in mixed order, and the number of ids in each.
 
-def _padded(parts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    size = 4 * (CONTEXT + 1)
-    ids = np.frombuffer(b"".join(p.ljust(size, b"\0") for p in parts), "<u4").reshape(len(parts), CONTEXT + 1)
-    return ids.astype(np.int64), np.array([len(p) // 4 for p in parts])
+    A text's windows follow each other and share one id, so that each id after
+    its begin is predicted in one window.
+    """
+    first, last = (int(x).to_bytes(4, "little") for x in (begin, end))
+    held, valid = [np.zeros((0, CONTEXT + 1), "<u4")], [np.zeros(0, np.int64)]
+    for text in texts:
+        ids = np.frombuffer(b"".join([first, *_pieces(enc, text, text.lower().split()), last]), "<u4")
+        starts = np.arange(0, len(ids) - 1, CONTEXT)
+        padded = np.zeros(len(starts) * CONTEXT + 1, "<u4")
+        padded[: len(ids)] = ids
+        held.append(np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1)[::CONTEXT])
+        valid.append(np.minimum(len(ids) - starts, CONTEXT + 1))
+    order = np.random.default_rng(0).permutation(sum(map(len, valid)))
+    return np.concatenate(held)[order], np.concatenate(valid)[order]
 
 
-def fit(windows: DataFrame, vocabulary: Vocabulary, n_parts: int, rates=RATES) -> np.ndarray:
-    """Weights after rounds of side-by-side training and averaging. ``windows``: stored."""
-    spark = windows.sparkSession
+def fit(train: DataFrame, vocabulary: Vocabulary, tokenizer: str, begin: int, end: int, rates=RATES) -> np.ndarray:
+    """Weights after rounds of side-by-side training and averaging, each over texts of its own."""
+    spark = train.sparkSession
     flat = fresh(vocabulary)
-    for rate in rates:
+    for i, rate in enumerate(rates):
+        own = train.where(training_round(F.col("doc_id"), len(rates)) == i).select("text")
         shared = spark.sparkContext.broadcast((flat, vocabulary))
 
-        def train(batches, shared=shared, rate=rate):
-            trainer, n = None, 0
+        def learn(batches, shared=shared, rate=rate):
+            trainer, enc, n = None, encoder(tokenizer), 0
             for batch in batches:
                 if batch.num_rows:
                     trainer = trainer or Trainer(*shared.value, rate)
-                    trainer.feed(*_padded(batch.column(0).to_pylist()))
-                    n += batch.num_rows
+                    windows, valid = training_windows(as_bytes(batch.column(0)), enc, begin, end)
+                    trainer.feed(windows, valid)
+                    n += len(windows)
             if trainer:
                 yield pa.RecordBatch.from_arrays([pa.array([(trainer.flat.astype(np.float64) * n).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
 
@@ -158,8 +158,8 @@ def fit(windows: DataFrame, vocabulary: Vocabulary, n_parts: int, rates=RATES) -
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
 
-        parts = windows.mapInArrow(train, "w binary, n long")
-        some = max(1, math.isqrt(n_parts))
+        parts = own.mapInArrow(learn, "w binary, n long")
+        some = max(1, math.isqrt(own.rdd.getNumPartitions()))
         sums = parts.repartition(some).mapInArrow(add, "w binary, n long").collect()  # a row for each of `some` tasks
         shared.unpersist()
         if sums:
@@ -187,12 +187,7 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None, folds: int = 7, fol
         counts[r["id"]] = r["n"]
     counts[end] = texts
     vocabulary = Vocabulary.from_counts(counts)
-    every = min(WINDOW_WORDS, max(CONTEXT // 2, n // LEAST_WINDOWS))
-    windows = training_windows(train, tokenizer, begin, end, every)
-    n_parts = max(1, -(-(texts + n // every) // PART_WINDOWS))
-    windows = materialise(windows.repartition(n_parts), "windows")
-    flat = fit(windows, vocabulary, n_parts)
-    discard(windows)
+    flat = fit(train, vocabulary, tokenizer, begin, end)
     common = {bytes(r["word"]): r["c"] for r in words.where(F.col("c") >= _frequent_from(words, FREQUENT)).collect()}  # FREQUENT rows at most
     whole = len(common) == v - (texts > 0)  # then the other words were never seen
     shared = spark.sparkContext.broadcast((flat, vocabulary, common))
@@ -207,8 +202,7 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None, folds: int = 7, fol
             for a in range(0, len(all_texts), 64):
                 out, rest_words, rest_lps = [], [], []
                 texts64 = [t.lower().split() for t in all_texts[a : a + 64]]
-                # a special token's name keeps its case, and its ids, only if it is not lower-cased
-                pieces = [enc.pieces(t.split()) if b"<|" in t or not enc.by_chunk else enc.pieces(ws, True) for t, ws in zip(all_texts[a : a + 64], texts64, strict=True)]
+                pieces = [_pieces(enc, t, ws) for t, ws in zip(all_texts[a : a + 64], texts64, strict=True)]
                 lps = score_sequences(w, [np.frombuffer(b"".join([first, *p, last]), "<u4") for p in pieces], vocabulary)
                 at = 0
                 for keys, ps in zip(texts64, pieces, strict=True):

@@ -453,3 +453,23 @@ def test_lm(docs, none, monkeypatch, frequent):
     assert all(math.isfinite(r["score"]) and r["score"] < 0 and r["score"] >= r["base_score"] - 0.302 * r["n_tokens"] for r in rows)
     if frequent > 5:
         assert lm.lm_scores(none).count() == 0
+
+
+@pytest.mark.parametrize("copies", [1, 400])
+def test_training_windows_hold_every_id_once(copies):
+    """Few texts or many: long ones are not thinned out, each id is predicted once and after the ids before it."""
+    enc = Encoder(default_tokenizer())
+    texts = [(t or "").encode() for _, t in DOCS] * copies
+    size = attention.CONTEXT
+    want: collections.Counter = collections.Counter()
+    for t in texts[: len(DOCS)]:
+        ids = [0xFFFD, *np.frombuffer(enc.encode(t), "<u4").tolist(), 0xFFFE]
+        for i in range(0, len(ids) - 1, size):
+            want[tuple(ids[i : i + size + 1])] += copies
+    windows, valid = lm.training_windows(texts, enc, 0xFFFD, 0xFFFE)
+    assert collections.Counter(tuple(w[:n]) for w, n in zip(windows.tolist(), valid.tolist(), strict=True)) == want
+
+
+def test_training_rounds_share_out_all_texts(docs):
+    rounds = docs.where("doc_id is not null").select("doc_id", lm.training_round(F.col("doc_id"), len(lm.RATES)).alias("r")).collect()
+    assert {r["r"] for r in rounds} == set(range(len(lm.RATES)))
