@@ -11,8 +11,8 @@ A shard of at most 2**21 bytes gets a suffix array by Larsson-Sadakane
 refinement (ranks of prefixes of 5, 10, 20 ... bytes; groups of one are left
 alone) and common prefixes by Kasai's rule, run in lanes side by side.
 Neighbours with a common prefix of ``length`` bytes or more are one class; a
-class with two strings, or one of a merged segment, is a repeat.  An anchor with
-more segments than a shard takes is split: its shards also hand on one digest
+class with two strings, or one of a merged segment, is a repeat.  An anchor whose
+segments have more bytes than half a shard is split: its shards also hand on one digest
 for each class, and these are merged across shards by binary search.
 
 Results are exact but for 64-bit digests of equal-anchor segments and 128-bit
@@ -312,9 +312,10 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     found = materialise(found.join(often, "h", "left_semi"), "segments")
     distinct = found.groupBy("h", "dig").agg(F.count("row").alias("n"), F.min(F.struct("row", "first", "starts")).alias("at"))
     distinct = materialise(distinct.select("h", "dig", "n", "at.*"), "distinct")
-    total, number = distinct.agg(F.coalesce(F.sum(F.col("starts") + length), F.lit(0)), F.count("h")).first()
-    most = SHARD_BYTES // (2 * max(1, total // max(1, number)))
-    split = distinct.groupBy("h").count().where(F.col("count") > most).select("h", F.ceil(F.col("count") / most).alias("parts"))
+    total = distinct.agg(F.coalesce(F.sum(F.col("starts") + length), F.lit(0))).first()[0]
+    # a shard is begun at a new anchor once it is half full, so an anchor of half a shard at most is never cut
+    half = SHARD_BYTES // 2
+    split = distinct.groupBy("h").agg(F.sum(F.col("starts") + (length - 1)).alias("size")).where(F.col("size") > half).select("h", F.ceil(F.col("size") / half).alias("parts"))
     wanted = distinct.join(split, "h", "left").withColumns({"split": F.col("parts").isNotNull(), "salt": F.pmod("dig", F.coalesce("parts", F.lit(1)))})
     wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "salt", "split", "dig", "n", "first", "starts")).alias("parts"))
 

@@ -201,6 +201,21 @@ def test_repeats(docs, none, monkeypatch, shard_bytes):
         assert suffix.remove_repeats(none, 200).count() == 0
 
 
+def test_repeats_of_an_anchor_with_long_segments(spark, monkeypatch):
+    """Few but long segments of one anchor do not fit what is left of a shard; each shares 200 bytes with one other."""
+    monkeypatch.setattr(suffix, "SHARD_BYTES", 20_000)
+    rng = np.random.default_rng(0)
+    some = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    often = some(2_000_000)
+    least = np.unique(suffix.anchors(np.frombuffer(often.encode(), np.uint8), 200))[:46] & np.uint64((1 << suffix.POSITION_BITS) - 1)
+    *earlier, gram = (often[at : at + suffix.GRAM] for at in least.tolist())  # by rising hash, so these shards come first
+    shared = [some(84) + gram + some(84) for _ in range(22)]
+    rows = [(i, some(83) + "AB"[i // 22] + s + "AB"[i // 22] + some(83)) for i, s in enumerate(shared * 2)]
+    rows += [(100 + i, t) for i, t in enumerate([*(some(84) + g + some(84) for g in earlier), *(some(200) for _ in range(400))] * 2)]
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 200).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got} == {i: [(84, 284)] if i < 100 else [(0, 200)] for i, _ in rows}
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(0)
     text = np.frombuffer(b"".join([rng.choice([b"ab", b"abc", b"ba", b"a" * 40], 1)[0] for _ in range(400)]), np.uint8)
