@@ -68,24 +68,28 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_distinct(tokens)).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, max_tokens: int = 3) -> DataFrame:
-    """(items, confidence, support) of pruned rules to block. ``labelled``: url, block (boolean)."""
+def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5) -> DataFrame:
+    """(items, confidence, support) of rules to block, of any length, but for those that a part of their items is as sure of. ``labelled``: url, block (boolean)."""
     spark = labelled.sparkSession
     baskets = labelled.select(F.when(F.col("block"), F.concat(url_tokens(F.col("url")), F.array(F.lit(BLOCK)))).otherwise(url_tokens(F.col("url"))).alias("items")).where(F.size("items") > 0)
     baskets = materialise(baskets, "baskets")
     kind = "items array<string>, confidence double, support double"
     if baskets.isEmpty():
         return spark.createDataFrame([], kind)
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where((F.element_at("consequent", 1) == BLOCK) & (F.size("antecedent") <= max_tokens))
+    # unsure rules too: they carry the best confidence of their parts on to longer ones
+    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(baskets)
+    rules = model.associationRules.where(F.element_at("consequent", 1) == BLOCK)
     rules = materialise(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "rules")
-    a = F.col("items")
-    singles = F.transform(a, lambda x: F.array(x))
-    pairs = F.flatten(F.transform(a, lambda x: F.transform(F.filter(a, lambda y: y > x), lambda y: F.array(x, y))))
-    parts = rules.select("items", "confidence", F.explode(F.filter(F.concat(singles, pairs), lambda s: F.size(s) < F.size(a))).alias("part"))
-    shorter = rules.select(F.col("items").alias("part"), F.col("confidence").alias("least"))
-    beaten = parts.join(shorter, "part").where("least >= confidence").select("items").distinct()
-    return rules.join(beaten, "items", "left_anti")
+    longest = rules.agg(F.coalesce(F.max(F.size("items")), F.lit(0))).first()[0]
+    kept = rules.where((F.size("items") == 1) & (F.col("confidence") >= min_confidence))
+    best = rules.where(F.size("items") == 1).select(F.col("items").alias("part"), F.col("confidence").alias("top"))
+    for size in range(2, longest + 1):
+        parts = rules.where(F.size("items") == size).withColumn("part", F.explode(F.transform("items", lambda x: F.array_remove("items", x))))
+        level = parts.join(best, "part", "left").groupBy("items", "confidence", "support").agg(F.coalesce(F.max("top"), F.lit(0.0)).alias("below"))
+        level = materialise(level, "level")
+        kept = kept.union(level.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("below"))).select("items", "confidence", "support"))
+        best = level.select(F.col("items").alias("part"), F.greatest("confidence", "below").alias("top"))
+    return kept
 
 
 def _index(rules: DataFrame) -> DataFrame:

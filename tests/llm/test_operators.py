@@ -419,6 +419,16 @@ def test_url_mining(spark, monkeypatch, limit):
     assert got[3] == "block" and got[2] == "allow"
 
 
+def test_url_rules_of_four_tokens(spark):
+    """Only four path names together tell; no three of them reach the confidence."""
+    names = [(a, b, c, d) for a in range(3) for b in range(3) for c in range(3) for d in range(3)]
+    pages = spark.createDataFrame([(i, "http://x.com/p{}/q{}/r{}/s{}".format(*n)) for i, n in enumerate(names)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 1, int(n == (1, 1, 1, 1))) for i, n in enumerate(names)], "doc_id long, quality int, toxic int")
+    labelled = pages.join(labels, pages["page_id"] == labels["doc_id"]).select("url", (F.col("toxic") == 1).alias("block"))
+    assert [r["items"] for r in urls.mine_rules(labelled).collect()] == [["path:p1", "path:q1", "path:r1", "path:s1"]]
+    assert [r["page_id"] for r in urls.judge_urls(pages, labels).where("verdict = 'block'").collect()] == [names.index((1, 1, 1, 1))]
+
+
 def test_attention_gradient():
     rng = np.random.default_rng(0)
     vocabulary = attention.Vocabulary.from_counts(rng.integers(0, 99, 3000))
