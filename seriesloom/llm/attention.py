@@ -1,11 +1,13 @@
 """A small causal self-attention language model in numpy: forward, backward, training steps and scoring.
 
-One block of attention and a two-layer perceptron with root-mean-square
-norms.  Inputs are the most frequent subword ids and classes of the others.
-The output is a distribution over classes: frequent ids are classes of their
-own, the others share classes by frequency, inside which an id has its smoothed
-share of the class's count.  So every id of the vocabulary has a probability and
-they sum to one.
+Tokens are subword ids marked with whether they end a white-space word, so a
+sequence of tokens says where words end and its probability is that of the text.
+One block of attention (with a learned bias by distance) and a two-layer
+perceptron with root-mean-square norms.  The output is a tree of two levels:
+GROUPS groups of MEMBERS leaves, both predicted from the context.  Frequent
+tokens are leaves of their own; the others share the last leaves by frequency,
+and have their smoothed share of the leaf's count.  So every token has a
+probability and they sum to one.
 """
 
 from __future__ import annotations
@@ -16,43 +18,41 @@ import numpy as np
 
 WIDTH, HIDDEN = 16, 32
 CONTEXT, STRIDE = 24, 20
-INPUTS, CLASSES, SINGLE = 2048, 160, 136
+GROUPS, MEMBERS, SHARED = 48, 48, 48
+LEAVES = GROUPS * MEMBERS
 #: Windows in a step of training and of scoring.
 BATCH = 128
-#: Rows of the output layer that are worked on together.
-ROWS = 384
+#: Rows of a group that are worked on together.
+TILE = 16
 
 
 @dataclass
 class Vocabulary:
-    """Per id: its place among the inputs, its class and log10 of its share of the class."""
+    """Per token: its leaf, and log10 of its share of the leaf. The begin of a text is input LEAVES."""
 
-    place: np.ndarray
-    klass: np.ndarray
+    leaf: np.ndarray
     share: np.ndarray
-    class_count: np.ndarray
+    leaf_count: np.ndarray
 
     @classmethod
     def from_counts(cls, counts: np.ndarray) -> Vocabulary:
         n = len(counts)
-        rank = np.empty(n, np.int64)
-        rank[np.lexsort((np.arange(n), -counts))] = np.arange(n)
-        single, shared = min(SINGLE, n), max(1, CLASSES - SINGLE)
-        # shared classes hold like sums of counts
-        by_rank = (counts[np.argsort(rank)] + 1)[single:]
-        mass = np.cumsum(by_rank)
-        own = np.minimum((mass - by_rank) * shared // max(1, int(mass[-1]) if len(mass) else 1), shared - 1)
-        class_of_rank = np.concatenate([np.arange(single), single + own])
-        klass = class_of_rank[rank].astype(np.int16)
-        total = np.bincount(klass, counts + 1, CLASSES)
-        place = np.where(rank < INPUTS - CLASSES, rank, INPUTS - CLASSES + klass).astype(np.int32)
-        return cls(place, klass, np.log10((counts + 1) / total[klass]), total)
-
-
-SHAPES = {"e": (INPUTS, WIDTH), "p": (CONTEXT, WIDTH), "q": (WIDTH, WIDTH), "k": (WIDTH, WIDTH), "v": (WIDTH, WIDTH), "o": (WIDTH, WIDTH), "a": (WIDTH, HIDDEN), "ab": (HIDDEN,), "z": (HIDDEN, WIDTH), "u": (WIDTH, CLASSES), "ub": (CLASSES,)}
+        by_rank = np.lexsort((np.arange(n), -counts))
+        single = min(LEAVES - SHARED, n)
+        # shared leaves hold like sums of counts
+        rest = counts[by_rank[single:]] + 1
+        mass = np.cumsum(rest)
+        own = np.minimum((mass - rest) * SHARED // max(1, int(mass[-1]) if len(mass) else 1), SHARED - 1)
+        leaf = np.empty(n, np.uint16)
+        leaf[by_rank] = np.concatenate([np.arange(single), single + own])
+        total = np.bincount(leaf, counts + 1, LEAVES)
+        return cls(leaf, np.log10((counts + 1) / total[leaf]), total)
+
+
+SHAPES = {"e": (LEAVES + 1, WIDTH), "r": (CONTEXT,), "qkv": (WIDTH, 3 * WIDTH), "o": (WIDTH, WIDTH), "a": (WIDTH, HIDDEN), "ab": (HIDDEN,), "z": (HIDDEN, WIDTH), "u": (WIDTH + 1, GROUPS), "t": (GROUPS, WIDTH + 1, MEMBERS)}
 SIZE = sum(int(np.prod(s)) for s in SHAPES.values())
-#: A position sees itself and those before it.
-SEEN = np.tri(CONTEXT, dtype=np.float32)
+#: Distance from a position back to another; beyond CONTEXT where it is not seen.
+BACK = np.arange(CONTEXT)[:, None] - np.arange(CONTEXT)
 SCALE = np.float32(WIDTH**-0.5)
 
 
@@ -66,155 +66,246 @@ def split(flat: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def fresh(vocabulary: Vocabulary, seed: int = 0) -> np.ndarray:
+    """Random weights whose output is that of the token counts."""
     rng = np.random.default_rng(seed)
-    flat = (rng.standard_normal(SIZE) * 0.1).astype(np.float32)
+    flat = np.zeros(SIZE, np.float32)
     w = split(flat)
-    for name in ("q", "k", "v", "o", "a", "z"):
+    w["e"][...] = rng.standard_normal(SHAPES["e"]) * 0.1
+    for name in ("qkv", "o", "a", "z"):
         w[name][...] = rng.standard_normal(SHAPES[name]) / np.sqrt(SHAPES[name][0])
-    w["ab"][...] = 0
-    w["ub"][...] = np.log((vocabulary.class_count + 1e-3) / (vocabulary.class_count + 1e-3).sum())
+    count = vocabulary.leaf_count.reshape(GROUPS, MEMBERS) + 1e-3
+    w["u"][:-1] = rng.standard_normal((WIDTH, GROUPS)) * 0.1
+    w["u"][-1] = np.log(count.sum(axis=1) / count.sum())
+    w["t"][:, :-1] = rng.standard_normal((GROUPS, WIDTH, MEMBERS)) * 0.1
+    w["t"][:, -1] = np.log(count / count.sum(axis=1, keepdims=True))
     return flat
 
 
 def _norm(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    r = 1 / np.sqrt(np.einsum("...i,...i->...", x, x)[..., None] / np.float32(x.shape[-1]) + np.float32(1e-5))
+    r = 1 / np.sqrt(np.einsum("...i,...i->...", x, x)[..., None] / np.float32(WIDTH) + np.float32(1e-5))
     return x * r, r
 
 
 def _norm_back(g: np.ndarray, n: np.ndarray, r: np.ndarray) -> np.ndarray:
-    return (g - n * (np.einsum("...i,...i->...", g, n)[..., None] / np.float32(n.shape[-1]))) * r
+    return (g - n * (np.einsum("...i,...i->...", g, n)[..., None] / np.float32(WIDTH))) * r
 
 
-def forward(w: dict, places: np.ndarray, first: int = 0, keep: dict | None = None) -> np.ndarray:
-    """Final hidden rows of the positions from ``first`` on: (windows, positions, WIDTH)."""
-    x = w["e"][places] + w["p"]
-    n1, r1 = _norm(x)
-    q, k, v = (n1[:, first:] @ (w["q"] * SCALE)), n1 @ w["k"], n1 @ w["v"]
-    s = q @ k.transpose(0, 2, 1)
-    if s.max(initial=0) > 60:
-        s -= s.max(axis=-1, keepdims=True)
-    np.exp(s, out=s)
-    s *= SEEN[first:]
-    s /= s.sum(axis=-1, keepdims=True) + np.float32(1e-30)
-    mixed = s @ v
-    x2 = x[:, first:] + mixed @ w["o"]
+def _exp(x: np.ndarray) -> np.ndarray:
+    """In place; a constant is taken off each row first where it could overflow."""
+    if x.max(initial=0) > 60:
+        x -= x.max(axis=-1, keepdims=True)
+    return np.exp(x, out=x)
+
+
+def _distance_weights(w: dict) -> np.ndarray:
+    return np.where(BACK >= 0, np.exp(w["r"] - w["r"].max())[np.maximum(BACK, 0)], 0).astype(w["r"].dtype)
+
+
+def _after_attention(w: dict, x2: np.ndarray) -> tuple:
     n2, r2 = _norm(x2)
-    h = n2 @ w["a"] + w["ab"]
+    h = n2 @ w["a"]
+    h += w["ab"]
     np.maximum(h, 0, out=h)
-    x3 = x2 + h @ w["z"]
-    n3, r3 = _norm(x3)
-    if keep is not None:
-        keep.update(n1=n1, r1=r1, q=q, k=k, v=v, s=s, mixed=mixed, n2=n2, r2=r2, h=h, n3=n3, r3=r3)
-    return n3
-
-
-def log_probabilities(w: dict, hidden: np.ndarray, klass: np.ndarray) -> np.ndarray:
-    """Natural log of the class probability for rows of hidden states, in pieces that stay in a core's cache."""
-    out = np.empty(len(klass), np.float32)
-    buffer = np.empty((ROWS, CLASSES), np.float32)
-    ones, place = np.ones(CLASSES, np.float32), np.arange(ROWS)
-    for a in range(0, len(klass), ROWS):
-        own = klass[a : a + ROWS]
-        logits = np.matmul(hidden[a : a + ROWS], w["u"], out=buffer[: len(own)])
-        logits += w["ub"]
-        got = logits[place[: len(own)], own]
-        top = logits.max()
-        if top > 60:
-            logits -= top
-            got -= top
-        np.exp(logits, out=logits)
-        out[a : a + ROWS] = got - np.log(logits @ ones + np.float32(1e-30))
-    return out
+    n3, r3 = _norm(x2 + h @ w["z"])
+    return n2, r2, h, n3, r3
+
+
+class Tiles:
+    """Rows dealt by group into tiles of TILE rows of one group; the last row, a spare one, fills tiles up."""
 
+    def __init__(self, group: np.ndarray):
+        n = len(group)
+        order = np.argsort(group.astype(np.uint8), kind="stable")
+        count = np.bincount(group, minlength=GROUPS)
+        tiles = -(-count // TILE)
+        before = (np.cumsum(tiles) - tiles) * TILE - (np.cumsum(count) - count)
+        self.rows = np.full(int(tiles.sum()) * TILE, n)
+        self.rows[np.arange(n) + np.repeat(before, count)] = order
+        self.group = np.repeat(np.arange(GROUPS), tiles)
+        self.present = np.flatnonzero(tiles)
+        self.first = (np.cumsum(tiles) - tiles)[self.present]
 
-def gradient(w: dict, places: np.ndarray, klass: np.ndarray, weight: np.ndarray, out: dict) -> float:
+
+def forward_training(w: dict, places: np.ndarray) -> dict:
+    x = w["e"][places]
+    n1, r1 = _norm(x)
+    qkv = n1 @ w["qkv"]
+    q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
+    s = _exp((q * SCALE) @ k.transpose(0, 2, 1))
+    s *= _distance_weights(w)
+    total = (s.reshape(-1, CONTEXT) @ np.ones(CONTEXT, s.dtype)).reshape(*places.shape, 1) + np.asarray(1e-30, s.dtype)
+    mixed = (s @ v) / total
+    x2 = x + mixed @ w["o"]
+    n2, r2, h, n3, r3 = _after_attention(w, x2)
+    return dict(n1=n1, r1=r1, q=q, k=k, v=v, s=s, total=total, mixed=mixed, n2=n2, r2=r2, h=h, n3=n3, r3=r3)
+
+
+def gradient(w: dict, places: np.ndarray, leaf: np.ndarray, weight: np.ndarray, out: dict) -> float:
     """Adds to ``out`` the gradient of the mean loss; returns that loss. Rows with weight 0 are padding."""
-    kept: dict = {}
-    n3 = forward(w, places, 0, kept)
+    f = forward_training(w, places)
+    n3, kind = f["n3"], f["n3"].dtype
     b, t, d = n3.shape
-    flat = n3.reshape(-1, d)
-    logits = flat @ w["u"] + w["ub"]
-    logits -= logits.max(axis=1, keepdims=True)
-    p = np.exp(logits)
-    p /= p.sum(axis=1, keepdims=True)
-    rows, target, wt = np.arange(b * t), klass.reshape(-1), weight.reshape(-1) / max(1.0, float(weight.sum()))
-    loss = -float((np.log(p[rows, target] + 1e-30) * wt).sum())
-    p[rows, target] -= 1
-    p *= wt[:, None].astype(np.float32)
-    out["u"] += flat.T @ p
-    out["ub"] += p.sum(axis=0)
-    g3 = _norm_back((p @ w["u"].T).reshape(b, t, d), n3, kept["r3"])
-    h = kept["h"].reshape(-1, HIDDEN)
-    out["z"] += h.T @ g3.reshape(-1, d)
-    gh = (g3.reshape(-1, d) @ w["z"].T) * (h > 0)
-    out["a"] += kept["n2"].reshape(-1, d).T @ gh
-    out["ab"] += gh.sum(axis=0)
-    g2 = g3 + _norm_back((gh @ w["a"].T).reshape(b, t, d), kept["n2"], kept["r2"])
-    out["o"] += kept["mixed"].reshape(-1, d).T @ g2.reshape(-1, d)
-    gm = g2 @ w["o"].T
-    s = kept["s"]
-    gs = gm @ kept["v"].transpose(0, 2, 1)
-    gv = s.transpose(0, 2, 1) @ gm
-    gs = s * (gs - (gs * s).sum(axis=-1, keepdims=True))
-    gq, gk = gs @ kept["k"] * SCALE, gs.transpose(0, 2, 1) @ kept["q"]
-    n1 = kept["n1"].reshape(-1, d)
-    g1 = np.zeros_like(n1)
-    for name, g in (("q", gq), ("k", gk), ("v", gv)):
-        g = g.reshape(-1, d)
-        out[name] += n1.T @ g
-        g1 += g @ w[name].T
-    gx = g2 + _norm_back(g1.reshape(b, t, d), kept["n1"], kept["r1"])
-    out["p"] += gx.sum(axis=0)
-    order = np.argsort(places, axis=None, kind="stable")
-    sorted_places = places.reshape(-1)[order]
-    starts = np.flatnonzero(np.concatenate([[True], sorted_places[1:] != sorted_places[:-1]]))
-    out["e"][sorted_places[starts]] += np.add.reduceat(gx.reshape(-1, d)[order], starts)
-    return loss
+    n = b * t
+    rows = np.ones((n + 1, d + 1), kind)
+    rows[:n, :d] = n3.reshape(n, d)
+    wt = np.zeros(n + 1, kind)
+    wt[:n] = weight.reshape(-1) / max(1.0, float(weight.sum()))
+    group, member = np.divmod(leaf.reshape(-1), MEMBERS)
+    each = np.arange(n)
+    # groups
+    p = _exp(rows[:n] @ w["u"])
+    z = p @ np.ones(GROUPS, kind)
+    loss = float((np.log(p[each, group] / z + 1e-30) * wt[:n]).sum())
+    p *= (wt[:n] / z)[:, None]
+    p[each, group] -= wt[:n]
+    out["u"] += rows[:n].T @ p
+    g = np.empty((n + 1, d), kind)
+    np.matmul(p, w["u"][:d].T, out=g[:n])
+    # members, group by group in tiles
+    tiles = Tiles(group)
+    own, own_wt = rows[tiles.rows].reshape(-1, TILE, d + 1), wt[tiles.rows]
+    table = w["t"][tiles.group]
+    p = _exp(own @ table).reshape(-1, MEMBERS)
+    z = p @ np.ones(MEMBERS, kind)
+    target, each = np.append(member, 0)[tiles.rows], np.arange(len(p))
+    loss += float((np.log(p[each, target] / z + 1e-30) * own_wt).sum())
+    p *= (own_wt / z)[:, None]
+    p[each, target] -= own_wt
+    p = p.reshape(-1, TILE, MEMBERS)
+    if len(p):
+        out["t"][tiles.present] += np.add.reduceat(own.transpose(0, 2, 1) @ p, tiles.first, axis=0)
+        back = np.empty_like(g)
+        back[tiles.rows] = (p @ table[:, :d].transpose(0, 2, 1)).reshape(-1, d)
+        g += back
+    # the rest
+    g3 = _norm_back(g[:n].reshape(b, t, d), n3, f["r3"]).reshape(n, d)
+    h = f["h"].reshape(n, HIDDEN)
+    out["z"] += h.T @ g3
+    gh = g3 @ w["z"].T
+    gh *= h > 0
+    out["a"] += f["n2"].reshape(n, d).T @ gh
+    out["ab"] += np.ones(n, kind) @ gh
+    g2 = g3.reshape(b, t, d) + _norm_back((gh @ w["a"].T).reshape(b, t, d), f["n2"], f["r2"])
+    out["o"] += f["mixed"].reshape(n, d).T @ g2.reshape(n, d)
+    gm = (g2.reshape(n, d) @ w["o"].T).reshape(b, t, d) / f["total"]
+    s, q, k, v = f["s"], f["q"], f["k"], f["v"]
+    gs = gm @ v.transpose(0, 2, 1)
+    gs -= np.einsum("bti,bti->bt", gm, f["mixed"])[..., None]
+    gs *= s
+    by_pair = gs.sum(axis=0)
+    out["r"] += np.bincount(BACK[BACK >= 0], by_pair[BACK >= 0], CONTEXT).astype(kind)
+    gqkv = np.empty((b, t, 3 * d), kind)
+    np.matmul(gs, k, out=gqkv[..., :d])
+    gqkv[..., :d] *= SCALE
+    np.matmul(gs.transpose(0, 2, 1), q, out=gqkv[..., d : 2 * d])
+    gqkv[..., d : 2 * d] *= SCALE
+    np.matmul(s.transpose(0, 2, 1), gm, out=gqkv[..., 2 * d :])
+    gqkv = gqkv.reshape(n, 3 * d)
+    out["qkv"] += f["n1"].reshape(n, d).T @ gqkv
+    gx = g2 + _norm_back((gqkv @ w["qkv"].T).reshape(b, t, d), f["n1"], f["r1"])
+    order = np.argsort(places.reshape(-1).astype(np.uint16), kind="stable")
+    ordered = places.reshape(-1)[order]
+    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    out["e"][ordered[starts]] += np.add.reduceat(gx.reshape(n, d)[order], starts)
+    return -loss
 
 
 class Trainer:
-    """Adam over windows of CONTEXT + 1 ids, fed batch by batch."""
+    """Adam over windows of CONTEXT + 1 inputs, fed batch by batch."""
 
-    def __init__(self, flat: np.ndarray, vocabulary: Vocabulary, rate: float, batch: int = 64):
-        self.flat, self.vocabulary, self.rate, self.batch = flat.copy(), vocabulary, rate, batch
-        self.m, self.v, self.steps, self.loss = np.zeros(SIZE, np.float32), np.zeros(SIZE, np.float32), 0, 0.0
+    def __init__(self, flat: np.ndarray, rate: float, batch: int = BATCH):
+        self.flat, self.rate, self.batch = flat.copy(), rate, batch
+        self.m, self.v, self.grad, self.change = (np.zeros(SIZE, np.float32) for _ in range(4))
+        self.steps, self.loss = 0, 0.0
 
     def feed(self, windows: np.ndarray, valid: np.ndarray) -> None:
-        """``valid``: ids in each window; those beyond are padding."""
-        w = split(self.flat)
+        """``windows``: leaves, or LEAVES for a begin. ``valid``: how many of each window count; those beyond are padding."""
+        w, out = split(self.flat), split(self.grad)
         for i in range(0, len(windows), self.batch):
-            ids = windows[i : i + self.batch]
+            own = windows[i : i + self.batch].astype(np.int64)
             weight = (np.arange(1, CONTEXT + 1) < valid[i : i + self.batch, None]).astype(np.float32)
-            grad = np.zeros(SIZE, np.float32)
-            self.loss += gradient(w, self.vocabulary.place[ids[:, :-1]], self.vocabulary.klass[ids[:, 1:]].astype(np.int64), weight, split(grad))
+            self.grad[:] = 0
+            self.loss += gradient(w, own[:, :-1], np.minimum(own[:, 1:], LEAVES - 1), weight, out)
             self.steps += 1
-            self.m += 0.1 * (grad - self.m)
-            self.v += 0.01 * (grad * grad - self.v)
-            self.flat -= self.rate * (self.m / (1 - 0.9**self.steps)) / (np.sqrt(self.v / (1 - 0.99**self.steps)) + 1e-8)
-
-
-def score_sequences(w: dict, sequences: list[np.ndarray], vocabulary: Vocabulary) -> np.ndarray:
-    """log10 probability of every id after each sequence's first, all in one row; windows overlap and each id is scored once."""
-    if not sequences:
-        return np.zeros(0)
-    ids = np.concatenate([*sequences, np.zeros(CONTEXT + 1, sequences[0].dtype)])
-    sizes = np.array([len(s) for s in sequences], np.int64)
-    ends = np.cumsum(sizes)
-    places, klass, share = vocabulary.place[ids], vocabulary.klass[ids].astype(np.int64), vocabulary.share[ids]
-    out = np.zeros(len(ids))
-    more = np.maximum(0, -(-(sizes - 1 - CONTEXT) // STRIDE))
-    doc = np.arange(len(sequences))
-    later = np.repeat(doc, more)
-    step = np.arange(len(later)) - np.repeat(np.cumsum(more) - more, more) + 1
-    begin = ends - sizes
-    for starts, docs, first in ((begin, doc, 0), (begin[later] + step * STRIDE, later, CONTEXT - STRIDE)):
-        for a in range(0, len(starts), BATCH):
-            at, own = starts[a : a + BATCH], docs[a : a + BATCH]
-            hidden = forward(w, places[at[:, None] + np.arange(CONTEXT)], first)
-            targets = at[:, None] + np.arange(first + 1, CONTEXT + 1)
-            scored = targets < ends[own][:, None]
-            picked = targets[scored]
-            out[picked] = log_probabilities(w, hidden[scored], klass[picked]) * (1 / np.log(10)) + share[picked]
-    scored = np.ones(int(ends[-1]), bool)
-    scored[begin] = False
-    return out[: len(scored)][scored]
+            g, c = self.grad, self.change
+            np.subtract(g, self.m, out=c)
+            c *= np.float32(0.1)
+            self.m += c
+            np.multiply(g, g, out=c)
+            c -= self.v
+            c *= np.float32(0.01)
+            self.v += c
+            np.sqrt(self.v, out=c)
+            c *= np.float32((1 - 0.99**self.steps) ** -0.5)
+            c += np.float32(1e-8)
+            np.divide(self.m, c, out=c)
+            c *= np.float32(self.rate / (1 - 0.9**self.steps))
+            self.flat -= c
+
+
+class Scorer:
+    """Scores sequences; what depends on one input alone is tabled once."""
+
+    def __init__(self, flat: np.ndarray, vocabulary: Vocabulary):
+        self.w, self.vocabulary = split(flat), vocabulary
+        x = self.w["e"]
+        qkv = _norm(x)[0] @ self.w["qkv"]
+        qkv[:, :WIDTH] *= SCALE
+        qkv[:, 2 * WIDTH :] = qkv[:, 2 * WIDTH :] @ self.w["o"]
+        self.table = np.concatenate([qkv, x], axis=1)
+        self.back = _distance_weights(self.w)
+
+    def hidden(self, places: np.ndarray, first: int) -> np.ndarray:
+        """Final rows, and a one, of the positions from ``first`` on."""
+        d, rows = WIDTH, self.table[places]
+        s = _exp(rows[:, first:, :d] @ rows[..., d : 2 * d].transpose(0, 2, 1))
+        s *= self.back[first:]
+        total = (s.reshape(-1, CONTEXT) @ np.ones(CONTEXT, np.float32)).reshape(*s.shape[:2], 1) + np.float32(1e-30)
+        x2 = s @ rows[..., 2 * d : 3 * d]
+        x2 /= total
+        x2 += rows[:, first:, 3 * d :]
+        out = np.ones((*x2.shape[:2], d + 1), np.float32)
+        out[..., :d] = _after_attention(self.w, x2)[3]
+        return out
+
+    def log_probabilities(self, rows: np.ndarray, leaf: np.ndarray) -> np.ndarray:
+        """Natural log of the probability of a leaf for each row that ``hidden`` gives."""
+        n = len(rows)
+        group, member = np.divmod(leaf.astype(np.int64), MEMBERS)
+        e = _exp(rows @ self.w["u"])
+        out = np.ones(n + 1, np.float32)
+        out[:n] = e[np.arange(n), group] / (e @ np.ones(GROUPS, np.float32) + np.float32(1e-30))
+        tiles = Tiles(group)
+        spare = np.concatenate([rows, np.zeros((1, WIDTH + 1), np.float32)])
+        e = _exp(spare[tiles.rows].reshape(-1, TILE, WIDTH + 1) @ self.w["t"][tiles.group]).reshape(-1, MEMBERS)
+        p = e[np.arange(len(e)), np.append(member, 0)[tiles.rows]] / (e @ np.ones(MEMBERS, np.float32) + np.float32(1e-30))
+        out[tiles.rows] *= p
+        return np.log(out[:n] + np.float32(1e-30))
+
+    def sequences(self, tokens: list[np.ndarray]) -> np.ndarray:
+        """log10 probability of each sequence of tokens, after a text's begin; windows overlap and each token is scored once."""
+        if not tokens:
+            return np.zeros(0)
+        sizes = np.array([len(t) for t in tokens], np.int64) + 1
+        ends = np.cumsum(sizes)
+        begin = ends - sizes
+        real = np.ones(int(ends[-1]), bool)
+        real[begin] = False
+        ids = np.concatenate(tokens)
+        places = np.full(int(ends[-1]) + CONTEXT + 1, LEAVES, np.uint16)
+        places[: len(real)][real] = self.vocabulary.leaf[ids]
+        out = np.zeros(len(places), np.float64)
+        out[: len(real)][real] = self.vocabulary.share[ids]
+        more = np.maximum(0, -(-(sizes - 1 - CONTEXT) // STRIDE))
+        doc = np.arange(len(tokens))
+        later = np.repeat(doc, more)
+        step = np.arange(len(later)) - np.repeat(np.cumsum(more) - more, more) + 1
+        for starts, docs, first in ((begin, doc, 0), (begin[later] + step * STRIDE, later, CONTEXT - STRIDE)):
+            for a in range(0, len(starts), BATCH):
+                at, own = starts[a : a + BATCH], docs[a : a + BATCH]
+                hidden = self.hidden(places[at[:, None] + np.arange(CONTEXT)], first)
+                targets = at[:, None] + np.arange(first + 1, CONTEXT + 1)
+                scored = targets < ends[own][:, None]
+                picked = targets[scored]
+                out[picked] += self.log_probabilities(hidden[scored], places[picked]) * (1 / np.log(10))
+        return np.add.reduceat(out[: len(real)], begin)

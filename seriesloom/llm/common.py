@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
+import re
 import sys
-import tempfile
 import types
 import uuid
 
@@ -12,15 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; one of our own only on a local master where it is unset."""
+    """The folder that ``spark.checkpoint.dir`` names; where it is unset on a local master, one beside the session's warehouse."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    path = "file://" + tempfile.mkdtemp(prefix="seriesloom-")
-    spark.conf.set("spark.checkpoint.dir", path)
-    return path
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/seriesloom-shared"
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -61,6 +59,22 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [b or b"" for b in column.cast(kind).to_pylist()]
 
 
+#: ASCII white space.
+SPACE = re.compile(rb"[ \t-\r]")
+
+
+def word_blocks(text: bytes, size: int = 1 << 20):
+    """``text`` in blocks of about ``size`` bytes that cut no word; a longer word stays whole."""
+    a = 0
+    while a + size < len(text):
+        found = SPACE.search(text, a + size)
+        if not found:
+            break
+        yield text[a : found.start()]
+        a = found.start()
+    yield text[a:] if a else text
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

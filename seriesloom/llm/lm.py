@@ -1,28 +1,30 @@
 """Language-model scores of whole texts by a causal self-attention model on subword ids.
 
-Corpus statistics cover all training texts: words (between ASCII white space,
-A-Z lower-cased) are counted in Spark, and subword counts follow from the word
-counts.  The attention model (``attention``) is trained in data-parallel rounds
-over all ids of the training texts, at every size alike: each text belongs to one
-round and gives windows that follow each other, so each id is predicted once in
-training.  Partitions train side by side and their weights are averaged in two
-stages.  Texts are scored whole in overlapping windows, each id once.
-
-A word's probability is the even mixture of the attention model's probability
-of the word's ids in context and the word's smoothed share of the training
-words; the end of a text is treated as a word.  The score is the sum of log10 of
-these.  The most frequent ``FREQUENT`` word counts go to the executors; the
-other words of a text are joined with the count table, so no count is lost.
-
-Null and empty texts hold only the end.  Rows with a null doc_id are held out.
-Repeated rows are scored alike.  An empty table gives an empty one.  Without
-training texts, N and V are 0.
+A text is its words (between ASCII white space, A-Z lower-cased) as subword ids,
+each marked with whether it ends a word, and then an end.  The score is log10 of
+the attention model's (``attention``) probability of these tokens, without any
+other model: texts are scored whole in overlapping windows, each token once.
+
+The model is trained in data-parallel rounds over all tokens of the training
+texts, at every size alike: each text belongs to one round and gives windows that
+follow each other, so each token is predicted once in training.  Partitions train
+side by side and their weights are averaged in stages of ``FAN_IN``.
+
+Counts cover all texts.  Words are counted in Spark, and token counts follow from
+the word counts.  The most frequent ``FREQUENT`` words go to the executors for
+the base score; the other words of a text are joined with the count table, so no
+count is lost and no such word is in many texts.
+
+Null and empty texts hold only the end.  A word that the tokenizer gives no ids
+has no part in the score.  Rows with a null doc_id are held out.  Repeated rows
+are scored alike.  Very long texts are split into words block by block.  Extra
+columns are ignored.  An empty table gives an empty one.  Without training texts,
+N and V are 0.
 """
 
 from __future__ import annotations
 
 import math
-import zlib
 from collections import Counter
 from itertools import repeat
 
@@ -31,16 +33,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .attention import CONTEXT, Trainer, Vocabulary, fresh, score_sequences, split
-from .common import as_bytes, materialise
+from .attention import CONTEXT, LEAVES, Scorer, Trainer, Vocabulary, fresh
+from .common import as_bytes, materialise, word_blocks, worker_state
 from .tokens import default_tokenizer, encoder
 
-MIXTURE = 0.5
 FREQUENT = 200_000
 #: Rates of the training rounds.
-RATES = (4e-3, 2e-3, 1e-3)
+RATES = (2e-2, 1e-2, 3e-3)
 #: Words that a task counts before it hands them on.
 HELD_WORDS = 1_000_000
+#: Weights that are averaged in one task.
+FAN_IN = 32
+#: Tokens scored together, and words of which a worker keeps the tokens.
+SCORED, KEPT_WORDS = 1 << 16, 300_000
 
 
 def held_out(doc_id, folds: int, fold: int):
@@ -52,99 +57,135 @@ def training_round(doc_id, rounds: int):
     return F.pmod(F.xxhash64(doc_id), F.lit(rounds))
 
 
-def word_counts(train: DataFrame) -> DataFrame:
-    """(word, c) over all texts, counted in each task first."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, c, n): times in training texts and in all texts, counted in each task first. ``docs``: text, held_out."""
 
     def count(batches):
-        held: Counter = Counter()
+        train, others = Counter(), Counter()
 
         def hand_on():
-            words, n = list(held), list(held.values())
-            held.clear()
-            for i in range(0, len(words), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.binary()), pa.array(n[i : i + 50_000], pa.int64())], names=["word", "c"])
+            for held, trained in ((train, True), (others, False)):
+                words, n = list(held), list(held.values())
+                held.clear()
+                for i in range(0, len(words), 50_000):
+                    all_n = pa.array(n[i : i + 50_000], pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(words[i : i + 50_000], pa.binary()), all_n if trained else pa.array([0] * len(all_n), pa.int64()), all_n], names=["word", "c", "n"])
 
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                held.update(text.lower().split())
-                if len(held) > HELD_WORDS:
+            for text, out in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                for block in word_blocks(text):
+                    (others if out else train).update(block.lower().split())
+                if len(train) + len(others) > HELD_WORDS:
                     yield from hand_on()
         yield from hand_on()
 
-    return train.select("text").mapInArrow(count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select("text", "held_out").mapInArrow(count, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
-def subword_counts(words: DataFrame, tokenizer: str) -> DataFrame:
-    """(id, n): ids of each counted word, as often as the word."""
+class Tokens:
+    """Tokens of texts: twice a subword id, and one more where it ends a word."""
+
+    def __init__(self, tokenizer: str):
+        self.encoder, self.known = encoder(tokenizer), {}
+
+    def _learn(self, chunks: list[bytes], lowered: bool) -> None:
+        for chunk, ids in zip(chunks, self.encoder.pieces(chunks, lowered), strict=True):
+            marked = np.frombuffer(ids, "<u4") * 2
+            marked[-1:] += 1
+            self.known[chunk] = marked.tobytes()
+
+    def of(self, text: bytes) -> tuple[list[bytes], np.ndarray]:
+        """Words, lower-cased, and tokens of a block of text."""
+        words = text.lower().split()
+        # a special token's name keeps its case, and its ids, only if it is not lower-cased
+        lowered = self.encoder.by_chunk and b"<|" not in text
+        chunks = words if lowered else text.split()
+        try:
+            found = b"".join(map(self.known.__getitem__, chunks))
+        except KeyError:
+            if len(self.known) > KEPT_WORDS:
+                self.known.clear()
+            self._learn([c for c in dict.fromkeys(chunks) if c not in self.known], lowered)
+            found = b"".join(map(self.known.__getitem__, chunks))
+        return words, np.frombuffer(found, "<u4")
+
+    def whole(self, text: bytes, end: int) -> np.ndarray:
+        return np.concatenate([*(self.of(b)[1] for b in word_blocks(text)), np.array([end], "<u4")])
+
+
+def tokens(tokenizer: str) -> Tokens:
+    state = worker_state(("tokens", tokenizer))
+    if "t" not in state:
+        state["t"] = Tokens(tokenizer)
+    return state["t"]
+
+
+def token_counts(words: DataFrame, tokenizer: str) -> DataFrame:
+    """(id, n): tokens of each counted word, as often as the word is in training texts."""
 
     def count(batches):
         enc = encoder(tokenizer)
         total = np.zeros(0, np.int64)
         for batch in batches:
             parts = enc.pieces(batch.column(0).to_pylist())
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            n = np.repeat(batch.column(1).to_numpy(), [len(p) // 4 for p in parts])
-            got = np.bincount(ids, n).astype(np.int64)
+            sizes = np.array([len(p) // 4 for p in parts], np.int64)
+            marked = np.frombuffer(b"".join(parts), "<u4") * 2
+            marked[np.cumsum(sizes)[sizes > 0] - 1] += 1
+            got = np.bincount(marked, np.repeat(batch.column(1).to_numpy(), sizes)).astype(np.int64)
             if len(got) > len(total):
                 got, total = total, got
             total[: len(got)] += got
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], names=["id", "n"])
 
-    return words.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return words.select("word", "c").where("c > 0").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _frequent_from(words: DataFrame, most: int) -> int:
     """The least count that at most ``most`` words reach, to an eighth of a power of two: from a histogram, so nothing is sorted."""
-    step = F.floor(F.log2("c") * 8).cast("int")
+    step = F.floor(F.log2("n") * 8).cast("int")
     least, held = 1 << 62, 0
-    for r in sorted(words.groupBy(step.alias("b")).agg(F.count("c").alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["b"]):  # 8 rows a doubling
-        held += r["n"]
+    for r in sorted(words.groupBy(step.alias("b")).agg(F.count("n").alias("k"), F.min("n").alias("n")).collect(), key=lambda r: -r["b"]):  # 8 rows a doubling
+        held += r["k"]
         if held > most:
             break
-        least = r["c"]
+        least = r["n"]
     return least
 
 
-def _pieces(enc, text: bytes, words: list[bytes]) -> list[bytes]:
-    """Ids of each word of a text; ``words``: its words, lower-cased."""
-    # a special token's name keeps its case, and its ids, only if it is not lower-cased
-    return enc.pieces(text.split()) if b"<|" in text or not enc.by_chunk else enc.pieces(words, True)
-
+def training_windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of CONTEXT + 1 leaves, in mixed order, and the number of leaves in each.
 
-def training_windows(texts: list[bytes], enc, begin: int, end: int) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of CONTEXT + 1 ids, in mixed order, and the number of ids in each.
-
-    A text's windows follow each other and share one id, so that each id after
+    A text's windows follow each other and share one leaf, so that each leaf after
     its begin is predicted in one window.
     """
-    first, last = (int(x).to_bytes(4, "little") for x in (begin, end))
-    held, valid = [np.zeros((0, CONTEXT + 1), "<u4")], [np.zeros(0, np.int64)]
-    for text in texts:
-        ids = np.frombuffer(b"".join([first, *_pieces(enc, text, text.lower().split()), last]), "<u4")
-        starts = np.arange(0, len(ids) - 1, CONTEXT)
-        padded = np.zeros(len(starts) * CONTEXT + 1, "<u4")
-        padded[: len(ids)] = ids
+    held, valid = [np.zeros((0, CONTEXT + 1), np.uint16)], [np.zeros(0, np.int64)]
+    for leaves in sequences:
+        starts = np.arange(0, len(leaves), CONTEXT)
+        padded = np.zeros(len(starts) * CONTEXT + 1, np.uint16)
+        padded[0] = LEAVES
+        padded[1 : len(leaves) + 1] = leaves
         held.append(np.lib.stride_tricks.sliding_window_view(padded, CONTEXT + 1)[::CONTEXT])
-        valid.append(np.minimum(len(ids) - starts, CONTEXT + 1))
+        valid.append(np.minimum(len(leaves) + 1 - starts, CONTEXT + 1))
     order = np.random.default_rng(0).permutation(sum(map(len, valid)))
     return np.concatenate(held)[order], np.concatenate(valid)[order]
 
 
-def fit(train: DataFrame, vocabulary: Vocabulary, tokenizer: str, begin: int, end: int, rates=RATES) -> np.ndarray:
+def fit(train: DataFrame, vocabulary: Vocabulary, tokenizer: str, end: int, rates=RATES) -> np.ndarray:
     """Weights after rounds of side-by-side training and averaging, each over texts of its own."""
     spark = train.sparkSession
     flat = fresh(vocabulary)
     for i, rate in enumerate(rates):
         own = train.where(training_round(F.col("doc_id"), len(rates)) == i).select("text")
-        shared = spark.sparkContext.broadcast((flat, vocabulary))
+        shared = spark.sparkContext.broadcast((flat, vocabulary.leaf))
 
         def learn(batches, shared=shared, rate=rate):
-            trainer, enc, n = None, encoder(tokenizer), 0
+            trainer, own_tokens, n = None, tokens(tokenizer), 0
             for batch in batches:
                 if batch.num_rows:
-                    trainer = trainer or Trainer(*shared.value, rate)
-                    windows, valid = training_windows(as_bytes(batch.column(0)), enc, begin, end)
+                    start, leaf = shared.value
+                    trainer = trainer or Trainer(start, rate)
+                    windows, valid = training_windows([leaf[own_tokens.whole(t, end)] for t in as_bytes(batch.column(0))])
                     trainer.feed(windows, valid)
                     n += len(windows)
             if trainer:
@@ -158,12 +199,14 @@ def fit(train: DataFrame, vocabulary: Vocabulary, tokenizer: str, begin: int, en
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
 
-        parts = own.mapInArrow(learn, "w binary, n long")
-        some = max(1, math.isqrt(own.rdd.getNumPartitions()))
-        sums = parts.repartition(some).mapInArrow(add, "w binary, n long").collect()  # a row for each of `some` tasks
+        sums, some = own.mapInArrow(learn, "w binary, n long"), own.rdd.getNumPartitions()
+        while some > FAN_IN:
+            some = -(-some // FAN_IN)
+            sums = sums.repartition(some).mapInArrow(add, "w binary, n long")
+        sums = sums.repartition(1).mapInArrow(add, "w binary, n long").collect()  # one row
         shared.unpersist()
         if sums:
-            flat = (sum(np.frombuffer(r["w"]) for r in sums) / sum(r["n"] for r in sums)).astype(np.float32)
+            flat = (np.frombuffer(sums[0]["w"]) / sums[0]["n"]).astype(np.float32)
     return flat
 
 
@@ -171,78 +214,80 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None, folds: int = 7, fol
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row."""
     tokenizer = tokenizer or default_tokenizer()
     spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    train = docs.where(~held_out(F.col("doc_id"), folds, fold))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id").cast("long"), folds, fold).alias("held_out"))
+    train = docs.where("not held_out")
     texts = train.count()
-    words = materialise(word_counts(train), "words")
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("c")).first()
+    words = materialise(word_counts(docs), "words")
+    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n, v = n + texts, v + (texts > 0)
-    # ids beyond the tokenizer's own mark a text's begin and end
+    # the id beyond the tokenizer's own marks a text's end
     from tokenizers import Tokenizer
 
-    size = Tokenizer.from_file(tokenizer).get_vocab_size()
-    begin, end = size, size + 1
-    counts = np.zeros(size + 2, np.int64)
-    for r in subword_counts(words, tokenizer).collect():  # a row per id of the vocabulary at most
+    end = 2 * Tokenizer.from_file(tokenizer).get_vocab_size() + 1
+    counts = np.zeros(end + 1, np.int64)
+    for r in token_counts(words, tokenizer).collect():  # two rows per id of the vocabulary at most
         counts[r["id"]] = r["n"]
     counts[end] = texts
     vocabulary = Vocabulary.from_counts(counts)
-    flat = fit(train, vocabulary, tokenizer, begin, end)
-    common = {bytes(r["word"]): r["c"] for r in words.where(F.col("c") >= _frequent_from(words, FREQUENT)).collect()}  # FREQUENT rows at most
-    whole = len(common) == v - (texts > 0)  # then the other words were never seen
+    flat = fit(train, vocabulary, tokenizer, end)
+    least = _frequent_from(words, FREQUENT)
+    common = {bytes(r["word"]): r["c"] for r in words.where(F.col("n") >= least).select("word", "c").collect()}  # FREQUENT rows at most
     shared = spark.sparkContext.broadcast((flat, vocabulary, common))
     below = math.log10(n + v + 1)
 
     def score(batches):
         flat, vocabulary, common = shared.value
-        enc, w = encoder(tokenizer), split(flat)
-        first, last = begin.to_bytes(4, "little"), end.to_bytes(4, "little")
+        scorer, own_tokens = Scorer(flat, vocabulary), tokens(tokenizer)
+
+        def one(text: bytes):
+            """Tokens, their number of words and of known words, base, and the words not in ``common``."""
+            parts, n_words, known, base, rest = [], 1, int(texts > 0), math.log10(texts + 1) - below, Counter()
+            for block in word_blocks(text):
+                ws, part = own_tokens.of(block)
+                parts.append(part)
+                n_words += len(ws)
+                c = np.fromiter(map(common.get, ws, repeat(-1)), np.int64, len(ws))
+                known += int(np.count_nonzero(c > 0))
+                here = c >= 0
+                base += float(np.log10(c[here] + 1).sum()) - below * int(here.sum())
+                rest.update(ws[i] for i in np.flatnonzero(~here).tolist())
+            return np.concatenate([*parts, np.array([end], "<u4")]), n_words, known, base, rest
+
+        def flush(ids: list, held: list):
+            rest_words, rest_n, sizes = [], [], [0]
+            for h in held:
+                rest_words += h[4]
+                rest_n += h[4].values()
+                sizes.append(len(h[4]))
+            kinds = [pa.int64(), pa.int64(), pa.float64()]
+            structs = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_n, pa.int64())], names=["word", "n"])
+            arrays = [pa.array([i for i, _ in ids], pa.int64()), pa.array([o for _, o in ids], pa.bool_()), *(pa.array([h[k] for h in held], t) for k, t in zip((1, 2, 3), kinds, strict=True)), pa.array(scorer.sequences([h[0] for h in held]), pa.float64())]
+            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), structs)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
+
         for batch in batches:
-            all_texts = as_bytes(batch.column(1))
-            for a in range(0, len(all_texts), 64):
-                out, rest_words, rest_lps = [], [], []
-                texts64 = [t.lower().split() for t in all_texts[a : a + 64]]
-                pieces = [_pieces(enc, t, ws) for t, ws in zip(all_texts[a : a + 64], texts64, strict=True)]
-                lps = score_sequences(w, [np.frombuffer(b"".join([first, *p, last]), "<u4") for p in pieces], vocabulary)
-                at = 0
-                for keys, ps in zip(texts64, pieces, strict=True):
-                    sizes = np.fromiter(map(len, ps), np.int64, len(ps)) // 4
-                    sizes = np.append(sizes, 1)
-                    ends = np.cumsum(sizes)
-                    run = np.concatenate([[0.0], np.cumsum(lps[at : at + ends[-1]])])
-                    at += ends[-1]
-                    lp = run[ends] - run[ends - sizes]
-                    c = np.append(np.fromiter(map(common.get, keys, repeat(-1)), np.int64, len(keys)), texts)
-                    if whole:
-                        c = np.maximum(c, 0)
-                    here = c >= 0
-                    base = np.log10(c[here] + 1) - below
-                    mixed = np.log10((1 - MIXTURE) * 10**base + MIXTURE * 10 ** lp[here])
-                    away = np.flatnonzero(~here)
-                    rest_words += [keys[i] for i in away.tolist()]
-                    rest_lps.append(lp[away])
-                    out.append((len(sizes), int((c > 0).sum()), float(base.sum()), float(mixed.sum()), len(away)))
-                cols = list(zip(*out, strict=True))
-                kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                offsets = np.concatenate([[0], np.cumsum(cols[4])]).astype(np.int32)
-                structs = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(np.concatenate(rest_lps), pa.float64())], names=["word", "lp"])
-                arrays = [batch.column(0).slice(a, 64), *(pa.array(c, t) for c, t in zip(cols[:4], kinds, strict=True)), pa.ListArray.from_arrays(pa.array(offsets), structs)]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n_tokens", "n_known", "base", "score", "rest"])
-
-    kind = "doc_id long, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,lp:double>>"
-    done = docs.mapInArrow(score, kind).withColumn("row", F.monotonically_increasing_id())
-    done = materialise(done, "scores")
-    rest = done.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.lp")
-    rest = rest.join(words, "word", "left").withColumn("b", F.log10(F.coalesce("c", F.lit(0)) + 1) - F.lit(below))
-    mixed = F.log10((1 - MIXTURE) * F.pow(F.lit(10.0), "b") + MIXTURE * F.pow(F.lit(10.0), "lp"))
-    rest = rest.groupBy("row").agg(F.sum("b").alias("b"), F.sum(mixed).alias("s"), F.count("c").alias("k"))
+            ids, held, size = [], [], 0
+            for doc_id, text, out in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
+                ids.append((doc_id, out))
+                held.append(one(text))
+                size += len(held[-1][0])
+                if size > SCORED:
+                    yield flush(ids, held)
+                    ids, held, size = [], [], 0
+            if held:
+                yield flush(ids, held)
+
+    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,n:long>>"
+    done = materialise(docs.mapInArrow(score, kind).withColumn("row", F.monotonically_increasing_id()), "scores")
+    rest = done.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n")
+    rest = rest.join(words.where(F.col("n") < least).select("word", "c"), "word")
+    rest = rest.groupBy("row").agg(F.sum(F.col("n") * (F.log10(F.col("c") + 1) - F.lit(below))).alias("b"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("k"))
     zero = F.lit(0)
     return done.drop("rest").join(rest, "row", "left").select(
         "doc_id",
-        held_out(F.col("doc_id"), folds, fold).alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("n_known") + F.coalesce("k", zero)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("b", zero)).alias("base_score"),
-        (F.col("score") + F.coalesce("s", zero)).alias("score"),
+        "score",
     )
