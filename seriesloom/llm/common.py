@@ -47,6 +47,14 @@ def discard(df: DataFrame) -> None:
         hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
+def free_name(columns: list[str], name: str) -> str:
+    """``name``, with as many underscores before it as keep it apart from the columns."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def worker_state(name: object) -> dict:
     """A dict that lives as long as the Python worker process, whatever way the caller was pickled."""
     module = sys.modules.setdefault("_seriesloom_worker", types.ModuleType("_seriesloom_worker"))
@@ -75,6 +83,12 @@ def word_blocks(text: bytes, size: int = 1 << 20):
     yield text[a:] if a else text
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table of fewer splits than the cluster has cores is dealt out; a large one is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))

@@ -2,21 +2,27 @@
 
 Fingerprint: A-Z lower-cased, words between ASCII white space, shingles of
 ``words`` words with repeats; a bit is 1 if set in over half of the shingles'
-XXH64 values.  Fingerprints within ``radius`` bits are linked.
-
-Equal fingerprints are merged first.  Two fingerprints within the radius agree
-on at least ``blocks - radius`` of ``blocks`` bit blocks, so a tile holds the
-fingerprints that agree on one such choice of blocks: every pair within the
-radius meets in a tile and no tile pair beyond that is formed.  In a tile,
-fingerprints are ordered by population count and compared block against block
-by exclusive-or and bit counts; block pairs whose population counts differ by
-more than the radius are skipped.  A tile emits a spanning star per group, never
-all its pairs.  Tiles above ``TILE`` fingerprints are split into parts that meet
-pairwise in tasks of their own.
+hashes.  With one lane these are XXH64 values, with two the halves of 128-bit
+XXH3 ones.  Fingerprints within ``radius`` bits, over all lanes, are linked.
+
+Equal fingerprints are merged first.  Two fingerprints within the radius are
+within ``radius // lanes`` in one lane, and there agree on at least ``blocks -
+radius // lanes`` of ``blocks`` bit blocks; so a tile holds the fingerprints that
+agree on one such choice of blocks: every pair within the radius meets in a tile
+and no tile pair beyond that is formed.  In a tile, fingerprints are ordered by
+population count and compared block against block by exclusive-or and bit counts;
+block pairs whose population counts differ by more than the radius are skipped.  A
+tile emits a spanning star per group, never all its pairs.  Tiles above ``TILE``
+fingerprints are split into parts that meet pairwise in tasks of their own.
+
+``keep_one`` takes five words, and two lanes within 20 of 128 bits: the distance
+to be expected of texts whose shingles are similar by 0.8.
 
 Null and empty texts have fingerprint zero and are linked like any other.  Rows
 with a null doc_id take part; a component's id is its smallest non-null doc_id.
-Repeated rows each get a result row.  An empty table gives an empty one.
+Repeated rows each get a result row.  Very long texts are hashed block by block.
+Extra columns are ignored by ``near_duplicates`` and kept by ``keep_one``.  An
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -29,49 +35,67 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialise
+from .common import as_bytes, discard, free_name, materialise, word_blocks
 from .graph import connected_components
 
 SEED = 42
 #: Fingerprints compared in one task's tile; larger tiles are split.
 TILE = 16_384
-#: Mean size of a tile that decides the number of blocks.
-MEAN_TILE = 64
+#: Mean size of a tile that decides the number of blocks, by lanes.
+MEAN_TILE = {1: 64, 2: 512}
+
+
+def _hash(lanes: int):
+    from xxhash import xxh3_128_digest, xxh64_digest
+
+    return (lambda x: xxh64_digest(x, SEED)) if lanes == 1 else (lambda x: xxh3_128_digest(x, SEED))
+
+
+def fingerprints_of(text: bytes, words: int = 4, lanes: int = 1) -> list[int]:
+    """A signed 64-bit value for each lane."""
+    digest, width = _hash(lanes), 8 * lanes
+    count, n, carried = np.zeros(8 * width, np.int64), 0, []
+
+    def add(parts: list[bytes], least: int) -> None:
+        nonlocal n
+        joined = memoryview(b" ".join(parts))
+        ends = [e + i for i, e in enumerate(accumulate(map(len, parts)))]
+        starts = [0, *(e + 1 for e in ends[:-1])]
+        raw = np.frombuffer(b"".join([digest(joined[a:b]) for a, b in zip(starts, ends[least - 1 :])]), np.uint8).reshape(-1, width)
+        n += len(raw)
+        for i in range(0, len(raw), 65_535):
+            count[:] += np.unpackbits(raw[i : i + 65_535], axis=1).sum(axis=0, dtype=np.uint32)
+
+    for block in word_blocks(text):
+        parts = carried + block.lower().split()
+        if len(parts) >= words:
+            add(parts, words)
+        carried = parts[-(words - 1) :] if words > 1 else []
+    if not n and carried:
+        add(carried, len(carried))
+    return np.frombuffer(np.packbits(count * 2 > n).tobytes(), ">i8").tolist()
 
 
 def fingerprint(text: bytes, words: int = 4) -> int:
-    """Signed 64-bit value."""
-    from xxhash import xxh64_intdigest
-
-    parts = text.lower().split()
-    if not parts:
-        return 0
-    joined = memoryview(b" ".join(parts))
-    ends = [e + i for i, e in enumerate(accumulate(map(len, parts)))]
-    starts = [0, *(e + 1 for e in ends[:-1])]
-    if len(parts) <= words:
-        hashes = [xxh64_intdigest(joined, SEED)]
-    else:
-        hashes = [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :])]
-    count, n = np.zeros(64, np.int64), len(hashes)
-    raw = np.array(hashes, ">u8").view(np.uint8).reshape(n, 8)
-    for i in range(0, n, 65_535):
-        count += np.unpackbits(raw[i : i + 65_535], axis=1).sum(axis=0, dtype=np.uint32)
-    return int.from_bytes(np.packbits(count * 2 > n).tobytes(), "big", signed=True)
-
-
-def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
-    """(doc_id, fp)."""
+    return fingerprints_of(text, words)[0]
+
+
+def lane_names(lanes: int) -> list[str]:
+    return ["fp", "fp2"][:lanes]
+
+
+def fingerprints(docs: DataFrame, words: int = 4, lanes: int = 1) -> DataFrame:
+    """(doc_id, fp[, fp2])."""
 
     def prints(batches):
         for batch in batches:
-            fps = [fingerprint(t, words) for t in as_bytes(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            fps = np.array([fingerprints_of(t, words, lanes) for t in as_bytes(batch.column(1))], np.int64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(lanes))], names=["doc_id", *lane_names(lanes)])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(prints, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(prints, "doc_id long" + "".join(f", {n} long" for n in lane_names(lanes)))
 
 
-def block_masks(n: int, radius: int, mean_tile: int = MEAN_TILE) -> list[int]:
+def block_masks(n: int, radius: int, mean_tile: int = MEAN_TILE[1]) -> list[int]:
     """Bit masks of which any two values within the radius agree on one: as few as keep tiles small."""
     for blocks in range(radius + 1, 2 * radius + 1):
         agree = blocks - radius
@@ -87,12 +111,12 @@ def _signed(x: int) -> int:
 
 
 def tile_links(values: np.ndarray, radius: int, side: int = 1024) -> np.ndarray:
-    """(member, root) rows for values linked inside a tile."""
-    values = np.unique(values)
-    bits = np.bitwise_count(values.view(np.uint64))
+    """(member, root) rows, by their place in ``values`` (a row per fingerprint, a column per lane), for those linked inside a tile."""
+    u = np.ascontiguousarray(values.T).view(np.uint64)
+    bits = np.bitwise_count(u).astype(np.int64).sum(axis=0)
     order = np.argsort(bits, kind="stable")
-    values, bits = values[order], bits[order].astype(np.int64)
-    n = len(values)
+    u, bits = u[:, order], bits[order]
+    n = len(order)
     root = np.arange(n)
 
     def find(i: int) -> int:
@@ -113,14 +137,15 @@ def tile_links(values: np.ndarray, radius: int, side: int = 1024) -> np.ndarray:
             root = up
         return root
 
-    u = values.view(np.uint64)
     for a in range(0, n, side):
-        rows = u[a : a + side, None]
         top = bits[min(a + side, n) - 1] + radius
         for b in range(a, n, side):
             if bits[b] > top:
                 break
-            near = np.bitwise_count(rows ^ u[None, b : b + side]) <= radius
+            far = np.bitwise_count(u[0, a : a + side, None] ^ u[0, None, b : b + side])
+            for lane in u[1:]:
+                far += np.bitwise_count(lane[a : a + side, None] ^ lane[None, b : b + side])
+            near = far <= radius
             if a == b:
                 near = np.triu(near, 1)
             cols = np.flatnonzero(near.any(axis=0))
@@ -133,19 +158,28 @@ def tile_links(values: np.ndarray, radius: int, side: int = 1024) -> np.ndarray:
             apart = np.unique(np.stack([group[i + a], group[j + b]], axis=1), axis=0)
             unite(apart.tolist())
     at = settle()
-    linked = at != np.arange(n)
-    return np.stack([values[linked], values[at[linked]]], axis=1)
+    linked = np.flatnonzero(at != np.arange(n))
+    return np.stack([order[linked], order[at[linked]]], axis=1)
 
 
 def links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
-    """(a, b): edges whose components are those of the graph of all fingerprint pairs within the radius. ``prints``: distinct fp, stored."""
-    masks = block_masks(prints.count(), radius)
-    keyed = prints.select("fp", F.explode(F.array(*(F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for i, m in enumerate(masks)))).alias("k")).select("fp", "k.t", "k.key")
+    """(a, b): edges of nodes whose components are those of the graph of all fingerprint pairs within the radius.
+
+    ``prints``: node, fp[, fp2], a row per distinct fingerprint, stored.
+    """
+    names = [c for c in lane_names(2) if c in prints.columns]
+    lanes = len(names)
+    masks = block_masks(prints.count(), radius // lanes, MEAN_TILE[lanes])
+    # a tile is named by a hash of mask and agreeing bits; tiles that share a name are compared together
+    tiles = [F.xxhash64(F.lit(i * lanes + k), F.col(name).bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(masks) for k, name in enumerate(names)]
+    keyed = prints.select("node", *names, F.explode(F.array(*tiles)).alias("key"))
     # tiles too large for a task meet part against part
-    big = keyed.groupBy("t", "key").count().where(F.col("count") > tile).select("t", "key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("parts"))
-    spread = keyed.join(big, ["t", "key"], "left").withColumn("part", F.pmod(F.xxhash64("fp"), F.coalesce("parts", F.lit(1))).cast("int"))
-    other = F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    spread = spread.withColumn("other", F.explode(other)).select("fp", "t", "key", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    big = keyed.groupBy("key").count().where(F.col("count") > tile).select("key", F.ceil(F.col("count") / (tile // 2)).cast("int").alias("parts"))
+    big = materialise(big, "tiles")
+    split = keyed.join(big, "key").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+    split = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    split = split.select("node", *names, F.xxhash64("key", F.least("part", "other"), F.greatest("part", "other")).alias("key"))
+    spread = keyed.select("node", *names, "key") if big.isEmpty() else keyed.join(big, "key", "left_anti").select("node", *names, "key").union(split)
 
     def compare(batches):
         held: list[np.ndarray] = []
@@ -156,39 +190,44 @@ def links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
             if held:
                 group = np.concatenate(held)
                 if len(group) > 1:
-                    out.append(tile_links(group, radius))
+                    nodes = group[:, 0]
+                    out.append(nodes[tile_links(group[:, 1:], radius)])
                 held.clear()
 
+        def edges():
+            found = np.concatenate([np.empty((0, 2), np.int64), *out])
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], names=["a", "b"])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
-            keys = np.stack(cols[1:], axis=1)
-            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            rows = np.stack([batch.column(i).to_numpy() for i in range(1 + lanes)], axis=1)
+            keys = batch.column(1 + lanes).to_numpy()
+            cuts = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
             for a, b in zip(cuts, cuts[1:]):
-                if (key := tuple(keys[a].tolist())) != last:
+                if keys[a] != last:
                     flush()
-                    last = key
-                held.append(cols[0][a:b])
-            edges = np.concatenate([np.empty((0, 2), np.int64), *out])
-            out.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+                    last = keys[a]
+                held.append(rows[a:b])
+            yield edges()
         flush()
-        edges = np.concatenate([np.empty((0, 2), np.int64), *out])
-        yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], names=["a", "b"])
+        yield edges()
 
-    dealt = spread.repartition("t", "key", "p", "q").sortWithinPartitions("t", "key", "p", "q")
+    dealt = spread.repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(compare, "a long, b long").distinct()
 
 
-def _components(own: DataFrame, radius: int) -> DataFrame:
-    """(fp, root, component_id) of each distinct fingerprint. ``own``: (doc_id, fp), stored."""
-    distinct = materialise(own.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
-    roots = connected_components(links(distinct.select("fp"), radius))
-    placed = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+def _components(own: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
+    """(fp[, fp2], first, root, component_id) of each distinct fingerprint. ``own``: doc_id and fingerprints, stored."""
+    names = lane_names(lanes)
+    distinct = own.groupBy(*names).agg(F.min("doc_id").alias("first"))
+    distinct = materialise(distinct.withColumn("node", F.col("fp") if lanes == 1 else F.monotonically_increasing_id()), "distinct")
+    roots = connected_components(links(distinct.select("node", *names), radius)).withColumnRenamed("node", "__node")
+    placed = distinct.join(roots, F.col("node") == F.col("__node"), "left").select(*names, "first", F.coalesce("root", "node").alias("root"))
     placed = materialise(placed, "placed")
     ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.join(ids, "root").select("fp", "root", "component_id")
+    return placed.join(ids, "root").select(*names, "first", "root", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
@@ -198,23 +237,33 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     return own.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
-    """One row of each component: that of its smallest doc_id, or any one of a component whose rows all lack a doc_id."""
-    own = materialise(fingerprints(docs, words), "prints")
-    placed = materialise(_components(own, radius), "components")
-    first = placed.where("component_id is not null").select(F.col("component_id").alias("__keep")).distinct()
-    # sorted and dealt by doc_id already, so rows that repeat an id are dropped without another exchange
-    kept = docs.join(first, docs["doc_id"] == first["__keep"], "left_semi").dropDuplicates(["doc_id"])
-    if own.where("doc_id is null").isEmpty():
+def keep_one(docs: DataFrame, words: int = 5, radius: int = 20, lanes: int = 2) -> DataFrame:
+    """One row of each component: one of its smallest doc_id, or any one of a component whose rows all lack a doc_id.
+
+    A doc_id may repeat: which of its rows is meant is then told by the fingerprint.
+    """
+    names = lane_names(lanes)
+    own = materialise(fingerprints(docs, words, lanes), "prints")
+    first = _components(own, radius, lanes).groupBy("root").agg(F.min(F.struct(F.col("first").isNull().alias("none"), "first", *names)).alias("m")).select("m.*")
+    keep, other, *lanes_of = (free_name(docs.columns, f"one_{n}") for n in ("id", "other", *names))
+    first = materialise(first.select(F.col("first").alias(keep), *(F.col(n).alias(x) for n, x in zip(names, lanes_of, strict=True))), "first")
+    unclear = materialise(own.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias(other)), "unclear")
+    clear = first.join(unclear, F.col(keep) == F.col(other), "left_anti").where(F.col(keep).isNotNull())
+    kept = docs.join(clear, F.col("doc_id") == F.col(keep), "left_semi")
+    if unclear.isEmpty():
         return kept
-    nameless = docs.where("doc_id is null")
+    rows = docs.join(unclear.where(F.col(other).isNotNull()), F.col("doc_id") == F.col(other), "left_semi").union(docs.where("doc_id is null"))
+    mine = [free_name(docs.columns, f"own_{n}") for n in names]
 
     def prints(batches, at=docs.columns.index("text")):
         for batch in batches:
-            fps = [fingerprint(t, words) for t in as_bytes(batch.column(at))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], names=[*batch.schema.names, "__fp"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("__fp", T.LongType())])
-    alone = placed.where("component_id is null").select(F.col("fp").alias("__fp"), F.col("root").alias("__root"))
-    rest = nameless.mapInArrow(prints, schema).join(alone, "__fp").dropDuplicates(["__root"]).select(*docs.columns)
-    return kept.select(*docs.columns).union(rest)
+            fps = np.array([fingerprints_of(t, words, lanes) for t in as_bytes(batch.column(at))], np.int64).reshape(-1, lanes)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(np.ascontiguousarray(fps[:, i])) for i in range(lanes))], names=[*batch.schema.names, *mine])
+
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in mine)])
+    rows = rows.mapInArrow(prints, schema)
+    same = F.col("doc_id").eqNullSafe(F.col(keep))
+    for m, x in zip(mine, lanes_of, strict=True):
+        same &= F.col(m) == F.col(x)
+    rows = rows.join(first, same, "left_semi").dropDuplicates(["doc_id", *mine])
+    return kept.unionByName(rows.select(*docs.columns))

@@ -264,10 +264,57 @@ def test_simhash(docs, none):
     rows = simhash.near_duplicates(docs).collect()
     assert collections.Counter((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows) == want
     assert simhash.near_duplicates(none).count() == 0
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, 4, 4, 1)
     assert kept.count() == len(set(roots)) and kept.columns == docs.columns
 
 
+def brute_wide(text, words=5):
+    from xxhash import xxh3_128_intdigest
+
+    ws = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "").split(" ")
+    ws = [w for w in re.split(r"[\x20\x09-\x0D]+", " ".join(ws)) if w]
+    hs = [xxh3_128_intdigest(" ".join(ws[i : i + words]).encode(), 42) for i in range(max(1, len(ws) - words + 1))] if ws else []
+    return sum(1 << b for b in range(128) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+
+
+def test_keep_one(spark, docs, none):
+    """A row of each component of wide fingerprints, whatever the ids: repeated, null, or both."""
+    rng = np.random.default_rng(0)
+    some = lambda n: [rng.integers(97, 123, 6).astype(np.uint8).tobytes().decode() for _ in range(n)]
+    rows = [(1, "alpha beta gamma delta epsilon zeta"), (1, "one two three four five six"), (2, "red green blue white black grey"), (None, "lone text without id"), (None, "lone text without id"), (None, "another text of no id")]
+    for k in range(40):
+        words = some(120)
+        rows.append((10 + 2 * k, " ".join(words)))
+        if k % 2:
+            words[60] = "changed"  # 10 of 116 shingles differ
+            rows.append((11 + 2 * k if k % 3 else None, " ".join(words)))
+    frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, fp long, __keep int")
+    roots = brute_components([brute_wide(t) for _, t in rows], 20)
+    assert len(set(roots)) < len(rows) - 15
+    want = collections.Counter()
+    for r in set(roots):
+        ids = [i for (i, _), x in zip(rows, roots) if x == r]
+        want[min((i for i in ids if i is not None), default=None)] += 1
+    got = simhash.keep_one(frame)
+    assert got.columns == frame.columns
+    kept = got.collect()
+    assert collections.Counter(r["doc_id"] for r in kept) == want
+    assert sorted(roots[next(k for k, x in enumerate(rows) if x == (r["doc_id"], r["text"]))] for r in kept) == sorted(set(roots))
+    assert {r["text"] for r in kept if r["doc_id"] == 1} == {rows[0][1], rows[1][1]}
+    odd = simhash.keep_one(docs).collect()
+    assert len(odd) == len(set(brute_components([brute_wide(t) for _, t in DOCS], 20)))
+    assert simhash.keep_one(none).count() == 0
+
+
+def test_fingerprints_block_by_block(monkeypatch):
+    from seriesloom.llm import common
+
+    text = ("Lorem ipsum dolor sit amet " * 40 + "consectetur\n\tadipiscing elit. " * 9).encode()
+    whole = [simhash.fingerprints_of(text, k, n) for k in (1, 4, 5) for n in (1, 2)]
+    monkeypatch.setattr(simhash, "word_blocks", lambda t: common.word_blocks(t, 13))
+    assert [simhash.fingerprints_of(text, k, n) for k in (1, 4, 5) for n in (1, 2)] == whole
+
+
 @pytest.mark.parametrize("tile", [16_384, 8])
 def test_links_find_all_pairs(spark, tile):
     rng = np.random.default_rng(3)
@@ -281,7 +328,7 @@ def test_links_find_all_pairs(spark, tile):
             values.append(v)
     values = sorted(set(values))
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    prints = spark.createDataFrame([(v,) for v in signed], "fp long")
+    prints = spark.createDataFrame([(v, v) for v in signed], "node long, fp long")
     got = {r["node"]: r["root"] for r in graph.connected_components(simhash.links(prints, 4, tile)).collect()}
     groups = collections.defaultdict(set)
     for v, r in zip(signed, brute_components(values, 4)):
