@@ -20,7 +20,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, discard, materialise
@@ -29,6 +29,7 @@ from .tokens import default_tokenizer, encoder
 CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 19
 MAX_BITS = 18
+FILE_TOKENS = 1 << 26
 BLOCKS = "part int, block int, doc_ids binary, doc_valid binary, doc_tokens binary, n_tokens long, checkpoints binary, payload binary"
 
 
@@ -150,8 +151,8 @@ class Code:
         return out
 
 
-def write_blocks(encoded: DataFrame, code_table: DataFrame, lengths: dict[int, int], path: str, kind: str) -> None:
-    """Range-partitions by doc_id and writes blocks and code table under ``path``."""
+def write_blocks(encoded: DataFrame, code_table: DataFrame, lengths: dict[int, int], path: str, kind: str, files: int) -> None:
+    """Range-partitions by doc_id into ``files`` and writes blocks and code table under ``path``."""
 
     def blocks(batches):
         code = Code(lengths)
@@ -177,7 +178,7 @@ def write_blocks(encoded: DataFrame, code_table: DataFrame, lengths: dict[int, i
         if docs:
             yield close()
 
-    ordered = encoded.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
+    ordered = encoded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
     ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     code_table.coalesce(1).write.parquet(f"{path}/code")
 
@@ -215,19 +216,17 @@ def read_documents(spark: SparkSession, path: str, with_ids: bool = False) -> Da
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")
     kind = "doc_id long, part int, block int, start_in_block long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids
     docs = blocks.mapInArrow(decode, kind)
-    # a row per block: half a million tokens or more each
-    sizes = blocks.select("part", "block", "n_tokens").groupBy("part", "block").agg(F.sum("n_tokens").alias("n"))
-    per_part = sizes.groupBy("part").agg(F.sum("n").alias("n"), F.sort_array(F.collect_list(F.struct("block", "n"))).alias("blocks"))
-    totals = sorted((r["part"], r["n"]) for r in per_part.select("part", "n").collect())  # one row per file
+    # a row per block: half a million tokens or more each, but for a file's last
+    sizes = blocks.select("part", "block", "n_tokens")
+    totals = sorted(map(tuple, sizes.groupBy("part").agg(F.sum("n_tokens")).collect()))  # a row per file
     before, run = [], 0
     for part, n in totals:
         before.append((part, run))
         run += n
     firsts = spark.createDataFrame(before, "part int, before long")
-    within = per_part.join(firsts, "part").select(
-        "part",
-        F.explode(F.transform("blocks", lambda b: F.struct(b["block"].alias("block"), (F.col("before") + F.aggregate(F.filter("blocks", lambda o: o["block"] < b["block"]), F.lit(0).cast("long"), lambda a, o: a + o["n"])).alias("first")))).alias("x"),
-    ).select("part", "x.block", "x.first")
+    earlier = Window.partitionBy("part").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    within = sizes.withColumn("earlier", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0))).join(firsts, "part")
+    within = within.select("part", "block", (F.col("before") + F.col("earlier")).alias("first"))
     out = docs.join(within, ["part", "block"]).withColumn("start", F.col("first") + F.col("start_in_block"))
     return out.select("doc_id", "start", "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 
@@ -241,5 +240,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     counts = {r["id"]: r["n"] for r in token_counts(encoded, kind).collect()}  # at most the vocabulary
     lengths = code_lengths(counts) if counts else {}
     table = spark.createDataFrame(sorted(lengths.items()), "id long, bits int")
-    write_blocks(encoded, table, lengths, path, kind)
+    # as many files as the session deals to, more where they would hold over FILE_TOKENS
+    files = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-sum(counts.values()) // FILE_TOKENS))
+    write_blocks(encoded, table, lengths, path, kind, files)
     discard(encoded)

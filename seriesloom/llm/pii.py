@@ -7,12 +7,20 @@ addresses.  Each value is permuted within its own format by a keyed Feistel
 network that walks on until the result is valid again: a card gets a card number
 of as many digits, a date a date, and so on.  Separators stay.  As it is a
 permutation, equal values get equal pseudonyms in all documents and different
-ones different pseudonyms.  Numbers that fail validation are left alone.
+ones different pseudonyms, whatever way they are written: a date is permuted as a
+day (days above 12 among themselves, as only they show which part is the month)
+and written in the style found, a phone number as its country code and the digits
+after it, an e-mail address without regard to case, which stays where it was.
 
-The key is a secret of the caller; whoever has it can undo the pseudonyms.
+Left alone: numbers that fail validation, phone numbers without ``+``, and
+secrets such as access tokens.
+
+The key is a secret of the caller (``key_of`` reads it from the session); whoever
+has it can undo the pseudonyms.
 
 Null texts stay null, empty ones empty; texts without personal data are
-unchanged.  Repeated rows are changed alike.  Extra columns are kept.
+unchanged.  Repeated rows are changed alike.  Extra columns are kept; the counts
+are in ``pii``, with underscores before it where the table has that column.
 """
 
 from __future__ import annotations
@@ -21,27 +29,40 @@ import datetime
 import hashlib
 import math
 import re
+import secrets
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 KINDS = ("email", "ip", "phone", "ssn", "date", "card")
 ROUNDS = 10
 FIND = re.compile(
     r"(?P<email>(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]{1,64}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,63})"
-    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?![\d]))"
+    r"|(?P<phone>(?<![\w+])\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{1,4}(?:[ .\-]?\d{2,4}){1,4}(?![\d]))"
     r"|(?P<ip>(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d))"
     r"|(?P<ssn>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))"
     r"|(?P<date>(?<![\w\-/.])(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\w\-/]))"
     r"|(?P<card>(?<!\w)\d(?:[ \-]?\d){12,18}(?!\w))"
 )
+#: Country calling codes of one or two digits; all others have three.
+SHORT_CODES = set("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Session setting that holds the key.
+KEY_SETTING = "spark.seriesloom.pseudonymKey"
 #: A text without these has nothing to find.
 HINT = re.compile(r"[0-9@]")
 FIRST, LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key; where it has none, a random one for this call: pseudonyms are linked within its result only, and nobody can undo them."""
+    key = spark.conf.get(KEY_SETTING, None)
+    return key.encode() if key else secrets.token_bytes(32)
+
+
 class Pseudonyms:
     def __init__(self, key: bytes):
         self.key = hashlib.blake2b(key, digest_size=32).digest()
@@ -70,23 +91,23 @@ class Pseudonyms:
 
     def email(self, text: str) -> str:
         local, at, host = text.partition("@")
-        letters = [c for c in local if c.isalnum()]
-        value = size = 0
-        size = 1
-        for c in letters:
-            base, first = (10, "0") if c.isdigit() else (26, "a" if c.islower() else "A")
-            value, size = value * base + ord(c) - ord(first), size * base
+        small = local.lower()
+        value, size = 0, 1
+        for c in small:
+            if c.isalnum():
+                base, first = (10, "0") if c.isdigit() else (26, "a")
+                value, size = value * base + ord(c) - ord(first), size * base
         if size < 2:
             return text
-        # the form says which places are digits, small or large letters
-        form = re.sub("[0-9]", "9", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", local)))
+        # the form says which places are digits and which letters
+        form = re.sub("[0-9]", "9", re.sub("[a-z]", "a", small))
         value, out = self.permute(value, size, f"email|{form}|{host.lower()}"), []
-        for c in reversed(local):
+        for c, old in zip(reversed(small), reversed(local), strict=True):
             if c.isalnum():
-                base, first = (10, "0") if c.isdigit() else (26, "a" if c.islower() else "A")
+                base, first = (10, "0") if c.isdigit() else (26, "a")
                 value, digit = divmod(value, base)
                 c = chr(ord(first) + digit)
-            out.append(c)
+            out.append(c.upper() if old.isupper() else c)
         return "".join(reversed(out)) + at + host
 
     def ip(self, text: str) -> str | None:
@@ -97,12 +118,15 @@ class Pseudonyms:
         return ".".join(map(str, value.to_bytes(4, "big")))
 
     def phone(self, text: str) -> str | None:
-        code = re.match(r"\+\d{1,3}?(?=[ .\-(])|\+\d", text).group()
-        rest = text[len(code) :]
-        n = len(re.sub(r"\D", "", rest))
-        if not 6 <= n <= 14:
+        own = re.sub(r"\D", "", text)
+        code = next((own[:n] for n in (1, 2) if own[:n] in SHORT_CODES), own[:3])
+        # a trunk zero in brackets is no digit of the number
+        parts = re.split(r"(\(0\))", text)
+        number = re.sub(r"\D", "", "".join(parts[::2]))[len(code) :]
+        if not 6 <= len(number) <= 14:
             return None
-        return code + self.digits(rest, "phone", lambda d: self._number(d, f"phone{code}"))
+        new = iter(code + self._number(number, f"phone{code}"))
+        return "".join(x if i % 2 else re.sub(r"\d", lambda m: next(new), x) for i, x in enumerate(parts))
 
     def ssn(self, text: str) -> str | None:
         def valid(x: int) -> bool:
@@ -127,15 +151,10 @@ class Pseudonyms:
             return None
         if not FIRST <= value <= LAST:
             return None
-        wide = iso or (len(text.split(text[-5])[0]) == 2 and len(text.split(text[-5])[1]) == 2)
-
-        def fits(x: int) -> bool:
-            d = datetime.date.fromordinal(FIRST + x)
-            return wide or (len(str(d.day)), len(str(d.month))) == (len(str(day)), len(str(month)))
-
-        # month-first dates keep a day above 12, so that they are still read so
-        ok = (lambda x: fits(x) and datetime.date.fromordinal(FIRST + x).day > 12) if swapped else fits
-        new = datetime.date.fromordinal(FIRST + self.permute(value - FIRST, LAST - FIRST + 1, "date", ok))
+        wide = iso or all(len(x) == 2 for x in re.split(r"[./]", text)[:2])
+        # days above 12 stay above 12: only these show that the month comes first
+        late = day > 12
+        new = datetime.date.fromordinal(FIRST + self.permute(value - FIRST, LAST - FIRST + 1, "date", lambda x: (datetime.date.fromordinal(FIRST + x).day > 12) == late))
         sep = text[4] if iso else text[-5]
         if iso:
             return f"{new.year:04d}-{new.month:02d}-{new.day:02d}"
@@ -185,7 +204,8 @@ def pseudonymise(docs: DataFrame, key: bytes, counts: bool = True) -> DataFrame:
     columns, at = docs.columns, docs.columns.index("text")
     length_at = columns.index("n_chars") if "n_chars" in columns else -1
     kind = T.StructType([T.StructField(k, T.IntegerType()) for k in KINDS])
-    schema = T.StructType([*docs.schema.fields, *([T.StructField("pii", kind)] if counts else [])])
+    counts_name = free_name(columns, "pii")
+    schema = T.StructType([*docs.schema.fields, *([T.StructField(counts_name, kind)] if counts else [])])
 
     def change(batches):
         own = Pseudonyms(key)
@@ -201,7 +221,7 @@ def pseudonymise(docs: DataFrame, key: bytes, counts: bool = True) -> DataFrame:
             names = list(columns)
             if counts:
                 arrays.append(pa.array([c for _, c in got], pa.struct([(k, pa.int32()) for k in KINDS])))
-                names.append("pii")
+                names.append(counts_name)
             yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return docs.mapInArrow(change, schema)

@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from .common import read_table, shared_dir
 
 
-#: A stand-in: whoever runs this on real data passes a secret of their own.
-DEMO_KEY = b"seriesloom demonstration key"
-
-
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .urls import judge_urls
 
@@ -97,10 +93,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pii import KINDS, pseudonymise
+    """Phone numbers without ``+`` and secrets pass unchanged; the key is that of the session, or random."""
+    from .pii import KINDS, key_of, pseudonymise
 
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long"), "text")
-    return pseudonymise(docs, DEMO_KEY).select("doc_id", *(F.col(f"pii.{k}").alias(f"n_{k}") for k in KINDS), "text")
+    return pseudonymise(docs, key_of(spark)).select("doc_id", *(F.col(f"pii.{k}").alias(f"n_{k}") for k in KINDS), "text")
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -392,6 +392,84 @@ def test_pii_values():
         assert p.mask(left)[0] == left
 
 
+STYLES = [
+    ["2001-03-15", "15/3/2001", "15.03.2001", "3/15/2001", "03/15/2001"],
+    ["1999-02-07", "7/2/1999", "07.02.1999"],
+    ["+44 2012345678", "+442012345678", "+44 (0)20 1234 5678", "+44-20-12345678"],
+    ["+1 202 555 0143", "+12025550143", "+1 (202) 555-0143"],
+    ["+353 1 234 5678", "+35312345678"],
+    ["Ann.Lee9@mail.example.com", "ann.lee9@mail.example.com", "ANN.LEE9@Mail.Example.com"],
+    ["4539 1488 0343 6467", "4539-1488-0343-6467", "4539148803436467"],
+]
+
+
+@pytest.mark.parametrize("styles", STYLES, ids=lambda s: s[0])
+def test_pii_links_styles(styles):
+    """One value, however it is written, has one pseudonym, written in the same style."""
+    import datetime
+
+    p = pii.Pseudonyms(b"k")
+    got = [p.mask(f"on {x}, then")[0][3:-6] for x in styles]
+    assert all(g != s for g, s in zip(got, styles))
+    shape = lambda x: re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub(r"\d", "9", x)))
+    if "2001" in styles[0] or "1999" in styles[0]:
+        day = datetime.date.fromisoformat(got[0])
+        want = {"-": day.isoformat(), "15/3/2001": f"{day.day}/{day.month}/{day.year}", "15.03.2001": f"{day.day:02}.{day.month:02}.{day.year}", "3/15/2001": f"{day.month}/{day.day}/{day.year}", "03/15/2001": f"{day.month:02}/{day.day:02}/{day.year}", "7/2/1999": f"{day.day}/{day.month}/{day.year}", "07.02.1999": f"{day.day:02}.{day.month:02}.{day.year}"}
+        assert got[1:] == [want[s] for s in styles[1:]]
+    else:
+        value = lambda x: x.lower() if "@" in x else re.sub(r"\D", "", x.replace("(0)", ""))
+        assert len({value(g) for g in got}) == 1 and [shape(g) for g in got] == [shape(s) for s in styles]
+
+
+def undo(p, value, size, tweak, valid=lambda x: True):
+    """The network backwards, round by round."""
+    import hashlib
+
+    a = max(2, math.isqrt(size - 1) + 1)
+    while True:
+        left, right = divmod(value, a)
+        for i in reversed(range(pii.ROUNDS)):
+            digest = hashlib.blake2b(f"{tweak}|{size}|{i}|{left}".encode(), key=p.key, digest_size=16).digest()
+            left, right = (right - int.from_bytes(digest, "big")) % a, left
+        value = left * a + right
+        if value < size and valid(value):
+            return value
+
+
+def test_pii_kinds_can_be_undone():
+    """Per kind: the pseudonym is what the network gives for the value alone, and goes back to it."""
+    import datetime
+
+    p, rng = pii.Pseudonyms(b"k"), np.random.default_rng(0)
+    days = pii.LAST - pii.FIRST + 1
+    for x in rng.choice(days, 300, replace=False).tolist():
+        old = datetime.date.fromordinal(pii.FIRST + x)
+        new = datetime.date.fromisoformat(p.date(old.isoformat()))
+        late = lambda y: (datetime.date.fromordinal(pii.FIRST + y).day > 12) == (old.day > 12)  # noqa: E731, B023
+        assert undo(p, new.toordinal() - pii.FIRST, days, "date", late) == x
+    for _ in range(200):
+        ip = ".".join(map(str, rng.integers(0, 256, 4)))
+        number = lambda t: int.from_bytes(bytes(map(int, t.split("."))), "big")
+        assert undo(p, number(p.ip(ip)), 1 << 32, "ip") == number(ip)
+        n = "".join(map(str, rng.integers(0, 10, rng.integers(7, 11))))
+        assert undo(p, int(p.phone("+44" + n)[3:]), 10 ** len(n), f"phone44{len(n)}") == int(n)
+        body = "".join(map(str, rng.integers(0, 10, 15)))
+        card = p.card(body + pii.check_digit(body))
+        assert pii.check_digit(card[:-1]) == card[-1] and undo(p, int(card[:-1]), 10**15, "card15") == int(body)
+        ssn = f"{rng.integers(1, 666):03}-{rng.integers(1, 100):02}-{rng.integers(1, 10000):04}"
+        ok = lambda x: 0 < x // 10**6 < 900 and x // 10**6 != 666 and x // 10_000 % 100 > 0 and x % 10_000 > 0
+        assert undo(p, int(p.ssn(ssn).replace("-", "")), 10**9, "ssn", ok) == int(ssn.replace("-", ""))
+    names = [a + b + str(d) for a in "abcdef" for b in "xyz" for d in range(5)]
+    assert len({p.email(f"{n}@h.org") for n in names}) == len(names)
+
+
+def test_pii_key(spark):
+    assert pii.key_of(spark) != pii.key_of(spark)
+    spark.conf.set(pii.KEY_SETTING, "s3")
+    assert pii.key_of(spark) == b"s3"
+    spark.conf.unset(pii.KEY_SETTING)
+
+
 def test_permutation():
     p = pii.Pseudonyms(b"key")
     for size in (2, 10, 97, 1000):
@@ -406,13 +484,15 @@ def test_pii_table(docs, none, spark):
     texts = {(r["doc_id"]): r["text"] for r in out.collect()}
     assert texts[3] is None and texts[4] == "" and texts[0] == BASE
     assert pii.pseudonymise(none, b"k", counts=False).schema == none.schema
+    clash = pii.pseudonymise(docs.withColumn("pii", F.lit(1)), b"k")
+    assert clash.columns == [*docs.columns, "pii", "_pii"] and clash.where("pii = 1").count() == len(DOCS)
 
 
 VECTORS = [(i, [float(np.float32(np.sin(i * k + k * k))) for k in range(1, 9)]) for i in range(0, 330)] + [(400, None), (401, [1.0, None]), (402, [math.nan] * 8), (403, [math.inf] * 8), (None, [1.0] * 8), (500, [0.5] * 8), (501, [0.5] * 8), (600, [1.0, 2.0]), (700, [])]
 
 
 @pytest.mark.parametrize(("shard", "block"), [(8192, 2048), (50, 2)])
-def test_top_k(spark, shard, block):
+def test_top_k(spark, monkeypatch, shard, block):
     rows = spark.createDataFrame([(i, v, 1) for i, v in VECTORS], "vec_id long, embedding array<float>, rank int")
     valid = topk.valid_vectors(rows)
     got = collections.defaultdict(list)
@@ -425,9 +505,38 @@ def test_top_k(spark, shard, block):
             scored = sorted((-sum(a * b for a, b in zip(ok[q], v)), i) for i, v in ok.items() if i != q)[:10]
             want[q] = [(n, i, -s) for n, (s, i) in enumerate(scored, 1)]
     assert {q: sorted(v) for q, v in got.items()} == want
+    monkeypatch.setattr(topk, "CELLS", 3000)  # vectors of different lengths get shards of their own
+    again = topk.top_k(valid.where("id % 100 = 0"), valid, query_block=block, shard=shard).collect()
+    assert sorted((r["rank"], r["vec_id"], r["score"]) for r in again) == sorted(x for v in want.values() for x in v)
     assert topk.top_k(valid.limit(0), valid).count() == 0 and topk.top_k(valid.where("id = 0"), valid.limit(0)).count() == 0
 
 
+def test_search_stops_early():
+    """Vectors with few large components: the proof comes before the segments are done."""
+    rng = np.random.default_rng(0)
+    values = (rng.standard_normal((2000, 32)) ** 5 * 50).astype(np.int64)
+    order = np.argsort(-values, axis=0, kind="stable").T
+    ends = np.tile(np.linspace(0, 2000, topk.LEVELS + 1).astype("<i4")[1:], (32, 1))
+    shard = topk.Shard(np.arange(2000, dtype="<i8").tobytes(), 2000, 32, values.astype("<i4").tobytes(), order.astype("<i4").tobytes(), ends.tobytes())
+    total = 0
+    for i in range(50):
+        scores, ids, read = shard.search(values[i], i, 10, None)
+        total += read
+        want = sorted(((-int(values[j] @ values[i]), j) for j in range(2000) if j != i))[:10]
+        assert sorted(zip((-scores).tolist(), ids.tolist()))[:10] == want
+    assert total < 50 * 2000 * 32 / 4
+
+
+def test_large_components(spark):
+    big = spark.createDataFrame([(0, [3e38]), (1, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="too large"):
+        topk.valid_vectors(big).collect()
+    wide = spark.createDataFrame([(100, [float(1 << 30)] * 4), (1, [float(1 << 30)] * 4)], "vec_id long, embedding array<double>")
+    valid = topk.valid_vectors(wide)
+    with pytest.raises(Exception, match="64-bit"):
+        topk.top_k(valid.where("id = 100"), valid).collect()
+
+
 def test_url_rules(spark):
     cases = [
         ("http://A.Example.NET/en/1?x", "a.example.net", "/en/1", "example.net/en/", "allow"),
