@@ -11,8 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from seriesloom.llm.common import materialise, read_table
 from seriesloom.llm.decontaminate import decontaminate
 from seriesloom.llm.packing import pack_documents
-from seriesloom.llm.pii import pseudonymise
-from seriesloom.llm.queries import DEMO_KEY
+from seriesloom.llm.pii import key_of, pseudonymise
 from seriesloom.llm.simhash import keep_one
 from seriesloom.llm.toxicity import drop_toxic
 
@@ -30,7 +29,7 @@ def remove_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pseudonymise(docs, DEMO_KEY, counts=False)
+    return pseudonymise(docs, key_of(spark), counts=False)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
