@@ -8,7 +8,8 @@ match as a whole.  Runs between words that no item holds are taken one by one,
 as no match crosses such a word, and runs too short for any window are passed.
 
 The automaton is sent to executors in blocks of at most ``BLOCK_WORDS`` item
-words; a larger benchmark takes one pass over the documents per block.
+words; a larger benchmark takes one pass over the documents per block.  Nearly all
+states have one step only, which is kept in flat arrays.
 
 Null and empty texts have no words and no hits.  Repeated items count once by
 item_id; an item without id covers words but is not listed.  Repeated documents
@@ -20,6 +21,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -27,9 +29,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, materialise
+from .common import as_bytes, free_name, materialise
 
-BLOCK_WORDS = 1_000_000
+BLOCK_WORDS = 300_000
 #: Bytes of words keep their place, A-Z in lower case; all others become spaces.
 WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 FOUND = "doc_id long, n_words long, n_hit long, item_ids array<string>, spans array<struct<start:long,end:long>>"
@@ -45,8 +47,9 @@ class Automaton:
     def __init__(self, items: list[tuple[str | None, list[bytes]]], window: int):
         self.window = window
         self.vocabulary = {w: i for i, w in enumerate(dict.fromkeys(w for _, ws in items for w in ws))}
-        self.step: list[dict[int, int]] = [{}]
-        self.link, self.length = [-1], [0]
+        # a state's first step; those with more have them all in `steps`
+        self.word, self.to, self.steps = array("i", [-1]), array("i", [-1]), {0: {}}
+        self.link, self.length = array("i", [-1]), array("i", [0])
         coded = [(name, [self.vocabulary[w] for w in ws]) for name, ws in items if ws]
         for _, ws in coded:
             at = 0
@@ -54,8 +57,9 @@ class Automaton:
                 at = self._extend(at, w)
         # the suffix of `window` words of a state's longest string lies in this state
         n = len(self.link)
-        self.window_state = [-1] * n
-        for v in sorted(range(1, n), key=self.length.__getitem__):
+        self.window_state = array("i", [-1]) * n
+        by_length = np.argsort(np.frombuffer(self.length, np.int32), kind="stable").tolist()[1:]
+        for v in by_length:
             if self.length[v] >= window:
                 up = self.window_state[self.link[v]]
                 self.window_state[v] = v if up < 0 else up
@@ -64,7 +68,7 @@ class Automaton:
         for name, ws in coded:
             at = 0
             for i, w in enumerate(ws):
-                at = self.step[at][w]
+                at = self._next(at, w)
                 if i + 1 >= window and name is not None:
                     self.items.setdefault(self.window_state[at], set()).add(name)
             if len(ws) < window:
@@ -73,34 +77,50 @@ class Automaton:
                 ends.setdefault(at, {}).setdefault(len(ws), set()).update([] if name is None else [name])
         # short items that end in a state or in one it links to, longest first
         self.short: dict[int, list[tuple[int, set[str]]]] = {}
-        for v in sorted(range(1, n), key=self.length.__getitem__) if ends else ():
+        for v in by_length if ends else ():
             if got := sorted(ends.get(v, {}).items(), reverse=True) + self.short.get(self.link[v], []):
                 self.short[v] = got
         self.shortest = min([window, *(len(ws) for _, ws in coded)])
 
+    def _next(self, state: int, w: int) -> int:
+        """-1 where the state has no step by that word."""
+        if (more := self.steps.get(state)) is not None:
+            return more.get(w, -1)
+        return self.to[state] if self.word[state] == w else -1
+
+    def _set(self, state: int, w: int, to: int) -> None:
+        if (more := self.steps.get(state)) is not None:
+            more[w] = to
+        elif self.word[state] in (-1, w):
+            self.word[state], self.to[state] = w, to
+        else:
+            self.steps[state] = {self.word[state]: self.to[state], w: to}
+
+    def _new(self, link: int, length: int) -> int:
+        for kept, value in ((self.word, -1), (self.to, -1), (self.link, link), (self.length, length)):
+            kept.append(value)
+        return len(self.link) - 1
+
     def _copy(self, p: int, q: int, w: int) -> int:
-        self.step.append(dict(self.step[q]))
-        self.link.append(self.link[q])
-        self.length.append(self.length[p] + 1)
-        c = len(self.link) - 1
+        c = self._new(self.link[q], self.length[p] + 1)
+        self.word[c], self.to[c] = self.word[q], self.to[q]
+        if q in self.steps:
+            self.steps[c] = dict(self.steps[q])
         self.link[q] = c
-        while p >= 0 and self.step[p].get(w) == q:
-            self.step[p][w] = c
+        while p >= 0 and self._next(p, w) == q:
+            self._set(p, w, c)
             p = self.link[p]
         return c
 
     def _extend(self, last: int, w: int) -> int:
-        if (q := self.step[last].get(w)) is not None:
+        if (q := self._next(last, w)) >= 0:
             return q if self.length[q] == self.length[last] + 1 else self._copy(last, q, w)
-        self.step.append({})
-        self.link.append(0)
-        self.length.append(self.length[last] + 1)
-        new, p = len(self.link) - 1, last
-        while p >= 0 and w not in self.step[p]:
-            self.step[p][w] = new
+        new, p = self._new(0, self.length[last] + 1), last
+        while p >= 0 and self._next(p, w) < 0:
+            self._set(p, w, new)
             p = self.link[p]
         if p >= 0:
-            q = self.step[p][w]
+            q = self._next(p, w)
             self.link[new] = q if self.length[q] == self.length[p] + 1 else self._copy(p, q, w)
         return new
 
@@ -112,14 +132,14 @@ class Automaton:
         known = np.flatnonzero(np.diff(np.concatenate([[0], (ids >= 0).view(np.int8), [0]])))
         starts, ends = known[::2], known[1::2]
         long_enough = ends - starts >= self.shortest
-        step, link, length, window, states = self.step, self.link, self.length, self.window, self.window_state
+        link, length, window, states, step = self.link, self.length, self.window, self.window_state, self._next
         for a, b in zip(starts[long_enough].tolist(), ends[long_enough].tolist(), strict=True):
             at = n = 0
             for i, w in enumerate(ids[a:b].tolist(), a + 1):
-                while at and w not in step[at]:
+                while (to := step(at, w)) < 0 and at:
                     at = link[at]
                     n = length[at]
-                if (to := step[at].get(w)) is None:
+                if to < 0:
                     continue
                 at, n = to, n + 1
                 best = n if n >= window else 0
@@ -150,14 +170,15 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
 
 
 def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
-    """``docs`` with the column ``__hits``: {words, spans as flat bounds, items}; one pass per block."""
+    """``docs`` with a last column of hits: {words, spans as flat bounds, items}; one pass per block."""
+    name, plain = free_name(docs.columns, "own_hits"), docs.schema.fields
     hits = T.StructType([T.StructField("words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
     blocks = _blocks(benchmark, block_words)
     spark = docs.sparkSession
     for k, block in enumerate(blocks):
         items = [(r["item_id"], words_of(r["text"].encode())) for r in block.collect()]  # of a block's size at most
         shared = spark.sparkContext.broadcast(Automaton(items, window))
-        schema = docs.schema if "__hits" in docs.columns else T.StructType([*docs.schema.fields, T.StructField("__hits", hits)])
+        schema = T.StructType([*plain, T.StructField(name, hits)])
 
         def scan(batches, shared=shared, at=docs.columns.index("text"), first=not k):
             for batch in batches:
@@ -174,7 +195,7 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int)
                 kind = pa.struct([("words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
                 columns = batch.columns if first else batch.columns[:-1]
                 names = batch.schema.names if first else batch.schema.names[:-1]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[*names, "__hits"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[*names, name])
 
         docs = docs.mapInArrow(scan, schema)
         if k + 1 < len(blocks):
@@ -195,10 +216,10 @@ def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = BLOCK_WORDS) -> DataFrame:
     """A row per document: its words, hit words, items with occurring windows and hit spans (in words)."""
     found = _scan(docs.select(F.col("doc_id").cast("long"), "text"), benchmark, window, block_words)
-    bounds = F.col("__hits.spans")
+    bounds = F.col("own_hits.spans")
     spans = F.transform(F.sequence(F.lit(0), F.size(bounds) - 2, F.lit(2)), lambda i: F.struct(bounds[i].alias("start"), bounds[i + 1].alias("end")))
     spans = F.when(F.size(bounds) > 0, spans).otherwise(F.array().cast("array<struct<start:long,end:long>>"))
-    out = found.select("doc_id", F.col("__hits.words").alias("n_words"), F.col("__hits.items").alias("item_ids"), spans.alias("spans"))
+    out = found.select("doc_id", F.col("own_hits.words").alias("n_words"), F.col("own_hits.items").alias("item_ids"), spans.alias("spans"))
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["end"] - s["start"])
     return out.select("doc_id", "n_words", hit.alias("n_hit"), "item_ids", "spans")
 

@@ -2,18 +2,23 @@
 
 DataFrame functions and Spark's FP-growth only.  A URL becomes a set of tokens
 (scheme, host names, site, path names, extension, query keys).  FP-growth mines
-the tokens of labelled URLs together with a block mark; rules "tokens -> block"
-stay if they reach the support and confidence wanted and no rule on fewer of
-their tokens is as confident.  An inverted index maps each rule's least frequent
-token to the rule's other tokens; a URL is blocked if a rule found through one of
-its tokens has all its tokens there.  Up to ``INDEX_RULES`` rules the index is a
-folded map literal, so judging is one pass without a shuffle; more rules are
-joined on the indexed token.
+the tokens of labelled URLs together with a block mark.  Tokens in nearly all
+labelled URLs or in too few of those to block are left out, and tokens of exactly
+the same labelled URLs count as one (the first by name), so that no template of
+tokens that always come together multiplies itemsets.  Rules "tokens -> block"
+stay if they reach the support and confidence wanted, if the lower end of the
+confidence's 95 % interval is ``min_lift`` times the share of URLs to block at
+least, and if no rule on fewer of their tokens is as confident.  An inverted index
+maps each rule's least frequent token to the rule's other tokens; a URL is blocked
+if a rule found through one of its tokens has all its tokens there.  Up to
+``INDEX_RULES`` rules the index is a folded map literal, so judging is one pass
+without a shuffle; more rules are joined on the indexed token.
 
 A null URL or one without "://" has empty host and path, no tokens and the
 verdict allow.  Repeated rows are judged alike.  Repeated labels of an id count
 as block if one of them does; null labels do not.  Without labelled URLs no rule
-is mined.  Extra columns are dropped by the query and kept by ``judge_urls``.
+is mined.  Extra columns are dropped by the query and kept by ``judge_urls``, but
+for host, path, rule and verdict, which it replaces.
 """
 
 from __future__ import annotations
@@ -22,11 +27,13 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import free_name, materialise
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLOCK = "=block"
 INDEX_RULES = 4096
+#: A token in a larger share of the labelled URLs tells nothing.
+COMMON = 0.9
 #: (host, path, verdict)
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -68,26 +75,45 @@ def url_tokens(url: Column) -> Column:
     return F.when(F.instr(url, "://") > 0, F.array_distinct(tokens)).otherwise(F.array().cast("array<string>"))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5) -> DataFrame:
+def _lowest(p: Column, n: Column, z: float = 1.96) -> Column:
+    """Lower end of Wilson's interval of a share ``p`` of ``n``."""
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def _telling(baskets: DataFrame, total: int, least: float) -> list[str]:
+    """Tokens that are worth mining: each basket has few, so these are some tokens a basket over the support at most."""
+    tokens = baskets.select("id", "block", F.explode("items").alias("token"))
+    alike = F.sum(F.xxhash64("id").cast("decimal(38,0)"))
+    tokens = tokens.groupBy("token").agg(F.count("id").alias("n"), F.count(F.when(F.col("block"), 1)).alias("bad"), alike.alias("where"))
+    tokens = tokens.where((F.col("n") <= COMMON * total) & (F.col("bad") >= least))
+    return [r["token"] for r in tokens.groupBy("n", "where").agg(F.min("token").alias("token")).collect()]
+
+
+def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, min_lift: float = 1.5) -> DataFrame:
     """(items, confidence, support) of rules to block, of any length, but for those that a part of their items is as sure of. ``labelled``: url, block (boolean)."""
     spark = labelled.sparkSession
-    baskets = labelled.select(F.when(F.col("block"), F.concat(url_tokens(F.col("url")), F.array(F.lit(BLOCK)))).otherwise(url_tokens(F.col("url"))).alias("items")).where(F.size("items") > 0)
-    baskets = materialise(baskets, "baskets")
-    kind = "items array<string>, confidence double, support double"
-    if baskets.isEmpty():
-        return spark.createDataFrame([], kind)
-    # unsure rules too: they carry the best confidence of their parts on to longer ones
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=0.0).fit(baskets)
-    rules = model.associationRules.where(F.element_at("consequent", 1) == BLOCK)
-    rules = materialise(rules.select(F.array_sort("antecedent").alias("items"), "confidence", "support"), "rules")
+    baskets = labelled.select(url_tokens(F.col("url")).alias("items"), F.coalesce("block", F.lit(False)).alias("block"))
+    baskets = materialise(baskets.where(F.size("items") > 0).withColumn("id", F.monotonically_increasing_id()), "baskets")
+    total, bad = baskets.agg(F.count("id"), F.count(F.when(F.col("block"), 1))).first()
+    telling = _telling(baskets, total, min_support * total) if bad else []
+    if not telling:
+        return spark.createDataFrame([], "items array<string>, confidence double, support double")
+    own = F.array_intersect("items", F.array(*map(F.lit, telling)))
+    marked = baskets.select(F.when(F.col("block"), F.concat(own, F.array(F.lit(BLOCK)))).otherwise(own).alias("items"))
+    sets = materialise(FPGrowth(itemsCol="items", minSupport=min_support).fit(marked).freqItemsets, "itemsets")
+    with_mark = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("items"), F.col("freq").alias("bad"))
+    rules = with_mark.join(sets.where(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("items"), F.col("freq").alias("n")), "items")
+    rules = rules.select("items", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / F.lit(total)).alias("support"), "n")
+    rules = materialise(rules.withColumn("sure", (F.col("confidence") >= min_confidence) & (_lowest(F.col("confidence"), F.col("n")) >= min_lift * bad / total)).drop("n"), "rules")
     longest = rules.agg(F.coalesce(F.max(F.size("items")), F.lit(0))).first()[0]
-    kept = rules.where((F.size("items") == 1) & (F.col("confidence") >= min_confidence))
+    # unsure rules too: they carry the best confidence of their parts on to longer ones
+    kept = rules.where((F.size("items") == 1) & F.col("sure")).drop("sure")
     best = rules.where(F.size("items") == 1).select(F.col("items").alias("part"), F.col("confidence").alias("top"))
     for size in range(2, longest + 1):
         parts = rules.where(F.size("items") == size).withColumn("part", F.explode(F.transform("items", lambda x: F.array_remove("items", x))))
-        level = parts.join(best, "part", "left").groupBy("items", "confidence", "support").agg(F.coalesce(F.max("top"), F.lit(0.0)).alias("below"))
+        level = parts.join(best, "part", "left").groupBy("items", "confidence", "support", "sure").agg(F.coalesce(F.max("top"), F.lit(0.0)).alias("below"))
         level = materialise(level, "level")
-        kept = kept.union(level.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("below"))).select("items", "confidence", "support"))
+        kept = kept.union(level.where(F.col("sure") & (F.col("confidence") > F.col("below"))).select("items", "confidence", "support"))
         best = level.select(F.col("items").alias("part"), F.greatest("confidence", "below").alias("top"))
     return kept
 
@@ -101,27 +127,28 @@ def _index(rules: DataFrame) -> DataFrame:
     return tokens.join(often, "token").withColumn("n", F.row_number().over(first)).where("n = 1").select("rule", "token", F.array_remove("items", F.col("token")).alias("rest"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=HOST_RULES, min_support: float = 0.005, min_confidence: float = 0.5) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=HOST_RULES, min_support: float = 0.005, min_confidence: float = 0.5, min_lift: float = 1.5) -> DataFrame:
     """``pages`` with host, path, rule and verdict. ``labels``: (doc_id, quality, toxic) of pages by page_id; low quality or toxic is to block."""
     bad = F.max((F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))).cast("int")) == 1
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("block"))
     labelled = pages.select("page_id", "url").where("url is not null").join(marks, "page_id").select("url", "block")
-    index = materialise(_index(mine_rules(labelled, min_support, min_confidence)), "index")
+    index = materialise(_index(mine_rules(labelled, min_support, min_confidence, min_lift)), "index")
     tokens = url_tokens(F.col("url"))
+    own, hits = free_name(pages.columns, "own_tokens"), free_name(pages.columns, "own_hit")
     if index.count() <= INDEX_RULES:
         found = index.groupBy("token").agg(F.collect_list("rest").alias("rests")).collect()  # of INDEX_RULES rules at most
         if found:
             table = F.map_from_arrays(F.array(*(F.lit(r["token"]) for r in found)), F.array(*(F.array(*(F.array(*(F.lit(x) for x in rest)).cast("array<string>") for rest in r["rests"])) for r in found)))
-            hit = F.exists("__tokens", lambda t: F.coalesce(F.exists(F.try_element_at(table, t), lambda rest: F.size(F.array_except(rest, "__tokens")) == 0), F.lit(False)))
-            judged = pages.withColumn("__tokens", tokens).withColumn("__hit", hit).drop("__tokens")
+            hit = F.exists(own, lambda t: F.coalesce(F.exists(F.try_element_at(table, t), lambda rest: F.size(F.array_except(rest, own)) == 0), F.lit(False)))
+            judged = pages.withColumn(own, tokens).withColumn(hits, hit).drop(own)
         else:
-            judged = pages.withColumn("__hit", F.lit(False))
+            judged = pages.withColumn(hits, F.lit(False))
     else:
         urls = pages.select("url").where("url is not null").distinct().withColumn("tokens", tokens)
         posted = urls.select("url", "tokens", F.explode("tokens").alias("token")).join(index, "token")
-        blocked = posted.where(F.size(F.array_except("rest", "tokens")) == 0).select("url").distinct().withColumn("__found", F.lit(True))
-        judged = pages.join(blocked, "url", "left").withColumn("__hit", F.coalesce("__found", F.lit(False))).drop("__found")
+        blocked = posted.where(F.size(F.array_except("rest", "tokens")) == 0).select("url").distinct().withColumn(hits, F.lit(True))
+        judged = pages.join(blocked, "url", "left").withColumn(hits, F.coalesce(hits, F.lit(False)))
     host, path = url_parts(F.col("url"))
     judged = judged.withColumns({"host": host, "path": path})
     rule, verdict = host_rule(F.col("host"), F.col("path"), rules)
-    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col("__hit"), "block").otherwise("allow"))}).drop("__hit")
+    return judged.withColumns({"rule": rule, "verdict": F.coalesce(verdict, F.when(F.col(hits), "block").otherwise("allow"))}).drop(hits)

@@ -151,6 +151,24 @@ def brute_hits(text, bench, window=10):
     return len(words), hit, items
 
 
+def test_automaton_by_brute_force():
+    rng = np.random.default_rng(0)
+    items = [(str(i), [bytes([97 + x]) for x in rng.integers(0, 4, n)]) for i, n in enumerate(rng.integers(0, 40, 30))]
+    a = decontaminate.Automaton(items, 6)
+    for _ in range(30):
+        words = [bytes([97 + x]) for x in rng.integers(0, 5, 200)]
+        spans, found = a.scan(words)
+        hit, names = set(), set()
+        for name, ws in items:
+            m = min(6, len(ws))
+            for k in range(len(ws) - m + 1) if ws else ():
+                for p in range(len(words) - m + 1):
+                    if words[p : p + m] == ws[k : k + m]:
+                        hit |= set(range(p, p + m))
+                        names.add(name)
+        assert {x for s, e in spans for x in range(s, e)} == hit and found == names
+
+
 @pytest.mark.parametrize("block_words", [10**6, 20])
 def test_contamination(docs, none, spark, block_words):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
@@ -167,6 +185,8 @@ def test_contamination(docs, none, spark, block_words):
 
 def test_decontaminate(docs, spark):
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
+    clash = decontaminate.decontaminate(docs.withColumn("own_hits", F.lit(1)), bench, block_words=20)
+    assert clash.columns == [*docs.columns, "own_hits"] and clash.where("own_hits <> 1").count() == 0
     out = decontaminate.decontaminate(docs, bench, max_coverage=0.8)
     assert out.columns == docs.columns
     texts = {r["doc_id"]: r["text"] for r in out.collect()}
@@ -575,6 +595,39 @@ def test_url_mining(spark, monkeypatch, limit):
     assert got[3] == "block" and got[2] == "allow"
 
 
+def test_mining_equals_all_itemsets(spark):
+    """Every set of tokens, counted one by one."""
+    import itertools
+
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(300):
+        parts = [f"{c}{rng.integers(3)}" for c in "abc"] + (["t1", "t2"] if rng.random() < 0.3 else [])
+        rows.append(("http://x.com/" + "/".join(parts), bool(rng.random() < (0.9 if parts[0] == "a1" and parts[2] == "c2" else 0.8 if "t1" in parts else 0.1))))
+    sets = [(set(u.split("/")[3:]) - {"t2"}, b) for u, b in rows]  # t1 and t2 always come together
+    base, tokens = sum(b for _, b in sets) / 300, sorted(set().union(*(t for t, _ in sets)))
+    found = {}
+    for size in range(1, 5):
+        for c in itertools.combinations(tokens, size):
+            marks = [b for t, b in sets if t >= set(c)]
+            if sum(marks) >= 0.02 * 300:
+                p, n, z = sum(marks) / len(marks), len(marks), 1.96
+                low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+                found[c] = (p, p >= 0.5 and low >= 1.5 * base)
+    want = {c for c, (p, sure) in found.items() if sure and all(found[d][0] < p for d in found if set(d) < set(c))}
+    got = urls.mine_rules(spark.createDataFrame(rows, "url string, block boolean"), 0.02).collect()
+    assert {tuple(x[5:] for x in r["items"]) for r in got} == want and len(want) > 2
+    assert all(r["confidence"] == pytest.approx(found[tuple(x[5:] for x in r["items"])][0]) for r in got)
+
+
+def test_url_columns_of_the_same_name(spark):
+    pages = spark.createDataFrame([(0, "http://b.net/x", "a", 1, 2)], "page_id long, url string, host string, own_hit int, own_tokens int")
+    labels = spark.createDataFrame([(0, 0, 1)], "doc_id long, quality int, toxic int")
+    got = urls.judge_urls(pages, labels)
+    assert sorted(got.columns) == sorted([*pages.columns, "path", "rule", "verdict"])
+    assert got.first()["host"] == "b.net" and got.first()["own_hit"] == 1
+
+
 def test_url_rules_of_four_tokens(spark):
     """Only four path names together tell; no three of them reach the confidence."""
     names = [(a, b, c, d) for a in range(3) for b in range(3) for c in range(3) for d in range(3)]
