@@ -13,11 +13,14 @@ alone) and common prefixes by Kasai's rule, run in lanes side by side.
 Neighbours with a common prefix of ``length`` bytes or more are one class; a
 class with two strings, or one of a merged segment, is a repeat.  An anchor whose
 segments have more bytes than half a shard is split: its shards also hand on one digest
-for each class, and these are merged across shards by binary search.
+for each class, and the sorted digests are merged across shards by binary search.
 
-Results are exact but for 64-bit digests of equal-anchor segments and 128-bit
-ones of strings, which stand for the bytes.  Memory is bounded by a shard, a
-batch of texts or a single text.
+Inside a shard bytes are compared.  Elsewhere digests stand for them: 112 bits for
+segments of one anchor, 128 bits for strings across shards of one anchor.  Of n
+segments of an anchor two different ones are taken for equal with a chance below
+n * n / 2**113, so below 1e-15 for a billion of them.  Memory is bounded by a
+shard, a batch of texts or a single text.  A frequent anchor's rows meet its list
+of marks in a plain join of two stored tables, which Spark splits where it is skewed.
 
 Null texts count as empty.  Texts shorter than ``length`` are never changed.
 Repeated rows remove each other.  Extra columns and null ids do not matter.  An
@@ -43,6 +46,8 @@ BATCH_BYTES = 1 << 22
 #: Lanes in which common prefixes are found.
 LANES = 8192
 DEPTH = 5
+#: Low bits of a segment's ``size`` that hold its number of strings; the others are part of its digest.
+COUNT_BITS = 16
 
 
 def _words(text: np.ndarray) -> np.ndarray:
@@ -95,12 +100,15 @@ def _segments(texts: list[bytes], length: int):
 
 
 def segments(base: DataFrame, length: int) -> DataFrame:
-    """(h, dig, row, first, starts) of every segment."""
+    """(h, dig, size, row, first) of every segment: ``dig`` and the high bits of ``size`` are its digest, the low bits its number of strings."""
+    if length - GRAM >= 1 << COUNT_BITS:
+        raise ValueError("strings are too long")
+    low = (1 << 64 - COUNT_BITS) - 1
 
     def cut(batches):
-        from xxhash import xxh3_64_intdigest
+        from xxhash import xxh3_128_intdigest
 
-        names = ["h", "dig", "row", "first", "starts"]
+        names = ["h", "dig", "size", "row", "first"]
         for batch in batches:
             rows, texts = batch.column(0).to_pylist(), as_bytes(batch.column(1))
             a = 0
@@ -113,15 +121,16 @@ def segments(base: DataFrame, length: int) -> DataFrame:
                 for i, h, first, starts in _segments(texts[a:b], length):
                     view = memoryview(texts[a + i])
                     got[0].append(h.view(np.int64))
-                    got[1].append(np.array([xxh3_64_intdigest(view[x : x + n + length - 1]) for x, n in zip(first.tolist(), starts.tolist(), strict=True)], np.uint64).view(np.int64))
-                    got[2].append(np.full(len(h), rows[a + i], np.int64))
-                    got[3].append(first)
-                    got[4].append(starts)
+                    digests = [xxh3_128_intdigest(view[x : x + n + length - 1]) for x, n in zip(first.tolist(), starts.tolist(), strict=True)]
+                    got[1].append(np.array([d >> 64 for d in digests], np.uint64).view(np.int64))
+                    got[2].append((np.array([d & low for d in digests], np.uint64) << np.uint64(COUNT_BITS) | starts.astype(np.uint64)).view(np.int64))
+                    got[3].append(np.full(len(h), rows[a + i], np.int64))
+                    got[4].append(first)
                 if got[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(g), pa.int64()) for g in got], names=names)
                 a = b
 
-    return base.select("row", "text").mapInArrow(cut, "h long, dig long, row long, first long, starts long")
+    return base.select("row", "text").mapInArrow(cut, "h long, dig long, size long, row long, first long")
 
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +232,7 @@ def _intervals(mask: np.ndarray) -> np.ndarray:
 
 
 def _repeats(pieces: DataFrame, length: int) -> DataFrame:
-    """From (h, salt, split, dig, n, piece), dealt by (h, salt): marks (h, dig, lo, hi) of repeated starts, and of split anchors class digests (d1, d2) with hi = lo + 1."""
+    """From (h, salt, split, dig, size, n, piece), dealt by (h, salt): marks (h, dig, size, lo, hi) of repeated starts, and of split anchors class digests with hi = lo + 1."""
 
     def work(batches):
         from xxhash import xxh3_128_digest
@@ -232,42 +241,41 @@ def _repeats(pieces: DataFrame, length: int) -> DataFrame:
         size, last = 0, None
 
         def flush():
-            keys = [x[:4] for x in held]
-            parts = [x[5] for x in held]
+            keys = [x[:5] for x in held]
+            parts = [x[6] for x in held]
             held.clear()
             starts = np.array([len(p) - length + 1 for p in parts])
-            repeated, klass, at, text = shard_repeats(parts, starts, np.array([k[3] for k in keys]), length)
+            repeated, klass, at, text = shard_repeats(parts, starts, np.array([k[4] for k in keys]), length)
             out: list[tuple] = []
             ends = np.cumsum(starts)
             data = memoryview(text.tobytes())
             done: set[int] = set()
-            for (h, split, dig, _), a, b in zip(keys, (ends - starts).tolist(), ends.tolist(), strict=True):
+            for (h, split, dig, size, _), a, b in zip(keys, (ends - starts).tolist(), ends.tolist(), strict=True):
                 for lo, hi in _intervals(repeated[a:b]).tolist():
-                    out.append((h, dig, lo, hi, None, None, None))
+                    out.append((h, dig, size, lo, hi, None, None))
                 if split:
                     for s in range(a, b):
                         if (c := int(klass[s])) not in done:
                             done.add(c)
-                            d = xxh3_128_digest(data[at[s] : at[s] + length])
-                            out.append((h, dig, s - a, s - a + 1, int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True), bool(repeated[s])))
+                            out.append((h, dig, size, s - a, s - a + 1, xxh3_128_digest(data[at[s] : at[s] + length]), bool(repeated[s])))
             for i in range(0, len(out), 50_000):
                 cols = list(zip(*out[i : i + 50_000], strict=True))
-                kinds = [pa.int64()] * 6 + [pa.bool_()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["h", "dig", "lo", "hi", "d1", "d2", "known"])
+                kinds = [pa.int64()] * 5 + [pa.binary(), pa.bool_()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["h", "dig", "size", "lo", "hi", "digest", "known"])
 
         for batch in batches:
-            cols = [batch.column(i).to_pylist() for i in range(6)]
-            for h, salt, split, dig, n, piece in zip(*cols, strict=True):
+            cols = [batch.column(i).to_pylist() for i in range(7)]
+            for h, salt, split, dig, own, n, piece in zip(*cols, strict=True):
                 if held and ((h, salt) != last and size > SHARD_BYTES // 2 or size + len(piece) > SHARD_BYTES):
                     yield from flush()
                     size = 0
                 last = (h, salt)
-                held.append((h, split, dig, n, salt, piece))
+                held.append((h, split, dig, own, n, salt, piece))
                 size += len(piece)
         if held:
             yield from flush()
 
-    return pieces.mapInArrow(work, "h long, dig long, lo long, hi long, d1 long, d2 long, known boolean")
+    return pieces.mapInArrow(work, "h long, dig long, size long, lo long, hi long, digest binary, known boolean")
 
 
 def _across(classes: DataFrame) -> DataFrame:
@@ -278,29 +286,23 @@ def _across(classes: DataFrame) -> DataFrame:
 
         def flush(rows: list[pa.RecordBatch]):
             table = pa.Table.from_batches(rows).combine_chunks().to_batches()[0]
-            # sorted already; equal digests get one number, whose range is found by binary search
-            d1, d2 = table.column(4).to_numpy(), table.column(5).to_numpy()
-            new = np.concatenate([[True], (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])])
-            number = np.cumsum(new)
-            left, right = np.searchsorted(number, number, "left"), np.searchsorted(number, number, "right")
-            twice = (right - left > 1) & ~table.column(6).to_numpy(zero_copy_only=False)
-            return table.select(["h", "dig", "lo", "hi"]).filter(pa.array(twice))
+            digests = np.array(table.column(5).to_pylist(), "S16")  # the shards' classes in one sorted row
+            others = np.searchsorted(digests, digests, "right") - np.searchsorted(digests, digests, "left") > 1
+            return table.select(["h", "dig", "size", "lo", "hi"]).filter(pa.array(others & ~table.column(6).to_numpy(zero_copy_only=False)))
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            first = (batch.column(4)[0].as_py(), batch.column(5)[0].as_py())
-            end = (batch.column(4)[-1].as_py(), batch.column(5)[-1].as_py())
-            if held and first != last:
+            if held and batch.column(5)[0].as_py() != last:
                 yield flush(held)
                 held = []
             held.append(batch)
-            last = end
+            last = batch.column(5)[-1].as_py()
         if held:
             yield flush(held)
 
-    dealt = classes.repartition("d1", "d2").sortWithinPartitions("d1", "d2")
-    return dealt.mapInArrow(merge, "h long, dig long, lo long, hi long")
+    dealt = classes.repartition("digest").sortWithinPartitions("digest")
+    return dealt.mapInArrow(merge, "h long, dig long, size long, lo long, hi long")
 
 
 def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
@@ -308,36 +310,42 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     base = materialise(base.withColumn("row", F.monotonically_increasing_id()), "texts")
     found = segments(base, length)
-    often = found.groupBy("h").count().where("count > 1").select("h")
+    often = materialise(found.groupBy("h").count().where("count > 1").select("h"), "often")
     found = materialise(found.join(often, "h", "left_semi"), "segments")
-    distinct = found.groupBy("h", "dig").agg(F.count("row").alias("n"), F.min(F.struct("row", "first", "starts")).alias("at"))
-    distinct = materialise(distinct.select("h", "dig", "n", "at.*"), "distinct")
-    total = distinct.agg(F.coalesce(F.sum(F.col("starts") + length), F.lit(0))).first()[0]
+    discard(often)
+    segment, starts = ["h", "dig", "size"], F.col("size").bitwiseAND((1 << COUNT_BITS) - 1)
+    distinct = found.groupBy(*segment).agg(F.count("row").alias("n"), F.min(F.struct("row", "first")).alias("at"))
+    distinct = materialise(distinct.select(*segment, "n", "at.*"), "distinct")
+    total = distinct.agg(F.coalesce(F.sum(starts + length), F.lit(0))).first()[0]
     # a shard is begun at a new anchor once it is half full, so an anchor of half a shard at most is never cut
     half = SHARD_BYTES // 2
-    split = distinct.groupBy("h").agg(F.sum(F.col("starts") + (length - 1)).alias("size")).where(F.col("size") > half).select("h", F.ceil(F.col("size") / half).alias("parts"))
+    split = distinct.groupBy("h").agg(F.sum(starts + (length - 1)).alias("bytes")).where(F.col("bytes") > half).select("h", F.ceil(F.col("bytes") / half).alias("parts"))
+    split = materialise(split, "split")
     wanted = distinct.join(split, "h", "left").withColumns({"split": F.col("parts").isNotNull(), "salt": F.pmod("dig", F.coalesce("parts", F.lit(1)))})
-    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "salt", "split", "dig", "n", "first", "starts")).alias("parts"))
+    wanted = wanted.groupBy("row").agg(F.collect_list(F.struct("h", "salt", "split", "dig", "size", "n", "first")).alias("parts"))
 
-    def fetch(batches):
-        names = ["h", "salt", "split", "dig", "n", "piece"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.binary()]
+    def fetch(batches, most=(1 << COUNT_BITS) - 1):
+        names = ["h", "salt", "split", "dig", "size", "n", "piece"]
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for batch in batches:
             out: list[tuple] = []
             for text, parts in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                out += [(*(p[k] for k in names[:5]), text[p["first"] : p["first"] + p["starts"] + length - 1]) for p in parts]
+                out += [(*(p[k] for k in names[:6]), text[p["first"] : p["first"] + (p["size"] & most) + length - 1]) for p in parts]
             for i in range(0, len(out), 20_000):
                 cols = list(zip(*out[i : i + 20_000], strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=names)
 
-    pieces = base.select("row", "text").join(wanted, "row").select("text", "parts").mapInArrow(fetch, "h long, salt long, split boolean, dig long, n long, piece binary")
+    pieces = base.select("row", "text").join(wanted, "row").select("text", "parts").mapInArrow(fetch, "h long, salt long, split boolean, dig long, size long, n long, piece binary")
     shards = max(1, -(-int(total) // (4 * SHARD_BYTES)))
     pieces = pieces.repartition(shards, "h", "salt").sortWithinPartitions("h", "salt")
     marks = materialise(_repeats(pieces, length), "marks")
-    own = marks.where("d1 is null").select("h", "dig", "lo", "hi")
-    across = _across(marks.where("d1 is not null"))
-    each = own.union(across).groupBy("h", "dig").agg(F.collect_list(F.struct("lo", "hi")).alias("m"))
-    spans = found.join(each, ["h", "dig"]).select("row", F.transform("m", lambda x: F.struct((F.col("first") + x["lo"]).alias("start"), (F.col("first") + x["hi"] + (length - 1)).alias("end"))).alias("s"))
+    discard(distinct)
+    discard(split)
+    own = marks.where("digest is null").select(*segment, "lo", "hi")
+    across = _across(marks.where("digest is not null"))
+    each = materialise(own.union(across).groupBy(*segment).agg(F.collect_list(F.struct("lo", "hi")).alias("m")), "each")
+    discard(marks)
+    spans = found.join(each, segment).select("row", F.transform("m", lambda x: F.struct((F.col("first") + x["lo"]).alias("start"), (F.col("first") + x["hi"] + (length - 1)).alias("end"))).alias("s"))
     spans = spans.groupBy("row").agg(F.flatten(F.collect_list("s")).alias("s"))
 
     def remove(batches):
@@ -357,5 +365,4 @@ def remove_repeats(docs: DataFrame, length: int = 200) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(out, kind), pa.array(kept, pa.binary())], names=["doc_id", "n_bytes", "spans", "kept"])
 
     whole = base.join(spans, "row", "left").select("doc_id", "text", "s")
-    discard(distinct)
     return whole.mapInArrow(remove, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")

@@ -236,6 +236,23 @@ def test_repeats_of_an_anchor_with_long_segments(spark, monkeypatch):
     assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got} == {i: [(84, 284)] if i < 100 else [(0, 200)] for i, _ in rows}
 
 
+def test_repeats_of_large_unsplit_anchors(spark):
+    """At the native shard size: two anchors of low hash fill a shard beyond its half, and none of their segments is lost."""
+    rng = np.random.default_rng(1)
+    some = lambda n: rng.integers(97, 123, n).astype(np.uint8).tobytes().decode()
+    often = some(3_000_000)
+    least = np.unique(suffix.anchors(np.frombuffer(often.encode(), np.uint8), 200))[:2] & np.uint64((1 << suffix.POSITION_BITS) - 1)
+    rows, spans = [], {}
+    for gram, pairs in zip((often[at : at + suffix.GRAM] for at in least.tolist()), (1300, 1720)):
+        for _ in range(pairs):
+            shared = some(109) + gram + some(109)
+            for mark in "AB":
+                spans[len(rows)] = [(84, 84 + len(shared))]
+                rows.append((len(rows), some(83) + mark + shared + mark + some(83)))
+    got = suffix.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 200).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got} == spans
+
+
 def test_suffix_array_and_prefixes():
     rng = np.random.default_rng(0)
     text = np.frombuffer(b"".join([rng.choice([b"ab", b"abc", b"ba", b"a" * 40], 1)[0] for _ in range(400)]), np.uint8)
