@@ -169,8 +169,11 @@ def _blocks(benchmark: DataFrame, block_words: int) -> list[DataFrame]:
     return [items.where(key == k) for k in range(n)]
 
 
-def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> DataFrame:
-    """``docs`` with a last column of hits: {words, spans as flat bounds, items}; one pass per block."""
+def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int, finish=None) -> DataFrame:
+    """``docs`` with a last column of hits: {words, spans as flat bounds, items}; one pass per block.
+
+    ``finish``, if given, makes the last pass's rows from a batch's columns and hits, in the same worker.
+    """
     name, plain = free_name(docs.columns, "own_hits"), docs.schema.fields
     hits = T.StructType([T.StructField("words", T.LongType()), T.StructField("spans", T.ArrayType(T.LongType())), T.StructField("items", T.ArrayType(T.StringType()))])
     blocks = _blocks(benchmark, block_words)
@@ -180,7 +183,9 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int)
         shared = spark.sparkContext.broadcast(Automaton(items, window))
         schema = T.StructType([*plain, T.StructField(name, hits)])
 
-        def scan(batches, shared=shared, at=docs.columns.index("text"), first=not k):
+        last = finish if k + 1 == len(blocks) else None
+
+        def scan(batches, shared=shared, at=docs.columns.index("text"), first=not k, last=last):
             for batch in batches:
                 old = None if first else batch.column(batch.num_columns - 1).to_pylist()
                 out = []
@@ -195,9 +200,12 @@ def _scan(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int)
                 kind = pa.struct([("words", pa.int64()), ("spans", pa.list_(pa.int64())), ("items", pa.list_(pa.string()))])
                 columns = batch.columns if first else batch.columns[:-1]
                 names = batch.schema.names if first else batch.schema.names[:-1]
+                if last:
+                    yield last(columns, out)
+                    continue
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(out, kind)], names=[*names, name])
 
-        docs = docs.mapInArrow(scan, schema)
+        docs = docs.mapInArrow(scan, T.StructType(plain) if last else schema)
         if k + 1 < len(blocks):
             docs = materialise(docs, "hits")
     return docs
@@ -232,25 +240,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, min_s
     columns, at = docs.columns, docs.columns.index("text")
     length_at = columns.index("n_chars") if "n_chars" in columns else -1
 
-    def cut(batches):
-        for batch in batches:
-            texts, keep, lengths = [], [], {}
-            for i, (text, hits) in enumerate(zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)):
-                bounds = hits["spans"]
-                spans = [(a, b) for a, b in zip(bounds[::2], bounds[1::2], strict=True) if b - a >= min_span]
-                keep.append(not bounds or sum(b - a for a, b in zip(bounds[::2], bounds[1::2], strict=True)) <= max_coverage * hits["words"])
-                if spans:
-                    raw = text.encode()
-                    words = [m.span() for m in re.finditer(rb"\S+", raw.translate(WORD_BYTES))]
-                    edges = [0, *(x for a, b in spans for x in (words[a][0], words[b - 1][1])), len(raw)]
-                    text = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode()
-                    lengths[i] = len(text)
-                texts.append(text)
-            arrays = list(batch.columns[: len(columns)])
-            arrays[at] = pa.array(texts, batch.column(at).type)
-            if length_at >= 0 and lengths:
-                old = batch.column(length_at).to_pylist()
-                arrays[length_at] = pa.array([lengths.get(i, n) for i, n in enumerate(old)], batch.column(length_at).type)
-            yield pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
-
-    return _scan(docs, benchmark, window, block_words).mapInArrow(cut, docs.schema)
+    def cut(arrays: list, found: list[dict]) -> pa.RecordBatch:
+        texts, keep, lengths = [], [], {}
+        for i, (text, hits) in enumerate(zip(arrays[at].to_pylist(), found, strict=True)):
+            bounds = hits["spans"]
+            spans = [(a, b) for a, b in zip(bounds[::2], bounds[1::2], strict=True) if b - a >= min_span]
+            keep.append(not bounds or sum(b - a for a, b in zip(bounds[::2], bounds[1::2], strict=True)) <= max_coverage * hits["words"])
+            if spans:
+                raw = text.encode()
+                words = [m.span() for m in re.finditer(rb"\S+", raw.translate(WORD_BYTES))]
+                edges = [0, *(x for a, b in spans for x in (words[a][0], words[b - 1][1])), len(raw)]
+                text = b"".join(raw[x:y] for x, y in zip(edges[::2], edges[1::2], strict=True)).decode()
+                lengths[i] = len(text)
+            texts.append(text)
+        arrays = list(arrays)
+        arrays[at] = pa.array(texts, arrays[at].type)
+        if length_at >= 0 and lengths:
+            old = arrays[length_at].to_pylist()
+            arrays[length_at] = pa.array([lengths.get(i, n) for i, n in enumerate(old)], arrays[length_at].type)
+        return pa.RecordBatch.from_arrays(arrays, names=columns).filter(pa.array(keep, pa.bool_()))
+
+    return _scan(docs, benchmark, window, block_words, cut)
