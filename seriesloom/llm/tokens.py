@@ -12,7 +12,7 @@ from __future__ import annotations
 import json
 import re
 
-from .common import worker_state
+from .common import word_blocks, worker_state
 
 #: Letters that are lower case and stay as they are under NFC: a-z and the Latin-1 ones; then ASCII punctuation but the apostrophe.
 PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
@@ -109,6 +109,9 @@ class Encoder:
     def encode(self, text: bytes) -> bytes:
         if not self.by_chunk:
             return self._pack(self._batch([text.decode()])[0].ids)
+        return b"".join([self._block(b) for b in word_blocks(text)])
+
+    def _block(self, text: bytes) -> bytes:
         # lower-casing could make a special token's name out of other text
         chunks = text.split() if b"<|" in text else text.lower().split()
         try:

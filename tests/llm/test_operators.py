@@ -91,6 +91,29 @@ def test_sum_of_squares_is_close():
     assert bins.max() + 1 <= 1.02 * lengths.sum() / 2048 + 2
 
 
+def test_sum_of_squares_places_as_a_plain_search_does():
+    """Every open gap and a new bin are tried, the whole sum counted anew; ties go to the tighter gap."""
+    rng = np.random.default_rng(2)
+    for size in (1, 7, 40):
+        lengths = rng.integers(1, size + 1, 300)
+        gaps: list[int] = []  # of each bin
+        total = lambda g: sum(n * n for n in collections.Counter(x for x in g if 0 < x < size).values())  # noqa: E731, B023
+        bins, offsets = packing.sum_of_squares(lengths, size)
+        for s, b, o in zip(lengths.tolist(), bins.tolist(), offsets.tolist()):
+            options = {}
+            for g in {x for x in gaps if x >= s}:
+                i = gaps.index(g)
+                options[total([*gaps[:i], g - s, *gaps[i + 1 :]]), g] = g
+            options[total([*gaps, size - s]), size] = size
+            best = options[min(options)]
+            if best == size:
+                assert (b, o) == (len(gaps), 0)
+                gaps.append(size - s)
+            else:
+                assert gaps[b] == best and o == size - best
+                gaps[b] -= s
+
+
 def test_binary(docs, none, enc, spark, tmp_path):
     for name, part in (("docs", docs), ("none", none)):
         binary.write_token_files(part, f"file://{tmp_path}/{name}")
@@ -408,6 +431,48 @@ def test_toxicity(spark, docs, none):
     assert toxicity.drop_toxic(docs, y).columns == docs.columns
 
 
+def plain_slots(text):
+    """Hashed 3- to 5-grams of a text, gram by gram."""
+    out, low = set(), f" {text.lower()} "
+    for n in (3, 4, 5):
+        for i in range(len(low) - n + 1):
+            h = ord(low[i])
+            for k in range(1, n):
+                h = (h * 0x01000193 + ord(low[i + k]) + k + 1) % 2**32
+            out.add((h ^ h >> 15) * 0x9E3779B1 % 2**32 >> 12)
+    return out
+
+
+def test_toxicity_model_equals_a_plain_one(spark):
+    """Slot counts, log-count ratios, choice of features, and weights at the optimum of the penalised log loss."""
+    rng = np.random.default_rng(3)
+    words = ["lorem", "ipsum", "dolor", "amet", "elit", "Sed", "ut"]
+    rows = [(i, " ".join(rng.choice(words, 8)) + (" vile wretch" if rng.random() < (0.8 if i % 3 == 0 else 0.1) else "")) for i in range(250)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    y = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(250)], "doc_id long, toxic int")
+    model = toxicity.train(d, y, features=150, min_count=1)
+    own = [(plain_slots(t), int(i % 3 == 0)) for i, t in rows if zlib.crc32(str(i).encode()) % 5]
+    n = [sum(t == c for _, t in own) for c in (0, 1)]
+    count = {c: collections.Counter(s for ss, t in own if t == c for s in ss) for c in (0, 1)}
+    table = {}
+    for s in set(count[0]) | set(count[1]):
+        p, q = (count[1][s] + 1) / (n[1] + 2), (count[0][s] + 1) / (n[0] + 2)
+        mean = (count[1][s] + count[0][s] + 1) / (sum(n) + 2)
+        table[s] = (-abs(p - q) / math.sqrt(mean * (1 - mean) * (1 / (n[1] + 1) + 1 / (n[0] + 1))), math.log(p / q))
+    z = sorted(v[0] for v in table.values())[149]
+    assert {s for s, v in table.items() if v[0] < z - 1e-9} <= set(model.slot.tolist()) <= {s for s, v in table.items() if v[0] <= z + 1e-9}
+    ratio = np.array([table[s][1] for s in model.slot.tolist()])
+    x = np.array([[s in ss for s in model.slot.tolist()] for ss, _ in own]) * ratio
+    t = np.array([t for _, t in own])
+    w = model.weight / np.where(ratio == 0, 1, ratio)
+    p = 1 / (1 + np.exp(-(x @ w + model.bias)))
+    assert np.abs(x.T @ (p - t) / len(t) + 1e-3 * w).max() < 2e-3 and abs((p - t).mean()) < 2e-3
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
+    for i, text in rows[:40]:
+        have = plain_slots(text)
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-(model.bias + sum(float(v) for s, v in zip(model.slot.tolist(), model.weight) if s in have)))), abs=1e-5)
+
+
 def test_long_text_has_all_grams(monkeypatch):
     text = "abcdefghij" * 40
     whole = np.sort(np.concatenate(toxicity.slots(text)))
@@ -756,16 +821,16 @@ def test_lm(docs, none, monkeypatch, frequent):
 
 
 def test_lm_learns(spark):
-    """Held-out texts score better than by untrained weights, and than by the word counts."""
+    """Held-out texts score far better than by untrained weights, which follow the token counts alone."""
     rng = np.random.default_rng(0)
     words = [a + b + c for a in ("ba", "lo", "mi", "ter") for b in ("na", "ri", "so", "ten") for c in ("da", "li", "mo", "den", "ki")]
-    texts = [" ".join(rng.choice(words[40 * (i % 2) : 40 * (i % 2) + 40], 150)) for i in range(600)]
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    r = lm.lm_scores(frame).where("held_out").agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
-    assert r[0] > r[1] + 0.1 * r[2]  # which of two word lists a text is from is worth 0.3 a word
-    untrained = lm.fresh(vocabulary := attention.Vocabulary.from_counts(np.bincount(np.concatenate([t for _, t in lm_parts(texts)]))))
-    held = [np.array(t) for i, (_, t) in enumerate(lm_parts(texts)) if zlib.crc32(str(i).encode()) % 7 == 2]
-    assert r[0] > attention.Scorer(untrained, vocabulary).sequences(held).sum() + 0.3 * r[2]
+    texts = [" ".join(rng.choice(words[40 * (i % 2) : 40 * (i % 2) + 40], 150)) for i in range(900)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    r = lm.lm_scores(frame).where("held_out").agg(F.sum("score"), F.sum("n_tokens")).first()
+    parts = [np.array(t) for _, t in lm_parts(texts)]
+    vocabulary = attention.Vocabulary.from_counts(np.bincount(np.concatenate(parts)))
+    held = [t for i, t in enumerate(parts) if zlib.crc32(str(i).encode()) % 7 == 2]
+    assert r[0] > attention.Scorer(attention.fresh(vocabulary), vocabulary).sequences(held).sum() + 0.5 * r[1]
 
 
 @pytest.mark.parametrize("copies", [1, 400])
