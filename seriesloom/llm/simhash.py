@@ -219,21 +219,22 @@ def links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
 
 
 def _components(own: DataFrame, radius: int, lanes: int = 1) -> DataFrame:
-    """(fp[, fp2], first, root, component_id) of each distinct fingerprint. ``own``: doc_id and fingerprints, stored."""
+    """(fp[, fp2], first, root) of each distinct fingerprint, stored; ``first``: its smallest doc_id. ``own``: doc_id and fingerprints, stored."""
     names = lane_names(lanes)
     distinct = own.groupBy(*names).agg(F.min("doc_id").alias("first"))
     distinct = materialise(distinct.withColumn("node", F.col("fp") if lanes == 1 else F.monotonically_increasing_id()), "distinct")
     roots = connected_components(links(distinct.select("node", *names), radius)).withColumnRenamed("node", "__node")
     placed = distinct.join(roots, F.col("node") == F.col("__node"), "left").select(*names, "first", F.coalesce("root", "node").alias("root"))
-    placed = materialise(placed, "placed")
-    ids = placed.groupBy("root").agg(F.min("first").alias("component_id"))
-    return placed.join(ids, "root").select(*names, "first", "root", "component_id")
+    return materialise(placed, "placed")
 
 
 def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id), a row per document."""
     own = materialise(fingerprints(docs, words), "prints")
-    by_print = _components(own, radius).select("fp", "component_id")
+    placed = _components(own, radius)
+    # plain joins of stored tables: Spark splits them where a component or a fingerprint is frequent
+    ids = materialise(placed.groupBy("root").agg(F.min("first").alias("component_id")), "components")
+    by_print = materialise(placed.join(ids, "root").select("fp", "component_id"), "by_print")
     return own.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
