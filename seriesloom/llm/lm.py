@@ -43,7 +43,7 @@ RATES = (2e-2, 1e-2, 3e-3)
 #: Words that a task counts before it hands them on.
 HELD_WORDS = 1_000_000
 #: Weights that are averaged in one task.
-FAN_IN = 32
+FAN_IN = 8
 #: Tokens scored together, and words of which a worker keeps the tokens.
 SCORED, KEPT_WORDS = 1 << 16, 300_000
 
@@ -82,6 +82,14 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text", "held_out").mapInArrow(count, "word binary, c long, n long").groupBy("word").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
+def _marked(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of words, from their ids, and each word's number of them."""
+    sizes = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+    marked = np.frombuffer(b"".join(pieces), "<u4") * 2
+    marked[np.cumsum(sizes)[sizes > 0] - 1] += 1
+    return marked, sizes
+
+
 class Tokens:
     """Tokens of texts: twice a subword id, and one more where it ends a word."""
 
@@ -89,10 +97,10 @@ class Tokens:
         self.encoder, self.known = encoder(tokenizer), {}
 
     def _learn(self, chunks: list[bytes], lowered: bool) -> None:
-        for chunk, ids in zip(chunks, self.encoder.pieces(chunks, lowered), strict=True):
-            marked = np.frombuffer(ids, "<u4") * 2
-            marked[-1:] += 1
-            self.known[chunk] = marked.tobytes()
+        marked, sizes = _marked(self.encoder.pieces(chunks, lowered))
+        raw, edges = marked.tobytes(), [0, *(4 * np.cumsum(sizes)).tolist()]
+        for chunk, a, b in zip(chunks, edges, edges[1:]):
+            self.known[chunk] = raw[a:b]
 
     def of(self, text: bytes) -> tuple[list[bytes], np.ndarray]:
         """Words, lower-cased, and tokens of a block of text."""
@@ -127,10 +135,7 @@ def token_counts(words: DataFrame, tokenizer: str) -> DataFrame:
         enc = encoder(tokenizer)
         total = np.zeros(0, np.int64)
         for batch in batches:
-            parts = enc.pieces(batch.column(0).to_pylist())
-            sizes = np.array([len(p) // 4 for p in parts], np.int64)
-            marked = np.frombuffer(b"".join(parts), "<u4") * 2
-            marked[np.cumsum(sizes)[sizes > 0] - 1] += 1
+            marked, sizes = _marked(enc.pieces(batch.column(0).to_pylist()))
             got = np.bincount(marked, np.repeat(batch.column(1).to_numpy(), sizes)).astype(np.int64)
             if len(got) > len(total):
                 got, total = total, got
@@ -203,10 +208,10 @@ def fit(train: DataFrame, vocabulary: Vocabulary, tokenizer: str, end: int, rate
         while some > FAN_IN:
             some = -(-some // FAN_IN)
             sums = sums.repartition(some).mapInArrow(add, "w binary, n long")
-        sums = sums.repartition(1).mapInArrow(add, "w binary, n long").collect()  # one row
+        sums = sums.collect()  # FAN_IN rows at most
         shared.unpersist()
         if sums:
-            flat = (np.frombuffer(sums[0]["w"]) / sums[0]["n"]).astype(np.float32)
+            flat = (sum(np.frombuffer(r["w"]) for r in sums) / sum(r["n"] for r in sums)).astype(np.float32)
     return flat
 
 

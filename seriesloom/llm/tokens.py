@@ -2,9 +2,10 @@
 
 For a tokenizer that drops white space and looks at no context across it, the
 ids of a text are the joined ids of its white-space chunks, so each worker
-encodes a chunk once.  Chunks of plain lower-case letters and trailing
-punctuation go straight to the library's BPE model; all others go through the
-library's whole pipeline.  Any other tokenizer encodes whole texts.
+encodes a chunk once.  New chunks of plain lower-case letters and trailing
+punctuation are encoded many at a time as one text, whose ids are told apart by
+the pieces that end a word; all others go through the library one by one.  Any
+other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
@@ -12,12 +13,16 @@ from __future__ import annotations
 import json
 import re
 
+import numpy as np
+
 from .common import word_blocks, worker_state
 
 #: Letters that are lower case and stay as they are under NFC: a-z and the Latin-1 ones; then ASCII punctuation but the apostrophe.
 PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
 #: Entries that a worker's cache holds at most; then it starts anew.
 CACHE_ENTRIES = 400_000
+#: New words that are encoded as one text.
+TOGETHER = 2048
 
 
 def default_tokenizer() -> str:
@@ -59,6 +64,10 @@ class Encoder:
             self.by_chunk = _drops_spaces(json.load(f))
         self.model = self.tokenizer.model
         self.cache: dict[bytes, bytes] = {}
+        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.model, "end_of_word_suffix", None)
+        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        if suffix:
+            self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -73,16 +82,33 @@ class Encoder:
             got = self.cache[core] = self._pack([t.id for t in self.model.tokenize(word)])
         return got
 
+    def _learn_letters(self, cores: list[bytes]) -> None:
+        """Many words of letters at a time."""
+        for i in range(0, len(cores), TOGETHER):
+            part = cores[i : i + TOGETHER]
+            ids = np.array(self._batch([b" ".join(part).decode()])[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(ends) != len(part):  # a vocabulary without marked word ends
+                for core in part:
+                    self._letters(core)
+                continue
+            raw, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
+            for core, a, b in zip(part, edges, edges[1:]):
+                self.cache[core] = raw[a:b]
+
     def _learn(self, chunks: list[bytes]) -> None:
-        slow = []
+        slow, joined = [], []
         for c in chunks:
             if c in self.cache:
                 continue
             if m := PLAIN.fullmatch(c):
-                core, marks = m.groups()
-                self.cache[c] = (self._letters(core) if core else b"") + (self._letters(marks) if marks else b"")
+                joined.append((c, *m.groups()))
             else:
                 slow.append(c)
+        self._learn_letters([core for core in dict.fromkeys(core for _, core, _ in joined) if core and core not in self.cache])
+        for c, core, marks in joined:
+            if marks:
+                self.cache[c] = (self.cache[core] if core else b"") + self._letters(marks)
         for i in range(0, len(slow), 1024):
             part = slow[i : i + 1024]
             for c, e in zip(part, self._batch([c.decode() for c in part]), strict=True):
