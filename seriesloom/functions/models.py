@@ -41,7 +41,7 @@ def mock_caption(s: Column) -> Column:
 
 def overlap_entailment(premise: Column, hypothesis: Column) -> Column:
     """Share of the hypothesis' words that the premise has: a stand-in for an entailment model."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\W+"), lambda x: x != ""))
+    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"[^0-9A-Za-z_\x{80}-\x{10FFFF}]+"), lambda x: x != ""))
     own = words(hypothesis)
     return F.size(F.array_intersect(own, words(premise))) / F.nullif(F.size(own), F.lit(0))
 

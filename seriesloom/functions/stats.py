@@ -123,25 +123,36 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str, tie: str | None = N
 def bootstrap_mean(rows: DataFrame, by: list[str], value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
     """Percentile interval of a group's mean from ``draws`` resamples.
 
-    Poisson resampling: each row counts k times with k from a hash of (row, draw), so a row's draws are made where it is and only sums move.
+    Poisson resampling: a row counts k times, k being Poisson with mean 1.  Equal values of a group are counted
+    first and drawn together, as a sum of such counts is Poisson too.  Draws depend on group, value and seed alone,
+    so neither the layout nor a repeated task changes the interval.
     """
 
-    def weights(batches):
+    def resample(batches):
         import numpy as np
 
         for frame in batches:
-            keys = pd.util.hash_pandas_object(frame[["__row"]].astype("int64"), index=False).to_numpy()
             sums: dict[tuple, np.ndarray] = {}
-            for key, v, names in zip(keys.tolist(), frame[value].tolist(), frame[by].itertuples(index=False, name=None), strict=True):
-                k = np.random.default_rng((key, seed)).poisson(1.0, draws)
+            for key, v, c, names in zip(frame["__key"].tolist(), frame[value].tolist(), frame["__c"].tolist(), frame[by].itertuples(index=False, name=None), strict=True):
+                k = np.random.default_rng((key % 2**63, seed)).poisson(c, draws)
                 got = sums.setdefault(names, np.zeros((2, draws)))
                 got[0] += k * v
                 got[1] += k
-            out = [(*names, i, a, b) for names, (s, n) in sums.items() for i, (a, b) in enumerate(zip(s.tolist(), n.tolist(), strict=True))]
-            yield pd.DataFrame(out, columns=[*by, "draw", "s", "n"])
+            out = [pd.DataFrame({**dict(zip(by, names)), "draw": np.arange(draws), "s": s, "n": n}) for names, (s, n) in sums.items()]
+            yield pd.concat(out) if out else pd.DataFrame(columns=[*by, "draw", "s", "n"])
 
-    keyed = rows.select(*by, F.col(value).cast("double").alias(value), F.xxhash64(*rows.columns, F.monotonically_increasing_id()).alias("__row"))
+    counted = rows.groupBy(*by, F.col(value).cast("double").alias(value)).agg(F.count(F.lit(1)).alias("__c")).where(F.col(value).isNotNull())
+    keyed = counted.withColumn("__key", F.xxhash64(*by, value))
     kind = ", ".join(f"`{c}` {keyed.schema[c].dataType.simpleString()}" for c in by)
-    drawn = keyed.mapInPandas(weights, f"{kind}{', ' * bool(by)}draw int, s double, n double")
+    drawn = keyed.mapInPandas(resample, f"{kind}{', ' * bool(by)}draw int, s double, n double")
     means = drawn.groupBy(*by, "draw").agg((F.sum("s") / F.nullif(F.sum("n"), F.lit(0.0))).alias("m"))
     return means.groupBy(*by).agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
+
+
+def bootstrap_delta(a: DataFrame, b: DataFrame, key: list[str], by: list[str], value: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+    """Interval of the mean difference of paired rows; a row without a partner fails the query."""
+    other = b.select(*key, *by, F.col(value).alias("__other"), F.lit(True).alias("__b"))
+    both = a.select(*key, *by, F.col(value).alias("__own"), F.lit(True).alias("__a")).join(other, [*key, *by], "full")
+    fails = F.raise_error(F.lit("paired rows differ in their keys")).cast("double")
+    both = both.withColumn("delta", F.when(F.col("__a") & F.col("__b"), F.col("__own") - F.col("__other")).otherwise(fails))
+    return bootstrap_mean(both.select(*by, "delta"), by, "delta", draws, seed)

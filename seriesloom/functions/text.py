@@ -5,8 +5,11 @@ A parser gives null where it finds nothing.  Letters are upper case.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 NUMBER = r"-?\d+\.?\d*"
 #: Words that spell a number (fixed values).
@@ -20,25 +23,24 @@ def found(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def answer_letter(text: Column, letters: str = "A-D") -> Column:
-    """A tagged answer, else a bare letter, else the first letter that stands alone and is no pronoun or article."""
-    tagged = found(text, rf"(?is)<answer>\s*\(?([{letters}])\)?\s*</answer>")
-    bare = found(text, rf"(?s)^\s*\(?([{letters}{letters.lower()}])\)?[.:)]?\s*$")
-    alone = found(text, rf"\b(?![AI]\b\s+[a-z])([{letters}])\b")
-    return F.upper(F.coalesce(tagged, bare, alone))
+    """A tagged answer in either case, else a lone capital letter, else the first capital letter that stands alone and is not the pronoun."""
+    tagged = found(text, rf"(?is)<answer>\s*([{letters}])\s*</answer>")
+    bare = found(F.regexp_replace(text, r"^\s+|\s+$", ""), rf"(?s)^\W*([{letters}])\W*$")
+    alone = found(text, rf"\b(?!I\b\s+[a-z])([{letters}])\b")
+    return F.coalesce(F.upper(tagged), bare, alone)
 
 
 def mcq_letter(text: Column, letters: str = "A-D", short: int = 40) -> Column:
-    """A tagged answer, else what follows 'answer is', else the first letter of a short reply or the last of a long one."""
-    tagged = found(text, rf"(?is)<answer>\s*\(?([{letters}])\)?\s*</answer>")
-    said = found(text, rf"(?i)answer\s+is\s*:?\s*\(?([{letters}])\b")
-    hits = F.regexp_extract_all(text, F.lit(rf"\b([{letters}])\b"), 1)
-    either = F.when(F.length(text) <= short, F.try_element_at(hits, F.lit(1))).otherwise(F.try_element_at(hits, F.lit(-1)))
-    return F.upper(F.coalesce(tagged, said, either))
+    """A tagged answer, else one after the word answer, else a capital letter that stands alone; of several the first in a short reply and the last in a long one."""
+    own = F.regexp_replace(text, r"^\s+|\s+$", "")
+    place = F.when(F.length(own) <= short, 1).otherwise(-1)
+    forms = (rf"<answer>\s*\(?([{letters}])\)?\s*</answer>", rf"(?i:answer)\s*(?i:is|:)?\s*\**\s*\(?([{letters}])\)?(?![A-Za-z])", rf"\b([{letters}])\b")
+    return F.coalesce(*(F.try_element_at(F.regexp_extract_all(own, F.lit(f), 1), place) for f in forms))
 
 
 def first_letter(text: Column) -> Column:
-    """The first A-I that stands alone, but for the article and the pronoun before a small word."""
-    return F.upper(found(text, r"\b(?![AI]\b\s+[a-z])([A-I])\b"))
+    """The first A-I, in either case, that stands alone, but for A and I before a small word."""
+    return F.upper(found(text, r"\b(?![AIai]\b\s+[a-z])([A-Ia-i])\b"))
 
 
 def easy_letter(text: Column) -> Column:
@@ -63,34 +65,41 @@ def score_contains(gold: Column, predicted: Column) -> Column:
 
 
 def score_ordering(gold: Column, predicted: Column) -> Column:
-    """Distinct letters in order of appearance, as many as the gold order has."""
-    want = F.transform(F.split(gold, ","), lambda x: F.trim(x))
-    got = F.slice(F.array_distinct(F.regexp_extract_all(predicted, F.lit(r"\b([A-Z])\b"), 1)), F.lit(1), F.size(want))
-    return (got == want).cast("double")
+    """Distinct letters A to D in order of appearance, as many as the gold order has."""
+    want = F.filter(F.transform(F.split(F.upper(gold), ","), lambda x: F.trim(x)), lambda x: x != "")
+    seen = F.array_distinct(F.regexp_extract_all(F.upper(predicted), F.lit(r"\b([A-D])\b"), 1))
+    got = F.when(F.size(want) == 0, seen).otherwise(F.slice(seen, F.lit(1), F.size(want)))
+    return F.coalesce((got == want).cast("double"), F.lit(0.0))
+
+
+def _closeness(x: Column, g: Column) -> Column:
+    """1 - relative error, at least 0; a gold 0 needs a 0."""
+    return F.when(g == 0, (x == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(x - g) / F.abs(g)))
 
 
 def score_numeric(gold: Column, predicted: Column) -> Column:
-    """Best of 1 - relative error, at least 0; a gold 0 needs a 0."""
-    g = F.try_element_at(numbers(gold), F.lit(1))
-    each = F.transform(numbers(predicted), lambda x: F.when(g == 0, (x == 0).cast("double")).otherwise(F.greatest(F.lit(0.0), 1 - F.abs(x - g) / F.abs(g))))
-    return F.coalesce(F.array_max(each), F.lit(0.0))
+    """Closeness of the reply's best number to a gold that is a number as a whole, else 0."""
+    g = F.when(F.trim(gold).rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), F.trim(gold).try_cast("double"))
+    return F.coalesce(F.array_max(F.transform(numbers(predicted), lambda x: _closeness(x, g))), F.lit(0.0))
 
 
 def score_regex_numeric(gold: Column, predicted: Column, tolerance: float = 0.05) -> Column:
-    """Whether the gold text's last number is within a share of any number of the reply."""
+    """Whether any number of the reply is within a share of the gold text's last number."""
     g = F.try_element_at(numbers(gold), F.lit(-1))
-    return F.coalesce(F.exists(numbers(predicted), lambda x: F.abs(x - g) <= tolerance * F.abs(g)).cast("double"), F.lit(0.0))
+    best = F.array_max(F.transform(numbers(predicted), lambda x: _closeness(x, g)))
+    return F.coalesce((best >= 1 - tolerance).cast("double"), F.lit(0.0))
 
 
 def score(kind: Column, gold: Column, predicted: Column) -> Column:
     """The scorer that ``kind`` names; any other kind fails the query."""
+    own = F.upper(F.trim(gold))
     return (
-        F.when(kind == "letter_exact", score_exact(F.upper(gold), first_letter(predicted)))
-        .when(kind == "tf_exact", score_exact(truth_value(gold), truth_value(predicted)))
+        F.when(kind == "letter_exact", score_exact(own, first_letter(predicted)))
+        .when(kind == "tf_exact", score_exact(F.substr(own, F.lit(1), F.lit(1)), truth_value(predicted)))
         .when(kind == "letter_flexible", score_contains(gold, predicted))
         .when(kind == "ordering_exact", score_ordering(gold, predicted))
         .when(kind == "numeric_tolerance", score_numeric(gold, predicted))
-        .when(kind == "regex_numeric", score_regex_numeric(gold, predicted))
+        .when(kind == "regex_numeric_extract_tolerance", score_regex_numeric(gold, predicted))
         .otherwise(F.raise_error(F.concat(F.lit("no scorer for "), F.coalesce(kind, F.lit("null")))).cast("double"))
     )
 
@@ -121,11 +130,20 @@ def stem(text: Column) -> Column:
     return F.trim(F.regexp_extract(text, r"(?s)^(.*?)(?:\n\s*[-*]?\s*[A-Z]\)|$)", 1))
 
 
+#: Words that may stand beside an option's number (fixed values).
+NUMBER_FILLER = r"(?i)\b(about|approx\w*|around|roughly|nearly|near|value|values|units?|points?|times?|of|a|an|the|to|and|by|is|it|drop|rise|increase|decrease|difference)\b"
+
+
 def question_family(opts: Column) -> Column:
-    """time, numeric or verbal, by what three or more options look like."""
-    time = F.size(F.filter(opts, lambda o: o.rlike(r"(?i)\b(early|late|middle|mid|start|end|first|last|before|after)\b")))
-    number = F.size(F.filter(opts, lambda o: o.rlike(r"\d")))
-    return F.when(time >= 3, "time").when(number >= 3, "numeric").otherwise("verbal")
+    """time, numeric or verbal, by what three or more options look like; unparsed without options."""
+    is_time = lambda o: o.rlike(r"(?i)^\**\s*t\s*=")
+
+    def is_number(o: Column) -> Column:
+        rest = F.regexp_replace(F.regexp_replace(F.replace(o, F.lit("*"), F.lit("")), NUMBER_FILLER, " "), r"[-~≈+%.,;:()\[\]/]|\d", " ")
+        return ~is_time(o) & o.rlike(r"-?\d") & (F.size(tokens(rest)) <= 1)
+
+    count = lambda f: F.size(F.filter(opts, f))
+    return F.when(F.size(opts) == 0, "unparsed").when(count(is_time) >= 3, "time").when(count(is_number) >= 3, "numeric").otherwise("verbal")
 
 
 def masked_numbers(text: Column, mark: str = "[NUM]") -> Column:
@@ -155,8 +173,8 @@ def token_budget(n: Column, base: int = 96, each: int = 8, most: int = 1536) ->
 
 
 def chunks(text: Column, most: int = 5) -> Column:
-    """Pieces that end at sentence bounds and hold at most ``most`` numbers where a sentence does; joined they are the text."""
-    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(.+?(?:[.!?]\s+|$))"), 1)
+    """Pieces that end after white space behind one of ``.!?;:`` or at line ends, and hold at most ``most`` numbers where what lies between two such places does; joined they are the text."""
+    pieces = F.regexp_extract_all(text, F.lit(r"(?s)(.+?(?:(?<=[.!?;:])\s+|\n+|\z))"), 1)
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).cast("long").alias("n"))
 
     def go(a: Column, p: Column) -> Column:
@@ -171,6 +189,22 @@ def chunks(text: Column, most: int = 5) -> Column:
     return F.aggregate(pieces, empty, go, lambda a: F.when(a["now"] != "", F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
 
 
+@pandas_udf(StringType())
+def format_series(s: pd.Series, decimals: pd.Series) -> pd.Series:
+    """``[a, b, ...]`` with fixed decimals; ties follow the doubles' exact values, which expressions do not give."""
+    return pd.Series([None if x is None else "[" + ", ".join(f"{v:.{d}f}" for v in x) + "]" for x, d in zip(s, decimals, strict=True)])
+
+
+def first_text(*candidates: Column) -> Column:
+    """The first candidate that is neither null nor empty."""
+    return F.coalesce(*(F.nullif(c.cast("string"), F.lit("")) for c in candidates))
+
+
+def joined_type(one: Column, several: Column) -> Column:
+    """A type that is one non-blank text, else several joined by slashes, else null."""
+    return F.coalesce(F.when(F.trim(one) != "", one), F.when(F.size(several) > 0, F.array_join(several, "/")))
+
+
 def prompt(question: Column, opts: Column) -> Column:
     """Question, lettered options and what to answer with."""
     lettered = F.transform(opts, lambda o, i: F.concat(F.char(65 + i), F.lit(") "), o))
@@ -193,10 +227,11 @@ def slug(text: Column) -> Column:
 
 
 def cut_at_sentence(text: Column, n: int) -> Column:
-    """At most ``n`` characters, cut after the last full sentence in them if there is one."""
+    """At most ``n`` characters, cut after the last sentence end in them if that lies beyond their half."""
     head = F.substr(text, F.lit(1), F.lit(n))
-    back = F.instr(F.reverse(head), " .")
-    return F.when(F.length(text) <= n, text).when(back > 0, F.left(head, F.length(head) - back)).otherwise(head)
+    last = lambda end: F.when(F.instr(F.reverse(head), end) > 0, F.length(head) - F.instr(F.reverse(head), end) - 1).otherwise(-1)
+    stop = F.greatest(last(" ."), last("\n."))
+    return F.when(F.length(text) <= n, text).when(stop > n // 2, F.left(head, stop + 1)).otherwise(head)
 
 
 def md5_bucket(text: Column, buckets: int = 4096) -> Column:
@@ -218,9 +253,9 @@ def mentions(text: Column, words: list[str]) -> Column:
 
 
 def caption_fault(text: Column, least: int = 80) -> Column:
-    """Why a caption is refused, else null."""
-    own = F.trim(text)
-    return F.when(F.length(own) < least, "short").when(~own.rlike(r"[.!?\"')”]$"), "unfinished")
+    """Why a caption is refused, else null; white space around it does not count."""
+    own = F.regexp_replace(F.coalesce(text, F.lit("")), r"^\s+|\s+$", "")
+    return F.when(F.length(own) < least, "short").when(~own.rlike(r"[.!?\")]$"), "unfinished")
 
 
 def sentence_share(text: Column, pattern: str) -> Column:

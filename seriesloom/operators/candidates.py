@@ -36,14 +36,16 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(S.total(F.transform(F.zip_with(a, b, lambda x, y: x - y), lambda d: d * d)))
 
 
-def nearest(items: DataFrame, k: int, bucket: list[str], vector: str = "z", id_col: str = "id", digits: int = 6, allowed=None, farthest: bool = False) -> DataFrame:
-    """(id, cand_id, rank, dist): the k nearest others in the bucket; ``allowed(a, b)`` may exclude pairs before ranking."""
+def nearest(items: DataFrame, k: int | None, bucket: list[str], vector: str = "z", id_col: str = "id", digits: int = 6, allowed=None, farthest: bool = False) -> DataFrame:
+    """(id, cand_id, rank, dist): the k nearest others in the bucket, or all unranked for no k; ``allowed(a, b)`` may exclude pairs before ranking."""
     left = items.select(*bucket, F.col(id_col).alias("id"), F.struct(*items.columns).alias("a"))
     right = items.select(*bucket, F.col(id_col).alias("cand_id"), F.struct(*items.columns).alias("b"))
     pairs = left.join(right, bucket).where("id <> cand_id")
     if allowed is not None:
         pairs = pairs.where(allowed(F.col("a"), F.col("b")))
     pairs = pairs.select("id", "cand_id", F.round(distance(F.col(f"a.{vector}"), F.col(f"b.{vector}")), digits).alias("dist"))
+    if k is None:
+        return pairs
     w = Window.partitionBy("id").orderBy(F.desc("dist") if farthest else F.asc("dist"), "cand_id")
     return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -65,7 +67,7 @@ def shared_runs(series: DataFrame, bucket: list[str], digits: int = 4) -> DataFr
 
 def nearest_without_overlap(items: DataFrame, runs: DataFrame, k: int, bucket: list[str], share: float = 0.2) -> DataFrame:
     """``nearest`` over pairs whose shared run is under a share of the length. ``items``: id, s, z."""
-    near = nearest(items, 10**6, bucket)
+    near = nearest(items, None, bucket)
     over = runs.select("a", "b", "run")
     both = over.union(over.select(F.col("b").alias("a"), F.col("a").alias("b"), "run"))
     size = items.select(F.col("id"), F.size("s").alias("n"))

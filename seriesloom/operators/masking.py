@@ -12,26 +12,25 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
-NUMBER = re.compile(r"-?\d+(?:\.\d+)?")
+#: A number that is not the rest of a longer one.
+NUMBER = re.compile(r"(?<![\d.])-?\d+(?:\.\d+)?")
 MASKED = StructType([StructField("text", StringType()), StructField("unnamed", IntegerType())])
 
 
 def mask_flags(reply: Column) -> Column:
-    """Reply lines ``number flag`` or ``a to b flag`` as array<struct<num,flag>>; a range names both its ends."""
-    lines = F.filter(F.split(F.lower(reply), "\n"), lambda x: x.rlike(r"^\s*-?\d"))
-
-    def one(line: Column) -> Column:
-        flag = F.regexp_extract(line, r"([a-z]+)\s*$", 1)
-        a, b = F.regexp_extract(line, r"^\s*(-?\d+(?:\.\d+)?)", 1), F.regexp_extract(line, r"\bto\s+(-?\d+(?:\.\d+)?)", 1)
-        pair = lambda n: F.struct(n.cast("double").alias("num"), flag.alias("flag"))
-        return F.when(b != "", F.array(pair(a), pair(b))).otherwise(F.array(pair(a)))
-
-    return F.flatten(F.transform(lines, one))
-
-
-def apply_mask(text: str, flags: list, mark: str = "[NUM]") -> tuple[str, int]:
-    """Each number takes the next flag of its value, or of its negated value; ``value`` masks, others keep. Numbers without a flag are masked and counted."""
-    queues: dict[float, list[str]] = {}
+    """Reply lines ``number flag`` or ``a to b flag``, the flag 0 or 1, as array<struct<num,flag>>; a range names both its ends, other lines nothing."""
+    bare = lambda x: F.regexp_replace(x, r"^\s*[-*]*\s*|\s*[-*]*\s*$", "")
+    lines = F.transform(F.split(reply, r"\r\n|\r|\n"), bare)
+    number, lead, end = r"(-?\d+(?:\.\d+)?)", r"(?i)^\s*(?:\d+[.)]\s+)?", r"[\s:,]+([01])\s*$"
+    one, two = lead + number + end, lead + number + r"\s*(?:-|–|to|and)\s*" + number + end
+    named = lambda x, form, group, flag: F.struct(F.regexp_extract(x, form, group).cast("double").alias("num"), F.regexp_extract(x, form, flag).cast("int").alias("flag"))
+    none = F.array().cast("array<struct<num:double,flag:int>>")
+    return F.flatten(F.transform(lines, lambda x: F.when(x.rlike(one), F.array(named(x, one, 1, 2))).when(x.rlike(two), F.array(named(x, two, 1, 3), named(x, two, 2, 3))).otherwise(none)))
+
+
+def apply_mask(text: str, flags: list, mark: str = "<val>") -> tuple[str, int]:
+    """Each number takes the next flag of its value, or else of its negated value; 1 masks it. Numbers without a flag are kept and counted."""
+    queues: dict[float, list[int]] = {}
     for f in flags:
         queues.setdefault(float(f["num"]), []).append(f["flag"])
     unnamed = 0
@@ -41,9 +40,9 @@ def apply_mask(text: str, flags: list, mark: str = "[NUM]") -> tuple[str, int]:
         x = float(m.group())
         for key in (x, -x):
             if queues.get(key):
-                return mark if queues[key].pop(0) == "value" else m.group()
+                return mark if queues[key].pop(0) else m.group()
         unnamed += 1
-        return mark
+        return m.group()
 
     return NUMBER.sub(one, text), unnamed
 

@@ -15,20 +15,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def user_series(spark: SparkSession, sf_dir: str, points: int = POINTS) -> DataFrame:
-    """(id, s): each user's first values in time; ranked before they are gathered, so a group is bounded."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    first = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value").withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= points)
-    return first.groupBy(F.col("user_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]).alias("s"))
+    """(id, s): each user's values in time, in blocks of ``points`` that follow each other; what is left over joins the last one.
+
+    So every event is in one series, and a series has fewer than twice ``points`` values whatever a user's number of events.
+    Rows are numbered before they are gathered.  The id is the user's, and block times 2**40.
+    """
+    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
+    w = Window.partitionBy("user_id")
+    numbered = events.withColumns({"rn": F.row_number().over(w.orderBy("ts", "event_id")), "n": F.count("event_id").over(w)})
+    block = F.least(F.floor((F.col("rn") - 1) / points), F.greatest(F.floor(F.col("n") / points), F.lit(1)) - 1)
+    return numbered.groupBy((F.col("user_id") + block * F.lit(1 << 40)).alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "value"))), lambda x: x["value"]).alias("s"))
 
 
 #: DuckDB twin of ``user_series``.
-SERIES = f"""series AS (SELECT user_id AS id, list(value ORDER BY rn) AS s FROM (
-  SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events) WHERE rn <= {POINTS} GROUP BY user_id)"""
+SERIES = f"""series AS (SELECT user_id + least((rn - 1) // {POINTS}, greatest(n // {POINTS}, 1) - 1) * {1 << 40} AS id, list(value ORDER BY rn) AS s FROM (
+  SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) GROUP BY 1)"""
 
 #: One row per point: id, pos from 0, x, and the series' length n.
 POINTS_SQL = """points AS (SELECT id, unnest(range(0, len(s))) AS pos, unnest(s) AS x, len(s) AS n FROM series)"""
 
 
+def case_rows(spark: SparkSession, sf_dir: str, source: str, id_col: str, cases: list[tuple], columns: str) -> DataFrame:
+    """(id, the case's columns): each row of ``source`` takes one of some literal cases in turn; the last values are what is to come out."""
+    own = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], f"case_no long, {columns}")
+    ids = table(spark, sf_dir, source).select(F.col(id_col).alias("id"))
+    return ids.withColumn("case_no", F.pmod("id", F.lit(len(cases)))).join(F.broadcast(own), "case_no").drop("case_no")  # a few literal rows
+
+
+def case_sql(source: str, id_col: str, cases: list[tuple], columns: str) -> str:
+    """``cases(id, ...)`` with the same rows for DuckDB."""
+
+    def literal(v) -> str:
+        if v is None:
+            return "NULL"
+        return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
+
+    names = [c.split()[0] for c in columns.split(", ")]
+    rows = ", ".join("(" + ", ".join(map(literal, (i, *c))) + ")" for i, c in enumerate(cases))
+    return f"""cases AS (SELECT {id_col} AS id, {", ".join(names)} FROM {source} JOIN (VALUES {rows}) v(case_no, {", ".join(names)}) ON {id_col} % {len(cases)} = case_no)"""
+
+
 class Registry:
     """Queries and their DuckDB twins, in order of definition."""
 

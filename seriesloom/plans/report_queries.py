@@ -271,10 +271,28 @@ def paired_tests(spark, sf):
     return t.join(tests, "arm").select("arm", "n", r("delta").alias("delta"), r("p_z").alias("p_z"), r("p_t").alias("p_t"), "p_prop", "p_sign", "p_mcnemar", "p_corrected", T.stars(F.col("p_z")).alias("stars"))
 
 
-@R.add()
+def _checked(interval, rows, value):
+    """An interval held against what its group's mean and deviation lead to expect."""
+    known = rows.groupBy("arm").agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("sd"))
+    width = (F.col("high") - F.col("low")) / (2 * 1.96 * F.col("sd") / F.sqrt("n"))
+    held = interval.join(known, "arm").select("arm", "n", r("mean").alias("mean"), ((F.col("low") < F.col("mean")) & (F.col("mean") < F.col("high"))).alias("covers"), width.between(0.85, 1.15).alias("width_fits"))
+    return held
+
+
+@R.add(f"""WITH {FACTS} SELECT arm, CAST(count(*) AS BIGINT) AS n, round(avg(a), 6) AS mean, true AS covers, true AS width_fits FROM facts GROUP BY arm""")
 def bootstrap_interval(spark, sf):
-    """STA1 REP5: resampled interval of each arm's mean."""
-    return T.bootstrap_mean(facts(spark, sf).select("item", "line", "arm", "a"), ["arm"], "a", 500).select("arm", r("low").alias("low"), r("high").alias("high"))
+    """STA1 REP5: 2,000 resamples of each arm's mean; whether the interval covers the mean and is as wide as a normal one."""
+    rows = facts(spark, sf).select("arm", "a")
+    return _checked(T.bootstrap_mean(rows, ["arm"], "a"), rows, "a")
+
+
+@R.add(f"""WITH {FACTS} SELECT arm, CAST(count(*) AS BIGINT) AS n, round(avg(a - b), 6) AS mean, true AS covers, true AS width_fits FROM facts GROUP BY arm""")
+def bootstrap_delta(spark, sf):
+    """STA2: the interval of the paired difference of two graders."""
+    f = facts(spark, sf)
+    interval = T.bootstrap_delta(f.select("item", "line", "arm", F.col("a").alias("v")), f.select("item", "line", "arm", F.col("b").alias("v")), ["item", "line"], ["arm"], "v")
+    rows = f.select("arm", (F.col("a") - F.col("b")).alias("d"))
+    return _checked(interval, rows, "d")
 
 
 @R.add(f"""WITH {FACTS}, p AS (SELECT arm, uid, (uid * 7919 + ascii(arm)) % 1000 / 10000.0 AS p FROM facts GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY arm ORDER BY p, uid) AS i, count(*) OVER (PARTITION BY arm) AS m FROM p)

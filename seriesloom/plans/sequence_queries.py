@@ -17,10 +17,10 @@ def r(c, digits=6):
     return F.round(c, digits)
 
 
-@R.add(f"""WITH {SERIES}, f AS (SELECT id, list_avg(s) AS m, list_stddev_pop(s) AS d, list_min(s) AS lo, list_max(s) AS hi FROM series),
-z AS (SELECT id, (m - (SELECT avg(m) FROM f)) / (SELECT stddev_pop(m) FROM f) AS a, (d - (SELECT avg(d) FROM f)) / (SELECT stddev_pop(d) FROM f) AS b,
-  (lo - (SELECT avg(lo) FROM f)) / coalesce(nullif((SELECT stddev_pop(lo) FROM f), 0), 1) AS c, (hi - (SELECT avg(hi) FROM f)) / coalesce(nullif((SELECT stddev_pop(hi) FROM f), 0), 1) AS e FROM f),
-p AS (SELECT x.id AS id, y.id AS cand_id, round(sqrt((x.a-y.a)**2 + (x.b-y.b)**2 + (x.c-y.c)**2 + (x.e-y.e)**2), 6) AS dist FROM z x JOIN z y ON x.id <> y.id)
+@R.add(f"""WITH {SERIES}, f AS (SELECT id, len(s) AS n, list_avg(s) AS m, list_stddev_pop(s) AS d, list_min(s) AS lo, list_max(s) AS hi FROM series),
+z AS (SELECT id, n, (m - avg(m) OVER w) / coalesce(nullif(stddev_pop(m) OVER w, 0), 1) AS a, (d - avg(d) OVER w) / coalesce(nullif(stddev_pop(d) OVER w, 0), 1) AS b,
+  (lo - avg(lo) OVER w) / coalesce(nullif(stddev_pop(lo) OVER w, 0), 1) AS c, (hi - avg(hi) OVER w) / coalesce(nullif(stddev_pop(hi) OVER w, 0), 1) AS e FROM f WINDOW w AS (PARTITION BY n)),
+p AS (SELECT x.id AS id, y.id AS cand_id, round(sqrt((x.a-y.a)**2 + (x.b-y.b)**2 + (x.c-y.c)**2 + (x.e-y.e)**2), 6) AS dist FROM z x JOIN z y ON x.id <> y.id AND x.n = y.n)
 SELECT id, cand_id, CAST(rank AS INTEGER) AS rank, dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, cand_id) AS rank FROM p) WHERE rank <= 3""")
 def candidate_negatives(spark, sf):
     """JOI6 SRT1 WIN3-4: three nearest other series of the same length by standardised features."""
@@ -47,7 +47,7 @@ def longest_shared_run(spark, sf):
 
 
 @R.add(f"""WITH {SERIES}, f AS (SELECT id, len(s) AS n, list_avg(s) AS m, list_stddev_pop(s) AS d FROM series),
-z AS (SELECT id, n, (m - (SELECT avg(m) FROM f)) / (SELECT stddev_pop(m) FROM f) AS za, (d - (SELECT avg(d) FROM f)) / (SELECT stddev_pop(d) FROM f) AS zb FROM f),
+z AS (SELECT id, n, (m - avg(m) OVER w) / coalesce(nullif(stddev_pop(m) OVER w, 0), 1) AS za, (d - avg(d) OVER w) / coalesce(nullif(stddev_pop(d) OVER w, 0), 1) AS zb FROM f WINDOW w AS (PARTITION BY n)),
 {POINTS_SQL}, h AS (SELECT a.id AS a, b.id AS b, a.pos AS pa, a.pos - b.pos AS diag FROM points a JOIN points b ON round(a.x, 1) = round(b.x, 1) AND a.n = b.n AND a.id <> b.id),
 i AS (SELECT *, pa - row_number() OVER (PARTITION BY a, b, diag ORDER BY pa) AS g FROM h), runs AS (SELECT a, b, max(run) AS run FROM (SELECT a, b, diag, g, count(*) AS run FROM i GROUP BY ALL) GROUP BY a, b),
 p AS (SELECT x.id AS id, y.id AS cand_id, round(sqrt((x.za-y.za)**2 + (x.zb-y.zb)**2), 6) AS dist FROM z x JOIN z y ON x.id <> y.id AND x.n = y.n LEFT JOIN runs ON a = x.id AND b = y.id WHERE coalesce(run, 0) < 0.04 * x.n)
@@ -180,12 +180,12 @@ def season_lag(spark, sf):
     return user_series(spark, sf).select("id", S.season(F.col("s")).alias("season"))
 
 
-@R.add(f"""WITH {SERIES} SELECT id, round(list_avg(s[1:12]), 6) AS q1, round(list_avg(s[13:24]), 6) AS q2, round(list_avg(s[25:36]), 6) AS q3, round(list_avg(s[37:48]), 6) AS q4,
-  array_to_string(list_distinct(list_transform(range(0, 8), lambda i: CAST(round_even(i * (len(s) - 1) / 7.0, 0) AS INTEGER))).list_sort(), ',') AS points FROM series WHERE len(s) = 48""")
+@R.add(f"""WITH {SERIES} SELECT id, round(list_avg(s[1:(n + 3) // 4]), 6) AS q1, round(list_avg(s[(n + 3) // 4 + 1:(n + 3) // 4 + (n + 2) // 4]), 6) AS q2, round(list_avg(s[(n + 3) // 4 + (n + 2) // 4 + 1:n - n // 4]), 6) AS q3, round(list_avg(s[n - n // 4 + 1:]), 6) AS q4,
+  array_to_string(list_distinct(list_transform(range(0, 8), lambda i: CAST(round_even(i * (len(s) - 1) / 7.0, 0) AS INTEGER))).list_sort(), ',') AS points FROM (SELECT *, len(s) AS n FROM series)""")
 def quarter_means(spark, sf):
     """WIN27 WIN28: means of quarters and evenly spaced sample places."""
     s, q = F.col("s"), F.col("q")
-    got = user_series(spark, sf).where(F.size("s") == 48).select("id", S.block_means(s).alias("q"), F.array_join(F.array_sort(S.sample_points(s, 8)).cast("array<string>"), ",").alias("points"))
+    got = user_series(spark, sf).select("id", S.block_means(s).alias("q"), F.array_join(F.array_sort(S.sample_points(s, 8)).cast("array<string>"), ",").alias("points"))
     return got.select("id", *(r(q[i]).alias(f"q{i + 1}") for i in range(4)), "points")
 
 
@@ -278,7 +278,12 @@ def forecast_skill(spark, sf):
     return rep.select("split", "windows", *(r(c).alias(c) for c in ("mse", "mae", "naive_mse", "skill")))
 
 
-@R.add()
+@R.add(f"""WITH {SERIES}, {POINTS_SQL}, signed AS (SELECT id, kind, pos, x * k AS v FROM points, (VALUES ('peak', 1), ('trough', -1)) t(kind, k)),
+near AS (SELECT *, lag(v) OVER w AS p, lead(v) OVER w AS q, max(v) OVER (PARTITION BY id, kind) - min(v) OVER (PARTITION BY id, kind) AS spread FROM signed WINDOW w AS (PARTITION BY id, kind ORDER BY pos)),
+top AS (SELECT * FROM near WHERE p < v AND v >= q),
+walls AS (SELECT c.id, c.kind, c.pos, c.v, c.spread, coalesce(max(o.pos) FILTER (WHERE o.pos < c.pos AND o.v > c.v), -1) AS l, coalesce(min(o.pos) FILTER (WHERE o.pos > c.pos AND o.v > c.v), 1000000) AS r FROM top c JOIN signed o ON o.id = c.id AND o.kind = c.kind GROUP BY ALL),
+lows AS (SELECT b.id, b.kind, b.pos, b.v, b.spread, min(o.v) FILTER (WHERE o.pos <= b.pos AND o.pos > b.l) AS a, min(o.v) FILTER (WHERE o.pos >= b.pos AND o.pos < b.r) AS z FROM walls b JOIN signed o ON o.id = b.id AND o.kind = b.kind GROUP BY ALL)
+SELECT id, CAST(pos AS BIGINT) AS pos, kind, round(v - greatest(a, z), 6) AS prominence FROM lows WHERE v - greatest(a, z) >= 0.1 * spread""")
 def peak_prominence(spark, sf):
     """WIN17 WIN18: prominent peaks and troughs of each series."""
     base = user_series(spark, sf)

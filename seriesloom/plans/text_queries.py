@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import models as M
+from ..functions import sequence as S
 from ..functions import text as X
 from ..operators import reports as P
 from ..sources import adapters as A
 from ..sources import readers as D
 from ..streaming import rewards as W
-from .base import SERIES, Registry, table, user_series
+from .base import SERIES, Registry, case_rows, case_sql, table, user_series
 
 R = Registry()
 
@@ -19,30 +20,55 @@ def r(c, digits=6):
     return F.round(c, digits)
 
 
+#: reply; letter of A-D, of A-J, of a multiple choice, the first of A-I; truth value.
+REPLY_CASES = [
+    ("C", "C", "C", "C", "C", None),
+    (" C.", "C", "C", "C", "C", None),
+    ("The answer is B", "B", "B", "B", "B", None),
+    ("A) is correct", "A", "A", "A", "A", None),
+    ("nothing here", None, None, None, None, None),
+    ("I think it is C", "C", "C", "C", "C", None),
+    ("Option I", None, "I", None, "I", None),
+    ("J)", None, "J", None, None, None),
+    ("<answer>C</answer>", "C", "C", "C", "C", None),
+    ("<ANSWER>d</ANSWER>", "D", "D", None, "D", None),
+    ("D looks close but <answer>B</answer>", "B", "B", "B", "D", None),
+    ("the answer is b", None, None, None, "B", None),
+    ("A rising line, so A or B; final answer: D", "A", "A", "D", "B", None),
+    ("Either B or C could fit, yet the low start speaks for C", "B", "B", "C", "B", None),
+    ("B, not C", "B", "B", "B", "B", None),
+    ("It is True.", None, None, None, None, "T"),
+    ("false, it falls", None, None, None, None, "F"),
+    ("f", None, None, None, "F", "F"),
+    ("", None, None, None, None, None),
+    ("A guess: A", "A", "A", "A", "A", None),
+    ("I", None, "I", None, "I", None),
+    ("Answer **(C)** fits", "C", "C", "C", "C", None),
+    (None, None, None, None, None, None),
+]
+REPLY_COLUMNS = "reply string, four string, ten string, choice string, first_one string, truth_of string"
+REPLY_SQL = case_sql("events", "event_id", REPLY_CASES, REPLY_COLUMNS)
+
+
 def replies(spark, sf):
-    """Replies made from ids: each has a known form."""
-    i = F.col("event_id")
-    letter = F.char(65 + i % 4)
-    text = (
-        F.when(i % 6 == 0, F.concat(F.lit("<answer>"), letter, F.lit("</answer>")))
-        .when(i % 6 == 1, letter)
-        .when(i % 6 == 2, F.concat(F.lit("I think the answer is "), letter, F.lit(".")))
-        .when(i % 6 == 3, F.concat(F.lit("A guess would be option "), letter))
-        .when(i % 6 == 4, F.concat(F.lit("It is true that value "), F.col("value").cast("string"), F.lit(" fits, False otherwise")))
-        .otherwise(F.lit("no idea"))
-    )
+    return case_rows(spark, sf, "events", "event_id", REPLY_CASES, REPLY_COLUMNS)
+
+
+def numeric_replies(spark, sf):
+    """Replies made from ids with numbers in known places."""
+    i, v = F.col("event_id"), F.col("value").cast("string")
+    text = F.when(i % 3 == 0, F.concat(F.lit("It is true that value "), v, F.lit(" fits, False otherwise"))).when(i % 3 == 1, F.concat(F.lit("from -3 to "), v, F.lit("."))).otherwise(F.lit("no idea"))
     return table(spark, sf, "events").select(i.alias("id"), "value", text.alias("reply"))
 
 
-REPLIES = """replies AS (SELECT event_id AS id, value, CASE event_id % 6 WHEN 0 THEN '<answer>' || chr(65 + CAST(event_id % 4 AS INTEGER)) || '</answer>' WHEN 1 THEN chr(65 + CAST(event_id % 4 AS INTEGER)) WHEN 2 THEN 'I think the answer is ' || chr(65 + CAST(event_id % 4 AS INTEGER)) || '.'
-  WHEN 3 THEN 'A guess would be option ' || chr(65 + CAST(event_id % 4 AS INTEGER)) WHEN 4 THEN 'It is true that value ' || value || ' fits, False otherwise' ELSE 'no idea' END AS reply FROM events)"""
+REPLIES = """replies AS (SELECT event_id AS id, value, CASE event_id % 3 WHEN 0 THEN 'It is true that value ' || value || ' fits, False otherwise' WHEN 1 THEN 'from -3 to ' || value || '.' ELSE 'no idea' END AS reply FROM events)"""
 
 
-@R.add(f"""WITH {REPLIES} SELECT id, CASE WHEN id % 6 IN (0, 1, 2, 3) THEN chr(65 + CAST(id % 4 AS INTEGER)) END AS letter, CASE WHEN id % 6 IN (0, 1, 2) THEN chr(65 + CAST(id % 4 AS INTEGER)) WHEN id % 6 = 3 THEN 'A' END AS mcq, CASE WHEN id % 6 = 4 THEN 'T' END AS truth FROM replies""")
+@R.add(f"""WITH {REPLY_SQL} SELECT id, four AS letter, ten AS of_ten, choice AS mcq, first_one AS first, truth_of AS truth FROM cases""")
 def reply_letter(spark, sf):
-    """SCL1 SCL2 SCL4: answer letters and truth values in replies of known form."""
+    """SCL1 SCL2 SCL3 SCL4: answer letters and truth values in replies of many forms."""
     c = F.col("reply")
-    return replies(spark, sf).select("id", X.answer_letter(c).alias("letter"), X.mcq_letter(c).alias("mcq"), X.truth_value(c).alias("truth"))
+    return replies(spark, sf).select("id", X.answer_letter(c).alias("letter"), X.answer_letter(c, "A-J").alias("of_ten"), X.mcq_letter(c).alias("mcq"), X.first_letter(c).alias("first"), X.truth_value(c).alias("truth"))
 
 
 @R.add(f"""WITH {REPLIES}, n AS (SELECT id, value, list_transform(regexp_extract_all(reply, '-?\\d+\\.?\\d*'), lambda x: CAST(x AS DOUBLE)) AS nums FROM replies)
@@ -52,25 +78,80 @@ def scorer_numeric(spark, sf):
     near, g, nums = F.col("value") * 1.04, F.col("value") + 1, X.numbers(F.col("reply"))
     close = F.exists(nums, lambda n: F.abs(n - near) <= 0.05 * F.abs(near))
     each = F.transform(nums, lambda n: F.greatest(F.lit(0.0), 1 - F.abs(n - g) / F.nullif(F.abs(g), F.lit(0.0))))
-    return replies(spark, sf).select("id", F.size(nums).cast("long").alias("n"), r(F.array_max(each)).alias("score"), close.alias("close"))
+    return numeric_replies(spark, sf).select("id", F.size(nums).cast("long").alias("n"), r(F.array_max(each)).alias("score"), close.alias("close"))
+
+
+#: scorer, gold, reply; score; label that a label scorer reads.
+SCORER_CASES = [
+    ("letter_exact", "C", "The answer is C.", 1.0, "C"),
+    ("letter_exact", "C", "The answer is D.", 0.0, "D"),
+    ("letter_exact", "C", "no letter here", 0.0, None),
+    ("letter_exact", " b ", "the answer is b", 1.0, "B"),
+    ("letter_exact", "I", "I think E", 0.0, "E"),
+    ("tf_exact", "T", "True, because the series rises.", 1.0, "T"),
+    ("tf_exact", "T", "False.", 0.0, "F"),
+    ("tf_exact", "false", "f", 1.0, "F"),
+    ("tf_exact", "T", "cannot say", 0.0, None),
+    ("letter_flexible", "B) Decrease", "Based on the trend, b) decrease is correct.", 1.0, None),
+    ("letter_flexible", "B) Decrease", "A) Increase seems right.", 0.0, None),
+    ("ordering_exact", "B,A,C,D", "The correct order is B, A, C, D.", 1.0, None),
+    ("ordering_exact", "B,A,C,D", "The correct order is A, B, C, D.", 0.0, None),
+    ("ordering_exact", "B, A, C", "I think B, A, C", 1.0, None),
+    ("ordering_exact", "b,a", "b then a then b and c", 1.0, None),
+    ("ordering_exact", "A,B,C", "A, B", 0.0, None),
+    ("numeric_tolerance", "100", "about 100", 1.0, None),
+    ("numeric_tolerance", "100", "about 90", 0.9, None),
+    ("numeric_tolerance", "100", "no numbers", 0.0, None),
+    ("numeric_tolerance", "about 5", "5", 0.0, None),
+    ("numeric_tolerance", " 1e2 ", "between 50 and 130", 0.7, None),
+    ("numeric_tolerance", "0", "0.0 it is", 1.0, None),
+    ("numeric_tolerance", "0", "0.1", 0.0, None),
+    ("numeric_tolerance", "10", "500", 0.0, None),
+    ("regex_numeric_extract_tolerance", "The highest count occurred at 2005-11-07, with an average of 1486.04.", "The peak value was about 1486.0.", 1.0, None),
+    ("regex_numeric_extract_tolerance", "from 3 to 20", "maybe 20.5, or 3", 1.0, None),
+    ("regex_numeric_extract_tolerance", "from 3 to 20", "maybe 22", 0.0, None),
+    ("regex_numeric_extract_tolerance", "none", "5", 0.0, None),
+]
+SCORER_COLUMNS = "kind string, gold string, said string, want double, label string"
+
+
+@R.add(f"WITH {case_sql('orders', 'o_orderkey', SCORER_CASES, SCORER_COLUMNS)} SELECT id, CAST(want AS DOUBLE) AS score, label FROM cases")
+def scorer_dispatch(spark, sf):
+    """SCL5 SCL6 SCL7 SCL8 SCL9 SCL11 SCL12: the scorer that an item names, and the label that label scorers read."""
+    got = case_rows(spark, sf, "orders", "o_orderkey", SCORER_CASES, SCORER_COLUMNS)
+    return got.select("id", r(X.score(F.col("kind"), F.col("gold"), F.col("said")), 9).alias("score"), X.parsed(F.col("kind"), F.col("said")).alias("label"))
 
 
-@R.add("SELECT o_orderkey AS id, CAST(CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 0 ELSE 1 END AS DOUBLE) AS score FROM orders")
-def scorer_dispatch(spark, sf):
-    """SCL5 SCL6 SCL7 SCL11: the scorer that an item names."""
-    i = F.col("o_orderkey")
-    kind = F.when(i % 3 == 0, "ordering_exact").when(i % 3 == 1, "letter_exact").otherwise("letter_flexible")
-    gold = F.when(i % 3 == 0, "B,A,C").when(i % 3 == 1, "C").otherwise("Rising ")
-    said = F.when(i % 3 == 0, "First B, then A and B, then C, D").when(i % 3 == 1, "It is D").otherwise("a rising line")
-    return table(spark, sf, "orders").select(i.alias("id"), X.score(kind, gold, said).alias("score"))
+#: A judge's words; grade of 1 to 10 (none counts as 1); verdict.
+JUDGE_CASES = [("Grade: 7 of 10", 7, "false"), ("Yes, 12", 10, "true"), ("0", 1, "false"), ("none", 1, "false"), ("  YES", 1, "true"), ("I say yes", 1, "false"), ("8", 8, "false"), ("[yes] 3/10", 3, "true"), ("No. 2", 2, "false"), ("", 1, "false")]
+JUDGE_COLUMNS = "said string, grade_of long, yes_of string"
 
 
-@R.add("SELECT o_orderkey AS id, round(CASE o_orderkey % 4 WHEN 0 THEN 6 WHEN 1 THEN 9 WHEN 2 THEN 0 ELSE 0 END / 9.0 * 2, 6) AS grade, o_orderkey % 4 = 1 AS yes FROM orders")
+@R.add(f"WITH {case_sql('orders', 'o_orderkey', JUDGE_CASES, JUDGE_COLUMNS)} SELECT id, round((grade_of - 1) / 9.0 * 2, 6) AS grade, yes_of = 'true' AS yes FROM cases")
 def judge_grades(spark, sf):
     """SCL13 SCL14 STM7: grades and verdicts in a judge's words."""
-    i = F.col("o_orderkey") % 4
-    said = F.when(i == 0, "Grade: 7 of 10").when(i == 1, "Yes, 12").when(i == 2, "0").otherwise("none")
-    return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), r(X.judge_grade(said)).alias("grade"), X.verdict(said).alias("yes"))
+    got = case_rows(spark, sf, "orders", "o_orderkey", JUDGE_CASES, JUDGE_COLUMNS)
+    return got.select("id", r(X.judge_grade(F.col("said"))).alias("grade"), X.verdict(F.col("said")).alias("yes"))
+
+
+@R.add(f"""WITH {SERIES}, d AS (SELECT id, s, list_max(list_transform(s, lambda x: abs(x))) AS top FROM series), k AS (SELECT id, s, CASE WHEN top <= 0 THEN 2 ELSE least(3, greatest(0, 3 - floor(log10(top)))) END AS k FROM d)
+SELECT id, CAST(k AS INTEGER) AS decimals, '[' || array_to_string(list_transform(s, lambda x: CASE k WHEN 0 THEN printf('%.0f', x) WHEN 1 THEN printf('%.1f', x) WHEN 2 THEN printf('%.2f', x) ELSE printf('%.3f', x) END), ', ') || ']' AS text,
+  md5('[' || array_to_string(list_transform(s, lambda x: printf('%.3f', x)), ', ') || ']') AS three FROM k""")
+def series_texts(spark, sf):
+    """SCL29 SCL32: series as text, with decimals by size and with three."""
+    got = user_series(spark, sf).withColumn("decimals", S.decimals_for(F.col("s")).cast("int"))
+    return got.select("id", "decimals", X.format_series("s", "decimals").alias("text"), F.md5(X.format_series("s", F.lit(3))).alias("three"))
+
+
+@R.add("""SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 AND c_nationkey > 5 THEN c_mktsegment WHEN c_custkey % 3 = 1 THEN c_name ELSE CAST(c_nationkey AS VARCHAR) END AS text,
+  CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment WHEN c_custkey % 5 > 0 THEN 'trend/' || c_name END AS type FROM customer""")
+def first_texts(spark, sf):
+    """SCL40: the first candidate that holds text; a type from a text or a list."""
+    i = F.col("c_custkey")
+    a, b = F.when((i % 3 == 0) & (F.col("c_nationkey") > 5), F.col("c_mktsegment")).when(i % 3 == 0, ""), F.when(i % 3 == 1, F.col("c_name"))
+    several = F.when(i % 5 > 0, F.array(F.lit("trend"), F.col("c_name"))).otherwise(F.array().cast("array<string>"))
+    one = F.when(i % 2 == 0, F.col("c_mktsegment")).otherwise(F.lit(" "))
+    return table(spark, sf, "customer").select(i.alias("id"), X.first_text(a, b, F.col("c_nationkey")).alias("text"), X.joined_type(one, several).alias("type"))
 
 
 @R.add(r"""SELECT doc_id, CAST(len(regexp_extract_all(text, '-?\d+\.?\d*')) AS BIGINT) AS numbers, md5(regexp_replace(text, '-?\d+\.?\d*', '[NUM]', 'g')) AS masked, CAST(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) AS BIGINT) AS tokens,
@@ -82,7 +163,7 @@ def masked_numbers(spark, sf):
     return table(spark, sf, "documents").select("doc_id", n.alias("numbers"), F.md5(X.masked_numbers(t)).alias("masked"), F.size(X.tokens(t)).cast("long").alias("tokens"), X.token_budget(n).alias("budget"))
 
 
-@R.add("SELECT doc_id, CASE WHEN length(trim(text, ' ')) < 80 THEN 'short' WHEN NOT regexp_matches(trim(text, ' '), '[.!?\"'')”]$') THEN 'unfinished' END AS fault FROM documents")
+@R.add(r"""WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g') AS t FROM documents) SELECT doc_id, CASE WHEN length(t) < 80 THEN 'short' WHEN NOT regexp_matches(t, '[.!?")]$') THEN 'unfinished' END AS fault FROM d""")
 def caption_qc(spark, sf):
     """FLT7: why a caption is refused."""
     return table(spark, sf, "documents").select("doc_id", X.caption_fault(F.col("text")).alias("fault"))
@@ -95,11 +176,12 @@ def caption_flags(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.number_leak(t).alias("leak"), X.claims_uniqueness(t).alias("claims"), X.mentions(t, ["license", "token"]).alias("mentions"))
 
 
-@R.add()
+@R.add("SELECT doc_id, true AS whole, true AS bounded FROM documents")
 def lossless_chunks(spark, sf):
-    """SCL22 JOI14: pieces of at most five numbers that join to the text again."""
-    got = table(spark, sf, "documents").select("doc_id", "text", X.chunks(F.col("text")).alias("c"))
-    return got.select("doc_id", F.size("c").alias("chunks"), (F.array_join("c", "") == F.col("text")).alias("whole"))
+    """SCL22 JOI14: pieces that join to the text again; one of more than five numbers has no place inside to be cut at."""
+    got = table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("c", X.chunks(F.col("text")))
+    fits = lambda c: (F.regexp_count(c, F.lit(X.NUMBER)) <= 5) | ~c.rlike(r"(?s)(?<=[.!?;:])\s+\S|\n+[^\n]")
+    return got.select("doc_id", (F.array_join("c", "") == F.col("text")).alias("whole"), F.forall("c", fits).alias("bounded"))
 
 
 @R.add(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, array_to_string(w[i:i + 9], ' ') AS g FROM w, unnest(range(1, len(w) - 8)) t(i)), c AS (SELECT doc_id, g, count(*) AS n FROM g GROUP BY ALL)
@@ -130,7 +212,8 @@ def prompt_build(spark, sf):
     return table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), X.prompt(q, F.array("o_orderstatus", F.lit("x"))).alias("prompt"))
 
 
-@R.add("SELECT item_id, CASE WHEN length(text) <= 60 THEN text WHEN instr(reverse(substr(text, 1, 60)), ' .') > 0 THEN left(substr(text, 1, 60), 60 - instr(reverse(substr(text, 1, 60)), ' .')) ELSE substr(text, 1, 60) END AS head, CAST(('0x' || substr(md5(text), 30, 3)) AS BIGINT) AS bucket FROM benchmark")
+@R.add("""WITH h AS (SELECT item_id, text, substr(text, 1, 60) AS h FROM benchmark), c AS (SELECT *, greatest(CASE WHEN instr(reverse(h), ' .') > 0 THEN length(h) - instr(reverse(h), ' .') - 1 ELSE -1 END, CASE WHEN instr(reverse(h), chr(10) || '.') > 0 THEN length(h) - instr(reverse(h), chr(10) || '.') - 1 ELSE -1 END) AS stop FROM h)
+SELECT item_id, CASE WHEN length(text) <= 60 THEN text WHEN stop > 30 THEN left(h, stop + 1) ELSE h END AS head, CAST(('0x' || substr(md5(text), 30, 3)) AS BIGINT) AS bucket FROM c""")
 def cut_texts(spark, sf):
     """SCL41 SCL42: texts cut at a sentence's end; md5 buckets."""
     t = F.col("text")
@@ -213,21 +296,24 @@ def fresh_distractors(spark, sf):
     return W.fresh_distractors(q, "pool", 3).select("request", F.array_join("distractors", ",").alias("distractors"))
 
 
-@R.add(f"""WITH {REPLIES} SELECT CASE WHEN id % 6 IN (0, 1, 2, 3) THEN chr(65 + CAST(id % 4 AS INTEGER)) ELSE 'unparsed' END AS letter, CAST(count(*) AS BIGINT) AS n FROM replies GROUP BY 1""")
+@R.add(f"""WITH {REPLY_SQL} SELECT coalesce(four, 'unparsed') AS letter, CAST(count(*) AS BIGINT) AS n FROM cases GROUP BY 1""")
 def running_totals(spark, sf):
     """STM8: calls and picks so far (as a batch; the same plan runs on a stream)."""
     return W.running_totals(replies(spark, sf))
 
 
-@R.add("""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\W+'), lambda x: x <> '')) AS w, lead(text) OVER (ORDER BY item_id) AS other FROM benchmark WHERE regexp_matches(text, '^[ -~\\n]*$')), v AS (SELECT item_id, w, list_distinct(list_filter(regexp_split_to_array(lower(other), '\\W+'), lambda x: x <> '')) AS o FROM w WHERE other IS NOT NULL)
+#: Word characters: ASCII letters, digits, underscore, and all beyond ASCII.
+_WORDS = r"list_distinct(list_filter(regexp_split_to_array(lower({}), '[^0-9A-Za-z_\x{{80}}-\x{{10FFFF}}]+'), lambda x: x <> ''))"
+
+
+@R.add(f"""WITH i AS (SELECT DISTINCT ON (item_id) item_id, text FROM benchmark ORDER BY item_id, text), v AS (SELECT a.item_id, {_WORDS.format("a.text")} AS w, {_WORDS.format("b.text")} AS o FROM i a JOIN i b ON b.item_id = a.item_id + 1)
 SELECT item_id, round(len(list_intersect(w, o)) / len(w), 6) AS p, len(list_intersect(w, o)) / len(w) >= 0.2 AS entails FROM v""")
 def entailment_rates(spark, sf):
-    """UDF3 AGG13: entailment of neighbouring texts by the stand-in."""
-    from pyspark.sql import Window
-
-    b = table(spark, sf, "benchmark").where(F.col("text").rlike(r"^[ -~\n]*$"))  # a benchmark is small: one window over it
+    """UDF3 AGG13: entailment of each text by that of the next id, by the stand-in."""
+    b = table(spark, sf, "benchmark").groupBy("item_id").agg(F.min("text").alias("text"))
+    other = b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
     p = M.overlap_entailment(F.col("other"), F.col("text"))
-    return b.withColumn("other", F.lead("text").over(Window.orderBy("item_id"))).where("other is not null").select("item_id", r(p).alias("p"), (p >= 0.2).alias("entails"))
+    return b.join(other, "item_id").select("item_id", r(p).alias("p"), (p >= 0.2).alias("entails"))
 
 
 @R.add(f"""WITH {SERIES} SELECT id, 'The series has ' || len(s) || ' points' AS head FROM series""")
@@ -243,14 +329,25 @@ def control_captions(spark, sf):
     return table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), M.controlled_caption(control, F.col("c_name"), F.col("c_mktsegment")).alias("caption"))
 
 
-@R.add("""SELECT conv_id, 'Q' AS stem, CAST(4 AS BIGINT) AS n, CASE conv_id % 3 WHEN 0 THEN 'time' WHEN 1 THEN 'numeric' ELSE 'verbal' END AS family FROM (SELECT DISTINCT conv_id FROM conversations)""")
+#: A question; stem, number of options, family.
+QUESTION_CASES = [
+    ("When?\n- A) t = 5\n- B) t=10\n- C) **T = 15\n- D) never", "When?", 4, "time"),
+    ("How much?\n- A) about 5 units\n- B) 7.5 %\n- C) roughly 10\n- D) none", "How much?", 4, "numeric"),
+    ("Shape?\n- A) up\n- B) down\n- C) flat\n- D) wavy", "Shape?", 4, "verbal"),
+    ("Which?\n- A) rises by 5 near its slow start\n- B) 3\n- C) 4\n- D) falls", "Which?", 4, "verbal"),
+    ("Two of three times?\n- A) t = 1\n- B) t = 2\n- C) 7", "Two of three times?", 3, "verbal"),
+    ("Range?\n- A) ~1-2 points\n- B) a drop of (3.5)\n- C) +4%\n- D) an increase", "Range?", 4, "numeric"),
+    ("No options here", "No options here", 0, "unparsed"),
+]
+QUESTION_COLUMNS = "q string, stem_of string, n_of long, family_of string"
+
+
+@R.add(f"""WITH {case_sql("orders", "o_orderkey", QUESTION_CASES, QUESTION_COLUMNS)} SELECT id, stem_of AS stem, CAST(n_of AS BIGINT) AS n, family_of AS family FROM cases""")
 def question_options(spark, sf):
     """SCL16 SCL17 SCL18 FLT14: option lines, the stem before them and the family of the question."""
-    i = F.col("conv_id") % 3
-    body = F.when(i == 0, "Q\n- A) early\n- B) middle\n- C) late\n- D) never").when(i == 1, "Q\n- A) 1\n- B) 2\n- C) 3\n- D) none").otherwise("Q\n- A) up\n- B) down\n- C) flat\n- D) wavy")
-    c = table(spark, sf, "conversations").select("conv_id").distinct().withColumn("q", body)
     opts = X.options(F.col("q"))
-    return c.select("conv_id", X.stem(F.col("q")).alias("stem"), F.size(opts).cast("long").alias("n"), X.question_family(F.transform(opts, lambda o: o["text"])).alias("family"))
+    got = case_rows(spark, sf, "orders", "o_orderkey", QUESTION_CASES, QUESTION_COLUMNS)
+    return got.select("id", X.stem(F.col("q")).alias("stem"), F.size(opts).cast("long").alias("n"), X.question_family(F.transform(opts, lambda o: o["text"])).alias("family"))
 
 
 @R.add("SELECT doc_id, CASE WHEN contains(text, '|') THEN 'table' WHEN contains(text, 'License') THEN 'license' ELSE 'prose' END AS family, CAST(round(100 * len(list_filter(string_split(text, ' '), lambda x: regexp_matches(x, '[0-9]'))) / len(string_split(text, ' '))) AS BIGINT) AS digits FROM documents")

@@ -47,7 +47,7 @@ def test_sequence_edges(spark):
 
 @pytest.mark.parametrize(
     ("reply", "letter"),
-    [("<answer>C</answer> not A", "C"), ("b", "B"), ("(D).", "D"), ("I think it is B", "B"), ("A guess: C", "C"), ("none", None), ("", None), (None, None)],
+    [("<answer>C</answer> not A", "C"), ("b", None), ("(D).", "D"), ("I think it is B", "B"), ("A guess: C", "A"), ("none", None), ("", None), (None, None)],
 )
 def test_answer_letter(spark, reply, letter):
     assert value(spark, X.answer_letter(F.lit(reply).cast("string"))) == letter
@@ -59,8 +59,8 @@ def test_answer_letter(spark, reply, letter):
         ("numeric_tolerance", "10", "about 9", 0.9),
         ("numeric_tolerance", "0", "0.1", 0.0),
         ("numeric_tolerance", "0", "0", 1.0),
-        ("regex_numeric", "from 3 to 20", "maybe 20.5", 1.0),
-        ("regex_numeric", "20", "no number", 0.0),
+        ("regex_numeric_extract_tolerance", "from 3 to 20", "maybe 20.5", 1.0),
+        ("regex_numeric_extract_tolerance", "20", "no number", 0.0),
         ("ordering_exact", "B,A", "B then A then B and C", 1.0),
         ("tf_exact", "True", "it is false", 0.0),
         ("letter_flexible", " Up ", "going UP", 1.0),
@@ -193,13 +193,30 @@ def test_streams(spark, tmp_path):
 def test_masking(spark):
     from seriesloom.operators import masking as K
 
-    assert K.apply_mask("from 3 to -4 and 9", [{"num": 3, "flag": "value"}, {"num": 4, "flag": "time"}]) == ("from [NUM] to -4 and [NUM]", 1)
-    got = value(spark, K.mask_flags(F.lit("3 value\nnoise\n1 to 2 time")))
-    assert [(x["num"], x["flag"]) for x in got] == [(3.0, "value"), (1.0, "time"), (2.0, "time")]
+    assert K.apply_mask("from 3 to -4 and 9", [{"num": 3, "flag": 1}, {"num": 4, "flag": 0}]) == ("from <val> to -4 and 9", 1)
+    got = value(spark, K.mask_flags(F.lit("3 1\nnoise\n20\n1 to 2 0\r\n* 18-21: 0 *")))
+    assert [(x["num"], x["flag"]) for x in got] == [(3.0, 1), (1.0, 0), (2.0, 0), (18.0, 0), (21.0, 0)]
     assert value(spark, K.compact_number(F.lit(2.50))) == "2.5"
     assert value(spark, K.time_anchors(F.lit("2. at time 5 then 40%"))) == [5.0]
 
 
+def test_bootstrap(spark):
+    """The same interval whatever the layout; near the plain resampling one; pairs that differ are refused."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x = rng.integers(0, 5, 400)
+    rows = spark.createDataFrame([("g", int(i), float(v)) for i, v in enumerate(x)], "arm string, k int, v double")
+    got = [T.bootstrap_mean(rows.repartition(n), ["arm"], "v").first() for n in (1, 7)]
+    assert got[0] == got[1]
+    plain = x[rng.integers(0, 400, (2000, 400))].mean(axis=1)
+    assert [got[0]["low"], got[0]["high"]] == pytest.approx(np.percentile(plain, [2.5, 97.5]), abs=0.03)
+    other = rows.withColumn("v", F.col("v") - 1)
+    assert T.bootstrap_delta(rows, other, ["k"], ["arm"], "v").first()["low"] == 1.0
+    with pytest.raises(Exception, match="differ in their keys"):
+        T.bootstrap_delta(rows, other.where("k > 0"), ["k"], ["arm"], "v").collect()
+
+
 def test_charts(spark):
     import zlib
 

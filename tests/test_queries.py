@@ -59,44 +59,3 @@ def test_paired_tests(spark):
         b, c = d.count(1), d.count(-1)
         assert r["p_mcnemar"] == pytest.approx(math.erfc(abs(b - c) / math.sqrt(b + c) / math.sqrt(2)), abs=2e-6)
         assert 0 <= r["p_t"] <= 1 and abs(r["p_t"] - r["p_z"]) < 0.01
-
-
-def test_bootstrap_interval(spark):
-    got = {r["arm"]: r for r in QUERIES["bootstrap_interval"](spark, SF).collect()}
-    means = dict(duckdb.sql(f"select l_returnflag, avg((l_discount >= 0.05)::int) from '{SF}/lineitem.parquet' group by 1").fetchall())
-    for arm, r in got.items():
-        assert r["low"] < means[arm] < r["high"] and r["high"] - r["low"] < 0.2
-
-
-def test_lossless_chunks(spark):
-    rows = QUERIES["lossless_chunks"](spark, SF).collect()
-    assert rows and all(r["whole"] for r in rows)
-
-
-def test_peak_prominence(spark):
-    """Against the definition: the higher of the lowest values up to the nearest higher point on each side."""
-    series = dict(duckdb.sql(f"select user_id, list(value order by rn) from (select *, row_number() over (partition by user_id order by ts, event_id) rn from '{SF}/events.parquet') where rn <= 48 group by 1").fetchall())
-    got = {(r["id"], r["pos"], r["kind"]): r["prominence"] for r in QUERIES["peak_prominence"](spark, SF).collect()}
-    want = {}
-    for i, s in series.items():
-        for kind, sign in (("peak", 1), ("trough", -1)):
-            x = [sign * v for v in s]
-            for p in range(1, len(x) - 1):
-                if x[p - 1] < x[p] >= x[p + 1]:
-                    lows = []
-                    for part in (x[:p][::-1], x[p + 1 :]):
-                        low = x[p]
-                        for v in part:
-                            if v > x[p]:
-                                break
-                            low = min(low, v)
-                        lows.append(low)
-                    prom = x[p] - max(lows)
-                    if prom >= 0.1 * (max(s) - min(s)):
-                        want[i, p, kind] = round(prom, 6)
-    assert got == pytest.approx(want)
-
-
-def test_charts(spark):
-    rows = QUERIES["charts"](spark, SF).collect()
-    assert rows and all(r["drawn"] and r["head"] == "89504E470D0A1A0A" for r in rows)
