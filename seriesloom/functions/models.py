@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -34,6 +35,32 @@ def mapped(rows: DataFrame, column: str, call: Callable[[list[str]], list[str]],
     return rows.mapInPandas(work, f"{fields}, `{out}` string")
 
 
+def retrying(one: Callable[[str], str], several: Callable[[list[str]], list[str]] | None = None, attempts: int = 4, most_failed: float = 0.1, wait: Callable[[float], None] = time.sleep) -> Callable[[list[str]], list[str]]:
+    """A batch function from one on single texts: a failed text is tried again after 1, 2, 4 ... seconds.
+
+    Where more than ``most_failed`` of a batch still fail, ``several`` takes the whole batch, if there is one; else the failure is raised.
+    """
+
+    def call(texts: list[str]) -> list[str]:
+        got: dict[int, str] = {}
+        error: Exception | None = None
+        for attempt in range(attempts):
+            for i in [i for i in range(len(texts)) if i not in got]:
+                try:
+                    got[i] = one(texts[i])
+                except Exception as e:  # whatever a model's client raises
+                    error = e
+            if len(got) == len(texts):
+                return [got[i] for i in range(len(texts))]
+            if attempt + 1 < attempts:
+                wait(2.0**attempt)
+        if several is not None and len(texts) - len(got) > most_failed * len(texts):
+            return several(texts)
+        raise RuntimeError(f"{len(texts) - len(got)} of {len(texts)} calls failed") from error
+
+    return call
+
+
 def mock_caption(s: Column) -> Column:
     """A sentence from a series' statistics."""
     return F.format_string("The series has %d points with a mean of %.2f, goes from %.2f to %.2f and its trend is %s.", F.size(s), S.mean(s), F.array_min(s), F.array_max(s), S.trend_word(s))

@@ -36,10 +36,19 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(S.total(F.transform(F.zip_with(a, b, lambda x, y: x - y), lambda d: d * d)))
 
 
-def nearest(items: DataFrame, k: int | None, bucket: list[str], vector: str = "z", id_col: str = "id", digits: int = 6, allowed=None, farthest: bool = False) -> DataFrame:
-    """(id, cand_id, rank, dist): the k nearest others in the bucket, or all unranked for no k; ``allowed(a, b)`` may exclude pairs before ranking."""
+def nearest(items: DataFrame, k: int | None, bucket: list[str], vector: str = "z", id_col: str = "id", digits: int = 6, allowed=None, farthest: bool = False, parts: int = 1) -> DataFrame:
+    """(id, cand_id, rank, dist): the k nearest others in the bucket, or all unranked for no k; ``allowed(a, b)`` may exclude pairs before ranking.
+
+    With ``parts`` a bucket's items are dealt over so many tasks, each of which meets the whole bucket.
+    """
+    if parts > 1:
+        items, whole = items.withColumn("__part", F.pmod(F.xxhash64(id_col), F.lit(parts))), items
+        near = whole.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+        bucket = [*bucket, "__part"]
+    else:
+        near = items
     left = items.select(*bucket, F.col(id_col).alias("id"), F.struct(*items.columns).alias("a"))
-    right = items.select(*bucket, F.col(id_col).alias("cand_id"), F.struct(*items.columns).alias("b"))
+    right = near.select(*bucket, F.col(id_col).alias("cand_id"), F.struct(*near.columns).alias("b"))
     pairs = left.join(right, bucket).where("id <> cand_id")
     if allowed is not None:
         pairs = pairs.where(allowed(F.col("a"), F.col("b")))

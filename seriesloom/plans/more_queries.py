@@ -74,7 +74,7 @@ def distractor_settings(spark, sf):
     s = F.col("s")
     items = user_series(spark, sf).select("id", (F.col("id") % 4).alias("src"), F.lit(0).alias("all"), F.array(S.mean(s), S.pop_std(s)).alias("f"))
     z = C.standardised(items, "f", [], 2)
-    near = C.nearest(z, 3, ["all"]).withColumn("setting", F.lit("near"))
+    near = C.nearest(z, 3, ["all"], parts=16).withColumn("setting", F.lit("near"))
     same = C.nearest(z, 3, ["src"]).withColumn("setting", F.lit("same_source"))
     pairs = items.select("all", "id").join(items.select("all", F.col("id").alias("cand_id")), "all").where("id <> cand_id")
     w = Window.partitionBy("id").orderBy(C.keyed_order(F.lit("random"), F.col("id"), F.col("cand_id")), "cand_id")

@@ -86,7 +86,7 @@ SELECT id, cand_id, CAST(rank AS INTEGER) AS rank, dist FROM (SELECT *, row_numb
 def farthest_resampled(spark, sf):
     """JOI9 WIN26: farthest series after z-normalising and resampling to 16 points."""
     items = user_series(spark, sf).select("id", F.lit(0).alias("all"), S.resampled(S.z_normalised(F.col("s")), 16).alias("v"))
-    return C.nearest(items, 3, ["all"], "v", digits=5, farthest=True)
+    return C.nearest(items, 3, ["all"], "v", digits=5, farthest=True, parts=16)
 
 
 @R.add(f"""WITH {SERIES}, x AS (SELECT id, s, list_position(s, list_max(s)) - 1 AS hi, list_position(s, list_min(s)) - 1 AS lo, len(s) AS n FROM series)

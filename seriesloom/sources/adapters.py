@@ -75,4 +75,18 @@ def by_path_suffix(messages: DataFrame, fragments: DataFrame) -> DataFrame:
     return as_items(each, id=F.concat_ws("#", "k", F.col("n").cast("string")), series=F.array("series"), question=F.col("q.question"), gold=F.col("q.answer"), scoring=F.lit("letter_exact"), options=X.options(F.col("q.question")))
 
 
-ADAPTERS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (annotated, lettered_choice, typed_questions, tagged_text, abilities, by_path_suffix)}
+def two_pools(diagnostic: DataFrame, matching: DataFrame, limit: int | None = None) -> DataFrame:
+    """(id, prompt, gold) with the series written in the prompt, then (id, series, question, gold) of true or false; one limit over both, by pool and id."""
+    series = F.array(F.from_json(F.regexp_extract("prompt", r"(\[[-\d., eE+]+\])", 1), "array<double>"))
+    first = as_items(diagnostic, id=F.col("id"), series=series, question=F.col("prompt"), gold=F.col("gold"), scoring=F.lit("letter_exact"), options=X.options(F.col("prompt")), task=F.lit("diagnostic"))
+    second = as_items(matching, id=F.col("id"), series=F.array("series"), question=F.col("question"), gold=F.col("gold"), scoring=F.lit("tf_exact"), task=F.lit("matching"))
+    both = first.withColumn("__pool", F.lit(0)).unionByName(second.withColumn("__pool", F.lit(1)))
+    return (both if limit is None else both.orderBy("__pool", "id").limit(limit)).drop("__pool")
+
+
+def channel_questions(qa: DataFrame, channels: DataFrame) -> DataFrame:
+    """(id, file, channel, question, gold) joined to (file, channel, values)."""
+    return as_items(qa.join(channels, ["file", "channel"]), id=F.col("id"), series=F.array("values"), question=F.col("question"), gold=F.col("gold"), scoring=F.lit("letter_exact"), options=X.options(F.col("question")), task=F.lit("skill"))
+
+
+ADAPTERS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (annotated, lettered_choice, typed_questions, tagged_text, abilities, by_path_suffix, two_pools, channel_questions)}

@@ -5,6 +5,9 @@ File order is no order in Spark: whoever needs one passes an ordinal column.
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -28,6 +31,46 @@ def write_local(df: DataFrame, path: str, kind: str, mode: str = "errorifexists"
     {"jsonl": writer.json, "parquet": writer.parquet, "csv": writer.option("header", True).csv}[kind](path)
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that ``spark.checkpoint.dir`` names, or where it is unset beside the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def forecast_series(spark: SparkSession, path: str, target: str = "OT", order: str = "date") -> DataFrame:
+    """(order, value) of a CSV's target column; a file without it is an error."""
+    rows = spark.read.option("header", True).option("inferSchema", True).csv(path)
+    if target not in rows.columns:
+        raise ValueError(f"no column {target} among {', '.join(rows.columns)}")
+    return rows.select(F.col(order).cast("long" if order != "date" else "timestamp").alias(order), F.col(target).cast("double").alias("value"))
+
+
+def series_files(spark: SparkSession, path: str) -> DataFrame:
+    """(id, series) from a folder per id (``id=...``) of text with one value a line."""
+    text = spark.read.text(path, wholetext=True)
+    values = F.transform(F.filter(F.split("value", r"\s+"), lambda x: x != ""), lambda x: x.cast("double"))
+    return text.select("id", values.alias("series"))
+
+
+def licensed_union(parts: dict[str, DataFrame], unclear: set[str], accept_unclear: bool = False) -> DataFrame:
+    """All parts in one table with their ``source``; parts of an unclear licence are an error unless they are accepted."""
+    if (held := sorted(unclear & set(parts))) and not accept_unclear:
+        raise ValueError(f"the licence of {', '.join(held)} is unclear: accept it or leave them out")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (df.withColumn("source", F.lit(name)) for name, df in parts.items()))
+
+
+def timeout_stems(lines: DataFrame, key: str, order: str, text: str, most: int = 60) -> DataFrame:
+    """(key, stem) of decision lines that come next after a time-out line of the same log."""
+    form = r"\(\d+/\d+\)\s+\[(KEEP|CORRECT|DROP)\].*?\|\s*(.*)$"
+    late = F.contains(text, F.lit("Request timed out"))
+    decided = ~late & F.col(text).rlike(form)
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    place = lambda c: F.max(F.when(c, F.col(order))).over(before)
+    rows = lines.select(key, text, decided.alias("decided"), place(late).alias("late"), place(decided).alias("last"))
+    armed = F.col("late").isNotNull() & (F.col("last").isNull() | (F.col("late") > F.col("last")))
+    return rows.where(F.col("decided") & armed).select(key, F.trim(F.substr(F.regexp_extract(text, form, 2), F.lit(1), F.lit(most))).alias("stem")).distinct()
+
+
 def literal_array(text: Column, strict: bool = True) -> Column:
     """``[1.0, 2.5]`` as array<double>. Strict: an empty or malformed text fails the query; else bare nan is read and trouble gives null."""
     if strict:
@@ -94,5 +137,17 @@ def synthetic_fragments(spark: SparkSession, n: int, seed: int = 0) -> DataFrame
     return base.select("id", series.alias("series"), F.concat(F.lit("a "), word).alias("caption"))
 
 
+def synthetic_items(spark: SparkSession, n: int = 240, length: int = 96) -> DataFrame:
+    """(id, label, split, series): a rise, a wave or a step by id; the first 60 % train, the next 20 % validate."""
+    i, size = F.col("id"), F.lit(1) + F.col("id") / n
+    rise = lambda t: t / (length - 1.0) * size
+    wave = lambda t: F.sin(F.lit(2) * F.pi() * t * (1 + i % 5) / length)
+    step = lambda t: F.when(t < length // 2, 0.0).otherwise(size)
+    series = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda t: F.when(i % 3 == 0, rise(t)).when(i % 3 == 1, wave(t)).otherwise(step(t)))
+    label = F.element_at(F.array(*map(F.lit, ("rise", "wave", "step"))), (i % 3 + 1).cast("int"))
+    split = F.when(i < 0.6 * n, "train").when(i < 0.8 * n, "val").otherwise("test")
+    return spark.range(n).select("id", label.alias("label"), split.alias("split"), series.alias("series"))
+
+
 def data_uri(content: Column, kind: str = "image/png") -> Column:
     return F.concat(F.lit(f"data:{kind};base64,"), F.base64(content))

@@ -39,6 +39,25 @@ def rewards(requests: DataFrame, answer: Callable[[Column, Column], Column], k:
     return scored.groupBy("request", "id").agg(F.avg(hit).alias("accuracy")).withColumn("reward", P.reward(F.col("accuracy"), k, mode, scale))
 
 
+def answerability(rows: DataFrame, asked: int | None = None, scale: float = 2.0) -> DataFrame:
+    """(request, reward): the share of right replies to a request's questions, all or ``asked`` of them drawn by key; null where a reply is missing.
+
+    ``rows``: request, question, reply, gold.
+    """
+    if asked is not None:
+        w = Window.partitionBy("request").orderBy(C.keyed_order(F.col("request"), F.col("question")), "question")
+        rows = rows.withColumn("__n", F.row_number().over(w)).where(F.col("__n") <= asked)
+    mean = F.avg((F.col("reply") == F.col("gold")).cast("double"))
+    return rows.groupBy("request").agg(F.when(F.count("reply") == F.count(F.lit(1)), mean * scale).alias("reward"))
+
+
+def resumed(rows: DataFrame, progress: DataFrame, part: str, order: str) -> DataFrame:
+    """Rows of each part from the offset on that ``progress`` (part, done) names; parts without one start at 0."""
+    place = F.row_number().over(Window.partitionBy(part).orderBy(order)) - 1
+    left = rows.withColumn("__place", place).join(progress.select(part, F.col("done").alias("__done")), part, "left")
+    return left.where(F.col("__place") >= F.coalesce("__done", F.lit(0))).drop("__place", "__done")
+
+
 def judge_rewards(replies: DataFrame, scale: float = 2.0) -> DataFrame:
     """(request, id, reward) from a judge's words; an unreadable grade is the lowest."""
     return replies.select("request", "id", X.judge_grade(F.col("reply"), scale).alias("reward"))

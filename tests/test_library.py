@@ -200,6 +200,35 @@ def test_masking(spark):
     assert value(spark, K.time_anchors(F.lit("2. at time 5 then 40%"))) == [5.0]
 
 
+def test_retrying():
+    from seriesloom.functions import models as M
+
+    waits, tried = [], {}
+
+    def one(t):
+        tried[t] = tried.get(t, 0) + 1
+        if tried[t] < len(t):
+            raise TimeoutError
+        return t.upper()
+
+    call = M.retrying(one, wait=waits.append)
+    assert call(["a", "bb", "cccc"]) == ["A", "BB", "CCCC"] and waits == [1.0, 2.0, 4.0]
+    assert M.retrying(one, lambda ts: ["?"] * len(ts), attempts=2, wait=waits.append)(["x", "yyyyy"]) == ["?", "?"]
+    with pytest.raises(RuntimeError, match="1 of 2 calls failed"):
+        M.retrying(one, attempts=1, wait=waits.append)(["x", "zzzzz"])
+
+
+def test_sources_refuse(spark, tmp_path):
+    from seriesloom.sources import readers as D
+
+    part = spark.range(2)
+    with pytest.raises(ValueError, match="unclear"):
+        D.licensed_union({"a": part, "b": part}, {"b"})
+    part.write.option("header", True).csv(f"{tmp_path}/x.csv")
+    with pytest.raises(ValueError, match="no column OT"):
+        D.forecast_series(spark, f"{tmp_path}/x.csv")
+
+
 def test_bootstrap(spark):
     """The same interval whatever the layout; near the plain resampling one; pairs that differ are refused."""
     import numpy as np
