@@ -44,8 +44,8 @@ RATES = (2e-2, 1e-2, 3e-3)
 HELD_WORDS = 1_000_000
 #: Weights that are averaged in one task.
 FAN_IN = 8
-#: Tokens scored together, and words of which a worker keeps the tokens.
-SCORED, KEPT_WORDS = 1 << 16, 300_000
+#: Tokens scored together, and words of a generation of those whose tokens a worker keeps.
+SCORED, KEPT_WORDS = 1 << 16, 350_000
 
 
 def held_out(doc_id, folds: int, fold: int):
@@ -94,13 +94,26 @@ class Tokens:
     """Tokens of texts: twice a subword id, and one more where it ends a word."""
 
     def __init__(self, tokenizer: str):
-        self.encoder, self.known = encoder(tokenizer), {}
+        self.encoder, self.known, self.older = encoder(tokenizer), {}, {}
 
     def _learn(self, chunks: list[bytes], lowered: bool) -> None:
+        if len(self.known) > KEPT_WORDS:
+            self.older, self.known = self.known, {}
+        new = []
+        for c in dict.fromkeys(chunks):
+            if c not in self.known:
+                if (got := self.older.get(c)) is not None:
+                    self.known[c] = got
+                else:
+                    new.append(c)
+        chunks = new
         marked, sizes = _marked(self.encoder.pieces(chunks, lowered))
         raw, edges = marked.tobytes(), [0, *(4 * np.cumsum(sizes)).tolist()]
         for chunk, a, b in zip(chunks, edges, edges[1:]):
             self.known[chunk] = raw[a:b]
+        if len(self.encoder.cache) > 20_000:  # known here already
+            self.encoder.cache.clear()
+            self.encoder.older.clear()
 
     def of(self, text: bytes) -> tuple[list[bytes], np.ndarray]:
         """Words, lower-cased, and tokens of a block of text."""
@@ -111,9 +124,7 @@ class Tokens:
         try:
             found = b"".join(map(self.known.__getitem__, chunks))
         except KeyError:
-            if len(self.known) > KEPT_WORDS:
-                self.known.clear()
-            self._learn([c for c in dict.fromkeys(chunks) if c not in self.known], lowered)
+            self._learn(chunks, lowered)
             found = b"".join(map(self.known.__getitem__, chunks))
         return words, np.frombuffer(found, "<u4")
 
