@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_bytes, discard, materialise
-from .tokens import default_tokenizer, encoder
+from .tokens import LARGE_CACHE, default_tokenizer, encoder
 
 CHECKPOINT = 128
 BLOCK_TOKENS = 1 << 19
@@ -45,7 +45,7 @@ def encode_documents(docs: DataFrame, tokenizer: str, end_id: int, kind: str) ->
     end = int(end_id).to_bytes(4, "little")
 
     def ids(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, LARGE_CACHE)
         for batch in batches:
             got = [np.frombuffer(enc.encode(t) + end, "<u4").astype(kind).tobytes() for t in as_bytes(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.binary())], names=["doc_id", "ids"])

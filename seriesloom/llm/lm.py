@@ -113,7 +113,6 @@ class Tokens:
             self.known[chunk] = raw[a:b]
         if len(self.encoder.cache) > 20_000:  # known here already
             self.encoder.cache.clear()
-            self.encoder.older.clear()
 
     def of(self, text: bytes) -> tuple[list[bytes], np.ndarray]:
         """Words, lower-cased, and tokens of a block of text."""

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import as_bytes, materialise
-from .tokens import default_tokenizer, encoder
+from .tokens import CACHE_ENTRIES, default_tokenizer, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
@@ -34,12 +34,12 @@ PACKED = PIECES + ", sequence_id long, offset long"
 CLASSES = (4, 16, 256)
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, sequence_length: int, end_id: int) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, sequence_length: int, end_id: int, cache: int = CACHE_ENTRIES) -> DataFrame:
     """One row per piece of at most ``sequence_length`` ids."""
     end = int(end_id).to_bytes(4, "little")
 
     def pieces(batches):
-        enc, step = encoder(tokenizer), 4 * sequence_length
+        enc, step = encoder(tokenizer, cache), 4 * sequence_length
         for batch in batches:
             out: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -111,7 +111,7 @@ def pack_pieces(pieces: DataFrame, sequence_length: int, shard_pieces: int = 65_
     return pieces.repartition(shards).mapInPandas(pack, PACKED)
 
 
-def pack_documents(docs: DataFrame, tokenizer: str | None = None, sequence_length: int = 2048, end_id: int = 0, shard_pieces: int = 65_536) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str | None = None, sequence_length: int = 2048, end_id: int = 0, shard_pieces: int = 65_536, cache: int = CACHE_ENTRIES) -> DataFrame:
     """Cut and pack: one row per piece with its sequence and its place there."""
-    pieces = materialise(cut_pieces(docs, tokenizer or default_tokenizer(), sequence_length, end_id), "pieces")
+    pieces = materialise(cut_pieces(docs, tokenizer or default_tokenizer(), sequence_length, end_id, cache), "pieces")
     return pack_pieces(pieces, sequence_length, shard_pieces)

@@ -19,8 +19,9 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import pack_documents
+    from .tokens import LARGE_CACHE
 
-    return pack_documents(read_table(spark, sf_dir, "documents"))
+    return pack_documents(read_table(spark, sf_dir, "documents"), cache=LARGE_CACHE)
 
 
 def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,9 @@
 
 For a tokenizer that drops white space and looks at no context across it, the
 ids of a text are the joined ids of its white-space chunks, so each worker
-encodes a chunk once.  New chunks of plain lower-case letters and trailing
-punctuation are encoded many at a time as one text by the library's BPE model,
-and its ids are told apart by the pieces that end a word; all others go through
-the library's whole pipeline one by one.  The cache has two generations: a full
-one becomes the older one, from which chunks that are met again are taken over.
-Any other tokenizer encodes whole texts.
+encodes a chunk once.  Chunks of plain lower-case letters and trailing
+punctuation go straight to the library's BPE model; all others go through the
+library's whole pipeline.  Any other tokenizer encodes whole texts.
 """
 
 from __future__ import annotations
@@ -15,16 +12,12 @@ from __future__ import annotations
 import json
 import re
 
-import numpy as np
-
 from .common import word_blocks, worker_state
 
 #: Letters that are lower case and stay as they are under NFC: a-z and the Latin-1 ones; then ASCII punctuation but the apostrophe.
 PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
-#: Entries of a generation of a worker's cache.
-CACHE_ENTRIES = 200_000
-#: New words that are encoded as one text.
-TOGETHER = 2048
+#: Entries that a worker's cache holds at most; then it starts anew. The large one takes about 140 MB more.
+CACHE_ENTRIES, LARGE_CACHE = 400_000, 900_000
 
 
 def default_tokenizer() -> str:
@@ -55,29 +48,21 @@ def _drops_spaces(spec: dict) -> bool:
 class Encoder:
     """``encode(texts)`` gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, entries: int = CACHE_ENTRIES):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             self.by_chunk = _drops_spaces(json.load(f))
         self.model = self.tokenizer.model
         self.cache: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        vocabulary, suffix = self.tokenizer.get_vocab(), getattr(self.model, "end_of_word_suffix", None)
-        self.ends_word = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
-        if suffix:
-            self.ends_word[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+        self.entries = entries
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(visible)]
         self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}
-        self.between_spaces = {b: c for b, c in self.alphabet.items() if b != 0x20}
-        self.words = Tokenizer(self.model)
-        self.words.pre_tokenizer = WhitespaceSplit()
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
@@ -89,50 +74,16 @@ class Encoder:
             got = self.cache[core] = self._pack([t.id for t in self.model.tokenize(word)])
         return got
 
-    def _learn_letters(self, cores: list[bytes]) -> None:
-        """Many words of letters at a time."""
-        plain = [c for c in cores if c.isascii()]
-        parts = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
-        rest = [c for c in cores if not c.isascii()]
-        parts += [rest[i : i + TOGETHER] for i in range(0, len(rest), TOGETHER)]
-        for part in parts:
-            text = b" ".join(part).decode("latin-1")
-            if not text.isascii():
-                text = text.translate(self.between_spaces)
-            ids = np.array(self.words.encode(text, add_special_tokens=False).ids if not hasattr(self.words, "encode_batch_fast") else self.words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.flatnonzero(self.ends_word[ids]) + 1
-            if len(ends) != len(part):  # a vocabulary without marked word ends
-                for core in part:
-                    self._letters(core)
-                continue
-            raw, edges = ids.tobytes(), [0, *(4 * ends).tolist()]
-            for core, a, b in zip(part, edges, edges[1:]):
-                self.cache[core] = raw[a:b]
-
     def _learn(self, chunks: list[bytes]) -> None:
-        if len(self.cache) > CACHE_ENTRIES:
-            self.older, self.cache = self.cache, {}
-        slow, joined = [], []
+        slow = []
         for c in chunks:
             if c in self.cache:
                 continue
-            if (got := self.older.get(c)) is not None:
-                self.cache[c] = got
-            elif m := PLAIN.fullmatch(c):
-                joined.append((c, *m.groups()))
+            if m := PLAIN.fullmatch(c):
+                core, marks = m.groups()
+                self.cache[c] = (self._letters(core) if core else b"") + (self._letters(marks) if marks else b"")
             else:
                 slow.append(c)
-        new = []
-        for core in dict.fromkeys(core for _, core, _ in joined if core):
-            if core not in self.cache:
-                if (got := self.older.get(core)) is not None:
-                    self.cache[core] = got
-                else:
-                    new.append(core)
-        self._learn_letters(new)
-        for c, core, marks in joined:
-            if marks:
-                self.cache[c] = (self.cache[core] if core else b"") + self._letters(marks)
         for i in range(0, len(slow), 1024):
             part = slow[i : i + 1024]
             for c, e in zip(part, self._batch([c.decode() for c in part]), strict=True):
@@ -151,6 +102,8 @@ class Encoder:
         try:
             return list(map(self.cache.__getitem__, chunks))
         except KeyError:
+            if len(self.cache) > self.entries:
+                self.cache.clear()
             self._learn(list(dict.fromkeys(chunks)))
             return list(map(self.cache.__getitem__, chunks))
 
@@ -165,12 +118,15 @@ class Encoder:
         try:
             return b"".join(map(self.cache.__getitem__, chunks))
         except KeyError:
+            if len(self.cache) > self.entries:
+                self.cache.clear()
             self._learn(list(dict.fromkeys(chunks)))
             return b"".join(map(self.cache.__getitem__, chunks))
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
     state = worker_state(("encoder", path))
     if "e" not in state:
         state["e"] = Encoder(path)
+    state["e"].entries = entries
     return state["e"]
