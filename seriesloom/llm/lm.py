@@ -97,16 +97,15 @@ class Tokens:
         self.encoder, self.known, self.older = encoder(tokenizer), {}, {}
 
     def _learn(self, chunks: list[bytes], lowered: bool) -> None:
+        missing = set(chunks).difference(self.known)
+        if not missing:
+            return
         if len(self.known) > KEPT_WORDS:
             self.older, self.known = self.known, {}
-        new = []
-        for c in dict.fromkeys(chunks):
-            if c not in self.known:
-                if (got := self.older.get(c)) is not None:
-                    self.known[c] = got
-                else:
-                    new.append(c)
-        chunks = new
+            missing = set(chunks)
+        again = [c for c in missing if c in self.older]
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        chunks = list(missing.difference(again))
         marked, sizes = _marked(self.encoder.pieces(chunks, lowered))
         raw, edges = marked.tobytes(), [0, *(4 * np.cumsum(sizes)).tolist()]
         for chunk, a, b in zip(chunks, edges, edges[1:]):
@@ -120,11 +119,8 @@ class Tokens:
         # a special token's name keeps its case, and its ids, only if it is not lower-cased
         lowered = self.encoder.by_chunk and b"<|" not in text
         chunks = words if lowered else text.split()
-        try:
-            found = b"".join(map(self.known.__getitem__, chunks))
-        except KeyError:
-            self._learn(chunks, lowered)
-            found = b"".join(map(self.known.__getitem__, chunks))
+        self._learn(chunks, lowered)
+        found = b"".join(map(self.known.__getitem__, chunks))
         return words, np.frombuffer(found, "<u4")
 
     def whole(self, text: bytes, end: int) -> np.ndarray:

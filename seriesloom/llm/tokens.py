@@ -75,10 +75,13 @@ class Encoder:
         return got
 
     def _learn(self, chunks: list[bytes]) -> None:
+        """Puts chunks that are not there yet into the cache."""
+        new = set(chunks).difference(self.cache)
+        if len(self.cache) > self.entries and new:
+            self.cache.clear()
+            new = set(chunks)
         slow = []
-        for c in chunks:
-            if c in self.cache:
-                continue
+        for c in new:
             if m := PLAIN.fullmatch(c):
                 core, marks = m.groups()
                 self.cache[c] = (self._letters(core) if core else b"") + (self._letters(marks) if marks else b"")
@@ -99,13 +102,8 @@ class Encoder:
             return [self._pack(e.ids) for e in self._batch([c.decode() for c in chunks])]
         if not lowered:
             chunks = [c if b"<|" in c else c.lower() for c in chunks]
-        try:
-            return list(map(self.cache.__getitem__, chunks))
-        except KeyError:
-            if len(self.cache) > self.entries:
-                self.cache.clear()
-            self._learn(list(dict.fromkeys(chunks)))
-            return list(map(self.cache.__getitem__, chunks))
+        self._learn(chunks)
+        return list(map(self.cache.__getitem__, chunks))
 
     def encode(self, text: bytes) -> bytes:
         if not self.by_chunk:
@@ -115,13 +113,8 @@ class Encoder:
     def _block(self, text: bytes) -> bytes:
         # lower-casing could make a special token's name out of other text
         chunks = text.split() if b"<|" in text else text.lower().split()
-        try:
-            return b"".join(map(self.cache.__getitem__, chunks))
-        except KeyError:
-            if len(self.cache) > self.entries:
-                self.cache.clear()
-            self._learn(list(dict.fromkeys(chunks)))
-            return b"".join(map(self.cache.__getitem__, chunks))
+        self._learn(chunks)
+        return b"".join(map(self.cache.__getitem__, chunks))
 
 
 def encoder(path: str, entries: int = CACHE_ENTRIES) -> Encoder:
