@@ -9,6 +9,7 @@ import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,3 +93,11 @@ def spread(df: DataFrame) -> DataFrame:
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     small_batches(spark)
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+
+
+def join_counted(rows: DataFrame, table: DataFrame, key: str, n: str, share: int = 1000) -> DataFrame:
+    """``rows`` joined to ``table`` (a row per key, with ``n`` its rows in ``rows``): keys of a ``share``-th of all rows or more, no more than ``share`` of them, are broadcast, so none lands in one task."""
+    total = table.agg(F.sum(n)).first()[0] or 0
+    heavy = F.broadcast(table.where(F.col(n) * share >= total))
+    rest = rows.join(heavy.select(key), key, "left_anti").join(table.where(F.col(n) * share < total), key)
+    return rows.join(heavy, key).unionByName(rest)

@@ -97,7 +97,7 @@ def test_run(spark):
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_twin(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "labels"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     df = QUERIES[name](spark, SF)
     cols = sorted(df.columns)
