@@ -174,8 +174,8 @@ def shape(s: Column) -> Column:
 
 
 def local_features(s: Column, kind: str, prominence: float = 0.12) -> Column:
-    """Inner points above (peak) or below (dip) both neighbours by a share of the range."""
-    need = (F.array_max(s) - F.array_min(s)) * prominence
+    """Inner points above (peak) or below (dip) both neighbours by a share of the range; a constant series has none."""
+    need = (F.array_max(s) - F.array_min(s) + 1e-9) * prominence
     sign = 1.0 if kind == "peak" else -1.0
     inner = F.filter(F.sequence(F.lit(1), F.greatest(F.size(s) - 2, F.lit(1))), lambda i: (i >= 1) & (i <= F.size(s) - 2))
     at = lambda i: F.element_at(s, (i + 1).cast("int")) * sign

@@ -12,6 +12,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
 
 NUMBER = r"-?\d+\.?\d*"
+#: A number that is not the rest of a longer one (fixed value).
+WHOLE_NUMBER = r"(?<![\d.])-?\d+(?:\.\d+)?"
 #: Words that spell a number (fixed values).
 NUMBER_WORDS = ("zero", "one", "two", "three", "four", "five", "six", "seven", "eight", "nine", "ten", "eleven", "twelve", "twenty", "thirty", "forty", "fifty", "hundred", "thousand")
 UNIQUE = r"(?i)\b(only|sole|exactly one|unique)\b"
@@ -132,6 +134,8 @@ def stem(text: Column) -> Column:
 
 #: Words that may stand beside an option's number (fixed values).
 NUMBER_FILLER = r"(?i)\b(about|approx\w*|around|roughly|nearly|near|value|values|units?|points?|times?|of|a|an|the|to|and|by|is|it|drop|rise|increase|decrease|difference)\b"
+#: Marks that may stand beside an option's number, and its digits (fixed values).
+NUMBER_MARKS = r"[-~≈+%.,;:()\[\]/]|\d"
 
 
 def question_family(opts: Column) -> Column:
@@ -139,7 +143,7 @@ def question_family(opts: Column) -> Column:
     is_time = lambda o: o.rlike(r"(?i)^\**\s*t\s*=")
 
     def is_number(o: Column) -> Column:
-        rest = F.regexp_replace(F.regexp_replace(F.replace(o, F.lit("*"), F.lit("")), NUMBER_FILLER, " "), r"[-~≈+%.,;:()\[\]/]|\d", " ")
+        rest = F.regexp_replace(F.regexp_replace(F.replace(o, F.lit("*"), F.lit("")), NUMBER_FILLER, " "), NUMBER_MARKS, " ")
         return ~is_time(o) & o.rlike(r"-?\d") & (F.size(tokens(rest)) <= 1)
 
     count = lambda f: F.size(F.filter(opts, f))
@@ -155,7 +159,8 @@ def masked_number_words(text: Column, mark: str = "[NUM]") -> Column:
 
 
 def number_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(NUMBER)).cast("long")
+    """Numbers as masks and budgets count them: what is joined by points is one number at most."""
+    return F.regexp_count(text, F.lit(WHOLE_NUMBER)).cast("long")
 
 
 def tokens(text: Column) -> Column:
@@ -178,7 +183,7 @@ def chunks(text: Column, most: int = 5) -> Column:
     empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"), F.lit(0).cast("long").alias("n"))
 
     def go(a: Column, p: Column) -> Column:
-        k = F.regexp_count(p, F.lit(NUMBER)).cast("long")
+        k = number_count(p)
         full = (a["now"] != "") & (a["n"] + k > most)
         return F.struct(
             F.when(full, F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]).alias("done"),
@@ -186,7 +191,7 @@ def chunks(text: Column, most: int = 5) -> Column:
             F.when(full, k).otherwise(a["n"] + k).alias("n"),
         )
 
-    return F.aggregate(pieces, empty, go, lambda a: F.when(a["now"] != "", F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
+    return F.aggregate(pieces, empty, go, lambda a: F.when((a["now"] != "") | (F.size(a["done"]) == 0), F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"]))
 
 
 @pandas_udf(StringType())

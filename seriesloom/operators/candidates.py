@@ -1,9 +1,4 @@
-"""Candidate search over series: standardised features, nearest neighbours, shared runs, donors.
-
-Neighbour joins are equi-joins on a bucket (length, data set) and rank inside it,
-so Spark keeps the k best of each item before it sorts.  A bucket is compared
-with itself by definition; large buckets should be cut finer by the caller.
-"""
+"""Candidate search over series: standardised features, neighbours without overlap, shared runs, donors, random others."""
 
 from __future__ import annotations
 
@@ -11,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import sequence as S
+from .neighbours import k_nearest, placed
 
 
 def features4(s: Column) -> Column:
@@ -32,33 +28,6 @@ def standardised(rows: DataFrame, features: str, bucket: list[str], size: int, o
     return joined.withColumn(out, z).drop("__m", "__d")
 
 
-def distance(a: Column, b: Column) -> Column:
-    return F.sqrt(S.total(F.transform(F.zip_with(a, b, lambda x, y: x - y), lambda d: d * d)))
-
-
-def nearest(items: DataFrame, k: int | None, bucket: list[str], vector: str = "z", id_col: str = "id", digits: int = 6, allowed=None, farthest: bool = False, parts: int = 1) -> DataFrame:
-    """(id, cand_id, rank, dist): the k nearest others in the bucket, or all unranked for no k; ``allowed(a, b)`` may exclude pairs before ranking.
-
-    With ``parts`` a bucket's items are dealt over so many tasks, each of which meets the whole bucket.
-    """
-    if parts > 1:
-        items, whole = items.withColumn("__part", F.pmod(F.xxhash64(id_col), F.lit(parts))), items
-        near = whole.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
-        bucket = [*bucket, "__part"]
-    else:
-        near = items
-    left = items.select(*bucket, F.col(id_col).alias("id"), F.struct(*items.columns).alias("a"))
-    right = near.select(*bucket, F.col(id_col).alias("cand_id"), F.struct(*near.columns).alias("b"))
-    pairs = left.join(right, bucket).where("id <> cand_id")
-    if allowed is not None:
-        pairs = pairs.where(allowed(F.col("a"), F.col("b")))
-    pairs = pairs.select("id", "cand_id", F.round(distance(F.col(f"a.{vector}"), F.col(f"b.{vector}")), digits).alias("dist"))
-    if k is None:
-        return pairs
-    w = Window.partitionBy("id").orderBy(F.desc("dist") if farthest else F.asc("dist"), "cand_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
 def shared_runs(series: DataFrame, bucket: list[str], digits: int = 4) -> DataFrame:
     """(a, b, run): longest common contiguous run of rounded values of every pair in a bucket that shares a value.
 
@@ -75,12 +44,15 @@ def shared_runs(series: DataFrame, bucket: list[str], digits: int = 4) -> DataFr
 
 
 def nearest_without_overlap(items: DataFrame, runs: DataFrame, k: int, bucket: list[str], share: float = 0.2) -> DataFrame:
-    """``nearest`` over pairs whose shared run is under a share of the length. ``items``: id, s, z."""
-    near = nearest(items, None, bucket)
-    over = runs.select("a", "b", "run")
-    both = over.union(over.select(F.col("b").alias("a"), F.col("a").alias("b"), "run"))
-    size = items.select(F.col("id"), F.size("s").alias("n"))
-    kept = near.join(both, (near.id == both.a) & (near.cand_id == both.b), "left").join(size, "id").where(F.coalesce("run", F.lit(0)) < share * F.col("n"))
+    """``k_nearest`` over pairs whose shared run is under a share of the length. ``items``: id, s, z.
+
+    An item looks for as many more neighbours as it has partners to leave out.
+    """
+    both = runs.select("a", "b", "run").union(runs.select(F.col("b").alias("a"), F.col("a").alias("b"), "run"))
+    size = items.select(F.col("id").alias("a"), F.size("s").alias("n"))
+    out = both.join(size, "a").where(F.col("run") >= share * F.col("n")).select(F.col("a").alias("id"), F.col("b").alias("cand_id"))
+    wanted = items.join(out.groupBy("id").agg(F.count("*").alias("out")), "id", "left").withColumn("wanted", F.coalesce("out", F.lit(0)) + k)
+    kept = k_nearest(wanted, "wanted", bucket).join(out, ["id", "cand_id"], "left_anti")
     w = Window.partitionBy("id").orderBy("dist", "cand_id")
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "cand_id", "rank", "dist")
 
@@ -93,19 +65,35 @@ def distinct_series(series: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def donors(members: DataFrame, candidates: DataFrame, group: list[str]) -> DataFrame:
-    """(id, donor, clash): for each member the next one around its group such that neither is a candidate of the other; else the next one, with ``clash``."""
-    w = Window.partitionBy(*group).orderBy("id")
-    placed = members.select(*group, "id", F.row_number().over(w).alias("pos"), F.count(F.lit(1)).over(Window.partitionBy(*group)).alias("n"))
-    other = placed.select(*group, F.col("id").alias("donor"), F.col("pos").alias("pos_b"))
-    pairs = placed.join(other, group).where("id <> donor").withColumn("step", F.pmod(F.col("pos_b") - F.col("pos"), F.col("n")))
+    """(id, donor, clash): for each member the next one around its group such that neither is a candidate of the other; else the next one, with ``clash``.
+
+    With so many partners to avoid, a member's donor is at most one step further than their number, so no more places are looked at.
+    """
+    ring = placed(members.select(*group, "id"), group, ["id"])
     bad = candidates.select(F.col("id").alias("x"), F.col("cand_id").alias("y"))
     bad = bad.union(bad.select(F.col("y").alias("x"), F.col("x").alias("y"))).distinct()
+    steps = ring.join(bad.groupBy(F.col("x").alias("id")).agg(F.count("*").alias("avoid")), "id", "left").where("size > 1")
+    ahead = F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.coalesce("avoid", F.lit(0)) + 1, F.col("size") - 1))).alias("step")
+    steps = steps.select(*group, "id", "place", "size", ahead)
+    steps = steps.select(*group, "id", "step", F.pmod(F.col("place") + F.col("step"), F.col("size")).alias("place"))
+    pairs = steps.join(ring.select(*group, "place", F.col("id").alias("donor")), [*group, "place"])
     free = pairs.join(bad, (pairs.id == bad.x) & (pairs.donor == bad.y), "left_anti")
     best = free.groupBy("id").agg(F.min_by("donor", "step").alias("free_donor"))
     after = pairs.where("step = 1").select("id", F.col("donor").alias("next_donor"))
     return after.join(best, "id", "left").select("id", F.coalesce("free_donor", "next_donor").alias("donor"), F.col("free_donor").isNull().alias("clash"))
 
 
+def random_others(items: DataFrame, k: int, seed: str) -> DataFrame:
+    """(id, cand_id, rank): k others of each item, drawn by its key: a start and a stride around all items in order of id, so none comes twice and no pairs are formed."""
+    ring = placed(items.select(F.lit(0).alias("all"), "id"), ["all"], ["id"])
+    word = lambda part: F.conv(F.substr(F.md5(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"))), F.lit(part), F.lit(8)), 16, 10).cast("long")
+    others = F.col("size") - 1
+    draws = ring.where("size > 1").select("id", "place", "size", F.pmod(word(1), others).alias("start"), (F.pmod(word(9), F.greatest(F.floor(others / k), F.lit(1))) + 1).alias("stride"), F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(k), others))).alias("rank"))
+    hop = F.pmod(F.col("start") + (F.col("rank") - 1) * F.col("stride"), others)
+    draws = draws.select("id", F.col("rank").cast("int").alias("rank"), F.pmod(F.col("place") + 1 + hop, F.col("size")).alias("place"))
+    return draws.join(ring.select("place", F.col("id").alias("cand_id")), "place").select("id", "cand_id", "rank")
+
+
 def rotations(items: DataFrame, gold: str, distractors: str, k: int) -> DataFrame:
     """One row per place of the gold option: ``place`` and ``options`` with the others' order kept."""
     place = F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("place")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
 
-#: A number that is not the rest of a longer one.
+#: A number that is not the rest of a longer one (fixed value).
 NUMBER = re.compile(r"(?<![\d.])-?\d+(?:\.\d+)?")
 MASKED = StructType([StructField("text", StringType()), StructField("unnamed", IntegerType())])
 
@@ -21,6 +21,7 @@ def mask_flags(reply: Column) -> Column:
     """Reply lines ``number flag`` or ``a to b flag``, the flag 0 or 1, as array<struct<num,flag>>; a range names both its ends, other lines nothing."""
     bare = lambda x: F.regexp_replace(x, r"^\s*[-*]*\s*|\s*[-*]*\s*$", "")
     lines = F.transform(F.split(reply, r"\r\n|\r|\n"), bare)
+    # the forms of a reply's line (fixed values)
     number, lead, end = r"(-?\d+(?:\.\d+)?)", r"(?i)^\s*(?:\d+[.)]\s+)?", r"[\s:,]+([01])\s*$"
     one, two = lead + number + end, lead + number + r"\s*(?:-|–|to|and)\s*" + number + end
     named = lambda x, form, group, flag: F.struct(F.regexp_extract(x, form, group).cast("double").alias("num"), F.regexp_extract(x, form, flag).cast("int").alias("flag"))

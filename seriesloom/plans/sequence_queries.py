@@ -8,6 +8,7 @@ from ..functions import sequence as S
 from ..operators import candidates as C
 from ..operators import verify as V
 from ..operators import windows as W
+from ..operators.neighbours import k_nearest
 from .base import POINTS_SQL, SERIES, Registry, table, user_series
 
 R = Registry()
@@ -25,7 +26,7 @@ SELECT id, cand_id, CAST(rank AS INTEGER) AS rank, dist FROM (SELECT *, row_numb
 def candidate_negatives(spark, sf):
     """JOI6 SRT1 WIN3-4: three nearest other series of the same length by standardised features."""
     items = user_series(spark, sf).withColumn("f", C.features4(F.col("s"))).withColumn("n", F.size("s"))
-    return C.nearest(C.standardised(items, "f", ["n"], 4), 3, ["n"])
+    return k_nearest(C.standardised(items, "f", ["n"], 4), 3, ["n"])
 
 
 @R.add(f"""WITH {SERIES}, {POINTS_SQL}, d AS (SELECT id, pos, x, x - lag(x) OVER (PARTITION BY id ORDER BY pos) AS d, lead(x) OVER (PARTITION BY id ORDER BY pos) AS nx FROM points),
@@ -85,37 +86,53 @@ p AS (SELECT a.id AS id, b.id AS cand_id, round(list_distance(a.v, b.v), 5) AS d
 SELECT id, cand_id, CAST(rank AS INTEGER) AS rank, dist FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist DESC, cand_id) AS rank FROM p) WHERE rank <= 3""")
 def farthest_resampled(spark, sf):
     """JOI9 WIN26: farthest series after z-normalising and resampling to 16 points."""
-    items = user_series(spark, sf).select("id", F.lit(0).alias("all"), S.resampled(S.z_normalised(F.col("s")), 16).alias("v"))
-    return C.nearest(items, 3, ["all"], "v", digits=5, farthest=True, parts=16)
+    items = user_series(spark, sf).select("id", S.resampled(S.z_normalised(F.col("s")), 16).alias("v"))
+    return k_nearest(items, 3, [], "v", digits=5, farthest=True)
 
 
-@R.add(f"""WITH {SERIES}, x AS (SELECT id, s, list_position(s, list_max(s)) - 1 AS hi, list_position(s, list_min(s)) - 1 AS lo, len(s) AS n FROM series)
-SELECT id, CAST(hi AS BIGINT) AS argmax, CAST(lo AS BIGINT) AS argmin, CAST(n - hi AS BIGINT) AS after_peak, CAST(lo AS BIGINT) AS before_trough, round(list_avg(s[hi + 1:]), 6) AS mean_after_peak FROM x""")
+@R.add(f"""WITH {SERIES}, x AS (SELECT id, s, list_position(s, list_max(s)) - 1 AS hi, list_position(s, list_min(s)) - 1 AS lo FROM series),
+w AS (SELECT id, hi, lo, scope, CASE scope WHEN 'after_peak' THEN s[hi + 1:] WHEN 'before_peak' THEN s[1:hi] WHEN 'after_trough' THEN s[lo + 1:] WHEN 'before_trough' THEN s[1:lo] ELSE s END AS p FROM x, (VALUES ('whole'), ('after_peak'), ('before_peak'), ('after_trough'), ('before_trough')) t(scope))
+SELECT id, scope, CAST(hi AS BIGINT) AS argmax, CAST(lo AS BIGINT) AS argmin, CAST(len(p) AS BIGINT) AS n, round(list_avg(p), 6) AS mean, list_min(p) AS low, list_max(p) AS high FROM w""")
 def scope_windows(spark, sf):
-    """WIN9 WIN10: places of the extremes and the windows that they bound."""
+    """WIN9 WIN10: places of the extremes, and the five windows that they bound."""
     s = F.col("s")
-    after = S.scope_window(s, F.lit("after_peak"))
-    return user_series(spark, sf).select("id", S.argmax(s).cast("long").alias("argmax"), S.argmin(s).cast("long").alias("argmin"), F.size(after).cast("long").alias("after_peak"), F.size(S.scope_window(s, F.lit("before_trough"))).cast("long").alias("before_trough"), r(S.mean(after)).alias("mean_after_peak"))
+    scopes = F.array(*(F.struct(F.lit(n).alias("scope"), S.scope_window(s, F.lit(n)).alias("p")) for n in ("whole", "after_peak", "before_peak", "after_trough", "before_trough")))
+    rows = user_series(spark, sf).select("id", S.argmax(s).cast("long").alias("argmax"), S.argmin(s).cast("long").alias("argmin"), F.explode(scopes).alias("w"))
+    p = F.col("w.p")
+    return rows.select("id", "w.scope", "argmax", "argmin", F.size(p).cast("long").alias("n"), r(S.mean(p)).alias("mean"), F.array_min(p).alias("low"), F.array_max(p).alias("high"))
 
 
-def _regions(spark, sf):
+METRICS = ("max", "min", "mean_high", "mean_low", "steepest_rise", "steepest_fall", "net_rise", "net_fall", "most_volatile", "least_volatile")
+
+
+def _regions(spark, sf, metrics=("mean_high",)):
     cuts = F.array(*(F.struct(F.lit(c).alias("letter"), F.lit(a).alias("lo"), F.lit(b).alias("hi")) for c, a, b in (("A", 0.0, 0.25), ("B", 0.25, 0.5), ("C", 0.4, 0.7), ("D", 0.7, 1.0))))
     rows = user_series(spark, sf).select("id", "s", F.explode(cuts).alias("o"))
     rows = rows.select("id", "s", F.col("o.letter").alias("letter"), S.fraction_index(F.col("s"), F.col("o.lo")).alias("first"), S.fraction_index(F.col("s"), F.col("o.hi")).alias("last"))
     own = S.part(F.col("s"), F.col("first"), F.col("last"))
-    return rows.select("id", "letter", "first", "last", F.round(S.region_score(own, F.lit("mean_high")), 9).alias("score"))
+    scores = F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.round(S.region_score(own, F.lit(m)), 9).alias("score")) for m in metrics)))
+    return rows.select("id", "letter", "first", "last", scores.alias("m")).select("id", "m.metric", "letter", "first", "last", "m.score")
 
 
-REGIONS_SQL = f"""{SERIES}, cuts(letter, lo, hi) AS (VALUES ('A', 0.0, 0.25), ('B', 0.25, 0.5), ('C', 0.4, 0.7), ('D', 0.7, 1.0)),
-regions AS (SELECT id, letter, f AS first, l AS last, round(list_avg(s[f + 1:l + 1]), 9) AS score FROM (SELECT *, CAST(round_even(CAST(lo AS DOUBLE) * (len(s) - 1), 0) AS INTEGER) AS f, CAST(round_even(CAST(hi AS DOUBLE) * (len(s) - 1), 0) AS INTEGER) AS l FROM series, cuts)),
-best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score >= top - 1e-6 * (abs(top) + 1) DESC, last - first, letter) AS rn FROM (SELECT *, max(score) OVER (PARTITION BY id) AS top FROM regions)) WHERE rn = 1),
-rival AS (SELECT r.id, max(r.score) AS rival FROM regions r JOIN best b ON r.id = b.id AND r.letter <> b.letter WHERE least(r.last, b.last) - greatest(r.first, b.first) + 1 < 2 GROUP BY r.id)"""
+def _regions_sql(metrics) -> str:
+    """regions, best and rival by id and metric."""
+    listed = ", ".join(f"('{m}')" for m in metrics)
+    return f"""{SERIES}, cuts(letter, lo, hi) AS (VALUES ('A', 0.0, 0.25), ('B', 0.25, 0.5), ('C', 0.4, 0.7), ('D', 0.7, 1.0)),
+parts AS (SELECT id, letter, f AS first, l AS last, s[f + 1:l + 1] AS p FROM (SELECT *, CAST(round_even(CAST(lo AS DOUBLE) * (len(s) - 1), 0) AS INTEGER) AS f, CAST(round_even(CAST(hi AS DOUBLE) * (len(s) - 1), 0) AS INTEGER) AS l FROM series, cuts)),
+steps AS (SELECT *, list_transform(range(1, len(p)), lambda i: p[i + 1] - p[i]) AS d FROM parts),
+regions AS (SELECT id, metric, letter, first, last, round(CASE metric WHEN 'max' THEN list_max(p) WHEN 'min' THEN -list_min(p) WHEN 'mean_high' THEN list_avg(p) WHEN 'mean_low' THEN -list_avg(p) WHEN 'steepest_rise' THEN list_max(d)
+  WHEN 'steepest_fall' THEN -list_min(d) WHEN 'net_rise' THEN p[len(p)] - p[1] WHEN 'net_fall' THEN p[1] - p[len(p)] WHEN 'most_volatile' THEN list_stddev_pop(d) ELSE -list_stddev_pop(d) END, 9) AS score FROM steps, (VALUES {listed}) m(metric)),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id, metric ORDER BY score >= top - 1e-6 * (abs(top) + 1) DESC, last - first, letter) AS rn FROM (SELECT *, max(score) OVER (PARTITION BY id, metric) AS top FROM regions)) WHERE rn = 1),
+rival AS (SELECT r.id, r.metric, max(r.score) AS rival FROM regions r JOIN best b ON r.id = b.id AND r.metric = b.metric AND r.letter <> b.letter WHERE least(r.last, b.last) - greatest(r.first, b.first) + 1 < 2 GROUP BY r.id, r.metric)"""
 
 
-@R.add(f"WITH {REGIONS_SQL} SELECT b.id, b.letter, round(b.score, 6) AS best, round((b.score - rival) / nullif(abs(b.score), 0), 6) AS margin FROM best b LEFT JOIN rival USING (id)")
+@R.add(f"WITH {_regions_sql(METRICS)} SELECT b.id, b.metric, b.letter, round(b.score, 6) AS best, round((b.score - rival) / nullif(abs(b.score), 0), 6) AS margin FROM best b LEFT JOIN rival USING (id, metric)")
 def region_winner(spark, sf):
-    """WIN11 WIN12 WIN13: the region with the highest mean, its margin over rivals that do not overlap."""
-    return V.region_winners(_regions(spark, sf), ["id"]).select("id", "letter", r("best").alias("best"), r("margin").alias("margin"))
+    """WIN11 WIN12 WIN13: the winning region by each of ten metrics, its margin over rivals that do not overlap."""
+    return V.region_winners(_regions(spark, sf, METRICS), ["id", "metric"]).select("id", "metric", "letter", r("best").alias("best"), r("margin").alias("margin"))
+
+
+REGIONS_SQL = _regions_sql(("mean_high",))
 
 
 @R.add(f"""WITH {REGIONS_SQL}, j AS (SELECT b.id, b.letter AS computed, (b.score - rival) / nullif(abs(b.score), 0) AS margin, chr(65 + CAST(b.id % 4 AS INTEGER)) AS stated FROM best b LEFT JOIN rival USING (id))
@@ -140,11 +157,15 @@ def shape_class(spark, sf):
     return user_series(spark, sf).select("id", S.shape(s).alias("shape"), r(S.roughness(s)).alias("rough"))
 
 
-@R.add(f"""WITH {SERIES}, {POINTS_SQL}, e AS (SELECT id, pos, x, lag(x) OVER w AS p, lead(x) OVER w AS q, 0.12 * (max(x) OVER (PARTITION BY id) - min(x) OVER (PARTITION BY id)) AS need FROM points WINDOW w AS (PARTITION BY id ORDER BY pos))
-SELECT id, CAST(count(*) FILTER (WHERE x - p >= need AND x - q >= need) AS BIGINT) AS peaks, CAST(count(*) FILTER (WHERE p - x >= need AND q - x >= need) AS BIGINT) AS dips FROM e GROUP BY id""")
+@R.add(f"""WITH {SERIES}, {POINTS_SQL}, forms AS (SELECT id, pos, f, CASE f WHEN 'own' THEN x WHEN 'steps' THEN floor(x / 40) ELSE 7.5 END AS x FROM points, (VALUES ('own'), ('steps'), ('constant')) t(f)),
+e AS (SELECT id, f, x, lag(x) OVER w AS p, lead(x) OVER w AS q, 0.12 * (max(x) OVER (PARTITION BY id, f) - min(x) OVER (PARTITION BY id, f) + 1e-9) AS need FROM forms WINDOW w AS (PARTITION BY id, f ORDER BY pos))
+SELECT id, f AS form, CAST(count(*) FILTER (WHERE x > p AND x >= q AND x - greatest(p, q) >= need) AS BIGINT) AS peaks, CAST(count(*) FILTER (WHERE x < p AND x <= q AND least(p, q) - x >= need) AS BIGINT) AS dips FROM e GROUP BY id, f""")
 def local_feature_count(spark, sf):
-    """WIN16: inner points that stand out from both neighbours."""
-    return user_series(spark, sf).select("id", S.local_features(F.col("s"), "peak").alias("peaks"), S.local_features(F.col("s"), "dip").alias("dips"))
+    """WIN16: inner points that stand out from both neighbours: of the series, of its values in steps of 40, and of a constant one."""
+    s = F.col("s")
+    forms = {"own": s, "steps": F.transform(s, lambda x: F.floor(x / 40).cast("double")), "constant": F.transform(s, lambda x: F.lit(7.5))}
+    rows = user_series(spark, sf).select("id", F.explode(F.array(*(F.struct(F.lit(n).alias("form"), c.alias("s")) for n, c in forms.items()))).alias("f"))
+    return rows.select("id", "f.form", S.local_features(F.col("f.s"), "peak").alias("peaks"), S.local_features(F.col("f.s"), "dip").alias("dips"))
 
 
 @R.add(f"""WITH {SERIES}, {POINTS_SQL}, d AS (SELECT id, pos, coalesce(abs(x - lag(x) OVER w) > 0.1 * (max(x) OVER (PARTITION BY id) - min(x) OVER (PARTITION BY id)), false) AS brk FROM points WINDOW w AS (PARTITION BY id ORDER BY pos)),
@@ -225,8 +246,8 @@ d AS (SELECT id, list(cand ORDER BY rk) AS d FROM p WHERE rk <= 3 GROUP BY id)
 SELECT id, g AS place, array_to_string(list_concat(list_concat(d[1:g], [id]), d[g + 1:3]), ',') AS options FROM d, unnest(range(0, 4)) AS t(g)""")
 def rotation_items(spark, sf):
     """RNG6 JOI20 UDF10: the gold series at each of four places among its nearest three."""
-    items = user_series(spark, sf).select("id", F.lit(0).alias("all"), F.array(S.mean(F.col("s"))).alias("z"))
-    near = C.nearest(items, 3, ["all"]).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cand_id"))), lambda x: x["cand_id"]).alias("d"))
+    items = user_series(spark, sf).select("id", F.array(S.mean(F.col("s"))).alias("z"))
+    near = k_nearest(items, 3, []).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "cand_id"))), lambda x: x["cand_id"]).alias("d"))
     return C.rotations(near, "id", "d", 4).select("id", F.col("place").cast("long").alias("place"), F.array_join(F.col("options").cast("array<string>"), ",").alias("options"))
 
 
@@ -239,7 +260,7 @@ SELECT w.id, coalesce(fr.donor, w.donor) AS donor, fr.donor IS NULL AS clash FRO
 def donor_assignment(spark, sf):
     """JOI17 UDF12: a donor for each mismatched control."""
     base = user_series(spark, sf).select("id", (F.col("id") % 5).alias("g"), F.array(S.mean(F.col("s"))).alias("z"))
-    return C.donors(base.select("id", "g"), C.nearest(base, 3, ["g"]), ["g"])
+    return C.donors(base.select("id", "g"), k_nearest(base, 3, ["g"]), ["g"])
 
 
 @R.add("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS v FROM orders GROUP BY ALL), n AS (SELECT row_number() OVER (ORDER BY day) - 1 AS o, v, count(*) OVER () AS n FROM d),

@@ -11,6 +11,7 @@ from ..functions import text as X
 from ..operators import candidates as C
 from ..operators import masking as K
 from ..operators import verify as V
+from ..operators.neighbours import k_nearest
 from ..sources import adapters as A
 from ..sources import readers as D
 from ..streaming import rewards as W
@@ -99,7 +100,7 @@ def nearest_same_source(spark, sf):
     from ..functions import sequence as S
 
     items = user_series(spark, sf).select("id", (F.col("id") % 3).alias("src"), F.size(s).alias("n"), F.array(S.mean(s), S.pop_std(s)).alias("f"))
-    return C.nearest(C.standardised(items, "f", ["src", "n"], 2), 2, ["src", "n"]).select("id", "cand_id", "rank", "dist")
+    return k_nearest(C.standardised(items, "f", ["src", "n"], 2), 2, ["src", "n"])
 
 
 @R.add(r"""WITH d AS (SELECT lang, len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda x: x <> '')) AS n FROM documents)

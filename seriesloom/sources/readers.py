@@ -32,11 +32,32 @@ def write_local(df: DataFrame, path: str, kind: str, mode: str = "errorifexists"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that ``spark.checkpoint.dir`` names, or where it is unset beside the warehouse."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
+    """A new path in the folder that ``spark.checkpoint.dir`` names; where it is unset on a local master, beside the warehouse."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read back: its lineage ends there, and numbers given to rows hold for every later read."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._loom_path = path
+    return out
+
+
+def discarded(df: DataFrame) -> None:
+    """Deletes a stored table that no later plan reads."""
+    spark, path = df.sparkSession, getattr(df, "_loom_path", None)
+    if path:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def forecast_series(spark: SparkSession, path: str, target: str = "OT", order: str = "date") -> DataFrame:
     """(order, value) of a CSV's target column; a file without it is an error."""
     rows = spark.read.option("header", True).option("inferSchema", True).csv(path)
