@@ -11,9 +11,9 @@ from .common import read_table, shared_dir
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .urls import judge_urls
+    from .urls import MIN_BLOCKED, judge_urls
 
-    judged = judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), read_table(spark, sf_dir, "labels"))
+    judged = judge_urls(read_table(spark, sf_dir, "pages").select("page_id", "url"), read_table(spark, sf_dir, "labels"), min_blocked=MIN_BLOCKED)
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 

@@ -6,9 +6,11 @@ the tokens of labelled URLs together with a block mark.  Tokens in nearly all
 labelled URLs or in too few of those to block are left out, and tokens of exactly
 the same labelled URLs count as one (the first by name), so that no template of
 tokens that always come together multiplies itemsets.  Rules "tokens -> block"
-stay if they reach the support and confidence wanted, if the lower end of the
-confidence's 95 % interval is ``min_lift`` times the share of URLs to block at
-least, and if no rule on fewer of their tokens is as confident.  An inverted index
+stay if they reach the support wanted, a share of the labelled URLs and
+``min_blocked`` of them at least, if their confidence is ``min_confidence`` and
+``min_lift`` times the share of URLs to block at least, and if no rule on fewer
+of their tokens is as confident.  With ``significant`` the lower end of the confidence's 95 % interval
+must reach that bound: then labels that URLs do not tell of give no rules.  An inverted index
 maps each rule's least frequent token to the rule's other tokens; a URL is blocked
 if a rule found through one of its tokens has all its tokens there.  Up to
 ``INDEX_RULES`` rules the index is a folded map literal, so judging is one pass
@@ -34,6 +36,8 @@ BLOCK = "=block"
 INDEX_RULES = 4096
 #: A token in a larger share of the labelled URLs tells nothing.
 COMMON = 0.9
+#: A rule's labelled URLs to block: at least this share of all labelled ones, and for the query so many; its confidence, and that against the share to block.
+MIN_SUPPORT, MIN_BLOCKED, MIN_CONFIDENCE, MIN_LIFT = 0.005, 5, 0.5, 1.5
 #: (host, path, verdict)
 HOST_RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 
@@ -89,22 +93,24 @@ def _telling(baskets: DataFrame, total: int, least: float) -> list[str]:
     return [r["token"] for r in tokens.groupBy("n", "where").agg(F.min("token").alias("token")).collect()]
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.005, min_confidence: float = 0.5, min_lift: float = 1.5) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_blocked: int = 1, significant: bool = False) -> DataFrame:
     """(items, confidence, support) of rules to block, of any length, but for those that a part of their items is as sure of. ``labelled``: url, block (boolean)."""
     spark = labelled.sparkSession
     baskets = labelled.select(url_tokens(F.col("url")).alias("items"), F.coalesce("block", F.lit(False)).alias("block"))
     baskets = materialise(baskets.where(F.size("items") > 0).withColumn("id", F.monotonically_increasing_id()), "baskets")
     total, bad = baskets.agg(F.count("id"), F.count(F.when(F.col("block"), 1))).first()
-    telling = _telling(baskets, total, min_support * total) if bad else []
+    least = max(min_support * total, min_blocked)
+    telling = _telling(baskets, total, least) if bad else []
     if not telling:
         return spark.createDataFrame([], "items array<string>, confidence double, support double")
     own = F.array_intersect("items", F.array(*map(F.lit, telling)))
     marked = baskets.select(F.when(F.col("block"), F.concat(own, F.array(F.lit(BLOCK)))).otherwise(own).alias("items"))
-    sets = materialise(FPGrowth(itemsCol="items", minSupport=min_support).fit(marked).freqItemsets, "itemsets")
+    sets = materialise(FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / total)).fit(marked).freqItemsets, "itemsets")
     with_mark = sets.where(F.array_contains("items", BLOCK) & (F.size("items") > 1)).select(F.array_sort(F.array_remove("items", BLOCK)).alias("items"), F.col("freq").alias("bad"))
     rules = with_mark.join(sets.where(~F.array_contains("items", BLOCK)).select(F.array_sort("items").alias("items"), F.col("freq").alias("n")), "items")
     rules = rules.select("items", (F.col("bad") / F.col("n")).alias("confidence"), (F.col("bad") / F.lit(total)).alias("support"), "n")
-    rules = materialise(rules.withColumn("sure", (F.col("confidence") >= min_confidence) & (_lowest(F.col("confidence"), F.col("n")) >= min_lift * bad / total)).drop("n"), "rules")
+    sure = _lowest(F.col("confidence"), F.col("n")) if significant else F.col("confidence")
+    rules = materialise(rules.withColumn("sure", (F.col("confidence") >= min_confidence) & (sure >= min_lift * bad / total)).drop("n"), "rules")
     longest = rules.agg(F.coalesce(F.max(F.size("items")), F.lit(0))).first()[0]
     # unsure rules too: they carry the best confidence of their parts on to longer ones
     kept = rules.where((F.size("items") == 1) & F.col("sure")).drop("sure")
@@ -127,12 +133,12 @@ def _index(rules: DataFrame) -> DataFrame:
     return tokens.join(often, "token").withColumn("n", F.row_number().over(first)).where("n = 1").select("rule", "token", F.array_remove("items", F.col("token")).alias("rest"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=HOST_RULES, min_support: float = 0.005, min_confidence: float = 0.5, min_lift: float = 1.5) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=HOST_RULES, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_lift: float = MIN_LIFT, min_blocked: int = 1, significant: bool = False) -> DataFrame:
     """``pages`` with host, path, rule and verdict. ``labels``: (doc_id, quality, toxic) of pages by page_id; low quality or toxic is to block."""
     bad = F.max((F.coalesce(F.col("toxic") == 1, F.lit(False)) | F.coalesce(F.col("quality") == 0, F.lit(False))).cast("int")) == 1
     marks = labels.where("doc_id is not null").groupBy(F.col("doc_id").alias("page_id")).agg(bad.alias("block"))
     labelled = pages.select("page_id", "url").where("url is not null").join(marks, "page_id").select("url", "block")
-    index = materialise(_index(mine_rules(labelled, min_support, min_confidence, min_lift)), "index")
+    index = materialise(_index(mine_rules(labelled, min_support, min_confidence, min_lift, min_blocked, significant)), "index")
     tokens = url_tokens(F.col("url"))
     own, hits = free_name(pages.columns, "own_tokens"), free_name(pages.columns, "own_hit")
     if index.count() <= INDEX_RULES:

@@ -2,11 +2,13 @@
 
 import collections
 import hashlib
+import itertools
 import zlib
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as pipe
 from seriesloom.llm.queries import ORACLE_SQL, QUERIES
@@ -14,7 +16,7 @@ from seriesloom.llm.queries import ORACLE_SQL, QUERIES
 from conftest import SF
 from test_operators import BENCH, DOCS, brute_components, brute_fingerprint, brute_hits, brute_wide
 
-from seriesloom.llm import pii
+from seriesloom.llm import pii, urls
 from seriesloom.llm.tokens import Encoder, default_tokenizer
 
 
@@ -189,13 +191,56 @@ def test_url_query_by_brute_force(spark):
     pages = {r["page_id"]: r["url"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     got = {r["page_id"]: r for r in QUERIES["op1_url_filters"](spark, SF).collect()}
     assert got.keys() == pages.keys()
+    mined = plain_url_rules(spark, SF)
+    tokens = {r["page_id"]: set(r["t"]) for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", urls.url_tokens(F.col("url")).alias("t")).collect()}
     for i, url in pages.items():
         m = re.match(r"(?s).*?://([^/?#]*)([^?#]*)", url or "")
         host, path = (re.sub("[A-Z]", lambda c: c[0].lower(), m[1]), m[2]) if m else ("", "")
         fits = sorted((-len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p))
         r = got[i]
         assert (r["host"], r["path"], r["rule"]) == (host, path, fits[0][1] if fits else None)
-        assert r["verdict"] == fits[0][2] if fits else r["verdict"] in ("allow", "block")
+        assert r["verdict"] == (fits[0][2] if fits else "block" if any(x <= tokens[i] for x in mined) else "allow"), url
+
+
+def plain_url_rules(spark, sf):
+    """Token sets with the support and lift wanted, found by trying all sets of tokens of each URL to block; sets of tokens that always come together count by their first names."""
+    bad = collections.defaultdict(bool)
+    for i, quality, toxic in spark.read.parquet(f"{sf}/labels.parquet").select("doc_id", "quality", "toxic").collect():
+        bad[i] |= toxic == 1 or quality == 0
+    rows = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", urls.url_tokens(F.col("url")).alias("t")).collect()
+    baskets = [(set(r["t"]), bad[r["page_id"]]) for r in rows if r["page_id"] in bad and r["t"]]
+    total, to_block = len(baskets), sum(b for _, b in baskets)
+    least = max(urls.MIN_SUPPORT * total, urls.MIN_BLOCKED)
+    where = collections.defaultdict(list)
+    for n, (own, _) in enumerate(baskets):
+        for t in own:
+            where[t].append(n)
+    alike = {}
+    for t in sorted(where):
+        if len(where[t]) <= urls.COMMON * total and sum(baskets[n][1] for n in where[t]) >= least:
+            alike.setdefault(tuple(where[t]), t)
+    telling, sure, best = set(alike.values()), {}, {}
+    for size in range(1, len(telling) + 1):
+        for items in {frozenset(c) for own, b in baskets if b for c in itertools.combinations(sorted(own & telling), size)}:
+            n, hits = sum(items <= own for own, _ in baskets), sum(items <= own and b for own, b in baskets)
+            if hits < least or not to_block:
+                continue
+            below = max((best[p] for p in (items - {x} for x in items) if p in best), default=0.0)
+            best[items] = max(below, hits / n)
+            if hits / n >= max(urls.MIN_CONFIDENCE, urls.MIN_LIFT * to_block / total) and hits / n > below:
+                sure[items] = hits / n
+    return list(sure)
+
+
+def test_url_query_where_urls_tell(spark, tmp_path):
+    """Pages of one site with one path name are to block, and nothing else: the query finds that out."""
+    url = lambda i: f"https://{('good', 'fine', 'bad')[i % 3]}.site{i % 2}.info/{('news', 'shop', 'spam')[i % 5 % 3]}/p{i}?id={i}"
+    told = lambda i: i % 3 == 2 and i % 5 % 3 == 2
+    sf = f"file://{tmp_path}"
+    spark.createDataFrame([(i, url(i), None) for i in range(400)] + [(400, None, None), (401, "no url", None)], "page_id long, url string, html string").write.parquet(f"{sf}/pages.parquet")
+    spark.createDataFrame([(i, 1, int(told(i))) for i in range(300)] + [(None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{sf}/labels.parquet")
+    got = {r["page_id"]: r["verdict"] for r in QUERIES["op1_url_filters"](spark, sf).collect()}
+    assert got == {i: "block" if i < 400 and told(i) else "allow" for i in range(402)}
 
 
 def test_queries_on_empty_tables(spark, odd, tmp_path):
@@ -208,4 +253,4 @@ def test_queries_on_empty_tables(spark, odd, tmp_path):
 
 
 def test_all_are_registered(spark):
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in QUERIES] == [f"op{i}" for i in range(1, 14)]
