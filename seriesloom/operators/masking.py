@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 #: A number that is not the rest of a longer one (fixed value).
 NUMBER = re.compile(r"(?<![\d.])-?\d+(?:\.\d+)?")
@@ -73,8 +73,8 @@ def compact_number(x: pd.Series) -> pd.Series:
     return x.map(lambda v: None if pd.isna(v) else f"{v:g}")
 
 
-def png(series: list[float], width: int = 600, height: int = 300, pad: float = 0.08) -> bytes:
-    """A line chart on white; the value axis has a margin. Empty or non-finite series are refused."""
+def panel(series: list[float], width: int, height: int, pad: float = 0.08, points: int | None = None):
+    """A line on white as pixels; the value axis has a margin, the time axis room for ``points`` points. Empty or non-finite series are refused."""
     import numpy as np
 
     y = np.asarray(series, float)
@@ -83,12 +83,18 @@ def png(series: list[float], width: int = 600, height: int = 300, pad: float = 0
     low, high = y.min(), y.max()
     room = (high - low) * pad or 1.0
     pixels = np.full((height, width), 255, np.uint8)
-    x = np.arange(width)
-    at = np.interp(x * max(len(y) - 1, 0) / (width - 1), np.arange(len(y)), y)
-    row = np.clip(np.round((high + room - at) / (high - low + 2 * room) * (height - 1)), 0, height - 1).astype(int)
-    for i in range(width):
+    at = np.arange(width) * max((points or len(y)) - 1, 0) / (width - 1)
+    drawn = int((at <= len(y) - 1 + 1e-9).sum())
+    line = np.interp(at[:drawn], np.arange(len(y)), y)
+    row = np.clip(np.round((high + room - line) / (high - low + 2 * room) * (height - 1)), 0, height - 1).astype(int)
+    for i in range(drawn):
         a, b = sorted((row[i - 1] if i else row[i], row[i]))
         pixels[a : b + 1, i] = 0
+    return pixels
+
+
+def png_bytes(pixels) -> bytes:
+    height, width = pixels.shape
 
     def chunk(kind: bytes, body: bytes) -> bytes:
         return struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
@@ -97,6 +103,38 @@ def png(series: list[float], width: int = 600, height: int = 300, pad: float = 0
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw, 6)) + chunk(b"IEND", b"")
 
 
+def png(series: list[float], width: int = 600, height: int = 300, pad: float = 0.08) -> bytes:
+    """A line chart."""
+    return png_bytes(panel(series, width, height, pad))
+
+
+#: Channels that one chart shows.
+MOST_CHANNELS = 8
+FRAME = 128
+
+
+def multi_png(channels: list[list[float]], width: int = 600, height: int = 300) -> tuple[bytes, bool]:
+    """The first eight channels as panels under each other, each with its own value axis and all with one time axis; and whether some were left out."""
+    import numpy as np
+
+    if not len(channels):
+        raise ValueError("a chart needs a channel")
+    shown = [list(c) for c in channels[:MOST_CHANNELS]]
+    edges = np.linspace(0, height, len(shown) + 1).astype(int)
+    points = max(map(len, shown))
+    panels = []
+    for c, a, b in zip(shown, edges, edges[1:]):
+        pixels = panel(c, width, int(b - a), points=points)
+        pixels[-1] = np.minimum(pixels[-1], FRAME)
+        panels.append(pixels)
+    return png_bytes(np.concatenate(panels)), len(channels) > MOST_CHANNELS
+
+
+@pandas_udf(StructType([StructField("image", BinaryType()), StructField("truncated", BooleanType())]))
+def multi_chart(channels: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([multi_png(list(c)) for c in channels], columns=["image", "truncated"])
+
+
 @pandas_udf(BinaryType())
 def chart(series: pd.Series) -> pd.Series:
     return series.map(lambda s: png(list(s)))

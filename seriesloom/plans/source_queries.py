@@ -211,15 +211,6 @@ def two_pools(spark, sf):
     return got.select("id", "scoring", "gold", F.size(F.col("series")[0]).cast("long").alias("points"))
 
 
-@R.add("SELECT e.event_id AS id, 'letter_exact' AS scoring, chr(65 + CAST(e.event_id % 4 AS INTEGER)) AS gold, round(CAST(list_sum(v.embedding[1:8]) AS DOUBLE), 3) AS total FROM events e JOIN embeddings v ON e.user_id = v.vec_id")
-def channel_questions(spark, sf):
-    """SRC14 SRC36: questions joined to a channel of a file of values."""
-    qa = table(spark, sf, "events").select(F.col("event_id").alias("id"), F.col("user_id").alias("file"), F.lit("first").alias("channel"), F.lit("Which?").alias("question"), F.char(65 + F.col("event_id") % 4).alias("gold"))
-    channels = table(spark, sf, "embeddings").select(F.col("vec_id").alias("file"), F.lit("first").alias("channel"), F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("values"))
-    got = A.channel_questions(qa, channels)
-    return got.select("id", "scoring", "gold", r(F.aggregate(F.col("series")[0], F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
-
-
 #: Shapes of four options and the one asked for; the letter, where one option alone has it.
 SHAPE_CASES = [("rising", "flat", "peak", "mixed", "flat", "B"), ("rising", "rising", "peak", "mixed", "rising", None), ("flat", "peak", "valley", "peak", "valley", "C"), ("flat", "peak", "valley", "mixed", "rising", None), ("flat", "peak", "peak", "volatile", "volatile", "D")]
 SHAPE_COLUMNS = "one string, two string, three string, four string, wanted string, letter_of string"

@@ -6,6 +6,7 @@ Items: id, series (array of arrays), question, gold, scoring, options (array<str
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -89,4 +90,17 @@ def channel_questions(qa: DataFrame, channels: DataFrame) -> DataFrame:
     return as_items(qa.join(channels, ["file", "channel"]), id=F.col("id"), series=F.array("values"), question=F.col("question"), gold=F.col("gold"), scoring=F.lit("letter_exact"), options=X.options(F.col("question")), task=F.lit("skill"))
 
 
+def all_items(parts: dict[str, DataFrame]) -> DataFrame:
+    """Items of several benchmarks in one table with the ``benchmark`` they are of; ids as text."""
+    named = [df.withColumn("id", F.col("id").cast("string")).select(F.lit(name).alias("benchmark"), *ITEM) for name, df in parts.items()]
+    return reduce(lambda a, b: a.unionByName(b), named)
+
+
+def skip_counts(parts: dict[str, tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """(benchmark, asked, items, skipped) from each benchmark's rows and its items, counted in one pass over both."""
+    sides = [df.select(F.lit(name).alias("benchmark"), F.lit(k).alias("k")) for name, pair in parts.items() for k, df in enumerate(pair)]
+    counted = reduce(lambda a, b: a.unionByName(b), sides).groupBy("benchmark").agg(F.count_if(F.col("k") == 0).alias("asked"), F.count_if(F.col("k") == 1).alias("items"))
+    return counted.withColumn("skipped", F.col("asked") - F.col("items"))
+
+
 ADAPTERS: dict[str, Callable[..., DataFrame]] = {f.__name__: f for f in (annotated, lettered_choice, typed_questions, tagged_text, abilities, by_path_suffix, two_pools, channel_questions)}

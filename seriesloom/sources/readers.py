@@ -58,6 +58,22 @@ def discarded(df: DataFrame) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def first_ids(spark: SparkSession, path: str, id_col: str, n: int, drop: list[str] | None = None, first: int = 2, growth: int = 2) -> tuple[DataFrame, int]:
+    """Rows of the ``n`` smallest ids in the first files of a source that repeats ids, and how many files were read.
+
+    Files are taken by name, ``first`` of them and then ``growth`` times as many, until they hold ``n`` ids; the last id may go
+    on in the next file, so one more is read.  The limit counts ids, not rows; with fewer ids all rows come.
+    """
+    files = sorted(spark.read.parquet(path).inputFiles())
+    taken = first
+    while taken < len(files) and spark.read.parquet(*files[:taken]).select(id_col).distinct().limit(n + 1).count() <= n:
+        taken = min(len(files), taken * growth)
+    used = files[: taken + 1]
+    rows = spark.read.parquet(*used).drop(*(drop or []))
+    wanted = rows.select(id_col).distinct().orderBy(id_col).limit(n)
+    return rows.join(wanted, id_col, "left_semi"), len(used)
+
+
 def forecast_series(spark: SparkSession, path: str, target: str = "OT", order: str = "date") -> DataFrame:
     """(order, value) of a CSV's target column; a file without it is an error."""
     rows = spark.read.option("header", True).option("inferSchema", True).csv(path)
