@@ -9,7 +9,7 @@ all little-endian.  (part, block) is the order.  The code itself is a table of
 (id, bits): canonical codes follow from it.
 
 Null and empty texts hold only the end id.  Rows with equal doc_id stay separate
-rows, in the order of their ids' bytes; null doc_ids come first.  An empty table
+rows, in the order of their first ids' bytes; null doc_ids come first.  An empty table
 gives an empty file set.  Columns other than doc_id and text are ignored.
 """
 
@@ -177,8 +177,10 @@ def write_blocks(encoded: DataFrame, code_table: DataFrame, lengths: dict[int, i
         if docs:
             yield close()
 
-    ordered = encoded.repartitionByRange(files, "doc_id").sortWithinPartitions("doc_id", "ids")
-    ordered.mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
+    # rows of one doc_id, or of none, may be many: their first ids and a number tell them apart, so they lie in several files
+    keys = ["doc_id", "head", "row"]
+    ordered = encoded.withColumns({"head": F.substring("ids", 1, 16), "row": F.monotonically_increasing_id()}).repartitionByRange(files, *keys).sortWithinPartitions(*keys)
+    ordered.select("doc_id", "ids").mapInArrow(blocks, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
     code_table.coalesce(1).write.parquet(f"{path}/code")
 
 

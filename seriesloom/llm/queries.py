@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, shared_dir
+from .common import materialise, read_table, remove, shared_dir
 
 
 def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,7 +29,9 @@ def op6_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
     write_token_files(read_table(spark, sf_dir, "documents"), path)
-    return read_documents(spark, path)
+    found = materialise(read_documents(spark, path), "token-rows")
+    remove(spark, path)
+    return found
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import as_bytes, discard, free_name, materialise, word_blocks
+from .common import as_bytes, discard, free_name, join_counted, materialise, word_blocks
 from .graph import connected_components
 
 SEED = 42
@@ -232,10 +232,14 @@ def near_duplicates(docs: DataFrame, words: int = 4, radius: int = 4) -> DataFra
     """(doc_id, fingerprint, component_id), a row per document."""
     own = materialise(fingerprints(docs, words), "prints")
     placed = _components(own, radius)
-    # plain joins of stored tables: Spark splits them where a component or a fingerprint is frequent
-    ids = materialise(placed.groupBy("root").agg(F.min("first").alias("component_id")), "components")
-    by_print = materialise(placed.join(ids, "root").select("fp", "component_id"), "by_print")
-    return own.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    # a component or a fingerprint may hold a third of all rows: both are joined by their counts
+    ids = materialise(placed.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")), "components")
+    of_print = join_counted(placed.select("root", "fp"), ids, "root", "n").select("fp", "component_id")
+    by_print = materialise(of_print.join(own.groupBy("fp").agg(F.count("*").alias("n")), "fp"), "by_print")
+    discard(ids)
+    discard(placed)
+    own = join_counted(own, by_print, "fp", "n")
+    return own.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, words: int = 5, radius: int = 20, lanes: int = 2) -> DataFrame:

@@ -861,3 +861,24 @@ def test_tokens_of_long_texts(monkeypatch):
 def test_training_rounds_share_out_all_texts(docs):
     rounds = docs.where("doc_id is not null").select("doc_id", lm.training_round(F.col("doc_id"), len(lm.RATES)).alias("r")).collect()
     assert {r["r"] for r in rounds} == set(range(len(lm.RATES)))
+
+
+def test_many_rows_of_one_id(spark, tmp_path, monkeypatch):
+    """Rows of one doc_id, and rows without one, lie in several files and keep their ids; a frequent fingerprint joins by its count."""
+    rows = [(5, f"text number {i}") for i in range(60)] + [(None, f"nameless {i}") for i in range(30)] + [(i, "the same text of all") for i in range(100, 160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    path = f"file://{tmp_path}/tokens"
+    binary.write_token_files(docs, path)
+    got = binary.read_documents(spark, path, with_ids=True).collect()
+    enc = Encoder(default_tokenizer())
+    assert collections.Counter((r["doc_id"], bytes(r["ids"])) for r in got) == collections.Counter((i, ids_of(enc, t, 2).tobytes()) for i, t in rows)
+    ordered = sorted(got, key=lambda r: r["start"])
+    ids = [r["doc_id"] for r in ordered]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i or 0))
+    ends = np.cumsum([r["n_tokens"] for r in ordered])
+    assert [r["start"] for r in ordered] == [0, *ends[:-1].tolist()]
+    blocks = spark.read.parquet(f"{path}/blocks").collect()
+    holding = [r["part"] for r in blocks if np.isin(5, np.frombuffer(r["doc_ids"], "<i8")[np.frombuffer(r["doc_valid"], bool)])]
+    assert len(set(holding)) > 1
+    near = simhash.near_duplicates(docs).collect()
+    assert len(near) == len(rows) and {r["component_id"] for r in near if r["doc_id"] is not None and r["doc_id"] >= 100} == {100}
