@@ -55,6 +55,21 @@ def case_sql(source: str, id_col: str, cases: list[tuple], columns: str) -> str:
     return f"""cases AS (SELECT {id_col} AS id, {", ".join(names)} FROM {source} JOIN (VALUES {rows}) v(case_no, {", ".join(names)}) ON {id_col} % {len(cases)} = case_no)"""
 
 
+def sql_normal_p(z: str) -> str:
+    """Two-sided normal p value in DuckDB, which has no error function: its series with positive terms, 0 from 7 deviations on."""
+    x = f"(abs({z}) / sqrt(2))"
+    terms = f"list_sum(list_transform(range(0, 84), lambda k: pow(2 * {x} * {x}, k) * {x} * pow(2, k) * gamma(k + 1) / gamma(2 * k + 2)))"
+    return f"CASE WHEN {x} < 5 THEN 1 - 2 / sqrt(pi()) * exp(-{x} * {x}) * {terms} WHEN {x} >= 5 THEN 0.0 END"
+
+
+def sql_t_p(t: str, df: str) -> str:
+    """Two-sided p value of Student's t for whole degrees of freedom in DuckDB: the finite series for even and odd ones."""
+    angle = f"atan(abs({t}) / sqrt({df}))"
+    even = f"sin({angle}) * list_sum(list_transform(range(0, CAST({df} // 2 AS BIGINT)), lambda j: exp(lgamma(j + 0.5) - lgamma(j + 1)) / sqrt(pi()) * pow(cos({angle}), 2 * j)))"
+    odd = f"2 / pi() * ({angle} + coalesce(sin({angle}) * list_sum(list_transform(range(0, CAST(({df} - 1) // 2 AS BIGINT)), lambda j: sqrt(pi()) / 2 * exp(lgamma(j + 1) - lgamma(j + 1.5)) * pow(cos({angle}), 2 * j + 1))), 0))"
+    return f"CASE WHEN {df} < 1 OR {t} IS NULL THEN NULL WHEN {df} % 2 = 0 THEN 1 - {even} ELSE 1 - {odd} END"
+
+
 class Registry:
     """Queries and their DuckDB twins, in order of definition."""
 

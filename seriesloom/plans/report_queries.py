@@ -10,7 +10,7 @@ from ..functions import stats as T
 from ..operators import candidates as C
 from ..operators import relational as L
 from ..operators import reports as P
-from .base import Registry, table
+from .base import Registry, sql_normal_p, sql_t_p, table
 
 R = Registry()
 
@@ -260,7 +260,15 @@ def paired_interval(spark, sf):
     return got.select("n", *(r(c).alias(c) for c in ("delta", "low", "high")))
 
 
-@R.add()
+_Z = "(delta / nullif(sd / sqrt(n), 0))"
+_GAP, _SUM = "abs(only_a - only_b)", "nullif(only_a + only_b, 0)"
+
+
+@R.add(f"""WITH {FACTS}, d AS (SELECT arm, count(*) AS n, avg(a - b) AS delta, stddev_samp(a - b) AS sd, sum(a) AS xa, sum(b) AS xb, count(*) FILTER (WHERE a > b) AS only_a, count(*) FILTER (WHERE b > a) AS only_b FROM facts GROUP BY arm),
+e AS (SELECT *, (xa + xb) / (2.0 * n) AS q FROM d), p AS (SELECT *, {sql_normal_p(_Z)} AS pz FROM e)
+SELECT arm, CAST(n AS BIGINT) AS n, round(delta, 6) AS delta, round(coalesce(pz, CASE WHEN delta = 0 THEN 1.0 ELSE 0.0 END), 6) AS p_z, round({sql_t_p(_Z, "(n - 1)")}, 6) AS p_t, round({sql_normal_p("((xa / n - xb / n) / nullif(sqrt(q * (1 - q) * 2 / n), 0))")}, 6) AS p_prop,
+  round(least(1.0, {sql_normal_p(f"(greatest({_GAP} - 1, 0) / sqrt({_SUM}))")}), 6) AS p_sign, round({sql_normal_p(f"({_GAP} / sqrt({_SUM}))")}, 6) AS p_mcnemar, round({sql_normal_p(f"(greatest({_GAP} - 1, 0) / sqrt({_SUM}))")}, 6) AS p_corrected,
+  CASE WHEN pz < 0.0005 / 16 THEN '***' WHEN pz < 0.005 / 16 THEN '**' WHEN pz < 0.05 / 16 THEN '*' ELSE '' END AS stars FROM p""")
 def paired_tests(spark, sf):
     """STA2 STA3 STA4 STA6 STA7 STA8 STA10 REP9 REP10: p values of two graders per arm."""
     f = facts(spark, sf)
