@@ -6,9 +6,13 @@ the attention model's (``attention``) probability of these tokens, without any
 other model: texts are scored whole in overlapping windows, each token once.
 
 The model is trained in data-parallel rounds over all tokens of the training
-texts, at every size alike: each text belongs to one round and gives windows that
-follow each other, so each token is predicted once in training.  Partitions train
-side by side and their weights are averaged in stages of ``FAN_IN``.
+texts, at every size alike: each text belongs to one shard of one round, by a hash
+of its row, and gives windows that follow each other, so each token is predicted
+once in training.  A shard has about ``SHARD_TOKENS`` tokens; shards of a round
+train side by side and their weights are averaged in stages of ``FAN_IN``.  There
+are three rounds, and one more each time the shards double beyond ``SIDE_BY_SIDE``
+a round.  Shards, rounds and the order of texts follow from the texts alone, so
+the number of partitions, executors or batches does not change the model.
 
 Counts cover all texts.  Words are counted in Spark, and token counts follow from
 the word counts.  The most frequent ``FREQUENT`` words go to the executors for
@@ -38,8 +42,10 @@ from .common import as_bytes, materialise, word_blocks, worker_state
 from .tokens import default_tokenizer, encoder
 
 FREQUENT = 200_000
-#: Rates of the training rounds.
-RATES = (2e-2, 1e-2, 3e-3)
+#: Rates of the first and the last training round; those between fall by equal factors.
+FIRST_RATE, LAST_RATE, LEAST_ROUNDS = 2e-2, 3e-3, 3
+#: Training tokens of a shard, shards of a round before there are more rounds, and texts that are fed together.
+SHARD_TOKENS, SIDE_BY_SIDE, FED_TEXTS = 1_000_000, 8, 128
 #: Words that a task counts before it hands them on.
 HELD_WORDS = 1_000_000
 #: Weights that are averaged in one task.
@@ -52,9 +58,11 @@ def held_out(doc_id, folds: int, fold: int):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(True))
 
 
-def training_round(doc_id, rounds: int):
-    """Of each training text: texts are dealt over the rounds by a hash of their id that does not depend on the fold."""
-    return F.pmod(F.xxhash64(doc_id), F.lit(rounds))
+def training_plan(n_tokens: int) -> tuple[int, int, list[float]]:
+    """Rounds, shards of each, and the rounds' rates."""
+    shards = max(1, -(-n_tokens // SHARD_TOKENS))
+    rounds = LEAST_ROUNDS + max(0, math.ceil(math.log2(shards / (LEAST_ROUNDS * SIDE_BY_SIDE))))
+    return rounds, -(-shards // rounds), [FIRST_RATE * (LAST_RATE / FIRST_RATE) ** (i / (rounds - 1)) for i in range(rounds)]
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -182,25 +190,44 @@ def training_windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(held)[order], np.concatenate(valid)[order]
 
 
-def fit(train: DataFrame, vocabulary: Vocabulary, tokenizer: str, end: int, rates=RATES) -> np.ndarray:
+def fit(train: DataFrame, n_tokens: int, vocabulary: Vocabulary, tokenizer: str, end: int) -> np.ndarray:
     """Weights after rounds of side-by-side training and averaging, each over texts of its own."""
     spark = train.sparkSession
     flat = fresh(vocabulary)
+    rounds, shards, rates = training_plan(n_tokens)
+    key = F.xxhash64("doc_id", "text")
+    dealt = train.select("text", key.alias("key"), F.pmod(F.xxhash64(key), F.lit(rounds * shards)).alias("shard"))
     for i, rate in enumerate(rates):
-        own = train.where(training_round(F.col("doc_id"), len(rates)) == i).select("text")
+        own = dealt.where((F.col("shard") >= i * shards) & (F.col("shard") < (i + 1) * shards))
+        own = own.repartition(shards, "shard").sortWithinPartitions("shard", "key").select("text", "shard")
         shared = spark.sparkContext.broadcast((flat, vocabulary.leaf))
 
         def learn(batches, shared=shared, rate=rate):
-            trainer, own_tokens, n = None, tokens(tokenizer), 0
+            own_tokens, trainer, n, now, held = tokens(tokenizer), None, 0, None, []
+            start, leaf = shared.value
+
+            def feed():
+                nonlocal n
+                windows, valid = training_windows([leaf[own_tokens.whole(t, end)] for t in held])
+                trainer.feed(windows, valid)
+                n += len(windows)
+                held.clear()
+
+            def done():
+                feed()
+                return pa.RecordBatch.from_arrays([pa.array([(trainer.flat.astype(np.float64) * n).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
+
             for batch in batches:
-                if batch.num_rows:
-                    start, leaf = shared.value
-                    trainer = trainer or Trainer(start, rate)
-                    windows, valid = training_windows([leaf[own_tokens.whole(t, end)] for t in as_bytes(batch.column(0))])
-                    trainer.feed(windows, valid)
-                    n += len(windows)
+                for text, shard in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                    if shard != now:
+                        if trainer:
+                            yield done()
+                        trainer, n, now = Trainer(start, rate), 0, shard
+                    held.append(text)
+                    if len(held) == FED_TEXTS:
+                        feed()
             if trainer:
-                yield pa.RecordBatch.from_arrays([pa.array([(trainer.flat.astype(np.float64) * n).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
+                yield done()
 
         def add(batches):
             total, n = 0.0, 0
@@ -210,7 +237,7 @@ def fit(train: DataFrame, vocabulary: Vocabulary, tokenizer: str, end: int, rate
             if n:
                 yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
 
-        sums, some = own.mapInArrow(learn, "w binary, n long"), own.rdd.getNumPartitions()
+        sums, some = own.mapInArrow(learn, "w binary, n long"), shards
         while some > FAN_IN:
             some = -(-some // FAN_IN)
             sums = sums.repartition(some).mapInArrow(add, "w binary, n long")
@@ -240,7 +267,7 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None, folds: int = 7, fol
         counts[r["id"]] = r["n"]
     counts[end] = texts
     vocabulary = Vocabulary.from_counts(counts)
-    flat = fit(train, vocabulary, tokenizer, end)
+    flat = fit(train, int(counts.sum()), vocabulary, tokenizer, end)
     least = _frequent_from(words, FREQUENT)
     common = {bytes(r["word"]): r["c"] for r in words.where(F.col("n") >= least).select("word", "c").collect()}  # FREQUENT rows at most
     shared = spark.sparkContext.broadcast((flat, vocabulary, common))

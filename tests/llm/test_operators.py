@@ -677,7 +677,8 @@ def test_url_mining(spark, monkeypatch, limit):
     assert got[3] == "block" and got[2] == "allow"
 
 
-def test_mining_equals_all_itemsets(spark):
+@pytest.mark.parametrize("significant", [False, True])
+def test_mining_equals_all_itemsets(spark, significant):
     """Every set of tokens, counted one by one."""
     import itertools
 
@@ -695,9 +696,9 @@ def test_mining_equals_all_itemsets(spark):
             if sum(marks) >= 0.02 * 300:
                 p, n, z = sum(marks) / len(marks), len(marks), 1.96
                 low = (p + z * z / (2 * n) - z * math.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
-                found[c] = (p, p >= 0.5 and low >= 1.5 * base)
+                found[c] = (p, p >= 0.5 and (low if significant else p) >= 1.5 * base)
     want = {c for c, (p, sure) in found.items() if sure and all(found[d][0] < p for d in found if set(d) < set(c))}
-    got = urls.mine_rules(spark.createDataFrame(rows, "url string, block boolean"), 0.02).collect()
+    got = urls.mine_rules(spark.createDataFrame(rows, "url string, block boolean"), 0.02, significant=significant).collect()
     assert {tuple(x[5:] for x in r["items"]) for r in got} == want and len(want) > 2
     assert all(r["confidence"] == pytest.approx(found[tuple(x[5:] for x in r["items"])][0]) for r in got)
 
@@ -799,7 +800,7 @@ def test_lm(docs, none, monkeypatch, frequent):
     monkeypatch.setattr(lm, "FREQUENT", frequent)
     models = []
     fit = lm.fit
-    monkeypatch.setattr(lm, "fit", lambda train, vocabulary, *a, **k: models.append((fit(train, vocabulary, *a, **k), vocabulary)) or models[-1][0])
+    monkeypatch.setattr(lm, "fit", lambda train, n, vocabulary, *a, **k: models.append((fit(train, n, vocabulary, *a, **k), vocabulary)) or models[-1][0])
     out = lambda i: i is None or zlib.crc32(str(i).encode()) % 7 == 2
     parts = lm_parts([t for _, t in DOCS])
     words = [[*ws, None] for ws, _ in parts]
@@ -858,9 +859,32 @@ def test_tokens_of_long_texts(monkeypatch):
     assert (lm.Tokens(default_tokenizer()).whole(text, 7) == whole).all()
 
 
-def test_training_rounds_share_out_all_texts(docs):
-    rounds = docs.where("doc_id is not null").select("doc_id", lm.training_round(F.col("doc_id"), len(lm.RATES)).alias("r")).collect()
-    assert {r["r"] for r in rounds} == set(range(len(lm.RATES)))
+def test_training_does_not_depend_on_the_layout(spark, monkeypatch):
+    """Several shards and rounds: the same weights from one partition and from many, from small batches and from large ones."""
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 400)
+    monkeypatch.setattr(lm, "FED_TEXTS", 7)
+    texts = [f"text {i} of some words that come again {i % 5} and {i % 3} times" for i in range(150)] + ["one text many times over"] * 20
+    frame = spark.createDataFrame([(i % 160, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    vocabulary = attention.Vocabulary.from_counts(np.bincount(np.concatenate([np.array(t) for _, t in lm_parts(texts)])))
+    end = 2 * Encoder(default_tokenizer()).tokenizer.get_vocab_size() + 1
+    tokens = sum(len(t) for _, t in lm_parts(texts))
+    rounds, shards, rates = lm.training_plan(tokens)
+    assert rounds >= 3 and shards > 1 and len(rates) == rounds and rates[0] == lm.FIRST_RATE and rates[-1] == pytest.approx(lm.LAST_RATE)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, got = spark.conf.get(key), []
+    try:
+        for parts, batch in ((1, "10000"), (6, "3"), (3, "50")):
+            spark.conf.set(key, batch)
+            got.append(lm.fit(frame.repartition(parts), tokens, vocabulary, default_tokenizer(), end))
+    finally:
+        spark.conf.set(key, before)
+    assert not np.allclose(got[0], attention.fresh(vocabulary)) and all(np.allclose(got[0], g, rtol=0, atol=1e-6) for g in got[1:])
+
+
+def test_training_plan_grows_with_the_tokens():
+    plans = [lm.training_plan(n) for n in (0, 1, 10**6, 10**8, 10**11)]
+    assert [r * s * lm.SHARD_TOKENS >= n for (r, s, _), n in zip(plans, (0, 1, 10**6, 10**8, 10**11))] == [True] * 5
+    assert plans[0][:2] == (3, 1) and plans[-1][0] > plans[-2][0] > 3
 
 
 def test_many_rows_of_one_id(spark, tmp_path, monkeypatch):
