@@ -349,7 +349,7 @@ def test_keep_one(spark, docs, none):
             words[60] = "changed"  # 10 of 116 shingles differ
             rows.append((11 + 2 * k if k % 3 else None, " ".join(words)))
     frame = spark.createDataFrame([(i, t, 1, 2) for i, t in rows], "doc_id long, text string, fp long, __keep int")
-    roots = brute_components([brute_wide(t) for _, t in rows], 20)
+    roots = brute_components([brute_wide(t) for _, t in rows], simhash.WIDE_RADIUS)
     assert len(set(roots)) < len(rows) - 15
     want = collections.Counter()
     for r in set(roots):
@@ -362,7 +362,7 @@ def test_keep_one(spark, docs, none):
     assert sorted(roots[next(k for k, x in enumerate(rows) if x == (r["doc_id"], r["text"]))] for r in kept) == sorted(set(roots))
     assert {r["text"] for r in kept if r["doc_id"] == 1} == {rows[0][1], rows[1][1]}
     odd = simhash.keep_one(docs).collect()
-    assert len(odd) == len(set(brute_components([brute_wide(t) for _, t in DOCS], 20)))
+    assert len(odd) == len(set(brute_components([brute_wide(t) for _, t in DOCS], simhash.WIDE_RADIUS)))
     assert simhash.keep_one(none).count() == 0
 
 
@@ -906,3 +906,25 @@ def test_many_rows_of_one_id(spark, tmp_path, monkeypatch):
     assert len(set(holding)) > 1
     near = simhash.near_duplicates(docs).collect()
     assert len(near) == len(rows) and {r["component_id"] for r in near if r["doc_id"] is not None and r["doc_id"] >= 100} == {100}
+
+
+def test_wide_fingerprints_find_similar_texts():
+    """Of edited copies whose sets of five-word shingles are similar by 0.8 or more, nine in ten and more are within the radius; unlike texts are not."""
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(3000)]
+    shingles = lambda ws: {tuple(ws[i : i + 5]) for i in range(len(ws) - 4)}
+    near = far = found = wrong = 0
+    for _ in range(400):
+        ws = [words[i] for i in rng.integers(0, 3000, 300)]
+        other = list(ws)
+        for at in rng.integers(0, 300, rng.integers(1, 9)):
+            other[at] = "edited"
+        a, b = shingles(ws), shingles(other)
+        x, y = (np.array(simhash.fingerprints_of(" ".join(t).encode(), 5, 2), np.int64).view(np.uint64) for t in (ws, other))
+        if len(a & b) >= 0.8 * len(a | b):
+            near += 1
+            found += int(np.bitwise_count(x ^ y).sum()) <= simhash.WIDE_RADIUS
+        z = np.array(simhash.fingerprints_of(" ".join(words[i] for i in rng.integers(0, 3000, 300)).encode(), 5, 2), np.int64).view(np.uint64)
+        far += 1
+        wrong += int(np.bitwise_count(x ^ z).sum()) <= simhash.WIDE_RADIUS
+    assert near > 150 and found >= 0.9 * near and wrong == 0 < far

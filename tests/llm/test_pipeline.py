@@ -16,7 +16,7 @@ from seriesloom.llm.queries import ORACLE_SQL, QUERIES
 from conftest import SF
 from test_operators import BENCH, DOCS, brute_components, brute_fingerprint, brute_hits, brute_wide
 
-from seriesloom.llm import pii, urls
+from seriesloom.llm import pii, simhash, urls
 from seriesloom.llm.tokens import Encoder, default_tokenizer
 
 
@@ -34,7 +34,7 @@ def test_stages(spark):
             assert gone and all(labels[i] for i in gone)
         if name == "simhash_near_dedup":
             texts = [r["text"] for r in left.collect()]
-            assert len(set(brute_components([brute_wide(t) for t in texts], 20))) == len(texts)
+            assert len(set(brute_components([brute_wide(t) for t in texts], simhash.WIDE_RADIUS))) == len(texts)
         if name == "benchmark_decontamination":
             from seriesloom.llm.decontaminate import find_contamination
 
@@ -69,7 +69,7 @@ def test_stages_on_odd_rows(spark, odd):
     assert {r["doc_id"] for r in kept.collect()} >= {3, 4, 5}  # nothing in them is toxic
     one = stages["simhash_near_dedup"](spark, docs, odd)
     assert one.columns == docs.columns and not collections.Counter(map(tuple, one.collect())) - rows
-    assert one.count() == len(set(brute_components([brute_wide(t) for _, t in DOCS], 20)))
+    assert one.count() == len(set(brute_components([brute_wide(t) for _, t in DOCS], simhash.WIDE_RADIUS)))
     clean = stages["benchmark_decontamination"](spark, docs, odd)
     assert clean.columns == docs.columns
     left = collections.Counter(r["doc_id"] for r in clean.collect())
