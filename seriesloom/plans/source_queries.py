@@ -44,14 +44,14 @@ def json_lines(spark, sf):
     return D.read_local(spark, path, rows.schema)
 
 
-@R.add("SELECT CAST(c_nationkey AS INTEGER) AS id, CAST(count(*) AS BIGINT) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
+@R.add("SELECT CAST(c_custkey // 32 AS BIGINT) AS id, CAST(count(*) AS BIGINT) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
 def series_files(spark, sf):
-    """SRC13 UDF11: a text file per id with one value a line, opened by id."""
+    """SRC13 UDF11: a text file per id with one value a line, opened by id; a file holds 32 values."""
     path = D.scratch(spark, "series")
-    lines = table(spark, sf, "customer").groupBy(F.col("c_nationkey").cast("int").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_acctbal"))), lambda x: x["c_acctbal"].cast("string")), "\n").alias("value"))
-    lines.write.partitionBy("id").text(path)
+    lines = table(spark, sf, "customer").groupBy(F.expr("c_custkey div 32").alias("id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", "c_acctbal"))), lambda x: x["c_acctbal"].cast("string")), "\n").alias("value"))
+    lines.repartition("id").write.partitionBy("id").text(path)
     got = D.series_files(spark, path)
-    return got.select("id", F.size("series").cast("long").alias("n"), r(F.aggregate("series", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
+    return got.select(F.col("id").cast("long").alias("id"), F.size("series").cast("long").alias("n"), r(F.aggregate("series", F.lit(0.0), lambda a, x: a + x), 2).alias("total"))
 
 
 @R.add(f"WITH {SERIES} SELECT id, CAST(len(s) AS BIGINT) AS n, round(list_sum(s), 4) AS total, CAST(2 AS BIGINT) AS distractors FROM series")
@@ -184,23 +184,33 @@ def shuffled_turns(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.row_number().over(w).alias("place"))
 
 
-@R.add("""SELECT i AS id, ['rise', 'wave', 'step'][CAST(i % 3 + 1 AS BIGINT)] AS label, CASE WHEN i < 0.6 * 240 THEN 'train' WHEN i < 0.8 * 240 THEN 'val' ELSE 'test' END AS split,
-  round(list_avg(list_transform(range(0, 96), lambda t: CASE i % 3 WHEN 0 THEN t / 95.0 * (1 + i / 240.0) WHEN 1 THEN sin(2 * pi() * t * (1 + i % 5) / 96) ELSE CASE WHEN t < 48 THEN 0.0 ELSE 1 + i / 240.0 END END)), 6) AS mean FROM range(0, 240) r(i)""")
+@R.add("""WITH c AS (SELECT c_custkey AS i, row_number() OVER (ORDER BY c_custkey) - 1 AS place, count(*) OVER () AS n, greatest(c_acctbal, 0) / 9973.0 AS lift FROM customer)
+SELECT i AS id, ['rise', 'wave', 'step'][CAST(i % 3 + 1 AS BIGINT)] AS label, CASE WHEN place < 0.6 * n THEN 'train' WHEN place < 0.8 * n THEN 'val' ELSE 'test' END AS split,
+  round(list_avg(list_transform(range(0, 96), lambda t: CASE i % 3 WHEN 0 THEN t / 95.0 * (1 + lift) WHEN 1 THEN sin(2 * pi() * t * (1 + i % 5) / 96) ELSE CASE WHEN t < 48 THEN 0.0 ELSE 1 + lift END END)), 6) AS mean FROM c""")
 def synthetic_items(spark, sf):
-    """SRC44 SRC45: labelled series by class with a split by place."""
-    got = D.synthetic_items(spark, 240)
+    """SRC44: a labelled series for each customer, its height by the balance, with a split by place."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), (F.greatest("c_acctbal", F.lit(0.0)) / 9973).alias("lift"))
     from ..functions import sequence as S
 
-    return got.select("id", "label", "split", r(S.mean(F.col("series"))).alias("mean"))
+    return D.synthetic_items(c).select("id", "label", "split", r(S.mean(F.col("series"))).alias("mean"))
 
 
-@R.add("SELECT i AS id, CAST([24, 48, 96][CAST(i % 3 + 1 AS BIGINT)] AS BIGINT) AS n, 'a ' || ['trend', 'bump', 'sine', 'step'][CAST(i % 4 + 1 AS BIGINT)] AS caption, true AS near FROM range(0, 500) r(i)")
+@R.add("SELECT s_suppkey AS id, CAST([24, 48, 96][CAST(s_suppkey % 3 + 1 AS BIGINT)] AS BIGINT) AS n, 'a ' || ['trend', 'bump', 'sine', 'step'][CAST(s_suppkey % 4 + 1 AS BIGINT)] AS caption, true AS near FROM supplier")
 def synthetic_fragments(spark, sf):
-    """SRC43: fragments of four kinds around 10."""
-    got = D.synthetic_fragments(spark, 500)
+    """SRC43: a fragment of one of four kinds around 10 for each supplier."""
+    got = D.synthetic_fragments(table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id")))
     return got.select("id", F.size("series").cast("long").alias("n"), "caption", F.forall("series", lambda x: x.between(7.5, 15.5)).alias("near"))
 
 
+@R.add("""SELECT p_partkey AS id, ['rising', 'falling', 'flat', 'spiky'][CAST(p_partkey % 4 + 1 AS BIGINT)] AS cls, CAST(12 AS BIGINT) AS points, CAST(CASE p_partkey % 4 WHEN 0 THEN 11 WHEN 1 THEN -11 ELSE 0 END AS DOUBLE) AS net, CAST(CASE p_partkey % 4 WHEN 3 THEN 5 WHEN 2 THEN 0 ELSE 11 END AS DOUBLE) AS spread,
+  CASE p_partkey % 4 WHEN 0 THEN 'the line rises|values go up' WHEN 1 THEN 'the line falls|values go down' WHEN 2 THEN 'the line is flat|values stay' ELSE 'the line is spiky|values jump' END AS annotations FROM part""")
+def synthetic_annotations(spark, sf):
+    """SRC45: a series of 12 points of one of four classes for each part, with two annotations."""
+    got = D.synthetic_annotations(table(spark, sf, "part").select(F.col("p_partkey").alias("id")))
+    s = F.col("series")
+    return got.select("id", "cls", F.size(s).cast("long").alias("points"), (F.element_at(s, -1) - s[0]).alias("net"), (F.array_max(s) - F.array_min(s)).alias("spread"), F.array_join("annotations", "|").alias("annotations"))
+
+
 @R.add("""WITH p AS (SELECT 0 AS pool, item_id AS id, 'letter_exact' AS scoring, 'A' AS gold, CAST(3 AS BIGINT) AS points FROM benchmark UNION ALL SELECT 1, conv_id * 1000 + turn, 'tf_exact', CASE WHEN turn % 2 = 0 THEN 'T' ELSE 'F' END, CAST(2 AS BIGINT) FROM conversations)
 SELECT id, scoring, gold, points FROM (SELECT *, row_number() OVER (ORDER BY pool, id) AS rn FROM p) WHERE rn <= 60""")
 def two_pools(spark, sf):

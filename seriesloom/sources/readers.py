@@ -163,9 +163,9 @@ def fold_annotations(rows: DataFrame) -> DataFrame:
     return clean.groupBy("uid").agg(F.min_by("series", "ord").alias("series"), listed.alias("annotations"))
 
 
-def synthetic_fragments(spark: SparkSession, n: int, seed: int = 0) -> DataFrame:
-    """(id, series, caption): trend, bump, sine or step by id, of 24, 48 or 96 points, around 10."""
-    base = spark.range(n).select("id", F.element_at(F.array(*map(F.lit, (24, 48, 96))), (F.col("id") % 3 + 1).cast("int")).alias("len"))
+def synthetic_fragments(ids: DataFrame, seed: int = 0) -> DataFrame:
+    """(id, series, caption) of each row of ``ids`` (id): trend, bump, sine or step by id, of 24, 48 or 96 points, around 10."""
+    base = ids.select("id", F.element_at(F.array(*map(F.lit, (24, 48, 96))), (F.col("id") % 3 + 1).cast("int")).alias("len"))
     noise = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.col("id"), i), F.lit(1000)) / 1000 - 0.5) * 0.2
     kind, x = F.col("id") % 4, lambda i: i / F.col("len")
     value = lambda i: F.when(kind == 0, 5 * x(i)).when(kind == 1, 4 * F.exp(-F.pow((x(i) - 0.5) * 6, F.lit(2.0)))).when(kind == 2, 2 * F.sin(12.566 * x(i))).otherwise(F.when(x(i) < 0.5, 0.0).otherwise(3.0))
@@ -174,16 +174,28 @@ def synthetic_fragments(spark: SparkSession, n: int, seed: int = 0) -> DataFrame
     return base.select("id", series.alias("series"), F.concat(F.lit("a "), word).alias("caption"))
 
 
-def synthetic_items(spark: SparkSession, n: int = 240, length: int = 96) -> DataFrame:
-    """(id, label, split, series): a rise, a wave or a step by id; the first 60 % train, the next 20 % validate."""
-    i, size = F.col("id"), F.lit(1) + F.col("id") / n
+def synthetic_items(rows: DataFrame, length: int = 96) -> DataFrame:
+    """(id, label, split, series) of each row (id, lift): a rise, a wave or a step by id, ``lift`` higher than 1; the first 60 % by id train, the next 20 % validate."""
+    from ..operators.neighbours import placed
+
+    i, size = F.col("id"), F.lit(1) + F.col("lift")
     rise = lambda t: t / (length - 1.0) * size
     wave = lambda t: F.sin(F.lit(2) * F.pi() * t * (1 + i % 5) / length)
     step = lambda t: F.when(t < length // 2, 0.0).otherwise(size)
     series = F.transform(F.sequence(F.lit(0), F.lit(length - 1)), lambda t: F.when(i % 3 == 0, rise(t)).when(i % 3 == 1, wave(t)).otherwise(step(t)))
     label = F.element_at(F.array(*map(F.lit, ("rise", "wave", "step"))), (i % 3 + 1).cast("int"))
-    split = F.when(i < 0.6 * n, "train").when(i < 0.8 * n, "val").otherwise("test")
-    return spark.range(n).select("id", label.alias("label"), split.alias("split"), series.alias("series"))
+    split = F.when(F.col("place") < 0.6 * F.col("size"), "train").when(F.col("place") < 0.8 * F.col("size"), "val").otherwise("test")
+    numbered = placed(rows.select(F.lit(0).alias("all"), "id", "lift"), ["all"], ["id"])
+    return numbered.select("id", label.alias("label"), split.alias("split"), series.alias("series"))
+
+
+def synthetic_annotations(ids: DataFrame, points: int = 12) -> DataFrame:
+    """(id, cls, series, annotations) of each row: rising, falling, flat or spiky by id, with two annotations."""
+    kind, places = F.col("id") % 4, F.sequence(F.lit(0), F.lit(points - 1))
+    value = lambda t: F.when(kind == 0, t).when(kind == 1, points - 1 - t).when(kind == 2, F.lit(5)).otherwise(F.when(t % 5 == 3, 5).otherwise(0)).cast("double")
+    named = lambda *words: F.element_at(F.array(*map(F.lit, words)), (kind + 1).cast("int"))
+    annotations = F.array(F.concat(F.lit("the line "), named("rises", "falls", "is flat", "is spiky")), F.concat(F.lit("values "), named("go up", "go down", "stay", "jump")))
+    return ids.select("id", named("rising", "falling", "flat", "spiky").alias("cls"), F.transform(places, value).alias("series"), annotations.alias("annotations"))
 
 
 def data_uri(content: Column, kind: str = "image/png") -> Column:

@@ -145,7 +145,7 @@ def test_readers(spark, tmp_path):
     assert value(spark, D.literal_array(F.lit("[1, nan, 2.5]"), strict=False))[2] == 2.5
     with pytest.raises(Exception, match="empty series"):
         value(spark, D.literal_array(F.lit(" ")))
-    assert D.synthetic_fragments(spark, 8).where(S.is_finite(F.col("series"))).count() == 8
+    assert D.synthetic_fragments(spark.range(8)).where(S.is_finite(F.col("series"))).count() == 8
 
 
 def test_manifest(spark):
