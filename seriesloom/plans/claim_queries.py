@@ -6,8 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import captions as Q
 from ..functions import sequence as S
+from ..functions import text as X
 from ..operators import masking as K
 from ..operators import perturb as U
+from ..operators.candidates import keyed_order
+from ..operators.neighbours import placed
+from ..streaming import rewards as W
 from .base import SERIES, Registry, case_rows, case_sql, table, user_series
 
 R = Registry()
@@ -150,3 +154,29 @@ def channel_charts(spark, sf):
     rows = user_series(spark, sf).select("id", F.slice(kinds, F.lit(1), (F.col("id") % 10 + 1).cast("int")).alias("c"))
     drawn = rows.select("id", F.size("c").cast("long").alias("channels"), K.multi_chart("c").alias("x"))
     return drawn.select("id", "channels", "x.truncated", F.substr(F.hex("x.image"), F.lit(1), F.lit(16)).alias("head"))
+
+
+@R.add("SELECT conv_id, turn, nullif(regexp_extract(coalesce(text, ''), '([A-I])', 1), '') AS letter FROM conversations")
+def easy_letters(spark, sf):
+    """SCL15: the first capital A to I anywhere in a reply."""
+    return table(spark, sf, "conversations").select("conv_id", "turn", X.easy_letter(F.coalesce("text", F.lit(""))).alias("letter"))
+
+
+@R.add("WITH t AS (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS place, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations) SELECT conv_id AS request, worker, CAST(count(*) AS BIGINT) AS n, min(turn) AS first, max(turn) AS last FROM (SELECT *, CAST(floor(place / ceil(n / 3.0)) AS BIGINT) AS worker FROM t) GROUP BY ALL")
+def worker_chunks(spark, sf):
+    """STM2: each request's rows in equal neighbouring chunks for three workers."""
+    rows = W.chunked(table(spark, sf, "conversations").select(F.col("conv_id").alias("request"), "turn"), "turn", 3)
+    return rows.groupBy("request", F.col("worker").cast("long").alias("worker")).agg(F.count(F.lit(1)).alias("n"), F.min("turn").alias("first"), F.max("turn").alias("last"))
+
+
+@R.add(f"""WITH {SERIES}, c AS (SELECT id, id % 3 AS split, s, 'series ' || id || ' ends at ' || printf('%.2f', s[len(s)]) AS caption, md5('ring:' || id) AS h FROM series),
+p AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY h, id) - 1 AS place, count(*) OVER (PARTITION BY split) AS n FROM c)
+SELECT a.id, '' AS none, b.caption AS permuted, {", ".join(f"array_to_string(list_transform(range(0, {k}), lambda i: printf('%.2f', a.s[CAST(round_even(i * (len(a.s) - 1) / {k - 1}.0, 0) AS BIGINT) + 1])), ', ') AS points{k}" for k in (8, 16))} FROM p a JOIN p b ON a.split = b.split AND b.place = (a.place + 1) % a.n""")
+def caption_controls(spark, sf):
+    """UDF13: controls of a caption: none, another one of the same split in a keyed ring, and 8 or 16 points of the series."""
+    s = F.col("s")
+    rows = user_series(spark, sf).select("id", (F.col("id") % 3).alias("split"), "s", F.concat(F.lit("series "), F.col("id").cast("string"), F.lit(" ends at "), F.format_string("%.2f", F.element_at(s, -1))).alias("caption"), keyed_order(F.lit("ring"), F.col("id")).alias("h"))
+    ring = placed(rows, ["split"], ["h", "id"])
+    nxt = ring.select("split", F.pmod(F.col("place") - 1, F.col("size")).alias("place"), F.col("caption").alias("permuted"))
+    points = lambda k: F.array_join(F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.format_string("%.2f", F.element_at(s, (F.bround(i * (F.size(s) - 1) / F.lit(float(k - 1))) + 1).cast("int")))), ", ")
+    return ring.join(nxt, ["split", "place"]).select("id", F.lit("").alias("none"), "permuted", points(8).alias("points8"), points(16).alias("points16"))
