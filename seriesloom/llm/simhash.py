@@ -12,7 +12,8 @@ agree on one such choice of blocks: every pair within the radius meets in a tile
 and no tile pair beyond that is formed.  In a tile, fingerprints are ordered by
 population count and compared block against block by exclusive-or and bit counts;
 block pairs whose population counts differ by more than the radius are skipped.  A
-tile emits a spanning star per group, never all its pairs.  Tiles above ``TILE``
+tile gives a spanning star per group, never all its pairs, and a task joins the
+groups of its tiles before it emits a star of each, to its smallest node.  Tiles above ``TILE``
 fingerprints are split into parts that meet pairwise in tasks of their own.
 
 ``keep_one`` takes five words, and two lanes within 22 of 128 bits: measured on
@@ -44,6 +45,8 @@ SEED = 42
 TILE = 16_384
 #: Mean size of a tile that decides the number of blocks, by lanes.
 MEAN_TILE = {1: 64, 2: 512}
+#: Linked nodes that a task joins before it hands their links on.
+HELD_NODES = 200_000
 #: Bits of 128 within which ``keep_one`` links.
 WIDE_RADIUS = 22
 
@@ -187,20 +190,27 @@ def links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
     def compare(batches):
         held: list[np.ndarray] = []
         last = None
-        out = []
+        above: dict[int, int] = {}  # of the nodes linked in this task: a smaller one of the same group, or the node itself
+
+        def smallest(i: int) -> int:
+            while above[i] != i:
+                above[i] = above[above[i]]
+                i = above[i]
+            return i
 
         def flush():
             if held:
                 group = np.concatenate(held)
                 if len(group) > 1:
-                    nodes = group[:, 0]
-                    out.append(nodes[tile_links(group[:, 1:], radius)])
+                    for x, y in group[:, 0][tile_links(group[:, 1:], radius)].tolist():
+                        x, y = smallest(above.setdefault(x, x)), smallest(above.setdefault(y, y))
+                        above[max(x, y)] = min(x, y)
                 held.clear()
 
         def edges():
-            found = np.concatenate([np.empty((0, 2), np.int64), *out])
-            out.clear()
-            return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, i])) for i in (0, 1)], names=["a", "b"])
+            found = [(i, root) for i in above if (root := smallest(i)) != i]
+            above.clear()
+            return pa.RecordBatch.from_arrays([pa.array([e[k] for e in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
@@ -213,7 +223,8 @@ def links(prints: DataFrame, radius: int, tile: int = TILE) -> DataFrame:
                     flush()
                     last = keys[a]
                 held.append(rows[a:b])
-            yield edges()
+            if len(above) > HELD_NODES:
+                yield edges()
         flush()
         yield edges()
 
