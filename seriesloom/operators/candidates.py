@@ -51,8 +51,20 @@ def nearest_without_overlap(items: DataFrame, runs: DataFrame, k: int, bucket: l
     both = runs.select("a", "b", "run").union(runs.select(F.col("b").alias("a"), F.col("a").alias("b"), "run"))
     size = items.select(F.col("id").alias("a"), F.size("s").alias("n"))
     out = both.join(size, "a").where(F.col("run") >= share * F.col("n")).select(F.col("a").alias("id"), F.col("b").alias("cand_id"))
-    wanted = items.join(out.groupBy("id").agg(F.count("*").alias("out")), "id", "left").withColumn("wanted", F.coalesce("out", F.lit(0)) + k)
-    kept = k_nearest(wanted, "wanted", bucket).join(out, ["id", "cand_id"], "left_anti")
+    return nearest_allowed(items, out, k, bucket)
+
+
+def shared_counts(series: DataFrame, bucket: list[str], digits: int = 6) -> DataFrame:
+    """(id, cand_id, shared): how many points of a candidate have a value that occurs anywhere in the series, for pairs of a bucket that share one."""
+    points = series.select(*bucket, "id", F.explode("s").alias("x")).withColumn("x", F.round("x", digits))
+    other = points.withColumnRenamed("id", "cand_id")
+    return points.distinct().join(other, [*bucket, "x"]).where("id <> cand_id").groupBy("id", "cand_id").agg(F.count(F.lit(1)).alias("shared"))
+
+
+def nearest_allowed(items: DataFrame, banned: DataFrame, k: int, bucket: list[str], vector: str = "z") -> DataFrame:
+    """``k_nearest`` without the pairs of ``banned`` (id, cand_id): an item looks for as many more as it must leave out."""
+    wanted = items.join(banned.groupBy("id").agg(F.count("*").alias("out")), "id", "left").withColumn("wanted", F.coalesce("out", F.lit(0)) + k)
+    kept = k_nearest(wanted, "wanted", bucket, vector).join(banned, ["id", "cand_id"], "left_anti")
     w = Window.partitionBy("id").orderBy("dist", "cand_id")
     return kept.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("id", "cand_id", "rank", "dist")
 

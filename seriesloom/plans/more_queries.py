@@ -11,7 +11,7 @@ from ..operators import candidates as C
 from ..operators import masking as K
 from ..operators import relational as L
 from ..operators.neighbours import k_nearest
-from .base import SERIES, Registry, case_rows, case_sql, table, user_series
+from .base import POINTS_SQL, SERIES, Registry, case_rows, case_sql, table, user_series
 
 R = Registry()
 
@@ -82,6 +82,32 @@ def distractor_settings(spark, sf):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+_EIGHT = ("m", "d", "lo", "hi", "slope", "lag1", "step", "turns")
+_DIST8 = " + ".join(f"(x.{c} - y.{c}) ** 2" for c in _EIGHT)
+_DIST4 = " + ".join(f"(x.{c} - y.{c}) ** 2" for c in _EIGHT[:4])
+
+
+@R.add(f"""WITH {SERIES}, {POINTS_SQL}, st AS (SELECT id, pos, x, n, x - lag(x) OVER (PARTITION BY id ORDER BY pos) AS d, lead(x) OVER (PARTITION BY id ORDER BY pos) AS nx FROM points), t AS (SELECT *, lag(d) OVER (PARTITION BY id ORDER BY pos) AS pd FROM st),
+f AS (SELECT id, any_value(n) AS n, avg(x) AS m, stddev_pop(x) AS d, min(x) AS lo, max(x) AS hi, coalesce(regr_slope(x, pos), 0) AS slope, coalesce(corr(x, nx), 0) AS lag1, avg(abs(d)) AS step, CAST(count(*) FILTER (WHERE d * pd < 0) AS DOUBLE) AS turns FROM t GROUP BY id),
+z AS (SELECT id, n, {", ".join(f"({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS {c}" for c in _EIGHT)} FROM f),
+sh AS (SELECT a.id AS id, b.id AS cand_id, any_value(b.n) AS n, count(*) AS shared FROM (SELECT DISTINCT id, n, round(x, 1) AS v FROM points) a JOIN (SELECT id, n, round(x, 1) AS v FROM points) b ON a.n = b.n AND a.v = b.v AND a.id <> b.id GROUP BY a.id, b.id),
+p AS (SELECT x.id AS id, y.id AS cand_id, round(sqrt({_DIST8}), 6) AS d8, round(sqrt({_DIST4}), 6) AS d4 FROM z x JOIN z y ON x.n = y.n AND x.id <> y.id WHERE NOT EXISTS (SELECT 1 FROM sh WHERE sh.id = x.id AND sh.cand_id = y.id AND shared > 0.3 * sh.n)),
+k AS (SELECT id, 'rich_stat' AS setting, cand_id, row_number() OVER (PARTITION BY id ORDER BY d8, cand_id) AS rk, 3 AS most FROM p UNION ALL SELECT id, 'n8', cand_id, row_number() OVER (PARTITION BY id ORDER BY d4, cand_id), 7 FROM p
+  UNION ALL SELECT id, 'same_source', cand_id, row_number() OVER (PARTITION BY id ORDER BY shared DESC, cand_id DESC), 3 FROM sh WHERE shared <= 0.3 * n)
+SELECT id, setting, cand_id, CAST(rk AS INTEGER) AS rank FROM k WHERE rk <= most""")
+def distractor_overlap(spark, sf):
+    """SRT4: distractors by eight numbers, seven of them by four, and those that share most values, all of the same length and without those that share three tenths and more."""
+    items = user_series(spark, sf).withColumn("n", F.size("s"))
+    shared = C.shared_counts(items, ["n"], 1).join(items.select("id", "n"), "id")
+    banned = shared.where(F.col("shared") > 0.3 * F.col("n")).select("id", "cand_id")
+    rich, four = (C.standardised(items.withColumn("f", f(F.col("s"))), "f", [], size) for f, size in ((C.features8, 8), (C.features4, 4)))
+    w = Window.partitionBy("id").orderBy(F.desc("shared"), F.desc("cand_id"))
+    near = shared.where(F.col("shared") <= 0.3 * F.col("n")).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
+    found = {"rich_stat": C.nearest_allowed(rich, banned, 3, ["n"]), "n8": C.nearest_allowed(four, banned, 7, ["n"]), "same_source": near}
+    parts = [df.select("id", F.lit(name).alias("setting"), "cand_id", "rank") for name, df in found.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @R.add("SELECT p_partkey AS id, CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER) AS brand, CAST(dense_rank() OVER (ORDER BY CAST(regexp_extract(p_brand, '(\\d+)', 1) AS INTEGER)) - 1 AS INTEGER) AS label FROM part")
 def reindexed_labels(spark, sf):
     """SRC11 SRT9: labels numbered by their sorted values, numbers in names sorted as numbers. Classes are few: ranked apart and joined."""
