@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import sequence as S
 
@@ -61,9 +62,19 @@ def retrying(one: Callable[[str], str], several: Callable[[list[str]], list[str]
     return call
 
 
+@F.pandas_udf(StringType())
+def _printed(x: pd.Series, decimals: pd.Series) -> pd.Series:
+    return pd.Series([f"{v:.{d}f}" for v, d in zip(x, decimals)])
+
+
+def printed(x: Column, decimals: int) -> Column:
+    """A number as C prints it: the double itself is rounded, where Java's formats round its shortest decimal form."""
+    return F.when(x.isNotNull(), _printed(x, F.lit(decimals)))
+
+
 def mock_caption(s: Column) -> Column:
     """A sentence from a series' statistics."""
-    return F.format_string("The series has %d points with a mean of %.2f, goes from %.2f to %.2f and its trend is %s.", F.size(s), S.mean(s), F.array_min(s), F.array_max(s), S.trend_word(s))
+    return F.format_string("The series has %d points with a mean of %s, goes from %s to %s and its trend is %s.", F.size(s), printed(S.mean(s), 2), printed(F.array_min(s), 2), printed(F.array_max(s), 2), S.trend_word(s))
 
 
 def overlap_entailment(premise: Column, hypothesis: Column) -> Column:

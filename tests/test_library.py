@@ -268,3 +268,12 @@ def test_charts(spark):
 def test_sentence_share_bounds(spark):
     """A letter beyond ASCII bounds a word, as in RE2; an underscore or a digit does not."""
     assert value(spark, X.sentence_share(F.lit("voil\u00e0la x. La. sola_ la1."), r"(?i)\b(la)\b")) == pytest.approx(14 / 25)
+
+
+def test_mock_caption_halves(spark):
+    """2.675 is a double below the half, 0.125 the half itself: both go down, as in C."""
+    rows = spark.createDataFrame([(1, [2.675, 2.675]), (2, [0.125, 0.375]), (3, [math.nan])], "id int, s array<double>")
+    got = [r["c"] for r in rows.orderBy("id").select(M.mock_caption(F.col("s")).alias("c")).collect()]
+    assert "mean of 2.67, goes from 2.67 to 2.67" in got[0]
+    assert "mean of 0.25, goes from 0.12 to 0.38" in got[1]
+    assert "mean of nan" in got[2]
