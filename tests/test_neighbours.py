@@ -144,3 +144,13 @@ def test_nearest_without_overlap(spark):
         near = sorted((round(abs(z[i][0] - z[j][0]), 6), j) for j, m, t in rows if j != i and m == n and longest_run(s, t) < 0.3 * n)
         want += [(i, j, r, d) for r, (d, j) in enumerate(near[:3], 1)]
     assert sorted(map(tuple, C.nearest_without_overlap(items, 3, ["n"], 0.3).collect())) == sorted(want)
+
+
+def test_shared_runs_between_blocks(spark):
+    """Blocks of a few series meet as well as one large block; copies, nulls and runs of all lengths. No join on values is left."""
+    rows = made_series(50, 5, values=4)
+    want = sorted((i, j, longest_run(s, t)) for i, n, s in rows for j, m, t in rows if i < j and n == m and longest_run(s, t))
+    for block in (7, 1024):
+        found = C.shared_runs(series_table(spark, rows), ["n"], block=block)
+        assert sorted(map(tuple, found.collect())) == want
+        assert "Join Inner, ((x#" not in found._jdf.queryExecution().optimizedPlan().toString()
