@@ -11,6 +11,7 @@ from ..operators import candidates as C
 from ..operators import masking as K
 from ..operators import relational as L
 from ..operators.neighbours import k_nearest
+from ..sources.readers import stored
 from .base import POINTS_SQL, SERIES, Registry, case_rows, case_sql, table, user_series
 
 R = Registry()
@@ -98,12 +99,12 @@ SELECT id, setting, cand_id, CAST(rk AS INTEGER) AS rank FROM k WHERE rk <= most
 def distractor_overlap(spark, sf):
     """SRT4: distractors by eight numbers, seven of them by four, and those that share most values, all of the same length and without those that share three tenths and more."""
     items = user_series(spark, sf).withColumn("n", F.size("s"))
-    shared = C.shared_counts(items, ["n"], 1).join(items.select("id", "n"), "id")
-    banned = shared.where(F.col("shared") > 0.3 * F.col("n")).select("id", "cand_id")
-    rich, four = (C.standardised(items.withColumn("f", f(F.col("s"))), "f", [], size) for f, size in ((C.features8, 8), (C.features4, 4)))
-    w = Window.partitionBy("id").orderBy(F.desc("shared"), F.desc("cand_id"))
-    near = shared.where(F.col("shared") <= 0.3 * F.col("n")).withColumn("rank", F.row_number().over(w)).where("rank <= 3")
-    found = {"rich_stat": C.nearest_allowed(rich, banned, 3, ["n"]), "n8": C.nearest_allowed(four, banned, 7, ["n"]), "same_source": near}
+    for name, features, size in (("z8", C.features8, 8), ("z4", C.features4, 4)):
+        items = C.standardised(items.withColumn("f", features(F.col("s"))), "f", [], size, name)
+    items = stored(items.drop("f"), "series")
+    classes, members = C.series_classes(items, ["n"], ["z8", "z4"], 7)
+    banned, near = C.most_shared(classes, members, ["n"], 3, 0.3, 1)
+    found = {"rich_stat": C.nearest_of_classes(classes, members, banned, 3, ["n"], "z8"), "n8": C.nearest_of_classes(classes, members, banned, 7, ["n"], "z4"), "same_source": near}
     parts = [df.select("id", F.lit(name).alias("setting"), "cand_id", "rank") for name, df in found.items()]
     return parts[0].union(parts[1]).union(parts[2])
 

@@ -154,3 +154,21 @@ def test_shared_runs_between_blocks(spark):
         found = C.shared_runs(series_table(spark, rows), ["n"], block=block)
         assert sorted(map(tuple, found.collect())) == want
         assert "Join Inner, ((x#" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_most_shared(spark):
+    rows = [(i, n, s) for i, n, s in made_series(50, 6, values=9)]
+    classes, members = C.series_classes(series_table(spark, rows), ["n"], [], 3)
+    shared = lambda s, t: sum(x is not None and x in s for x in t)
+    group = {}
+    for i, n, s in sorted(rows):
+        group.setdefault(tuple(s), i)
+    want_over = {(group[tuple(s)], group[tuple(t)]) for _, n, s in rows for _, m, t in rows if n == m and s != t and shared(s, t) > 0.5 * n}
+    want = []
+    for i, n, s in rows:
+        most = sorted(((-shared(s, t), -j) for j, m, t in rows if n == m and s != t and 0 < shared(s, t) <= 0.5 * n))
+        want += [(i, -j, r) for r, (_, j) in enumerate(most[:3], 1)]
+    for block in (7, 1024):
+        over, near = C.most_shared(classes, members, ["n"], 3, 0.5, block=block)
+        assert {tuple(r) for r in over.collect()} == want_over
+        assert sorted(map(tuple, near.collect())) == sorted(want)
