@@ -107,16 +107,54 @@ def chance_corrected(accuracy: Column, k: Column) -> Column:
     return (accuracy - 1 / k) / (1 - 1 / k)
 
 
+def average_ranks(rows: DataFrame, by: list[str], c: str, out: str) -> DataFrame:
+    """(by, c, out): the average rank of each value in its group, nulls last.
+
+    Values are counted first; the counts are summed up along slices of a range partition, so no group is in one task.
+    """
+    from ..sources.readers import stored
+
+    counts = rows.groupBy(*by, c).agg(F.count(F.lit(1)).alias("__n"))
+    order = [*(F.asc(k) for k in by), F.asc_nulls_last(c)]
+    counts = stored(counts.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__i", F.monotonically_increasing_id()), "ranks")
+    counts = counts.withColumn("__slice", F.shiftright("__i", 33))
+    slices = counts.groupBy(*by, "__slice").agg(F.sum("__n").alias("__own"))
+    earlier = F.sum("__own").over(Window.partitionBy(*by).orderBy("__slice").rowsBetween(Window.unboundedPreceding, -1))
+    slices = slices.select(*(F.col(k).alias(f"__{k}") for k in by), F.col("__slice").alias("__s"), F.coalesce(earlier, F.lit(0)).alias("__earlier"))
+    same = F.col("__slice") == F.col("__s")
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    upto = F.sum("__n").over(Window.partitionBy(*by, "__slice").orderBy("__i"))
+    found = counts.withColumn("__upto", upto).join(slices, same)
+    return found.select(*by, c, (F.col("__earlier") + F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(out))
+
+
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, tie: str | None = None) -> DataFrame:
     """Rank correlation per group: ordinal ranks broken by ``tie``, or average ranks without it. Null under three rows."""
-    for c in (x, y):
-        w = Window.partitionBy(*by)
-        if tie:
-            rank = F.row_number().over(w.orderBy(c, tie)).cast("double")
-        else:
-            rank = F.rank().over(w.orderBy(c)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, c)) - 1) / 2.0
-        rows = rows.withColumn(f"__r_{c}", rank)
-    got = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.try_divide(F.covar_pop(f"__r_{x}", f"__r_{y}"), F.stddev_pop(f"__r_{x}") * F.stddev_pop(f"__r_{y}")).alias("rho"))
+    if tie:
+        for c in (x, y):
+            rows = rows.withColumn(f"__r_{c}", F.row_number().over(Window.partitionBy(*by).orderBy(c, tie)).cast("double"))
+        rho = F.try_divide(F.covar_pop(f"__r_{x}", f"__r_{y}"), F.stddev_pop(f"__r_{x}") * F.stddev_pop(f"__r_{y}"))
+        got = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), rho.alias("rho"))
+        return got.withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
+    # equal pairs of values are one row with their number; all ranks of a group average (n + 1) / 2
+    pairs = rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__w"))
+    for c, out in ((x, "__rx"), (y, "__ry")):
+        ranks = average_ranks(rows, by, c, out)
+        ranks = ranks.select(*(F.col(k).alias(f"__{out}_{k}") for k in [*by, c]), out)
+        same = F.lit(True)
+        for k in [*by, c]:
+            same = same & F.col(k).eqNullSafe(F.col(f"__{out}_{k}"))
+        pairs = pairs.join(ranks, same).select(*(k for k in pairs.columns), out)
+    middle = pairs.groupBy(*by).agg(F.sum("__w").alias("n"))
+    middle = middle.select(*(F.col(k).alias(f"__{k}") for k in by), "n")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    u, v = F.col("__rx") - (F.col("n") + 1) / 2.0, F.col("__ry") - (F.col("n") + 1) / 2.0
+    w = F.col("__w")
+    rho = F.try_divide(F.sum(w * u * v), F.sqrt(F.sum(w * u * u)) * F.sqrt(F.sum(w * v * v)))
+    got = pairs.join(F.broadcast(middle), same).groupBy(*by).agg(F.first("n").alias("n"), rho.alias("rho"))  # a row for each group
     return got.withColumn("rho", F.when(F.col("n") >= 3, F.col("rho")))
 
 

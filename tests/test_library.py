@@ -277,3 +277,24 @@ def test_mock_caption_halves(spark):
     assert "mean of 2.67, goes from 2.67 to 2.67" in got[0]
     assert "mean of 0.25, goes from 0.12 to 0.38" in got[1]
     assert "mean of nan" in got[2]
+
+
+def test_average_ranks_in_slices(spark):
+    """Average ranks over several slices of a group, ties and nulls (last) included, with no window over a group's rows."""
+    rows = [("a" if i % 3 else "b", float(i * 7 % 23) if i % 10 else None, float(i * 5 % 11)) for i in range(300)]
+    df = spark.createDataFrame(rows, "g string, x double, y double").repartition(3)
+
+    def rank(values, v):
+        key = lambda x: (x is None, x or 0.0)
+        return sum(key(x) < key(v) for x in values) + (sum(x == v for x in values) + 1) / 2
+
+    got = T.average_ranks(df, ["g"], "x", "rank").collect()
+    own = {g: [x for h, x, _ in rows if h == g] for g in "ab"}
+    assert {(r["g"], r["x"]): r["rank"] for r in got} == {(g, x): rank(own[g], x) for g in "ab" for x in set(own[g])}
+    for r in T.spearman(df, ["g"], "x", "y").collect():
+        xs, ys = own[r["g"]], [y for h, _, y in rows if h == r["g"]]
+        u, v = [rank(xs, x) - (len(xs) + 1) / 2 for x in xs], [rank(ys, y) - (len(ys) + 1) / 2 for y in ys]
+        rho = sum(a * b for a, b in zip(u, v)) / math.sqrt(sum(a * a for a in u) * sum(b * b for b in v))
+        assert r["n"] == len(xs) and r["rho"] == pytest.approx(rho)
+    plan = T.spearman(df, ["g"], "x", "y")._jdf.queryExecution().optimizedPlan().toString()
+    assert "rank(" not in plan
