@@ -172,3 +172,15 @@ def test_most_shared(spark):
         over, near = C.most_shared(classes, members, ["n"], 3, 0.5, block=block)
         assert {tuple(r) for r in over.collect()} == want_over
         assert sorted(map(tuple, near.collect())) == sorted(want)
+
+
+@pytest.mark.parametrize("farthest", [False, True])
+def test_larger_nodes_meet(spark, monkeypatch, farthest):
+    """Where pairs of nodes would be many, the nodes above them meet; tasks follow the pairs."""
+    from seriesloom.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "MANY", 0)
+    rows = made(500, 3, 7)
+    found = Neighbours(table(spark, rows), 3, ["g"], farthest=farthest, block=8, fan=2)
+    assert len(found.levels) > 3 and found.node_pairs()[0] == 2
+    assert sorted(map(tuple, found.result().collect())) == plain(rows, 3, farthest)
