@@ -184,3 +184,19 @@ def test_larger_nodes_meet(spark, monkeypatch, farthest):
     found = Neighbours(table(spark, rows), 3, ["g"], farthest=farthest, block=8, fan=2)
     assert len(found.levels) > 3 and found.node_pairs()[0] == 2
     assert sorted(map(tuple, found.result().collect())) == plain(rows, 3, farthest)
+
+
+def test_most_similar_others(spark):
+    """Small blocks and one large one find the same; ties go to the smaller id; a row without a label takes no part."""
+    from seriesloom.operators.neighbours import most_similar_others
+
+    rnd = random.Random(2)
+    rows = [(i, rnd.choice([0, 0, 1, None]), [float(rnd.randrange(-3, 4)) for _ in range(3)]) for i in range(150)]
+    df = spark.createDataFrame(rows, "id long, label int, e array<double>").repartition(3)
+    want = []
+    for i, own, q in rows:
+        if i % 5 == 0 and own is not None:
+            near = sorted((-sum(x * y for x, y in zip(q, e)), j) for j, label, e in rows if label is not None and label != own)
+            want += [(i, j, r, -d) for r, (d, j) in enumerate(near[:3], 1)]
+    for block in (10, 4096):
+        assert sorted(map(tuple, most_similar_others(df, df.where("id % 5 = 0"), 3, block=block).collect())) == sorted(want)
