@@ -77,8 +77,8 @@ def distractor_settings(spark, sf):
     """SRT2 SRT4 RNG2: distractors by distance, by distance inside the source, and at random."""
     s = F.col("s")
     items = user_series(spark, sf).select("id", (F.col("id") % 4).alias("src"), F.array(S.mean(s), S.pop_std(s)).alias("f"))
-    z = C.standardised(items, "f", [], 2)
-    found = {"near": k_nearest(z, 3, []), "same_source": k_nearest(z, 3, ["src"]), "random": C.random_others(items, 3, "random")}
+    z = stored(C.standardised(items, "f", [], 2).select("id", "src", "z"), "series")  # events are read for all three settings at once
+    found = {"near": k_nearest(z, 3, []), "same_source": k_nearest(z, 3, ["src"]), "random": C.random_others(z, 3, "random")}
     parts = [df.select("id", F.lit(name).alias("setting"), "cand_id", "rank") for name, df in found.items()]
     return parts[0].union(parts[1]).union(parts[2])
 

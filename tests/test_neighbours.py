@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from seriesloom.operators import candidates as C
 from seriesloom.operators.neighbours import Neighbours, k_nearest
+from seriesloom.plans import more_queries as Q
+
+SF = "/root/testdata/sf0.001"
 
 
 def plain(rows, k, farthest=False, digits=6):
@@ -179,6 +182,17 @@ def test_longest_runs_by_product_and_by_pairs(monkeypatch):
         assert got.tolist() == [[longest_run(s, t) for t in sides[1]] for s in sides[0]]
 
 
+def test_distractor_settings_read_events_once(spark, monkeypatch):
+    """All three settings start from one stored table of series, not from the events."""
+    read = []
+    for owner, name in ((Q, "k_nearest"), (C, "random_others")):
+        plain_one = getattr(owner, name)
+        monkeypatch.setattr(owner, name, lambda items, *more, f=plain_one: (read.append(items.inputFiles()), f(items, *more))[1])
+    Q.distractor_settings(spark, SF)
+    assert len(read) == 3 and read[0] and read[0] == read[1] == read[2]
+    assert not any("events" in f for f in read[0])
+
+
 def test_most_shared(spark):
     rows = [(i, n, s) for i, n, s in made_series(50, 6, values=9)]
     classes, members = C.series_classes(series_table(spark, rows), ["n"], [], 3)
