@@ -161,6 +161,14 @@ def test_shared_runs_between_blocks(spark):
         assert "Join Inner, ((x#" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_tasks_follow_the_pairs_of_nodes(spark):
+    """Nodes meet in as many tasks as their pairs need: merged by bytes, all of these would be one task."""
+    found = Neighbours(table(spark, made(500, 2, 11)), 3, ["g"], block=8, fan=4)
+    pairs = found.node_pairs()[1].count()
+    met = found._met(lambda left, right: left.select(["a"]).slice(0, 0), "a long")
+    assert pairs > 40 and met.rdd.getNumPartitions() == pairs // 4 + 1
+
+
 def test_shared_runs_in_shards(spark):
     """Shards of a bucket meet in tasks of their own however few their bytes are, a series goes to each once, and copies and pieces of the result lose no pair."""
     rows = made_series(50, 7, values=4)
