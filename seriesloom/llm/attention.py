@@ -20,10 +20,8 @@ WIDTH, HIDDEN = 16, 32
 CONTEXT, STRIDE = 24, 20
 GROUPS, MEMBERS, SHARED = 48, 48, 48
 LEAVES = GROUPS * MEMBERS
-#: Windows in a step of training and of scoring.
-BATCH = 128
-#: Rows of a group that are worked on together.
-TILE = 16
+#: Windows in a step of training, and those scored together.
+BATCH, SCORED_WINDOWS = 128, 256
 
 
 @dataclass
@@ -81,13 +79,21 @@ def fresh(vocabulary: Vocabulary, seed: int = 0) -> np.ndarray:
     return flat
 
 
+def _keep_memory() -> None:
+    """Takes and gives back a large array: the C library then keeps freed memory of up to twice its size, so that a step does not fault its pages in anew."""
+    np.empty(31 << 20, np.uint8)
+
+
 def _norm(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     r = 1 / np.sqrt(np.einsum("...i,...i->...", x, x)[..., None] / np.float32(WIDTH) + np.float32(1e-5))
     return x * r, r
 
 
 def _norm_back(g: np.ndarray, n: np.ndarray, r: np.ndarray) -> np.ndarray:
-    return (g - n * (np.einsum("...i,...i->...", g, n)[..., None] / np.float32(WIDTH))) * r
+    out = n * (np.einsum("...i,...i->...", g, n) * np.float32(1 / WIDTH))[..., None]
+    np.subtract(g, out, out=out)
+    out *= r
+    return out
 
 
 def _exp(x: np.ndarray) -> np.ndarray:
@@ -102,41 +108,49 @@ def _distance_weights(w: dict) -> np.ndarray:
 
 
 def _after_attention(w: dict, x2: np.ndarray) -> tuple:
+    """``x2``: a row per position. All that follows attention, up to the rows that the output sees."""
     n2, r2 = _norm(x2)
     h = n2 @ w["a"]
     h += w["ab"]
     np.maximum(h, 0, out=h)
-    n3, r3 = _norm(x2 + h @ w["z"])
+    n3 = h @ w["z"]
+    n3 += x2
+    n3, r3 = _norm(n3)
     return n2, r2, h, n3, r3
 
 
-class Tiles:
-    """Rows dealt by group into tiles of TILE rows of one group; the last row, a spare one, fills tiles up."""
+def _by_group(group: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order that puts rows of a group beside each other, and (group, from, to) of each one there."""
+    ends = np.cumsum(np.bincount(group, minlength=GROUPS)).tolist()
+    return np.argsort(group.astype(np.uint8), kind="stable"), [(g, a, b) for g, (a, b) in enumerate(zip([0, *ends], ends)) if a < b]
 
-    def __init__(self, group: np.ndarray):
-        n = len(group)
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        count = np.bincount(group, minlength=GROUPS)
-        tiles = -(-count // TILE)
-        before = (np.cumsum(tiles) - tiles) * TILE - (np.cumsum(count) - count)
-        self.rows = np.full(int(tiles.sum()) * TILE, n)
-        self.rows[np.arange(n) + np.repeat(before, count)] = order
-        self.group = np.repeat(np.arange(GROUPS), tiles)
-        self.present = np.flatnonzero(tiles)
-        self.first = (np.cumsum(tiles) - tiles)[self.present]
+
+def _softmax_parts(w: dict, own: np.ndarray, spans: list) -> tuple:
+    """Of rows in order of their groups: exponentials of groups and of members of the own group, and their sums."""
+    p, q = own @ w["u"], np.empty((len(own), MEMBERS), own.dtype)
+    for g, a, b in spans:
+        np.matmul(own[a:b], w["t"][g], out=q[a:b])
+    p, q = _exp(p), _exp(q)
+    least = np.asarray(1e-30, own.dtype)
+    return p, p @ np.ones(GROUPS, own.dtype) + least, q, q @ np.ones(MEMBERS, own.dtype) + least
 
 
 def forward_training(w: dict, places: np.ndarray) -> dict:
-    x = w["e"][places]
+    """Arrays have a row per position; those of attention, a matrix per window."""
+    shape = (*places.shape, WIDTH)
+    x = w["e"][places.reshape(-1)]
     n1, r1 = _norm(x)
-    qkv = n1 @ w["qkv"]
+    qkv = (n1 @ w["qkv"]).reshape(*places.shape, 3 * WIDTH)
     q, k, v = qkv[..., :WIDTH], qkv[..., WIDTH : 2 * WIDTH], qkv[..., 2 * WIDTH :]
     s = _exp((q * SCALE) @ k.transpose(0, 2, 1))
     s *= _distance_weights(w)
-    total = (s.reshape(-1, CONTEXT) @ np.ones(CONTEXT, s.dtype)).reshape(*places.shape, 1) + np.asarray(1e-30, s.dtype)
-    mixed = (s @ v) / total
-    x2 = x + mixed @ w["o"]
-    n2, r2, h, n3, r3 = _after_attention(w, x2)
+    total = (s.reshape(-1, CONTEXT) @ np.ones(CONTEXT, s.dtype))[:, None] + np.asarray(1e-30, s.dtype)
+    mixed = np.empty(shape, s.dtype)
+    np.matmul(s, v, out=mixed)
+    mixed = mixed.reshape(-1, WIDTH)
+    mixed /= total
+    x += mixed @ w["o"]
+    n2, r2, h, n3, r3 = _after_attention(w, x)
     return dict(n1=n1, r1=r1, q=q, k=k, v=v, s=s, total=total, mixed=mixed, n2=n2, r2=r2, h=h, n3=n3, r3=r3)
 
 
@@ -144,69 +158,59 @@ def gradient(w: dict, places: np.ndarray, leaf: np.ndarray, weight: np.ndarray,
     """Adds to ``out`` the gradient of the mean loss; returns that loss. Rows with weight 0 are padding."""
     f = forward_training(w, places)
     n3, kind = f["n3"], f["n3"].dtype
-    b, t, d = n3.shape
+    (b, t), d = places.shape, WIDTH
     n = b * t
-    rows = np.ones((n + 1, d + 1), kind)
-    rows[:n, :d] = n3.reshape(n, d)
-    wt = np.zeros(n + 1, kind)
-    wt[:n] = weight.reshape(-1) / max(1.0, float(weight.sum()))
     group, member = np.divmod(leaf.reshape(-1), MEMBERS)
-    each = np.arange(n)
-    # groups
-    p = _exp(rows[:n] @ w["u"])
-    z = p @ np.ones(GROUPS, kind)
-    loss = float((np.log(p[each, group] / z + 1e-30) * wt[:n]).sum())
-    p *= (wt[:n] / z)[:, None]
-    p[each, group] -= wt[:n]
-    out["u"] += rows[:n].T @ p
-    g = np.empty((n + 1, d), kind)
-    np.matmul(p, w["u"][:d].T, out=g[:n])
-    # members, group by group in tiles
-    tiles = Tiles(group)
-    own, own_wt = rows[tiles.rows].reshape(-1, TILE, d + 1), wt[tiles.rows]
-    table = w["t"][tiles.group]
-    p = _exp(own @ table).reshape(-1, MEMBERS)
-    z = p @ np.ones(MEMBERS, kind)
-    target, each = np.append(member, 0)[tiles.rows], np.arange(len(p))
-    loss += float((np.log(p[each, target] / z + 1e-30) * own_wt).sum())
-    p *= (own_wt / z)[:, None]
-    p[each, target] -= own_wt
-    p = p.reshape(-1, TILE, MEMBERS)
-    if len(p):
-        out["t"][tiles.present] += np.add.reduceat(own.transpose(0, 2, 1) @ p, tiles.first, axis=0)
-        back = np.empty_like(g)
-        back[tiles.rows] = (p @ table[:, :d].transpose(0, 2, 1)).reshape(-1, d)
-        g += back
+    order, spans = _by_group(group)
+    own = np.ones((n, d + 1), kind)
+    own[:, :d] = n3[order]
+    wt = (weight.reshape(-1) / max(1.0, float(weight.sum()))).astype(kind)[order]
+    group, member, each = group[order], member[order], np.arange(n)
+    p, pz, q, qz = _softmax_parts(w, own, spans)
+    least = np.asarray(1e-30, kind)
+    loss = float((np.log(p[each, group] / pz + least) + np.log(q[each, member] / qz + least)) @ wt)
+    p *= (wt / pz)[:, None]
+    p[each, group] -= wt
+    q *= (wt / qz)[:, None]
+    q[each, member] -= wt
+    out["u"] += own.T @ p
+    ordered, part = p @ w["u"][:d].T, np.empty((n, d), kind)
+    for i, a, z in spans:
+        out["t"][i] += own[a:z].T @ q[a:z]
+        np.matmul(q[a:z], w["t"][i, :d].T, out=part[a:z])
+    ordered += part
+    g = np.empty((n, d), kind)
+    g[order] = ordered
     # the rest
-    g3 = _norm_back(g[:n].reshape(b, t, d), n3, f["r3"]).reshape(n, d)
-    h = f["h"].reshape(n, HIDDEN)
+    g3, h = _norm_back(g, n3, f["r3"]), f["h"]
     out["z"] += h.T @ g3
     gh = g3 @ w["z"].T
     gh *= h > 0
-    out["a"] += f["n2"].reshape(n, d).T @ gh
+    out["a"] += f["n2"].T @ gh
     out["ab"] += np.ones(n, kind) @ gh
-    g2 = g3.reshape(b, t, d) + _norm_back((gh @ w["a"].T).reshape(b, t, d), f["n2"], f["r2"])
-    out["o"] += f["mixed"].reshape(n, d).T @ g2.reshape(n, d)
-    gm = (g2.reshape(n, d) @ w["o"].T).reshape(b, t, d) / f["total"]
+    g2 = _norm_back(gh @ w["a"].T, f["n2"], f["r2"])
+    g2 += g3
+    out["o"] += f["mixed"].T @ g2
+    gm = g2 @ w["o"].T
+    gm /= f["total"]
     s, q, k, v = f["s"], f["q"], f["k"], f["v"]
+    dot, gm = np.einsum("ni,ni->n", gm, f["mixed"]).reshape(b, t, 1), gm.reshape(b, t, d)
     gs = gm @ v.transpose(0, 2, 1)
-    gs -= np.einsum("bti,bti->bt", gm, f["mixed"])[..., None]
+    gs -= dot
     gs *= s
     by_pair = gs.sum(axis=0)
     out["r"] += np.bincount(BACK[BACK >= 0], by_pair[BACK >= 0], CONTEXT).astype(kind)
     gqkv = np.empty((b, t, 3 * d), kind)
     np.matmul(gs, k, out=gqkv[..., :d])
-    gqkv[..., :d] *= SCALE
     np.matmul(gs.transpose(0, 2, 1), q, out=gqkv[..., d : 2 * d])
-    gqkv[..., d : 2 * d] *= SCALE
+    gqkv[..., : 2 * d] *= SCALE
     np.matmul(s.transpose(0, 2, 1), gm, out=gqkv[..., 2 * d :])
     gqkv = gqkv.reshape(n, 3 * d)
-    out["qkv"] += f["n1"].reshape(n, d).T @ gqkv
-    gx = g2 + _norm_back((gqkv @ w["qkv"].T).reshape(b, t, d), f["n1"], f["r1"])
-    order = np.argsort(places.reshape(-1).astype(np.uint16), kind="stable")
-    ordered = places.reshape(-1)[order]
-    starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
-    out["e"][ordered[starts]] += np.add.reduceat(gx.reshape(n, d)[order], starts)
+    out["qkv"] += f["n1"].T @ gqkv
+    gx = _norm_back(gqkv @ w["qkv"].T, f["n1"], f["r1"])
+    gx += g2
+    at = places.reshape(-1, 1) * d + np.arange(d)
+    out["e"] += np.bincount(at.reshape(-1), gx.reshape(-1), (LEAVES + 1) * d).reshape(LEAVES + 1, d)
     return -loss
 
 
@@ -214,6 +218,7 @@ class Trainer:
     """Adam over windows of CONTEXT + 1 inputs, fed batch by batch."""
 
     def __init__(self, flat: np.ndarray, rate: float, batch: int = BATCH):
+        _keep_memory()
         self.flat, self.rate, self.batch = flat.copy(), rate, batch
         self.m, self.v, self.grad, self.change = (np.zeros(SIZE, np.float32) for _ in range(4))
         self.steps, self.loss = 0, 0.0
@@ -247,6 +252,7 @@ class Scorer:
     """Scores sequences; what depends on one input alone is tabled once."""
 
     def __init__(self, flat: np.ndarray, vocabulary: Vocabulary):
+        _keep_memory()
         self.w, self.vocabulary = split(flat), vocabulary
         x = self.w["e"]
         qkv = _norm(x)[0] @ self.w["qkv"]
@@ -265,47 +271,47 @@ class Scorer:
         x2 /= total
         x2 += rows[:, first:, 3 * d :]
         out = np.ones((*x2.shape[:2], d + 1), np.float32)
-        out[..., :d] = _after_attention(self.w, x2)[3]
+        out[..., :d] = _after_attention(self.w, x2.reshape(-1, d))[3].reshape(x2.shape)
         return out
 
     def log_probabilities(self, rows: np.ndarray, leaf: np.ndarray) -> np.ndarray:
         """Natural log of the probability of a leaf for each row that ``hidden`` gives."""
-        n = len(rows)
         group, member = np.divmod(leaf.astype(np.int64), MEMBERS)
-        e = _exp(rows @ self.w["u"])
-        out = np.ones(n + 1, np.float32)
-        out[:n] = e[np.arange(n), group] / (e @ np.ones(GROUPS, np.float32) + np.float32(1e-30))
-        tiles = Tiles(group)
-        spare = np.concatenate([rows, np.zeros((1, WIDTH + 1), np.float32)])
-        e = _exp(spare[tiles.rows].reshape(-1, TILE, WIDTH + 1) @ self.w["t"][tiles.group]).reshape(-1, MEMBERS)
-        p = e[np.arange(len(e)), np.append(member, 0)[tiles.rows]] / (e @ np.ones(MEMBERS, np.float32) + np.float32(1e-30))
-        out[tiles.rows] *= p
-        return np.log(out[:n] + np.float32(1e-30))
+        order, spans = _by_group(group)
+        p, pz, q, qz = _softmax_parts(self.w, rows[order], spans)
+        each = np.arange(len(rows))
+        found = p[each, group[order]] / pz
+        found *= q[each, member[order]] / qz
+        out = np.empty(len(rows), np.float32)
+        out[order] = np.log(found + np.float32(1e-30))
+        return out
 
     def sequences(self, tokens: list[np.ndarray]) -> np.ndarray:
-        """log10 probability of each sequence of tokens, after a text's begin; windows overlap and each token is scored once."""
-        if not tokens:
+        """log10 probability of each sequence of tokens, after a text's begin."""
+        return self.leaf_sequences([self.vocabulary.leaf[t] for t in tokens]) + np.array([self.vocabulary.share[t].sum() for t in tokens])
+
+    def leaf_sequences(self, leaves: list[np.ndarray]) -> np.ndarray:
+        """The same of the tokens' leaves, without their shares; windows overlap and each leaf is scored once."""
+        if not leaves:
             return np.zeros(0)
-        sizes = np.array([len(t) for t in tokens], np.int64) + 1
+        sizes = np.array([len(t) for t in leaves], np.int64) + 1
         ends = np.cumsum(sizes)
         begin = ends - sizes
         real = np.ones(int(ends[-1]), bool)
         real[begin] = False
-        ids = np.concatenate(tokens)
         places = np.full(int(ends[-1]) + CONTEXT + 1, LEAVES, np.uint16)
-        places[: len(real)][real] = self.vocabulary.leaf[ids]
+        places[: len(real)][real] = np.concatenate(leaves)
         out = np.zeros(len(places), np.float64)
-        out[: len(real)][real] = self.vocabulary.share[ids]
         more = np.maximum(0, -(-(sizes - 1 - CONTEXT) // STRIDE))
-        doc = np.arange(len(tokens))
+        doc = np.arange(len(leaves))
         later = np.repeat(doc, more)
         step = np.arange(len(later)) - np.repeat(np.cumsum(more) - more, more) + 1
         for starts, docs, first in ((begin, doc, 0), (begin[later] + step * STRIDE, later, CONTEXT - STRIDE)):
-            for a in range(0, len(starts), BATCH):
-                at, own = starts[a : a + BATCH], docs[a : a + BATCH]
+            for a in range(0, len(starts), SCORED_WINDOWS):
+                at, own = starts[a : a + SCORED_WINDOWS], docs[a : a + SCORED_WINDOWS]
                 hidden = self.hidden(places[at[:, None] + np.arange(CONTEXT)], first)
                 targets = at[:, None] + np.arange(first + 1, CONTEXT + 1)
                 scored = targets < ends[own][:, None]
                 picked = targets[scored]
-                out[picked] += self.log_probabilities(hidden[scored], places[picked]) * (1 / np.log(10))
+                out[picked] = self.log_probabilities(hidden[scored], places[picked]) * (1 / np.log(10))
         return np.add.reduceat(out[: len(real)], begin)

@@ -11,7 +11,7 @@ of its row, and gives windows that follow each other, so each token is predicted
 once in training.  A shard has about ``SHARD_TOKENS`` tokens; shards of a round
 train side by side and their weights are averaged in stages of ``FAN_IN``.  There
 are three rounds, and one more each time the shards double beyond ``SIDE_BY_SIDE``
-a round.  Shards, rounds and the order of texts follow from the texts alone, so
+a round.  Texts are encoded once, into a stored table that training and scoring read.  Shards, rounds and the order of texts follow from the texts alone, so
 the number of partitions, executors or batches does not change the model.
 
 Counts cover all texts.  Words are counted in Spark, and token counts follow from
@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .attention import CONTEXT, LEAVES, Scorer, Trainer, Vocabulary, fresh
-from .common import as_bytes, materialise, word_blocks, worker_state
+from .common import as_bytes, materialise, spread, word_blocks, worker_state
 from .tokens import default_tokenizer, encoder
 
 FREQUENT = 200_000
@@ -190,25 +190,78 @@ def training_windows(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(held)[order], np.concatenate(valid)[order]
 
 
+def encoded(docs: DataFrame, vocabulary: Vocabulary, tokenizer: str, end: int, common: dict | None = None, texts: int = 0, below: float = 0.0) -> DataFrame:
+    """All that scores need of each text but the weights. ``docs``: doc_id, text, held_out.
+
+    ``leaves`` are those of its tokens, as 16-bit integers, and ``share`` is the sum of
+    their shares; ``base`` and ``n_known`` are of its end and its words in ``common``, and
+    ``rest`` counts its other words.  ``key`` is a hash of the row.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, common or {}))
+
+    def encode(batches):
+        (vocabulary, common), own_tokens = shared.value, tokens(tokenizer)
+
+        def one(text: bytes) -> tuple:
+            parts, n_words, known, base, rest = [], 1, int(texts > 0), math.log10(texts + 1) - below, Counter()
+            for block in word_blocks(text):
+                ws, part = own_tokens.of(block)
+                parts.append(part)
+                n_words += len(ws)
+                c = np.fromiter(map(common.get, ws, repeat(-1)), np.int64, len(ws))
+                known += int(np.count_nonzero(c > 0))
+                here = c >= 0
+                base += float(np.log10(c[here] + 1).sum()) - below * int(here.sum())
+                rest.update(ws[i] for i in np.flatnonzero(~here).tolist())
+            found = np.concatenate([*parts, np.array([end], "<u4")])
+            return n_words, known, base, float(vocabulary.share[found].sum()), vocabulary.leaf[found].astype("<u2").tobytes(), rest
+
+        def flush(rows: list, held: list):
+            rest_words, rest_n, sizes = [], [], [0]
+            for h in held:
+                rest_words += h[5]
+                rest_n += h[5].values()
+                sizes.append(len(h[5]))
+            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
+            structs = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_n, pa.int64())], names=["word", "n"])
+            arrays = [*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int64()))), *(pa.array([h[k] for h in held], t) for k, t in enumerate(kinds))]
+            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), structs)], names=["doc_id", "held_out", "key", "n_tokens", "n_known", "base", "share", "leaves", "rest"])
+
+        for batch in batches:
+            rows, held, size = [], [], 0
+            for text, *row in zip(as_bytes(batch.column(0)), *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                rows.append(row)
+                held.append(one(text))
+                size += len(held[-1][4])
+                if size > 2 * SCORED:
+                    yield flush(rows, held)
+                    rows, held, size = [], [], 0
+            if held:
+                yield flush(rows, held)
+
+    kind = "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base double, share double, leaves binary, rest array<struct<word:binary,n:long>>"
+    return docs.select("text", F.col("doc_id").cast("long"), "held_out", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(encode, kind)
+
+
 def fit(train: DataFrame, n_tokens: int, vocabulary: Vocabulary, tokenizer: str, end: int) -> np.ndarray:
-    """Weights after rounds of side-by-side training and averaging, each over texts of its own."""
+    """Weights after rounds of side-by-side training and averaging, each over texts of its own. ``train``: texts, or what ``encoded`` gave of them."""
     spark = train.sparkSession
     flat = fresh(vocabulary)
     rounds, shards, rates = training_plan(n_tokens)
-    key = F.xxhash64("doc_id", "text")
-    dealt = train.select("text", key.alias("key"), F.pmod(F.xxhash64(key), F.lit(rounds * shards)).alias("shard"))
+    if "leaves" not in train.columns:
+        train = encoded(train.withColumn("held_out", F.lit(False)), vocabulary, tokenizer, end)
+    dealt = train.select("leaves", "key", F.pmod(F.xxhash64("key"), F.lit(rounds * shards)).alias("shard"))
     for i, rate in enumerate(rates):
         own = dealt.where((F.col("shard") >= i * shards) & (F.col("shard") < (i + 1) * shards))
-        own = own.repartition(shards, "shard").sortWithinPartitions("shard", "key").select("text", "shard")
-        shared = spark.sparkContext.broadcast((flat, vocabulary.leaf))
+        own = own.repartition(shards, "shard").sortWithinPartitions("shard", "key").select("leaves", "shard")
+        shared = spark.sparkContext.broadcast(flat)
 
         def learn(batches, shared=shared, rate=rate):
-            own_tokens, trainer, n, now, held = tokens(tokenizer), None, 0, None, []
-            start, leaf = shared.value
+            trainer, n, now, held = None, 0, None, []
 
             def feed():
                 nonlocal n
-                windows, valid = training_windows([leaf[own_tokens.whole(t, end)] for t in held])
+                windows, valid = training_windows(held)
                 trainer.feed(windows, valid)
                 n += len(windows)
                 held.clear()
@@ -218,12 +271,12 @@ def fit(train: DataFrame, n_tokens: int, vocabulary: Vocabulary, tokenizer: str,
                 return pa.RecordBatch.from_arrays([pa.array([(trainer.flat.astype(np.float64) * n).tobytes()], pa.binary()), pa.array([n], pa.int64())], names=["w", "n"])
 
             for batch in batches:
-                for text, shard in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist(), strict=True):
+                for leaves, shard in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                     if shard != now:
                         if trainer:
                             yield done()
-                        trainer, n, now = Trainer(start, rate), 0, shard
-                    held.append(text)
+                        trainer, n, now = Trainer(shared.value, rate), 0, shard
+                    held.append(np.frombuffer(leaves, "<u2"))
                     if len(held) == FED_TEXTS:
                         feed()
             if trainer:
@@ -253,8 +306,7 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None, folds: int = 7, fol
     tokenizer = tokenizer or default_tokenizer()
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", held_out(F.col("doc_id").cast("long"), folds, fold).alias("held_out"))
-    train = docs.where("not held_out")
-    texts = train.count()
+    texts = docs.where("not held_out").count()
     words = materialise(word_counts(docs), "words")
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
     n, v = n + texts, v + (texts > 0)
@@ -267,60 +319,34 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None, folds: int = 7, fol
         counts[r["id"]] = r["n"]
     counts[end] = texts
     vocabulary = Vocabulary.from_counts(counts)
-    flat = fit(train, int(counts.sum()), vocabulary, tokenizer, end)
     least = _frequent_from(words, FREQUENT)
     common = {bytes(r["word"]): r["c"] for r in words.where(F.col("n") >= least).select("word", "c").collect()}  # FREQUENT rows at most
-    shared = spark.sparkContext.broadcast((flat, vocabulary, common))
     below = math.log10(n + v + 1)
+    whole = materialise(encoded(docs, vocabulary, tokenizer, end, common, texts, below).withColumn("row", F.monotonically_increasing_id()), "sequences")
+    flat = fit(whole.where("not held_out"), int(counts.sum()), vocabulary, tokenizer, end)
+    shared = spark.sparkContext.broadcast((flat, vocabulary))
 
     def score(batches):
-        flat, vocabulary, common = shared.value
-        scorer, own_tokens = Scorer(flat, vocabulary), tokens(tokenizer)
-
-        def one(text: bytes):
-            """Tokens, their number of words and of known words, base, and the words not in ``common``."""
-            parts, n_words, known, base, rest = [], 1, int(texts > 0), math.log10(texts + 1) - below, Counter()
-            for block in word_blocks(text):
-                ws, part = own_tokens.of(block)
-                parts.append(part)
-                n_words += len(ws)
-                c = np.fromiter(map(common.get, ws, repeat(-1)), np.int64, len(ws))
-                known += int(np.count_nonzero(c > 0))
-                here = c >= 0
-                base += float(np.log10(c[here] + 1).sum()) - below * int(here.sum())
-                rest.update(ws[i] for i in np.flatnonzero(~here).tolist())
-            return np.concatenate([*parts, np.array([end], "<u4")]), n_words, known, base, rest
-
-        def flush(ids: list, held: list):
-            rest_words, rest_n, sizes = [], [], [0]
-            for h in held:
-                rest_words += h[4]
-                rest_n += h[4].values()
-                sizes.append(len(h[4]))
-            kinds = [pa.int64(), pa.int64(), pa.float64()]
-            structs = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_n, pa.int64())], names=["word", "n"])
-            arrays = [pa.array([i for i, _ in ids], pa.int64()), pa.array([o for _, o in ids], pa.bool_()), *(pa.array([h[k] for h in held], t) for k, t in zip((1, 2, 3), kinds, strict=True)), pa.array(scorer.sequences([h[0] for h in held]), pa.float64())]
-            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), structs)], names=["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "rest"])
-
+        scorer = Scorer(*shared.value)
         for batch in batches:
-            ids, held, size = [], [], 0
-            for doc_id, text, out in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), batch.column(2).to_pylist(), strict=True):
-                ids.append((doc_id, out))
-                held.append(one(text))
-                size += len(held[-1][0])
+            scores, held, size = [np.zeros(0)], [], 0
+            for leaves in batch.column(0).to_pylist():
+                held.append(np.frombuffer(leaves, "<u2"))
+                size += len(held[-1])
                 if size > SCORED:
-                    yield flush(ids, held)
-                    ids, held, size = [], [], 0
-            if held:
-                yield flush(ids, held)
-
-    kind = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,n:long>>"
-    done = materialise(docs.mapInArrow(score, kind).withColumn("row", F.monotonically_increasing_id()), "scores")
-    rest = done.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n")
+                    scores.append(scorer.leaf_sequences(held))
+                    held, size = [], 0
+            scores.append(scorer.leaf_sequences(held))
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(np.concatenate(scores) + batch.column(1).to_numpy())], names=[*names, "score"])
+
+    names = ["share", "doc_id", "held_out", "n_tokens", "n_known", "base", "row"]
+    kind = "share double, doc_id long, held_out boolean, n_tokens long, n_known long, base double, row long, score double"
+    done = materialise(spread(whole.select("leaves", *names)).mapInArrow(score, kind), "scores")
+    rest = whole.select("row", F.explode("rest").alias("r")).select("row", "r.word", "r.n")
     rest = rest.join(words.where(F.col("n") < least).select("word", "c"), "word")
     rest = rest.groupBy("row").agg(F.sum(F.col("n") * (F.log10(F.col("c") + 1) - F.lit(below))).alias("b"), F.sum(F.when(F.col("c") > 0, F.col("n"))).alias("k"))
     zero = F.lit(0)
-    return done.drop("rest").join(rest, "row", "left").select(
+    return done.join(rest, "row", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

@@ -3,7 +3,11 @@
 import collections
 import hashlib
 import math
+import os
+import pathlib
 import re
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -881,6 +885,43 @@ def test_training_does_not_depend_on_the_layout(spark, monkeypatch):
     assert not np.allclose(got[0], attention.fresh(vocabulary)) and all(np.allclose(got[0], g, rtol=0, atol=1e-6) for g in got[1:])
 
 
+def test_training_steps_fault_no_pages_in():
+    """A step works in memory that the steps before it had (before: about 1,400 faults a step)."""
+    code = """
+import resource
+import numpy as np
+from seriesloom.llm import attention as a
+rng = np.random.default_rng(0)
+windows, valid = rng.integers(0, a.LEAVES, (5 * a.BATCH, a.CONTEXT + 1)), np.full(5 * a.BATCH, a.CONTEXT + 1)
+trainer = a.Trainer(a.fresh(a.Vocabulary.from_counts(rng.integers(0, 99, 3000))), 1e-2)
+trainer.feed(windows, valid)
+before = resource.getrusage(resource.RUSAGE_SELF).ru_minflt
+for _ in range(4):
+    trainer.feed(windows, valid)
+print((resource.getrusage(resource.RUSAGE_SELF).ru_minflt - before) / 20)
+"""
+    root = pathlib.Path(lm.__file__).parents[2]
+    got = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=root, env=os.environ | {"OMP_NUM_THREADS": "1", "PYTHONPATH": f"{root}:{os.environ.get('PYTHONPATH', '')}"})
+    assert float(got.stdout.split()[-1]) < 100
+
+
+def test_texts_are_encoded_once(spark):
+    """What is stored of a text gives its tokens' score, and training reads it as it reads texts."""
+    texts = [(i, f"stored text {i} of words, and more of them " * (i % 4)) for i in range(60)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").withColumn("held_out", F.lit(False))
+    parts = [np.array(t) for _, t in lm_parts([t for _, t in texts])]
+    end = int(parts[0][-1])
+    vocabulary = attention.Vocabulary.from_counts(np.bincount(np.concatenate(parts)))
+    stored = lm.encoded(frame, vocabulary, default_tokenizer(), end)
+    rows = {r["doc_id"]: r for r in stored.collect()}
+    assert all((np.frombuffer(rows[i]["leaves"], "<u2") == vocabulary.leaf[t]).all() and rows[i]["share"] == pytest.approx(vocabulary.share[t].sum()) for i, t in enumerate(parts))
+    n = sum(map(len, parts))
+    flat = lm.fit(stored, n, vocabulary, default_tokenizer(), end)
+    assert np.allclose(flat, lm.fit(frame.select("doc_id", "text"), n, vocabulary, default_tokenizer(), end), rtol=0, atol=1e-6)
+    scorer = attention.Scorer(flat, vocabulary)
+    assert scorer.leaf_sequences([vocabulary.leaf[t] for t in parts]) + [rows[i]["share"] for i in range(60)] == pytest.approx(scorer.sequences(parts))
+
+
 def test_training_plan_grows_with_the_tokens():
     plans = [lm.training_plan(n) for n in (0, 1, 10**6, 10**8, 10**11)]
     assert [r * s * lm.SHARD_TOKENS >= n for (r, s, _), n in zip(plans, (0, 1, 10**6, 10**8, 10**11))] == [True] * 5
