@@ -29,8 +29,9 @@ N and V are 0.
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
-from itertools import repeat
+from itertools import chain, islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +51,8 @@ SHARD_TOKENS, SIDE_BY_SIDE, FED_TEXTS = 1_000_000, 8, 128
 HELD_WORDS = 1_000_000
 #: Weights that are averaged in one task.
 FAN_IN = 8
-#: Tokens scored together, and words of a generation of those whose tokens a worker keeps.
-SCORED, KEPT_WORDS = 1 << 16, 350_000
+#: Tokens scored together, words beside the common ones whose tokens a worker keeps, and parts of words whose ids it keeps.
+SCORED, KEPT_WORDS, CACHED_PARTS = 1 << 16, 600_000, 150_000
 
 
 def held_out(doc_id, folds: int, fold: int):
@@ -99,46 +100,90 @@ def _marked(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Tokens:
-    """Tokens of texts: twice a subword id, and one more where it ends a word."""
+    """Tokens of texts: twice a subword id, and one more where it ends a word.
 
-    def __init__(self, tokenizer: str):
-        self.encoder, self.known, self.older = encoder(tokenizer), {}, {}
+    A word is looked up once and has a number; its tokens lie in one array with those of
+    the others. Those of ``common`` have the first numbers and stay, the others are
+    forgotten together once there are more than ``KEPT_WORDS``.
+    """
+
+    def __init__(self, tokenizer: str, common: list[bytes] = ()):
+        self.encoder, self.n_common = encoder(tokenizer), len(common)
+        self.number: dict[bytes, int] = {}
+        self.size, self.start, self.held, self.end = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(4096, "<u4"), 0
+        for i in range(0, len(common), 50_000):
+            self._learn(common[i : i + 50_000], False)
 
     def _learn(self, chunks: list[bytes], lowered: bool) -> None:
-        missing = set(chunks).difference(self.known)
-        if not missing:
-            return
-        if len(self.known) > KEPT_WORDS:
-            self.older, self.known = self.known, {}
-            missing = set(chunks)
-        again = [c for c in missing if c in self.older]
-        self.known.update(zip(again, map(self.older.__getitem__, again)))
-        chunks = list(missing.difference(again))
-        marked, sizes = _marked(self.encoder.pieces(chunks, lowered))
-        raw, edges = marked.tobytes(), [0, *(4 * np.cumsum(sizes)).tolist()]
-        for chunk, a, b in zip(chunks, edges, edges[1:]):
-            self.known[chunk] = raw[a:b]
-        if len(self.encoder.cache) > 20_000:  # known here already
+        if len(self.encoder.cache) > CACHED_PARTS:  # whole words are known here already; their parts come again
             self.encoder.cache.clear()
-
-    def of(self, text: bytes) -> tuple[list[bytes], np.ndarray]:
-        """Words, lower-cased, and tokens of a block of text."""
-        words = text.lower().split()
+        marked, sizes = _marked(self.encoder.pieces(chunks, lowered))
+        n, more = len(self.number), len(self.number) + len(chunks)
+        if more > len(self.size):
+            self.size, self.start = (np.concatenate([x, np.zeros(more, np.int64)]) for x in (self.size, self.start))
+        if self.end + len(marked) > len(self.held):
+            self.held = np.concatenate([self.held, np.zeros(self.end + len(marked), "<u4")])
+        self.size[n:more] = sizes
+        self.start[n:more] = self.end + np.cumsum(sizes) - sizes
+        self.held[self.end : self.end + len(marked)] = marked
+        self.end += len(marked)
+        self.number.update(zip(chunks, range(n, more)))
+
+    def numbers(self, chunks: list[bytes], lowered: bool) -> np.ndarray:
+        """Each chunk's number; valid until the next call."""
+        if len(self.number) - self.n_common > KEPT_WORDS:
+            self.number = dict(islice(self.number.items(), self.n_common))
+            self.end = int(self.size[: self.n_common].sum())
+        found = np.fromiter(map(self.number.get, chunks, repeat(-1)), np.int64, len(chunks))
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            own = [chunks[i] for i in new.tolist()]
+            self._learn(list(dict.fromkeys(own)), lowered)
+            found[new] = np.fromiter(map(self.number.__getitem__, own), np.int64, len(own))
+        return found
+
+    def of(self, blocks: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of blocks of text: their words, lower-cased, these words' numbers (``n_common`` or more where not common), all tokens, and each block's number of words and of tokens."""
+        split = [b.lower().split() for b in blocks]
+        words = list(chain.from_iterable(split))
         # a special token's name keeps its case, and its ids, only if it is not lower-cased
-        lowered = self.encoder.by_chunk and b"<|" not in text
-        chunks = words if lowered else text.split()
-        self._learn(chunks, lowered)
-        found = b"".join(map(self.known.__getitem__, chunks))
-        return words, np.frombuffer(found, "<u4")
+        lowered = self.encoder.by_chunk and not any(b"<|" in b for b in blocks)
+        chunks = words if lowered else list(chain.from_iterable(w if self.encoder.by_chunk and b"<|" not in b else b.split() for b, w in zip(blocks, split)))
+        found = self.numbers(chunks, lowered)
+        sizes = self.size[found]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.start[found] - ends + sizes, sizes)
+        at += np.arange(len(at))
+        tokens = self.held[at]
+        n_words = np.fromiter(map(len, split), np.int64, len(split))
+        n_tokens = np.diff(np.append(0, ends)[np.append(0, np.cumsum(n_words))])
+        return words, found if lowered else self.numbers(words, False), tokens, n_words, n_tokens
 
     def whole(self, text: bytes, end: int) -> np.ndarray:
-        return np.concatenate([*(self.of(b)[1] for b in word_blocks(text)), np.array([end], "<u4")])
-
-
-def tokens(tokenizer: str) -> Tokens:
+        return np.concatenate([*(self.of([b])[2] for b in word_blocks(text)), np.array([end], "<u4")])
+
+
+def block_groups(texts: list[bytes], size: int = 1 << 20):
+    """(places, blocks): the texts' blocks in their order, those of about ``size`` bytes at a time, and the place of each one's text."""
+    places, blocks, held = [], [], 0
+    for i, text in enumerate(texts):
+        for block in word_blocks(text, size):
+            places.append(i)
+            blocks.append(block)
+            held += len(block)
+            if held >= size:
+                yield np.array(places), blocks
+                places, blocks, held = [], [], 0
+    if blocks:
+        yield np.array(places), blocks
+
+
+def tokens(tokenizer: str, call: str, common: list[bytes]) -> Tokens:
+    """The worker's, with what it learned since ``call`` began."""
     state = worker_state(("tokens", tokenizer))
-    if "t" not in state:
-        state["t"] = Tokens(tokenizer)
+    if state.get("call") != call:
+        state.clear()
+        state.update(call=call, t=Tokens(tokenizer, common))
     return state["t"]
 
 
@@ -197,47 +242,49 @@ def encoded(docs: DataFrame, vocabulary: Vocabulary, tokenizer: str, end: int, c
     their shares; ``base`` and ``n_known`` are of its end and its words in ``common``, and
     ``rest`` counts its other words.  ``key`` is a hash of the row.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((vocabulary, common or {}))
+    common = common or {}
+    counts = np.fromiter(common.values(), np.int64, len(common))
+    # the last number stands for all words that are not common
+    per_word = np.append(np.log10(counts + 1) - below, 0), np.append(counts > 0, False)
+    shared, call = docs.sparkSession.sparkContext.broadcast((vocabulary, list(common), *per_word)), uuid.uuid4().hex
 
     def encode(batches):
-        (vocabulary, common), own_tokens = shared.value, tokens(tokenizer)
-
-        def one(text: bytes) -> tuple:
-            parts, n_words, known, base, rest = [], 1, int(texts > 0), math.log10(texts + 1) - below, Counter()
-            for block in word_blocks(text):
-                ws, part = own_tokens.of(block)
-                parts.append(part)
-                n_words += len(ws)
-                c = np.fromiter(map(common.get, ws, repeat(-1)), np.int64, len(ws))
-                known += int(np.count_nonzero(c > 0))
-                here = c >= 0
-                base += float(np.log10(c[here] + 1).sum()) - below * int(here.sum())
-                rest.update(ws[i] for i in np.flatnonzero(~here).tolist())
-            found = np.concatenate([*parts, np.array([end], "<u4")])
-            return n_words, known, base, float(vocabulary.share[found].sum()), vocabulary.leaf[found].astype("<u2").tobytes(), rest
-
-        def flush(rows: list, held: list):
-            rest_words, rest_n, sizes = [], [], [0]
-            for h in held:
-                rest_words += h[5]
-                rest_n += h[5].values()
-                sizes.append(len(h[5]))
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary()]
-            structs = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(rest_n, pa.int64())], names=["word", "n"])
-            arrays = [*(pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.bool_(), pa.int64()))), *(pa.array([h[k] for h in held], t) for k, t in enumerate(kinds))]
-            return pa.RecordBatch.from_arrays([*arrays, pa.ListArray.from_arrays(pa.array(np.cumsum(sizes), pa.int32()), structs)], names=["doc_id", "held_out", "key", "n_tokens", "n_known", "base", "share", "leaves", "rest"])
+        vocabulary, common, base_of, is_known = shared.value
+        own_tokens, others = tokens(tokenizer, call, common), len(common)
+
+        def some(texts_here: list[bytes]) -> list:
+            n = len(texts_here)
+            n_words, n_leaves, n_rest = np.ones(n, np.int64), np.ones(n, np.int64), np.zeros(n, np.int64)
+            known, base, share = np.full(n, int(texts > 0)), np.full(n, math.log10(texts + 1) - below), np.full(n, float(vocabulary.share[end]))
+            parts, rest_words, rest_n = [], [], []
+            for places, blocks in block_groups(texts_here):
+                ws, numbers, part, word_n, token_n = own_tokens.of(blocks)
+                place = np.repeat(places, word_n)
+                rare = np.flatnonzero(numbers >= others)
+                _, first, times = np.unique(place[rare] << 32 | numbers[rare], return_index=True, return_counts=True)
+                rare = rare[first]
+                rest_words += [ws[i] for i in rare.tolist()]
+                rest_n.append(times)
+                np.minimum(numbers, others, out=numbers)
+                for total, at, weights in ((n_words, places, word_n), (n_leaves, places, token_n), (n_rest, place[rare], None), (known, place, is_known[numbers]), (base, place, base_of[numbers]), (share, np.repeat(places, token_n), vocabulary.share[part])):
+                    total += np.bincount(at, weights, n).astype(total.dtype)
+                parts.append(vocabulary.leaf[part])
+            ends = np.cumsum(n_leaves)
+            leaves = np.full(ends[-1], vocabulary.leaf[end], "<u2")
+            inner = np.ones(len(leaves), bool)
+            inner[ends - 1] = False
+            leaves[inner] = np.concatenate(parts)
+            structs = pa.StructArray.from_arrays([pa.array(rest_words, pa.binary()), pa.array(np.concatenate(rest_n))], names=["word", "n"])
+            of_leaves = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.append(0, 2 * ends).astype(np.int32)), pa.py_buffer(leaves)])
+            return [*map(pa.array, (n_words, known, base, share)), of_leaves, pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n_rest)), pa.int32()), structs)]
 
         for batch in batches:
-            rows, held, size = [], [], 0
-            for text, *row in zip(as_bytes(batch.column(0)), *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
-                rows.append(row)
-                held.append(one(text))
-                size += len(held[-1][4])
-                if size > 2 * SCORED:
-                    yield flush(rows, held)
-                    rows, held, size = [], [], 0
-            if held:
-                yield flush(rows, held)
+            found = as_bytes(batch.column(0))
+            group = np.cumsum([len(t) for t in found]) >> 20
+            edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(found)]
+            for a, b in zip(edges, edges[1:]):
+                if a < b:
+                    yield pa.RecordBatch.from_arrays([*(c.slice(a, b - a) for c in batch.columns[1:]), *some(found[a:b])], names=["doc_id", "held_out", "key", "n_tokens", "n_known", "base", "share", "leaves", "rest"])
 
     kind = "doc_id long, held_out boolean, key long, n_tokens long, n_known long, base double, share double, leaves binary, rest array<struct<word:binary,n:long>>"
     return docs.select("text", F.col("doc_id").cast("long"), "held_out", F.xxhash64("doc_id", "text").alias("key")).mapInArrow(encode, kind)
@@ -320,7 +367,8 @@ def lm_scores(docs: DataFrame, tokenizer: str | None = None, folds: int = 7, fol
     counts[end] = texts
     vocabulary = Vocabulary.from_counts(counts)
     least = _frequent_from(words, FREQUENT)
-    common = {bytes(r["word"]): r["c"] for r in words.where(F.col("n") >= least).select("word", "c").collect()}  # FREQUENT rows at most
+    # FREQUENT rows at most; the most frequent first, so that lookups find them close together
+    common = {bytes(r["word"]): r["c"] for r in sorted(words.where(F.col("n") >= least).collect(), key=lambda r: (-r["n"], r["word"]))}
     below = math.log10(n + v + 1)
     whole = materialise(encoded(docs, vocabulary, tokenizer, end, common, texts, below).withColumn("row", F.monotonically_increasing_id()), "sequences")
     flat = fit(whole.where("not held_out"), int(counts.sum()), vocabulary, tokenizer, end)

@@ -9,13 +9,17 @@ library's whole pipeline.  Any other tokenizer encodes whole texts.
 
 from __future__ import annotations
 
+import codecs
 import json
 import re
+import struct
 
 from .common import word_blocks, worker_state
 
 #: Letters that are lower case and stay as they are under NFC: a-z and the Latin-1 ones; then ASCII punctuation but the apostrophe.
 PLAIN = re.compile(rb"((?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])*)([!-&(-/:-@\[-`{-~]*)")
+#: That punctuation.
+MARKS = bytes(c for c in range(0x21, 0x7F) if PLAIN.fullmatch(bytes([c])) and not chr(c).isalpha())
 #: Entries that a worker's cache holds at most; then it starts anew. The large one takes about 140 MB more.
 CACHE_ENTRIES, LARGE_CACHE = 400_000, 900_000
 
@@ -62,15 +66,16 @@ class Encoder:
         self.entries = entries
         visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         hidden = [b for b in range(256) if b not in set(visible)]
-        self.alphabet = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        hidden = {b: chr(256 + i) for i, b in enumerate(hidden)}
+        self.alphabet = "".join(hidden.get(b, chr(b)) for b in range(256))
 
     @staticmethod
     def _pack(ids: list[int]) -> bytes:
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _letters(self, core: bytes) -> bytes:
         if (got := self.cache.get(core)) is None:
-            word = core.decode("latin-1").translate(self.alphabet)
+            word = codecs.charmap_decode(core, "strict", self.alphabet)[0]
             got = self.cache[core] = self._pack([t.id for t in self.model.tokenize(word)])
         return got
 
@@ -82,7 +87,10 @@ class Encoder:
             new = set(chunks)
         slow = []
         for c in new:
-            if m := PLAIN.fullmatch(c):
+            core = c.rstrip(MARKS)
+            if core.isalpha() and core.islower():  # a-z alone
+                self.cache[c] = self._letters(core) + self._letters(c[len(core) :]) if len(core) < len(c) else self._letters(c)
+            elif m := PLAIN.fullmatch(c):
                 core, marks = m.groups()
                 self.cache[c] = (self._letters(core) if core else b"") + (self._letters(marks) if marks else b"")
             else:

@@ -922,6 +922,26 @@ def test_texts_are_encoded_once(spark):
     assert scorer.leaf_sequences([vocabulary.leaf[t] for t in parts]) + [rows[i]["share"] for i in range(60)] == pytest.approx(scorer.sequences(parts))
 
 
+@pytest.mark.parametrize("kept", [600_000, 3])
+def test_new_words_of_many_texts_are_encoded_together(monkeypatch, kept):
+    """The texts of a megabyte ask for their new words at once (before: each text did), and words that were forgotten get the same tokens again."""
+    monkeypatch.setattr(lm, "KEPT_WORDS", kept)
+    rng = np.random.default_rng(0)
+    texts = [" ".join(rng.choice(["so", "na,", "Mi", "teré", "ba!?", "l'o", f"new{i}x", "x9", "<|endoftext|>"], 30)) for i in range(200)] + [""]
+    held = lm.Tokens(default_tokenizer(), [b"so", b"mi", b"never"])
+    asked = []
+    pieces = held.encoder.pieces
+    monkeypatch.setattr(held.encoder, "pieces", lambda chunks, *a: asked.append(len(chunks)) or pieces(chunks, *a))
+    for _ in range(2):
+        ((places, blocks),) = lm.block_groups([t.encode() for t in texts])
+        words, numbers, tokens, n_words, n_tokens = held.of(blocks)
+        assert places.tolist() == list(range(201)) and len(asked) <= 4
+        parts = lm_parts(texts)
+        assert words == [w for ws, _ in parts for w in ws] and n_words.tolist() == [len(ws) for ws, _ in parts]
+        assert [*map(list, np.split(tokens, np.cumsum(n_tokens)[:-1]))] == [ts[:-1] for _, ts in parts]
+        assert [n if n < 3 else 3 for n in numbers.tolist()] == [{b"so": 0, b"mi": 1}.get(w, 3) for w in words]
+
+
 def test_training_plan_grows_with_the_tokens():
     plans = [lm.training_plan(n) for n in (0, 1, 10**6, 10**8, 10**11)]
     assert [r * s * lm.SHARD_TOKENS >= n for (r, s, _), n in zip(plans, (0, 1, 10**6, 10**8, 10**11))] == [True] * 5
